@@ -7,7 +7,7 @@ sets with the probability of their Jaccard similarity. Values are cut to 16 bits
 Copies with equal sets first collapse to their smallest id. In every bucket, chunks of bounded size propose the edges
 of a maximum spanning forest by signature agreement; proposals are confirmed on full sets; confirmed links give
 components. Where a bucket still holds several components, all pairs of different components whose signatures are not
-clearly apart are confirmed too, each pair once, in blocks. So a group of near copies is joined through few links and
+clearly apart are confirmed in place, each pair once, in blocks, and only links leave it. So a group of near copies is joined through few links and
 no link between different components is left out, but for the miss probability of the bands.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE_WORDS, PERMUTATIONS = 5, 64
-#: Bucket members compared with each other in one place; larger buckets are cut in blocks of this size.
-BLOCK = 1024
+#: Bucket members compared with each other in one place, and bytes of their sets; larger buckets are cut in blocks.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Signatures agree on so much less than the threshold only with a probability under 1e-6 (five deviations).
 DEVIATIONS = 5.0
 
@@ -133,26 +133,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets that are not empty."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = len(a) - 1
+    both = int(np.count_nonzero(a[at] == b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold: 100 * intersection >= 100 * threshold * union."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keep = []
-            last, left = None, None
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_buffer(), y.as_buffer()
-                n, m = x.size // 8, y.size // 8
-                if 100 * min(n, m) < percent * max(n, m):
-                    keep.append(False)
-                    continue
-                if last is None or not x.equals(last):
-                    last, left = x, np.frombuffer(x, np.uint64)
-                at = np.searchsorted(left, right := np.frombuffer(y, np.uint64))
-                at[at == n] = n - 1
-                common_size = int(np.count_nonzero(left[at] == right))
-                keep.append(100 * common_size >= percent * (n + m - common_size))
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
@@ -211,28 +209,37 @@ def spanning_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def crossing_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """From (bucket, left, right, block, doc_id, component, signature): per bucket and pair of blocks, the pairs of
-    different components whose signatures may reach the threshold, in the first band that both share only."""
+def crossing_links(members: DataFrame, threshold: float) -> DataFrame:
+    """From (bucket, left, right, block, doc_id, component, signature, shingles): per bucket and pair of blocks, links
+    between different components. Pairs whose signatures may reach the threshold are confirmed on full sets at once,
+    in the first band that both share only; what is linked already is not looked at again."""
+    percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]):
         hasher = MinMax(threshold)
 
         def found():
             for (bucket, left, right), rows in _runs(batches, 3):
-                block, ids, comps, sigs = zip(*((r[3:]) for r in rows), strict=True)
-                block, comps, ids = np.array(block), np.array(comps), np.array(ids)
+                block, ids, comps, sigs, sets = zip(*((r[3:]) for r in rows), strict=True)
+                block, comps = np.array(block), np.array(comps)
                 sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
+                size = np.array([len(s) // 8 for s in sets])
                 band = hasher.banded(sig)
                 own = next(i for i, x in enumerate(hasher.buckets(sig[0])) if x == bucket)
                 need = least_agreement(threshold, sig.shape[1]) * sig.shape[1]
                 for i in np.flatnonzero(block == left):
                     js = np.flatnonzero((block == right) & (comps != comps[i]))
                     js = js[js > i] if left == right else js
-                    js = js[(sig[js] == sig[i]).sum(axis=1) >= need]
-                    if len(js):
-                        js = js[~(band[js, :own] == band[i, :own]).all(axis=2).any(axis=1)]
-                    yield from ((int(ids[i]), int(ids[j])) for j in js)
+                    js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+                    same = (sig[js] == sig[i]).sum(axis=1)
+                    js, same = js[same >= need], same[same >= need]
+                    first = ~(band[js, :own] == band[i, :own]).all(axis=2).any(axis=1)
+                    js = js[first][np.argsort(-same[first], kind="stable")]
+                    mine = np.frombuffer(sets[i], np.uint64)
+                    for j in js.tolist():
+                        if comps[j] != comps[i] and similar(mine, np.frombuffer(sets[j], np.uint64), percent):
+                            yield ids[i], ids[j]
+                            comps[comps == comps[j]] = comps[i]
 
         yield from _pair_batches(found())
 
@@ -275,15 +282,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     links = common.saved(confirmed(proposed, sets, threshold))
     component = common.saved(_components(involved, links))
 
-    placed = members.where("n > 2").join(component, "doc_id")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    placed = members.where("n > 2").join(component, "doc_id").join(sets.select("doc_id", F.length("shingles").alias("own_bytes")), "doc_id")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum("own_bytes").alias("bytes")).where("low <> high")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
     block = F.when(blocks > 1, F.pmod(F.xxhash64("bucket", "doc_id"), blocks)).otherwise(0).cast("long")
-    crossing = placed.join(mixed.select("bucket", "m"), "bucket").withColumn("block", block).withColumn("blocks", blocks).join(signature, "doc_id")
+    crossing = placed.join(mixed.select("bucket", "m", "bytes"), "bucket").withColumn("block", block).withColumn("blocks", blocks).join(signature, "doc_id").join(sets, "doc_id")
     crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    crossing = crossing.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "component", "signature")
+    crossing = crossing.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "component", "signature", "shingles")
     crossing = crossing.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "doc_id")
-    more = confirmed(crossing_pairs(crossing, threshold).distinct(), sets, threshold)
+    more = crossing_links(crossing, threshold)
     merged = common.connected_components(links.union(more))
 
     of_class = classes.join(merged, classes.rep == merged.node, "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("class_component"))
