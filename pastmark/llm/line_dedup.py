@@ -189,9 +189,7 @@ class LineIndex:
         shared = self.counts.where(F.col("n_docs") >= self.min_docs)
         held = line_keys(chosen, filters, self.shards).distinct().join(shared, KEY).where("doc_id <> keeper")
         drops = held.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct(*KEY)).alias("__drops"))
-        drops = common.saved(drops)
-        n_docs, n_keys = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("__drops")), F.lit(0))).first()
-        return docs.join(common.small(drops, n_docs + n_keys, 64), docs[id_col].cast("long") == F.col("__of"), "left").drop("__of")
+        return docs.join(drops, docs[id_col].cast("long") == F.col("__of"), "left").drop("__of")
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         r"""Per row: doc_id, n_lines, n_dropped and `kept`, the lines that stay, joined by \n.
