@@ -105,7 +105,7 @@ def mix(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str =
     first = F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0))
     words = F.least((F.col("block") + 1) * BLOCK_WORDS - F.col("start"), "size") - first
     pieces = touched.select("key", "block", "start", first.alias("first"), words.alias("words"))
-    mixed = drawn.join(pieces, ["key", "block"])
+    mixed = drawn.hint("merge").join(pieces, ["key", "block"])  # Spark takes what a sequence explodes to for small
     return laid, mixed.select(F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", "block", "round", "key", "start", "first", "words")
 
 
