@@ -56,6 +56,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores added until no column of `df` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """Hint a broadcast when the counted rows fit the limit; otherwise Spark shuffles the join as usual."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -182,14 +182,15 @@ class LineIndex:
         return replace(self, holders=holders, counts=counts, filters=common.saved(filters))
 
     def _drops(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """`docs` with `__drops`: the keys that its lines lose, or null."""
+        """`docs` and a last column: the keys that its lines lose, or null."""
         chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
         size = self.filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
         filters = {s: bytes(x) for s, x in self.filters.collect()} if size <= BROADCAST_BYTES else None
         shared = self.counts.where(F.col("n_docs") >= self.min_docs)
         held = line_keys(chosen, filters, self.shards).distinct().join(shared, KEY).where("doc_id <> keeper")
-        drops = held.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct(*KEY)).alias("__drops"))
-        return docs.join(drops, docs[id_col].cast("long") == F.col("__of"), "left").drop("__of")
+        of, keys = common.fresh(docs, "__of"), common.fresh(docs, "__drops")
+        drops = held.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct(*KEY)).alias(keys))
+        return docs.join(drops, docs[id_col].cast("long") == drops[of], "left").select(*(docs[c] for c in docs.columns), drops[keys])
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         r"""Per row: doc_id, n_lines, n_dropped and `kept`, the lines that stay, joined by \n.
@@ -211,7 +212,7 @@ class LineIndex:
                 yield common.record_batch(KEPT, batch.column(0), *rows)
 
         both = self._drops(docs.select(id_col, text_col), id_col, text_col)
-        return both.select(both[id_col].cast("long"), text_col, "__drops").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+        return both.select(both[id_col].cast("long"), text_col, both.columns[-1]).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
 
     def rewrite(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """`docs` with its rows and columns, but each text as `dedup` keeps it; n_chars, if there, follows the text."""

@@ -128,13 +128,14 @@ def mixed_documents(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text
     laid, mixed = mix(docs, seed, id_col, text_col, source_col)
     spans = mixed.groupBy("key", "start", "round").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"), F.sum("words").alias("__taken"))
     spans = spans.join(laid.where("size > 0").select("key", "start", "doc_id", "mark", "copy", "size"), ["key", "start"])
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("copy").alias("__copy"), F.col("size").alias("__size"), "__spans", "__taken")
-    kept = docs.withColumns({"__row_mark": F.xxhash64(docs[text_col])})
-    kept = kept.withColumn("__row_copy", F.row_number().over(Window.partitionBy(id_col, "__row_mark").orderBy(F.lit(0))).cast("long"))
-    both = kept.join(spans, kept[id_col].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__row_mark") == F.col("__mark")) & (F.col("__row_copy") == F.col("__copy")))
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))
-    both = both.withColumn("__parts", F.when(F.col("__taken") < F.col("__size"), parts))
-    some = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__parts", (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
-    both = both.withColumn(text_col, F.when(F.col("__taken") < F.col("__size"), some).otherwise(F.col(text_col)))
-    both = both.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both
-    return both.select(*docs.columns)
+    spans = spans.select("doc_id", "mark", "copy", "size", "__spans", "__taken")
+    # The columns of `docs` travel in one struct, so their names meet no others.
+    kept = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("row_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row_mark"))
+    kept = kept.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_id", "row_mark").orderBy(F.lit(0))).cast("long"))
+    both = kept.join(spans, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")) & (F.col("row_copy") == F.col("copy")))
+    partly = F.col("__taken") < F.col("size")
+    both = both.withColumn("parts", F.when(partly, F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("parts", (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
+    both = both.withColumn("text", F.when(partly, some).otherwise(F.col("text")))
+    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return both.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -11,7 +11,7 @@ from pastmark.llm import common, line_dedup, mixing, near_dedup, packing, qualit
 
 from . import brute
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, size long, bucket long, score double, words array<string>, features array<double>, __taken long, component string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, size long, bucket long, score double, words array<string>, features array<double>, __taken long, __drops string, component string"
 LONG = "alpha beta gamma delta " * 9000
 PASSAGE = "One fine and rather long line that comes in many documents"
 TEXTS = [
@@ -24,7 +24,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", s, None, 7, 3, 0.5, ["x"], [1.0], 4, "z") for i, t, s in TEXTS]
+    rows = [(i, t, "en", s, None, 7, 3, 0.5, ["x"], [1.0], 4, "d", "z") for i, t, s in TEXTS]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -212,7 +212,7 @@ def test_impact_index_stops_early_and_is_exact():
     for q in range(0, 3000, 300):
         ids, scores = index.search(x[q], 10, q)
         truth = x @ x[q]
-        truth[q] = np.iinfo(np.int64).min
+        truth[q] = -(2**62)
         assert ids.tolist() == np.lexsort((np.arange(3000), -truth))[:10].tolist() and (scores == truth[ids]).all()
 
 
