@@ -31,7 +31,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     n_words; word_chars, code points in words; n_symbols; n_lines, lines with a word, n_dup_lines, those equal to an
     earlier one; n_distinct_words; n_repeat_words, words in windows of five found twice or more in the text (by
-    64-bit hashes); n_capitals, A-Z; n_ends, words that end in a full stop, question or exclamation mark.
+    64-bit hashes); n_capitals, A-Z; n_ends, words that end in a full stop, question or exclamation mark; n_letters, of
+    any script; n_symbol_ends, words that end in a symbol.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
@@ -46,6 +47,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct_words"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit(r"[.!?](?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_ends"),
+        F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_symbol_ends"),
     )
     starts = F.sequence(F.lit(1), F.size("w") - (WINDOW - 1))
     windows = F.transform(starts, lambda i: F.xxhash64(*(F.element_at("w", i + k) for k in range(WINDOW))))
@@ -74,40 +77,37 @@ def votes() -> dict[str, Column]:
         "repeated_lines": vote(lines > 0.3, (F.col("n_lines") >= 3) & (lines == 0)),
         "variety": vote((n >= 20) & (per_word("n_distinct_words") < 0.2), (n >= 20) & (n < 2000) & (per_word("n_distinct_words") > 0.4)),
         "capitals": vote((n >= 10) & (F.col("n_capitals") / F.greatest("word_chars", F.lit(1)) > 0.5), (n >= 10) & (F.col("n_capitals") / F.greatest("word_chars", F.lit(1)) < 0.15)),
+        "letters": vote((n >= 10) & (F.col("n_letters") / F.greatest("word_chars", F.lit(1)) < 0.88), F.col("n_letters") / F.greatest("word_chars", F.lit(1)) > 0.92),
+        "symbol_words": vote(per_word("n_symbol_ends") > 0.2, per_word("n_symbol_ends") < 0.02),
         "sentences": vote((n >= 100) & (F.col("n_ends") == 0), (per_word("n_ends") > 0.01) & (per_word("n_ends") < 0.3)),
     }
 
 
 def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """(prior of good, per rule: vote -> probabilities with good and with poor ones) from counts of vote patterns.
+    """(prior of good, per rule: vote -> its share of the rule's votes on good and on poor ones) from counts of vote
+    patterns.
 
-    Rounds begin from the share of votes for among all votes. Without any vote the prior is one half.
+    Abstaining says nothing, so a rule's shares are of the documents it votes on. Rounds begin by taking those with
+    any vote against as poor. Without any document the prior is one half.
     """
     rules = len(next(iter(patterns), ()))
-    good = {p: (1 + sum(v > 0 for v in p)) / (2 + sum(v != 0 for v in p)) for p in patterns}
-    prior, chances = 0.5, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(rules)]
+    good = {p: 0.1 if min(p) < 0 else 0.9 for p in patterns}
+    prior, chances = 0.5, [{-1: (0.5, 0.5), 1: (0.5, 0.5)} for _ in range(rules)]
     total = sum(patterns.values())
     for _ in range(rounds if total else 0):
-        mass = sum(n * good[p] for p, n in patterns.items())
-        prior = min(max(mass / total, 1e-6), 1 - 1e-6)
+        prior = min(max(sum(n * good[p] for p, n in patterns.items()) / total, 1e-6), 1 - 1e-6)
         for r in range(rules):
-            for v in (-1, 0, 1):
-                of_good = sum(n * good[p] for p, n in patterns.items() if p[r] == v)
-                of_poor = sum(n * (1 - good[p]) for p, n in patterns.items() if p[r] == v)
-                chances[r][v] = (of_good + ADDED) / (mass + 3 * ADDED), (of_poor + ADDED) / (total - mass + 3 * ADDED)
+            sums = {(v, k): ADDED + sum(n * (good[p] if k == 0 else 1 - good[p]) for p, n in patterns.items() if p[r] == v) for v in (-1, 1) for k in (0, 1)}
+            chances[r] = {v: tuple(sums[v, k] / (sums[-1, k] + sums[1, k]) for k in (0, 1)) for v in (-1, 1)}
         for p in patterns:
-            z = math.log(prior / (1 - prior)) + sum(math.log(chances[r][v][0] / chances[r][v][1]) for r, v in enumerate(p))
+            z = math.log(prior / (1 - prior)) + sum(math.log(chances[r][v][0] / chances[r][v][1]) for r, v in enumerate(p) if v)
             good[p] = 1 / (1 + math.exp(-max(min(z, 500), -500)))
     return prior, chances
 
 
 def accuracies(prior: float, chances: list[dict[int, tuple[float, float]]]) -> list[float]:
-    """Of each rule: how often its vote is right, where it votes."""
-    out = []
-    for c in chances:
-        right, wrong = prior * c[1][0] + (1 - prior) * c[-1][1], prior * c[-1][0] + (1 - prior) * c[1][1]
-        out.append(right / (right + wrong))
-    return out
+    """Of each rule: how often its vote is right."""
+    return [prior * c[1][0] + (1 - prior) * c[-1][1] for c in chances]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +119,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rules = votes()
     rated = common.saved(features(docs, id_col, text_col).withColumn("votes", F.array(*rules.values())))
-    counts = {tuple(votes): n for votes, n in rated.groupBy("votes").count().collect()}  # at most 3 ** 8 rows
+    counts = {tuple(votes): n for votes, n in rated.groupBy("votes").count().collect()}  # at most 3 ** 10 rows
     prior, chances = estimate(counts)
     z = F.lit(math.log(prior / (1 - prior)))
     for r, c in enumerate(chances):
         weight = {v: math.log(a / b) for v, (a, b) in c.items()}
-        z = z + F.when(F.col("votes")[r] > 0, weight[1]).when(F.col("votes")[r] < 0, weight[-1]).otherwise(weight[0])
+        z = z + F.when(F.col("votes")[r] > 0, weight[1]).when(F.col("votes")[r] < 0, weight[-1]).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rated.withColumn("p_good", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
