@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -26,19 +27,25 @@ from . import common
 #: Labelled documents to learn from at most, entries of the lexicon at most, documents that an entry must be in.
 MAX_LABELLED, MAX_TERMS, LEAST_DOCS = 10_000, 4_000, 3
 #: Deviations above chance for each tier, parts for the left-out lexicons, word beginnings, trees and their depth.
-TIERS, FOLDS, BEGINNINGS, TREES, DEPTH = (4.0, 6.0, 9.0), 3, (4, 6), 20, 3
+TIERS, FOLDS, BEGINNINGS, TREES, DEPTH = (4.0, 6.0, 9.0), 3, (4, 6), 24, 3
 #: Second-person forms in the four languages; characters written for letters.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes su sus vosotros".split()
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
 UPPER, LOWER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"!?*#%&$@"
 #: Words within which a second-person form counts as near.
 NEAR = 4
-N_FEATURES = 4 + 3 * len(TIERS) + 6
+#: Bits of a word's code: tiers by whole words, by beginnings, a second person, obfuscation.
+BEGUN, PERSON, ODDLY = 2 * (FOLDS + 1), 4 * (FOLDS + 1), 4 * (FOLDS + 1) + 1
+
+
+EDGES, OTHERS = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W\d_]+")
+ODD, TAIL = re.compile(r"[^\W\d_][\d@$*_#]+[^\W\d_]|([^\W\d_])\1\1"), re.compile(rb"\W+$")
 
 
 def letters(word: str) -> str:
     """The letters of a word in lower case, with characters inside it that stand for letters replaced."""
-    return re.sub(r"[\W\d_]+", "", re.sub(r"^[\W_]+|[\W_]+$", "", word.lower()).translate(LOOKALIKES))
+    word = word.lower()
+    return word if word.isalpha() else OTHERS.sub("", EDGES.sub("", word).translate(LOOKALIKES))
 
 
 def terms(word: bytes) -> tuple[str, ...]:
@@ -46,8 +53,22 @@ def terms(word: bytes) -> tuple[str, ...]:
     return (f"={w}", *(w[:n] for n in BEGINNINGS if len(w) >= n)) if len(w) > 1 else ()
 
 
-def fold(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS))
+def with_group(sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label, grp): copies and most near copies have one `grp`, the least hash of three words running."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            groups = []
+            for text in batch.column(1).to_pylist():
+                w = common.words(text)
+                groups.append(min(xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))) >> 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int64())], names=["doc_id", "text", "label", "grp"])
+
+    return sample.select("doc_id", "text", F.col("label").cast("long").alias("label")).mapInArrow(run, "doc_id long, text string, label long, grp long")
+
+
+def fold(grp: Column) -> Column:
+    return F.pmod(grp, F.lit(FOLDS))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int) -> DataFrame:
@@ -65,7 +86,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, tuple[int, ...]]:
-    """term -> its tier by all of (doc_id, text, label), then its tiers without each fold."""
+    """term -> its tier by all of (text, label, grp), then its tiers without each fold. Of a group one document counts,
+    so that words of a text that is copied often seem no surer for it."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo = common.Memo(terms)
@@ -74,10 +96,11 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[int, ...]]:
             found = [sorted({t for w in set(common.words(text)) for t in memo[w]}) for text in batch.column(2).to_pylist()]
             yield common.record_batch(schema, batch.column(0), batch.column(1), found)
 
-    rows = sample.select(fold(F.col("doc_id")).alias("fold"), F.col("label").cast("long"), "text").mapInArrow(run, "fold long, label long, terms array<string>")
+    sample = sample.groupBy("grp", "label").agg(F.min("text").alias("text"))
+    rows = sample.select(fold(F.col("grp")).alias("fold"), "label", "text").mapInArrow(run, "fold long, label long, terms array<string>")
     of_fold = lambda value, k: F.sum(F.when(F.col("fold") == k, value).otherwise(0))
     counts = lambda value, name: [of_fold(value, k).alias(f"{name}{k}") for k in range(FOLDS)]
-    totals = sample.select(fold(F.col("doc_id")).alias("fold"), "label").agg(*counts(F.lit(1), "n"), *counts(F.col("label"), "t")).first()
+    totals = sample.select(fold(F.col("grp")).alias("fold"), "label").agg(*counts(F.lit(1), "n"), *counts(F.col("label"), "t")).first()
 
     def score(of: list[int]) -> Column:
         docs, toxic = sum(totals[f"n{k}"] or 0 for k in of), sum(totals[f"t{k}"] or 0 for k in of)
@@ -102,11 +125,13 @@ def features(docs: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
         none = (0,) * (FOLDS + 1)
 
         def code(word: bytes) -> int:
-            """Two bits for the tier in each lexicon, then a bit for a second person and for obfuscation."""
-            tiers = [max(x) for x in zip(none, *(lexicon[t] for t in terms(word) if t in lexicon), strict=True)]
-            text = word.decode("utf-8", "replace")
-            odd = bool(re.search(r"[^\W\d_][\d@$*_#]+[^\W\d_]|([^\W\d_])\1\1", text))
-            return sum(t << 2 * i for i, t in enumerate(tiers)) | (re.sub(rb"\W+$", b"", word.lower()) in second) << 14 | odd << 15
+            """Two bits for the tier in each lexicon, by the whole word and by its beginnings, and two marks."""
+            found = terms(word)
+            text, out = word.decode("utf-8", "replace"), 0
+            for kind, some in ((0, found[:1]), (BEGUN, found[1:])):
+                tiers = [max(x) for x in zip(none, *(lexicon[t] for t in some if t in lexicon), strict=True)]
+                out |= sum(t << 2 * i for i, t in enumerate(tiers)) << kind
+            return out | (TAIL.sub(b"", word.lower()) in second) << PERSON | bool(ODD.search(text)) << ODDLY
 
         memo = common.Memo(code)
         schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
@@ -116,15 +141,22 @@ def features(docs: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
                 raw = (text or "").encode("utf-8", "replace")
                 words = raw.split()
                 codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                tier, n = codes >> 2 * part & 3, max(1, len(words))
-                person = np.convolve(codes >> 14 & 1, np.ones(2 * NEAR + 1, np.int64), "same") > 0 if len(words) > 2 * NEAR else np.full(len(words), bool((codes >> 14 & 1).any()))
-                row = [np.log1p(len(words)), (codes >> 14 & 1).sum() / n, (codes >> 15 & 1).sum() / n, float(tier.max(initial=0))]
-                for k in range(1, len(TIERS) + 1):
-                    hits = tier >= k
-                    row += [hits.sum() / n, np.log1p(hits.sum()), (hits & person).sum() / n]
+                n, own = max(1, len(words)), set(words)
+                once = np.fromiter(map(memo.__getitem__, own), np.int64, len(own))
+                said = codes >> PERSON & 1
+                person = said > 0
+                for shift in range(1, NEAR + 1) if said.any() else ():
+                    person[shift:] |= said[:-shift] > 0
+                    person[:-shift] |= said[shift:] > 0
+                row = [np.log1p(len(words)), said.sum() / n, (codes >> ODDLY & 1).sum() / n]
+                for kind in (0, BEGUN):
+                    tier, tier_once = codes >> kind + 2 * part & 3, once >> kind + 2 * part & 3
+                    for k in range(1, len(TIERS) + 1):
+                        hits = tier >= k
+                        row += [hits.sum() / n, np.log1p((tier_once >= k).sum()), (hits & person).sum() / n]
                 upper, lower, marks = (len(raw) - len(raw.translate(None, x)) for x in (UPPER, LOWER, MARKS))
                 size = max(1, len(raw))
-                row += [upper / max(1, upper + lower), marks / size, (raw.count(b"!") + raw.count(b"?")) / size, raw.count(b"\n") / size, len(set(words)) / n, (len(raw) - len(words)) / n]
+                row += [upper / max(1, upper + lower), marks / size, (raw.count(b"!") + raw.count(b"?")) / size, raw.count(b"\n") / size, len(own) / n, (len(raw) - len(words)) / n]
                 out.append([float(x) for x in row])
             yield common.record_batch(schema, batch.column(0), out)
 
@@ -159,12 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """Learn from at most about `max_labelled` labelled documents that are not held out. With fewer than 20, or all of
     one label, there are no trees and every score is the share of toxic ones (0 without any)."""
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sample = common.saved(labelled_sample(chosen, labels, F.col(label_col).cast("int"), max_labelled))
+    sample = common.saved(with_group(labelled_sample(chosen, labels, F.col(label_col).cast("int"), max_labelled)))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n < 20 or toxic in (0, n):
         return ToxicityModel({}, None, None, toxic / n if n else 0.0)
     lexicon = learn_lexicon(sample)
-    vectors = features(sample.withColumn("part", fold(F.col("doc_id")) + 1), lexicon).select("doc_id", array_to_vector("features").alias("features"))
+    vectors = features(sample.withColumn("part", fold(F.col("grp")) + 1), lexicon).select("doc_id", array_to_vector("features").alias("features"))
     rows = common.saved(vectors.join(sample.select("doc_id", F.col("label").cast("double").alias("label")).distinct(), "doc_id"))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, minInstancesPerNode=2).fit(rows.where(~apart).orderBy("doc_id"))
