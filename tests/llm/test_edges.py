@@ -210,7 +210,7 @@ def test_impact_index_stops_early_and_is_exact():
     x = (random.standard_normal((3000, 24)) * 1024 * random.random((3000, 1)) ** 3).astype(np.int64)
     index = topk.ImpactIndex(np.arange(3000), x)
     for q in range(0, 3000, 300):
-        ids, scores = index.search(x[q], 10, q)
+        ids, scores = index.search(x[[q, 5]], 10, [q, None])[0]
         truth = x @ x[q]
         truth[q] = -(2**62)
         assert ids.tolist() == np.lexsort((np.arange(3000), -truth))[:10].tolist() and (scores == truth[ids]).all()
