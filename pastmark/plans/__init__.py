@@ -1,7 +1,7 @@
 """Registered queries: the operators bound to the given tables, each with the SQL it is compared with."""
 
-from pastmark.plans import evaluation, history, ingest, market, modelling, quality, relative
+from pastmark.plans import evaluation, history, ingest, market, modelling, quality, relative, snapshot
 
-MODULES = (ingest, market, quality, history, relative, evaluation, modelling)
+MODULES = (ingest, market, quality, history, relative, evaluation, snapshot, modelling)
 QUERIES = {name: query for m in MODULES for name, query in m.register.queries.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.register.sql.items()}
