@@ -1,13 +1,14 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Candidates are dealt to shards of bounded size. A shard's index holds, for each dimension, posting segments: the
-vectors whose component falls in one quantised level. For a query, the segments of all dimensions are taken by
-descending impact, the most that a component of the level can add to the score. After each stretch of segments every
-vector has a lower and an upper bound. The scan stops only when the vectors whose upper bound reaches the k-th lower
-bound are few enough to score, or when no segment is left; those possible members are scored exactly.
-
-Queries come in blocks, and each block meets each shard once. A shard gives at most k rows for a query, so what is
-merged is small.
+Candidates are dealt to shards of bounded size. A shard's index holds posting segments: for a dimension and a
+quantised level, the vectors whose component is in that level. Segments are taken by descending impact, the size of
+their level, for a block of queries at once. After each stage every query has, for every vector, a lower and an upper
+bound: what has been seen, more or less what components below the level can still add. A query stops only when the
+vectors whose upper bound reaches the k-th lower bound are few enough to score, or when no segment is left; those
+possible members are scored exactly. Levels are taken in stages; a stage's segments are laid out as a matrix, so that
+one product adds them for all queries of the block.
+
+Each block of queries meets each shard once. A shard gives at most k rows for a query, so what is merged is small.
 """
 
 from __future__ import annotations
@@ -22,61 +23,63 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a shard and queries in a block, in the mean; bits of a component below its level; segments between stops.
-SHARD, BLOCK, LEVEL_BITS, STRETCH = 4096, 256, 5, 128
-#: Possible members that are scored without going on, as multiples of k.
-RESCORE = 8
+#: Vectors in a shard and queries in a block, in the mean; bits of a component below its level.
+SHARD, BLOCK, LEVEL_BITS = 4096, 64, 4
+#: Shares of the postings after which a stage ends; possible members scored without going on, as multiples of k.
+STAGES, RESCORE = (0.25, 0.5, 0.75, 1.0), 16
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class ImpactIndex:
-    """Posting segments of one shard. `vectors`: (n, dimensions) of 64-bit integers."""
+    """Posting segments of one shard by descending impact. `vectors`: (n, dimensions) of 64-bit integers."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = LEVEL_BITS):
-        self.ids, self.vectors = ids, vectors
-        self.width = (1 << bits) - 1
-        postings, dims, lows = [], [], []
-        for d in range(vectors.shape[1]):
-            level = vectors[:, d] >> bits
-            order = np.argsort(level, kind="stable")
-            cuts = np.flatnonzero(np.diff(level[order])) + 1
-            for part in np.split(order, cuts) if len(order) else ():
-                postings.append(part)
-                dims.append(d)
-                lows.append(int(level[part[0]]) << bits)
-        self.postings, self.dims, self.lows = postings, np.array(dims, np.int64), np.array(lows, np.int64)
-
-    def search(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, by score and then id; `skip`: an id to leave out."""
-        n, dimensions = self.vectors.shape
-        if not n:
-            return self.ids, np.empty(0, np.int64)
-        weight = query[self.dims]
-        low = np.minimum(weight * self.lows, weight * (self.lows + self.width))
-        high = np.maximum(weight * self.lows, weight * (self.lows + self.width))
-        order = np.argsort(-high, kind="stable")
-        least = np.full(dimensions, np.iinfo(np.int64).max)
-        np.minimum.at(least, self.dims, low)
-        lower = np.full(n, least.sum())  # what is not yet seen counts with its least
-        upper, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        allowed = np.ones(n, bool) if skip is None else self.ids != skip
-        possible = np.flatnonzero(allowed)
-        enough = max(RESCORE * k, 32)
-        for at in range(0, len(order), STRETCH):
-            for s in order[at : at + STRETCH].tolist():
-                docs = self.postings[s]
-                lower[docs] += low[s] - least[self.dims[s]]
-                upper[docs] += high[s]
-                seen[docs] += 1
-            after = high[order[at + STRETCH]] if at + STRETCH < len(order) else 0
-            if allowed.sum() > k:
-                bar = np.partition(lower[allowed], -k)[-k]
-                possible = np.flatnonzero(allowed & (upper + (dimensions - seen) * after >= bar))
-            if len(possible) <= enough:
+        self.ids, self.vectors, self.width = ids, vectors, (1 << bits) - 1
+        self.most = int(np.abs(vectors).max(initial=0)) + self.width
+        level = vectors >> bits
+        impact = np.maximum(np.abs(level << bits), np.abs((level << bits) + self.width))
+        values, counts = np.unique(impact, return_counts=True)
+        values, share = values[::-1], np.cumsum(counts[::-1]) / max(1, impact.size)
+        ends = sorted({int(np.searchsorted(share, s)) for s in STAGES} & set(range(len(values)))) if len(values) else []
+        #: Per stage: the least values and the marks of its postings, 0 elsewhere, and the greatest impact after it.
+        self.stages, above = [], None
+        for e in ends:
+            inside = impact >= values[e] if above is None else (impact >= values[e]) & (impact < above)
+            rest = int(values[e + 1]) if e + 1 < len(values) else 0
+            self.stages.append((np.where(inside, level << bits, 0), inside, rest))
+            above = values[e]
+
+    def search(self, queries: np.ndarray, k: int, skip: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best, by score and then id; `skip`: ids to leave out."""
+        n, m = len(self.ids), len(queries)
+        weight = np.abs(queries)
+        # Products of doubles are exact, and fast, while all sums are whole numbers below 2 ** 52.
+        kind = float if self.most * int(weight.sum(axis=1).max(initial=0)) < 2**52 else np.int64
+        whole, below = weight.sum(axis=1, keepdims=True).astype(kind), np.minimum(queries, 0) * self.width
+        allowed = np.stack([np.ones(n, bool) if s is None else self.ids != s for s in skip]) if m else np.ones((0, n), bool)
+        # Of what has been seen, by query and vector: the least of the score, and the weights of the dimensions.
+        lower, seen = np.zeros((m, n), kind), np.zeros((m, n), kind)
+        possible, enough, lowest = allowed.copy(), max(RESCORE * k, 32), np.iinfo(np.int64).min
+        going = np.arange(m)
+        for low, inside, impact in self.stages:
+            marks = inside.astype(kind).T
+            lower[going] += queries[going].astype(kind) @ low.astype(kind).T + below[going].astype(kind) @ marks
+            seen[going] += weight[going].astype(kind) @ marks
+            rest = impact * (whole[going] - seen[going])
+            bar = lowest
+            if n > k:
+                bar = np.partition(np.where(allowed[going], lower[going] - rest, lowest), n - k, axis=1)[:, n - k, None]
+            possible[going] = allowed[going] & (lower[going] + self.width * seen[going] + rest >= bar)
+            going = going[possible[going].sum(axis=1) > enough]
+            if not len(going):
                 break
-        score = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible][best], score[best]
+        out = []
+        for j in range(m):
+            rows = np.flatnonzero(possible[j])
+            score = self.vectors[rows] @ queries[j]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            out.append((self.ids[rows][best], score[best]))
+        return out
 
 
 def _packed(df: DataFrame, groups: Column, name: str) -> DataFrame:
@@ -118,9 +121,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
                 if (length, shard) != last:
                     last, index = (length, shard), ImpactIndex(ids, np.frombuffer(data, np.int64).reshape(len(ids), length))
+                queries = np.frombuffer(query_data, np.int64).reshape(len(query_ids), length)
                 out: list[tuple] = []
-                for query_id, query in zip(query_ids.tolist(), np.frombuffer(query_data, np.int64).reshape(len(query_ids), length), strict=True):
-                    found, score = index.search(query, k, query_id)
+                for query_id, (found, score) in zip(query_ids.tolist(), index.search(queries, k, query_ids.tolist()), strict=True):
                     out += zip([query_id] * len(found), found.tolist(), score.tolist(), strict=True)
                 yield common.record_batch(FOUND, *(map(list, zip(*out, strict=True)) if out else ([], [], [])))
 
