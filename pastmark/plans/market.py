@@ -153,11 +153,11 @@ def status_policy_join(spark, sf_dir):
     return out.groupBy("l_returnflag", "l_linestatus", "status").agg(F.count("*").alias("n_rows"))
 
 
-@register(f"""WITH {RUNS} SELECT pool, CAST(quantile_cont(t, 0.1) AS DOUBLE) AS p10, median(t) AS p50, quantile_cont(t, 0.9) AS p90, count(*) AS n, count(*) FILTER (rk = 1) AS n_first FROM runs GROUP BY 1""")
+@register(f"""WITH {RUNS} SELECT pool, round(quantile_cont(t, 0.1), 5) AS p10, round(median(t), 5) AS p50, round(quantile_cont(t, 0.9), 5) AS p90, count(*) AS n, count(*) FILTER (rk = 1) AS n_first FROM runs GROUP BY 1""")
 def price_profile_by_pool(spark, sf_dir):
     from pastmark.plans.base import placed
 
-    return placed(runs(spark, sf_dir)).groupBy("pool").agg(F.percentile("t", 0.1).alias("p10"), F.median("t").alias("p50"), F.percentile("t", 0.9).alias("p90"), F.count("*").alias("n"), F.count_if(F.col("rk") == 1).alias("n_first"))
+    return placed(runs(spark, sf_dir)).groupBy("pool").agg(F.round(F.percentile("t", 0.1), 5).alias("p10"), F.round(F.median("t"), 5).alias("p50"), F.round(F.percentile("t", 0.9), 5).alias("p90"), F.count("*").alias("n"), F.count_if(F.col("rk") == 1).alias("n_first"))
 
 
 @register("""SELECT nullif(trim(p_type), '') AS kind, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'low' WHEN p_type IN ('PROMO', 'LARGE') THEN 'high' ELSE p_type END AS class,
