@@ -99,7 +99,8 @@ def mix(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str =
     drawn = chunks.withColumn("j", F.explode(F.sequence(begin, F.least(begin + DRAWS, F.col("draws")) - 1)))
     slot = permuted(F.col("strata") + F.col("j"), F.lit(max(1, slots)), F.lit(seed))
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("key"))
-    drawn = drawn.select("key", block.alias("block"), slot.alias("slot"), F.floor(F.col("j") / F.col("blocks")).alias("round"))
+    # A block is never null; said so, it is not worked out once more to see.
+    drawn = drawn.select("key", F.coalesce(block, F.lit(-1)).alias("block"), slot.alias("slot"), F.floor(F.col("j") / F.col("blocks")).alias("round"))
 
     touched = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS))))
     first = F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0))
@@ -130,12 +131,14 @@ def mixed_documents(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text
     spans = spans.join(laid.where("size > 0").select("key", "start", "doc_id", "mark", "copy", "size"), ["key", "start"])
     spans = spans.select("doc_id", "mark", "copy", "size", "__spans", "__taken")
     # The columns of `docs` travel in one struct, so their names meet no others.
-    kept = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("row_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row_mark"))
+    others = [c for c in docs.columns if c != text_col]
+    kept = docs.select(F.struct(*others).alias("row"), docs[id_col].cast("long").alias("row_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row_mark"))
     kept = kept.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_id", "row_mark").orderBy(F.lit(0))).cast("long"))
     both = kept.join(spans, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")) & (F.col("row_copy") == F.col("copy")))
     partly = F.col("__taken") < F.col("size")
     both = both.withColumn("parts", F.when(partly, F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))))
     some = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("parts", (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
-    both = both.withColumn("text", F.when(partly, some).otherwise(F.col("text")))
+    # Asked for twice, `parts` stays a column of its own; else Spark would find the parts again for every span.
+    both = both.withColumn("text", F.when(F.col("parts").isNotNull(), some).otherwise(F.col("text")))
     new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return both.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return both.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
