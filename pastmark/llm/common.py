@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys remembered by a per-task memo before it is emptied; bounds a Python worker's memory.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
+#: Rows taken at a time from an Arrow batch.
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +71,11 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> Da
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a worker makes of texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

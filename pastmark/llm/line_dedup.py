@@ -107,7 +107,7 @@ def line_keys(docs: DataFrame, filters: dict[int, bytes] | None = None, shards:
 
     def run(batches: Iterator[pa.RecordBatch]):
         chains = {s: CuckooFilter(x) for s, x in sent.value.items()} if sent else None
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and doc_id is not None and (own := {k for line in text.split("\n") if (k := line_key(line))}):
@@ -190,7 +190,8 @@ class LineIndex:
         held = line_keys(chosen, filters, self.shards).distinct().join(shared, KEY).where("doc_id <> keeper")
         of, keys = common.fresh(docs, "__of"), common.fresh(docs, "__drops")
         drops = held.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct(*KEY)).alias(keys))
-        return docs.join(drops, docs[id_col].cast("long") == drops[of], "left").select(*(docs[c] for c in docs.columns), drops[keys])
+        # Hashed, as `drops` is the smaller side by far: texts need no sort.
+        return docs.join(drops.hint("shuffle_hash"), docs[id_col].cast("long") == drops[of], "left").select(*(docs[c] for c in docs.columns), drops[keys])
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         r"""Per row: doc_id, n_lines, n_dropped and `kept`, the lines that stay, joined by \n.
@@ -202,7 +203,7 @@ class LineIndex:
         """
 
         def run(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
+            for batch in common.sliced(batches):
                 rows: tuple[list, ...] = ([], [], [])
                 for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
@@ -219,7 +220,7 @@ class LineIndex:
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
+            for batch in common.sliced(batches):
                 pairs = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
                 texts = [t if not drops else "\n".join(_kept((t or "").split("\n"), drops)) for t, drops in pairs]
                 columns = batch.columns[:-1]

@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo, hasher = word_memo(), MinMax(threshold)
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(ids), 2000):
                 rows: list[list] = [[] for _ in SIGNATURES]
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo = word_memo()
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(ids), 1000):
                 sets = [shingle_hashes(common.words(t), memo).tobytes() for t in texts[lo : lo + 1000]]

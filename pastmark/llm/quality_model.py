@@ -61,7 +61,7 @@ class OrdinalModel:
             model = sent.value
             memo = common.Memo(lambda word: float(sum(model.weights[s] for s in slots_of_word(word))))
             schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
-            for batch in batches:
+            for batch in common.sliced(batches):
                 scores = []
                 for text in batch.column(1).to_pylist():
                     raw = (text or "").encode("utf-8", "replace")
@@ -81,7 +81,7 @@ def _rows(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         memo = common.Memo(slots_of_word)
         schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int64()), ("slots", pa.binary()), ("values", pa.binary())])
-        for batch in batches:
+        for batch in common.sliced(batches):
             slots, values = [], []
             for text in batch.column(2).to_pylist():
                 raw = (text or "").encode("utf-8", "replace")

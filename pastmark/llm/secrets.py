@@ -178,7 +178,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
         table = np.zeros(1 << 24, bool)
         table[codes] = True
         schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             spans: list[list[tuple]] = [[] for _ in texts]
             index = TrigramIndex([t.encode("utf-8", "replace").lower() for t in texts], wanted, table, codes)

@@ -102,7 +102,7 @@ def count_pieces(docs: DataFrame, pieces: list[bytes], word_start: bytes = b" ",
     def run(batches):
         count = sent.value
         memo = common.Memo(lambda word: count(word_start + word))
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = ([], [], [])
             for text in batch.column(1).to_pylist():
                 of = [memo[w] for w in text.encode("utf-8", "replace").split()] if text else []

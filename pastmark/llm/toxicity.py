@@ -57,7 +57,7 @@ def with_group(sample: DataFrame) -> DataFrame:
     """(doc_id, text, label, grp): copies and most near copies have one `grp`, the least hash of three words running."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in common.sliced(batches):
             groups = []
             for text in batch.column(1).to_pylist():
                 w = common.words(text)
@@ -92,7 +92,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[int, ...]]:
     def run(batches: Iterator[pa.RecordBatch]):
         memo = common.Memo(terms)
         schema = pa.schema([("fold", pa.int64()), ("label", pa.int64()), ("terms", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = [sorted({t for w in set(common.words(text)) for t in memo[w]}) for text in batch.column(2).to_pylist()]
             yield common.record_batch(schema, batch.column(0), batch.column(1), found)
 
@@ -135,7 +135,7 @@ def features(docs: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
 
         memo = common.Memo(code)
         schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
-        for batch in batches:
+        for batch in common.sliced(batches):
             out = []
             for text, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
