@@ -133,7 +133,7 @@ def features(docs: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
                 out |= sum(t << 2 * i for i, t in enumerate(tiers)) << kind
             return out | (TAIL.sub(b"", word.lower()) in second) << PERSON | bool(ODD.search(text)) << ODDLY
 
-        memo = common.Memo(code)
+        memo = common.Memo(code, 400_000)  # a code is dear; half as many cost a third more time
         schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
         for batch in common.sliced(batches):
             out = []
