@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
+from pastmark.operators.state import saved
 
 
 def group_losses(preds: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -141,6 +142,81 @@ def bootstrap(losses: DataFrame, index: str, loss: str, n: int, draws: int, draw
     return picked.groupBy("draw").agg(F.avg(loss).alias("mean"))
 
 
+def numbered(df: DataFrame, key: str, index: str = "i", width: int = 4096) -> DataFrame:
+    """`index` from 0 in the order of `key`, distinct integers. Rows are numbered within ranges of `width` keys, and
+    ranges within groups of as many; running sums of their sizes give the rest, so no window holds all rows."""
+    spans = df.withColumn("__b", F.floor(F.col(key) / width)).withColumn("__g", F.floor(F.col("__b") / width))
+    sizes = spans.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    before = lambda by, *group: F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("__g").agg(F.sum("__n").alias("__n")).select("__g", before("__g").alias("__far"))  # one row per width^2 keys
+    offsets = sizes.select("__g", "__b", before("__b", "__g").alias("__near")).join(groups, "__g").select("__b", (F.col("__far") + F.col("__near")).alias("__at"))
+    own = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
+    return spans.withColumn("__own", own).join(offsets, "__b").select(*df.columns, (F.col("__at") + F.col("__own")).cast("long").alias(index))
+
+
+#: Values in a bucket of a bootstrap, draws in a chunk of it, and indices drawn at a time.
+BUCKET_VALUES, CHUNK_DRAWS, AT_ONCE = 1 << 16, 500, 1 << 20
+
+
+def resampled(values: DataFrame, key: str, losses: Sequence[str], sizes: Mapping[str, int], draws: int, seed: int = 17) -> DataFrame:
+    """(sample, draw, one mean per loss): for each named sample size, `draws` times the means of so many rows of `values`,
+    drawn with replacement from all of them. `key` is a distinct column; losses are not null.
+
+    Rows are dealt to buckets by a hash. How many of a draw's rows fall into a bucket is a multinomial draw, found by
+    halving the range of buckets with binomials that depend on seed, sample, chunk and range only, so all tasks agree
+    without a shuffle; a task draws its bucket's rows. Work is all rows drawn, shuffled are sums by draw and bucket."""
+    buckets = 1 + values.count() // BUCKET_VALUES
+    dealt = saved(values.select(F.col(key).alias("__key"), *losses, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")))
+    found = dict(dealt.groupBy("__bucket").count().collect())  # one row per bucket
+    counts = [found.get(b, 0) for b in range(buckets)]
+    chunks = -(-draws // CHUNK_DRAWS)
+    names, sizes, losses = list(sizes), [int(n) for n in sizes.values()], list(losses)
+
+    def draw(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values("__key")
+        bucket, chunk = int(frame["__bucket"].iloc[0]), int(frame["__chunk"].iloc[0])
+        first, n = chunk * CHUNK_DRAWS, min(CHUNK_DRAWS, draws - chunk * CHUNK_DRAWS)
+        columns, parts = [frame[c].to_numpy("float64") for c in losses], []
+        for s, (name, size) in enumerate(zip(names, sizes, strict=True)):
+            taken, low, high = np.full(n, size, "int64"), 0, buckets
+            while high - low > 1:
+                middle = (low + high) // 2
+                left, both = sum(counts[low:middle]), sum(counts[low:high])
+                rest = np.random.default_rng([seed, s, chunk, low, high]).binomial(taken, left / both)
+                taken, low, high = (rest, low, middle) if bucket < middle else (taken - rest, middle, high)
+            random, sums, at = np.random.default_rng([seed, s, chunk, bucket]), np.zeros((len(losses), n)), 0
+            ends = np.cumsum(taken)
+            while at < n:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+                some = np.flatnonzero(taken[at:stop])
+                if len(some):
+                    picked = random.integers(0, len(frame), int(taken[at:stop].sum()), "int32")
+                    begins = np.cumsum(taken[at:stop][some]) - taken[at:stop][some]
+                    for c, values in enumerate(columns):
+                        sums[c, at + some] = np.add.reduceat(values[picked], begins)
+                at = stop
+            parts.append(pd.DataFrame({"sample": name, "draw": np.arange(first, first + n)} | {c: sums[k] / size for k, c in enumerate(losses)}))
+        return pd.concat(parts)
+
+    spread = dealt.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(8, buckets * chunks), "__bucket", "__chunk")
+    parts = spread.groupBy("__bucket", "__chunk").applyInPandas(draw, ", ".join(["sample string, draw long", *(f"{c} double" for c in losses)]))
+    return parts.groupBy("sample", "draw").agg(*(F.sum(c).alias(c) for c in losses))
+
+
+#: The quantiles of a bootstrap's distribution and their names.
+QUANTILES = {"p2_5": 0.025, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p97_5": 0.975}
+
+
+def bootstrap_summary(means: DataFrame, actual: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """Per `by`: draws, mean, seven quantiles, the actual value, and the share of draws at or above it. `actual` has a
+    row per `by` with the column actual."""
+    both = means.join(F.broadcast(actual), list(by))  # one row per sample and metric
+    return both.groupBy(*by).agg(F.count("*").alias("draws"), F.avg(value).alias("mean"), *(F.percentile(value, q).alias(n) for n, q in QUANTILES.items()), F.first("actual").alias("actual"), F.avg((F.col(value) >= F.col("actual")).cast("int")).alias("share_at_or_above"))
+
+
 def numeric_drift(df: DataFrame, period: str, first: str, second: str, columns: Sequence[str]) -> DataFrame:
     """(metric, and per period rows, null rate, mean, p10, p50, p90, and the change of mean and p50)."""
     from pastmark.operators.profile import quantile_profile

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pastmark.functions import columns as C
 from pastmark.operators import evaluate as E
 from pastmark.operators import relative as R
+from pastmark.operators.state import saved
 from pastmark.plans.base import PREDS, Registry, preds, rounded
 
 register = Registry()
@@ -159,15 +160,44 @@ s AS (SELECT unnest(generate_series(0, 199)) AS draw), d AS (SELECT draw, slot,
 m AS (SELECT draw, avg(brier) AS mean FROM d JOIN i USING (i) GROUP BY 1)
 SELECT count(*) AS draws, {", ".join(f"round(quantile_cont(mean, {q}), 7) AS q{n}" for n, q in (("025", 0.025), ("50", 0.5), ("975", 0.975)))} FROM m""")
 def bootstrap_quantiles(spark, sf_dir):
-    """Draws of the late groups that every sixteenth order number names: a sampling operator."""
+    """A small case with SQL: 200 draws of every sixteenth late group only. The whole job is `bootstrap_stability`."""
     g = E.group_losses(preds(spark, sf_dir).where("period = 'SHIFTED' and grp % 16 = 0"), ["grp"])
-    i = g.withColumn("i", (F.row_number().over(Window.orderBy("grp")) - 1).cast("long")).select("i", "brier")  # one row per group
+    i = E.numbered(g, "grp").select("i", "brier")
     n = i.count()
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "slot")), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
     m = E.bootstrap(i, "i", "brier", n, 200, drawn)
     return m.agg(F.count("*").alias("draws"), *(F.round(F.percentile("mean", q), 7).alias(f"q{k}") for k, q in (("025", 0.025), ("50", 0.5), ("975", 0.975))))
 
 
+DRAWS = 10_000
+
+
+@register()
+def bootstrap_stability(spark, sf_dir):
+    """No SQL: random draws. `late`: all late groups, drawn from themselves. `month`: as many stable groups as a late
+    month has, drawn from all stable ones, against that month's mean. `block`: the same for three months in a row, from
+    the first late month on, as the mean of their means. A draw picks the same groups for both losses."""
+    losses, late = ["log_loss", "brier"], F.col("period") == "SHIFTED"
+    p = preds(spark, sf_dir).withColumn("month", F.date_format("d", "yyyy-MM"))
+    g = saved(E.group_losses(p, ["period", "month", "grp"]).select("period", "month", "grp", *losses))
+    months = g.where(late).groupBy("month").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in losses)).orderBy("month").collect()
+    number = lambda m: 12 * int(m[:4]) + int(m[5:])
+    block = {m.month: f"{b:02d}" for m in months for b in [(number(m.month) - number(months[0].month)) // 3]}
+    whole = g.where(late).agg(F.lit("late").alias("kind"), F.lit("all").alias("sample"), F.count("*").alias("n"), *(F.avg(c).alias(c) for c in losses))
+    total = sum(m.n for m in months)
+
+    actual = spark.createDataFrame([("month", m.month, block[m.month], m.n, m.log_loss, m.brier) for m in months], "kind string, sample string, block string, n long, log_loss double, brier double")
+    drawn = E.resampled(g.where(~late), "grp", losses, {m.month: m.n for m in months}, DRAWS).join(F.broadcast(actual.select("sample", "block")), "sample")
+    drawn = saved(drawn)
+    blocks = lambda df, *by: df.groupBy("block", *by).agg(*(F.avg(c).alias(c) for c in losses), *([] if by else [F.sum("n").alias("n")])).withColumnRenamed("block", "sample").withColumn("kind", F.lit("block"))
+    own = E.resampled(g.where(late), "grp", losses, {"all": total}, DRAWS, 18) if total else drawn.drop("block")
+    means = drawn.drop("block").withColumn("kind", F.lit("month")).unionByName(blocks(drawn, "draw")).unionByName(own.withColumn("kind", F.lit("late")))
+    facts = actual.drop("block").unionByName(blocks(actual)).unionByName(whole)
+    long = lambda df, keep, name: df.unpivot(keep, losses, "metric", name)
+    out = E.bootstrap_summary(long(means, ["kind", "sample", "draw"], "value"), long(facts, ["kind", "sample", "n"], "actual"), ["kind", "sample", "metric"])
+    return rounded(out.join(F.broadcast(facts.select("kind", "sample", "n")), ["kind", "sample"]), 9)
+
+
 @register()
 def calibration_newton(spark, sf_dir):
     """No SQL: an iteration. Intercept and slope by period and pool, all segments at once."""
