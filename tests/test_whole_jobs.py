@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pastmark.operators import evaluate as E
+from pastmark.operators import models as M
 from pastmark.plans import QUERIES
 from pastmark.plans.base import preds
 
@@ -54,3 +55,30 @@ def test_bootstrap_draws_from_all_groups(spark):
             sd = stable[metric].std(ddof=0) / m.n**0.5
             assert r["mean"] == pytest.approx(stable[metric].mean(), abs=5 * sd / 100)
             assert 0 <= r.share_at_or_above <= 1 and (r.share_at_or_above > 0.5) == (r.p50 >= r.actual) or r.p50 == pytest.approx(r.actual, abs=sd / 10)
+
+
+def test_predictions_start_after_three_months(spark):
+    rows = preds(spark, SF)
+    first = rows.agg(F.min("d")).first()[0]
+    due = rows.where(F.col("d") >= F.add_months(F.trunc(F.lit(first), "month"), 3))
+    out = QUERIES["oof_predictions"](spark, SF)
+    assert out.count() == due.count() and out.where("p is null").count() == 0
+    quarters = due.select(F.floor(F.months_between(F.trunc("d", "month"), F.trunc(F.lit(first), "month")) / 3)).distinct().count()
+    assert out.select("fold").distinct().count() == quarters
+    # A block's model is of all rows before the block and of no other.
+    begin = sorted(r.fold for r in out.select("fold").distinct().collect())[1]
+    train, block = rows.where(F.col("d") < F.lit(begin)), rows.where((F.col("d") >= F.lit(begin)) & (F.col("d") < F.add_months(F.lit(begin), 3)))
+    x = M.prepare(train, ["rating", "t"], categories=["pool"]).vector()
+    own = M.probabilities(M.logistic(train.withColumn("features", x)), block.withColumn("features", x))
+    expected = {(r.grp, r.member): r.p for r in own.collect()}
+    got = {(r.grp, r.member): r.p for r in out.where(F.col("fold") == F.lit(begin)).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in got)
+
+
+def test_feature_sets_are_compared_on_every_quarter(spark):
+    rows = preds(spark, SF)
+    first = rows.agg(F.min("d")).first()[0]
+    due = rows.where(F.col("d") >= F.add_months(F.trunc(F.lit(first), "month"), 3))
+    n = {r.model: (r.folds, r.n) for r in QUERIES["feature_set_comparison"](spark, SF).groupBy("model").agg(F.countDistinct("fold").alias("folds"), F.sum("n_rows").alias("n")).collect()}
+    folds = QUERIES["oof_predictions"](spark, SF).select("fold").distinct().count()
+    assert n == {"base": (folds, due.count()), "more": (folds, due.count())}
