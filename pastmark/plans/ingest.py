@@ -66,6 +66,7 @@ def idempotent_load(spark, sf_dir):
 @register(f"""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT unnest(['복식', '쌍식']) AS pool), x AS (SELECT l_orderkey, pool, n FROM g, k WHERE n BETWEEN 2 AND 15)
 SELECT l_orderkey, pool, 1::INTEGER AS combination_no, CASE pool WHEN '복식' THEN [1, n] ELSE [n, 1] END::INTEGER[] AS members, pool = '쌍식' AS ordered, CAST(n AS DOUBLE) / 2 AS odds FROM x""")
 def parse_combinations(spark, sf_dir):
+    """A small case with SQL: two pools, one combination, 2 to 15 members. The whole job is `parse_pools`."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n")).where("n between 2 and 15")
     rows = g.withColumn("pool", F.explode(F.array(F.lit("복식"), F.lit("쌍식"))))
     text = F.concat(F.substring(F.lit(D.CIRCLED), F.col("n"), F.lit(1)), F.lit("①-"), F.format_string("%.1f", F.col("n") / 2))
@@ -73,6 +74,30 @@ def parse_combinations(spark, sf_dir):
     return good.select("l_orderkey", "pool", "combination_no", "members", "ordered", F.col("odds_value").cast("double").alias("odds"))
 
 
+def combination_texts(orders):
+    """(l_orderkey, pool, odds) from (l_orderkey, n): up to three combinations a text for each of the seven pools. The
+    first member is n, or n less 0 to 2 for pools of one pick; the others count up from the combination's number, so
+    small orders repeat a member and are broken. Members above 15 stand in brackets."""
+    j, n = F.col("j"), F.col("n")
+    token = lambda x: F.when(x <= len(D.CIRCLED), F.substring(F.lit(D.CIRCLED), x, F.lit(1))).otherwise(F.concat(F.lit("("), x.cast("string"), F.lit(")")))
+    members = {1: [n - j + 1], 2: [n, j], 3: [n, j, j + 1]}
+    combination = lambda picks: F.concat(*(token(x.cast("int")) for x in members[picks]), F.lit("-"), F.format_string("%.1f", (n + j) / 2))
+    items = orders.withColumn("j", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(3)).cast("int"))))
+    items = items.select("l_orderkey", "j", F.explode(F.array(*(F.struct(F.lit(pool).alias("pool"), combination(picks).alias("item")) for pool, picks in D.PICKS.items()))).alias("x"))
+    texts = items.groupBy("l_orderkey", "x.pool").agg(F.array_sort(F.collect_list(F.struct("j", "x.item")))["item"].alias("items"))
+    return texts.select("l_orderkey", "pool", F.array_join("items", "  ").alias("odds"))
+
+
+@register()
+def parse_pools(spark, sf_dir):
+    """No SQL: compared with a parser by hand. All orders in all seven pools; a rejected text is a row of its own, with
+    the text and no members."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    good, rejected = D.winning_combinations(combination_texts(n))
+    good = good.select("l_orderkey", "pool", F.lit(False).alias("rejected"), "combination_no", "members", "ordered", F.col("odds_value").cast("double").alias("odds"), F.lit(None).cast("string").alias("text"))
+    return good.unionByName(rejected.select("l_orderkey", "pool", F.lit(True).alias("rejected"), F.col("odds").alias("text")), allowMissingColumns=True)
+
+
 @register("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem)
 SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(q AS INTEGER) END AS kg, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber WHEN 1 THEN 0 ELSE NULL END::INTEGER AS change,
 CASE l_linenumber % 2 WHEN 0 THEN 'wet' ELSE 'dry' END AS track, CASE l_linenumber % 2 WHEN 0 THEN l_linenumber END::INTEGER AS percent, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(q AS DOUBLE) END AS seconds FROM s""")

@@ -82,3 +82,25 @@ def test_feature_sets_are_compared_on_every_quarter(spark):
     n = {r.model: (r.folds, r.n) for r in QUERIES["feature_set_comparison"](spark, SF).groupBy("model").agg(F.countDistinct("fold").alias("folds"), F.sum("n_rows").alias("n")).collect()}
     folds = QUERIES["oof_predictions"](spark, SF).select("fold").distinct().count()
     assert n == {"base": (folds, due.count()), "more": (folds, due.count())}
+
+
+def test_all_pools_of_all_orders_are_parsed_or_rejected(spark, tmp_path):
+    sizes = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 15, 7: 16, 8: 49, 9: 1200}
+    spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    good, rejected = {}, set()
+    for r in QUERIES["parse_pools"](spark, str(tmp_path)).collect():
+        if r.rejected:
+            assert r.text and r.members is None
+            rejected.add((r.l_orderkey, r.pool))
+        else:
+            good.setdefault((r.l_orderkey, r.pool), []).append((r.combination_no, r.members, r.ordered, r.odds))
+    expected, broken = {}, set()
+    for k, n in sizes.items():
+        for pool, picks in {"단식": 1, "연식": 1, "복식": 2, "쌍식": 2, "복연": 2, "삼복": 3, "삼쌍": 3}.items():
+            rows = [(j, [[n - j + 1], [n, j], [n, j, j + 1]][picks - 1], (n + j) / 2) for j in range(1, min(n, 3) + 1)]
+            if any(len(set(m)) < picks for _, m, _ in rows):
+                broken.add((k, pool))
+            else:
+                ordered = pool in ("쌍식", "삼쌍")
+                expected[k, pool] = [(j, m if ordered else sorted(m), ordered, odds) for j, m, odds in rows]
+    assert rejected == broken and {key: sorted(v) for key, v in good.items()} == expected
