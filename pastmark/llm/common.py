@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys remembered by a per-task memo before it is emptied; bounds a Python worker's memory.
 MEMO_ENTRIES = 200_000
-#: Rows taken at a time from an Arrow batch.
-SLICE_ROWS = 1000
+#: Rows taken at a time from an Arrow batch, and about how many bytes of them.
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,53 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+@dataclass
+class Words:
+    """The words of some texts: `distinct` in UTF-8, `index` into it word by word, text i from starts[i] to starts[i + 1]."""
+
+    distinct: list[bytes]
+    index: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, lower: bool = False) -> Words:
+        """Null, empty and blank texts have no words. With `lower`, A-Z are lower-cased."""
+        trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(trimmed) if lower else trimmed)
+        n = np.where(np.asarray(pc.binary_length(trimmed)) > 0, np.asarray(pc.list_value_length(lists)), 0)
+        flat = lists.flatten()
+        flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        return cls(flat.dictionary.cast(pa.binary()).to_pylist(), np.asarray(flat.indices, np.int64), np.concatenate([[0], np.cumsum(n)]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    @property
+    def n(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def each(self, memo: Memo, kind: type = np.int64) -> np.ndarray:
+        """What the memo gives for each distinct word."""
+        return np.fromiter(map(memo.__getitem__, self.distinct), kind, len(self.distinct))
+
+    def once(self) -> Words:
+        """The distinct words of each text."""
+        of = np.repeat(np.arange(len(self)), self.n)
+        pairs = np.unique(of * max(1, len(self.distinct)) + self.index)
+        starts = np.searchsorted(pairs, np.arange(len(self) + 1) * max(1, len(self.distinct)))
+        return Words(self.distinct, pairs % max(1, len(self.distinct)), starts)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums by text of a value per word."""
+        return sums(values, self.starts)
+
+
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of values from starts[i] to starts[i + 1]; exact for whole numbers."""
+    total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind in "fui" else np.int64), np.cumsum(values)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
 class Memo(dict):
     """Remembers what `make` gives for a key; emptied when full, so its size is bounded."""
 
@@ -46,9 +96,12 @@ class Memo(dict):
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set a local one only where none is set."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Without one, a session on one machine gets a local
+    folder and any other an error, as its executors share no local folder."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -58,6 +111,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what a job has written and no one reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or with underscores added until no column of `df` is called so, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -66,16 +125,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_mark(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row, nulls told apart by column."""
+    holds_map = lambda t: "map<" in t.simpleString()
+    values = [F.to_json(F.struct(df[f.name])) if holds_map(f.dataType) else df[f.name] for f in df.schema]
+    return F.xxhash64(*values, *(df[f.name].isNull() for f in df.schema))
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """Hint a broadcast when the counted rows fit the limit; otherwise Spark shuffles the join as usual."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that what a worker makes of texts stays small."""
+    """The batches in slices of few rows and bytes, so that what a worker makes of texts stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -6,9 +6,10 @@ held by `min_docs` documents or more (`filters`). Inserting and deleting documen
 only; a key that becomes shared enters its shard's filters and one that ceases to be leaves them, so a deletion undoes
 an insertion exactly.
 
-To deduplicate, documents are scanned with the filters at hand. Lines outside every filter, nearly all, never leave
-the scan. The others are looked up in the exact counts, so a false positive of a filter changes nothing. The filters
-are broadcast while they are within a fixed size; above it the scan passes all lines on to the exact lookup.
+To deduplicate, the keys of the documents' lines are dealt to their shards, where they meet the shard's filters. Keys
+outside the filters, nearly all, go no further. The others are looked up in the exact counts, so a false positive of a
+filter changes nothing. A shard with many lines, say of one very common line, is cut in parts by document, each of
+which gets the shard's filters and counts; this is the same at every size.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Buckets of one filter, fingerprints in a bucket, moves before a filter counts as full, share of slots to fill.
 BUCKETS, SLOTS, MOVES, FULL = 1 << 14, 4, 200, 0.9
-#: Filters are broadcast up to this many bytes.
-BROADCAST_BYTES = 64 << 20
+#: Lines of a shard that meet its filters in one place, and keys a shard is made for, in the mean.
+PART_LINES, SHARD_KEYS = 100_000, 100_000
 KEY = ["key_hi", "key_lo"]
 LINES = pa.schema([("doc_id", pa.int64()), ("key_hi", pa.int64()), ("key_lo", pa.int64())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
@@ -101,12 +102,10 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "replace").lower()) if len(line) >= min_chars else None
 
 
-def line_keys(docs: DataFrame, filters: dict[int, bytes] | None = None, shards: int = 1) -> DataFrame:
-    """(doc_id, key_hi, key_lo), each key once in a row of `docs`; with filters, only keys that they may hold."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, key_hi, key_lo) from (doc_id, text), each key once in a row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        chains = {s: CuckooFilter(x) for s, x in sent.value.items()} if sent else None
         for batch in common.sliced(batches):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -114,15 +113,7 @@ def line_keys(docs: DataFrame, filters: dict[int, bytes] | None = None, shards:
                     ids += [doc_id] * len(own)
                     keys += own
             parts = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            ids, hi, lo = np.array(ids, np.int64), parts[:, 0], parts[:, 1]
-            if chains is not None:
-                shard, held = lo % shards, np.zeros(len(lo), bool)
-                order = np.argsort(shard, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(lo) else ():
-                    if (chain := chains.get(int(shard[own[0]]))) is not None:
-                        held[own] = chain.contains(hi[own], lo[own])
-                ids, hi, lo = ids[held], hi[held], lo[held]
-            yield common.record_batch(LINES, ids, hi, lo)
+            yield common.record_batch(LINES, np.array(ids, np.int64), parts[:, 0], parts[:, 1])
 
     return docs.mapInArrow(run, "doc_id long, key_hi long, key_lo long")
 
@@ -148,7 +139,8 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents. A document's key counts once, however often it or its row comes; keys that the index has
-        for it already change nothing. Rows with a null id or text add nothing."""
+        for it already change nothing. Rows with a null id or text add nothing. Texts are read whole, however long;
+        columns other than the two named are not looked at."""
         chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
         new = common.saved(line_keys(chosen).distinct().join(self.holders, ["doc_id", *KEY], "left_anti"))
         counts = self.counts.union(self._counted(new)).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
@@ -181,25 +173,48 @@ class LineIndex:
         filters = self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, "shard long, data binary")
         return replace(self, holders=holders, counts=counts, filters=common.saved(filters))
 
+    def _held(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, key_hi, key_lo) of the lines that `docs` (doc_id, text) lose."""
+        shard = F.pmod("key_lo", F.lit(self.shards)).alias("shard")
+        keys = common.saved(line_keys(docs).distinct().select("doc_id", *KEY, shard))
+        parts = keys.groupBy("shard").agg(F.ceil(F.count("*") / PART_LINES).alias("parts"))
+        parts = common.saved(parts)
+        n_shards = parts.count()
+        with_parts = lambda df: df.join(common.small(parts, n_shards, 16), "shard")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        lines = with_parts(keys).select("shard", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), "doc_id", *KEY)
+        filters = with_parts(self.filters).select("shard", every, "data")
+
+        def probe(key, filters: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+            if not len(filters) or not len(lines):
+                return lines.iloc[:0]
+            chain = CuckooFilter(bytes(filters["data"].iloc[0]))
+            return lines[chain.contains(lines["key_hi"].to_numpy(np.int64), lines["key_lo"].to_numpy(np.int64))]
+
+        may = filters.groupBy("shard", "part").cogroup(lines.groupBy("shard", "part")).applyInPandas(probe, "shard long, part long, doc_id long, key_hi long, key_lo long")
+        shared = with_parts(self.counts.where(F.col("n_docs") >= self.min_docs).withColumn("shard", shard)).select(every, *KEY, "keeper")
+        return may.join(shared, [*KEY, "part"]).where("doc_id <> keeper").select("doc_id", *KEY)
+
     def _drops(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """`docs` and a last column: the keys that its lines lose, or null."""
-        chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-        size = self.filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-        filters = {s: bytes(x) for s, x in self.filters.collect()} if size <= BROADCAST_BYTES else None
-        shared = self.counts.where(F.col("n_docs") >= self.min_docs)
-        held = line_keys(chosen, filters, self.shards).distinct().join(shared, KEY).where("doc_id <> keeper")
-        of, keys = common.fresh(docs, "__of"), common.fresh(docs, "__drops")
-        drops = held.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct(*KEY)).alias(keys))
-        # Hashed, as `drops` is the smaller side by far: texts need no sort.
-        return docs.join(drops.hint("shuffle_hash"), docs[id_col].cast("long") == drops[of], "left").select(*(docs[c] for c in docs.columns), drops[keys])
+        held = self._held(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")))
+        of, keys, apart = (common.fresh(docs, name) for name in ("__of", "__drops", "__apart"))
+        # A document's own lines, so as many as its text has at most.
+        drops = held.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct(*KEY)).alias(keys)).withColumn(apart, F.lit(0))
+        # Rows without an id have nothing to meet, and would else meet each other in one task.
+        alone = F.when(docs[id_col].isNull(), F.pmod(F.xxhash64(docs[text_col]), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+        rows = docs.withColumn(apart, alone)
+        both = rows.join(drops, (rows[id_col].cast("long") == drops[of]) & (rows[apart] == drops[apart]), "left")
+        return both.select(*(rows[c] for c in docs.columns), drops[keys])
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         r"""Per row: doc_id, n_lines, n_dropped and `kept`, the lines that stay, joined by \n.
 
         A line goes if `min_docs` indexed documents or more hold its key and this document is not the one with the
         largest id; all of a document's lines with that key go or stay together. Short lines stay. Null and empty
-        texts have one empty line, kept. Rows with a null id keep all lines. Repeated rows give repeated results, an
-        empty table an empty one.
+        texts have one empty line, kept. Rows with a null id keep all lines. Very long texts and lines are read whole.
+        Repeated rows give repeated results, an empty table an empty one. Further columns of any name are not looked
+        at and not returned.
         """
 
         def run(batches: Iterator[pa.RecordBatch]):
@@ -216,7 +231,8 @@ class LineIndex:
         return both.select(both[id_col].cast("long"), text_col, both.columns[-1]).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
 
     def rewrite(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """`docs` with its rows and columns, but each text as `dedup` keeps it; n_chars, if there, follows the text."""
+        """`docs` with its rows and columns, whatever their names, but each text as `dedup` keeps it; n_chars, if there,
+        follows the text."""
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]):
@@ -239,7 +255,8 @@ def _kept(lines: list[str], drops: list[dict] | None) -> list[str]:
 
 
 def _index(docs: DataFrame, min_docs: int, id_col: str, text_col: str) -> LineIndex:
-    return LineIndex.empty(docs.sparkSession, max(16, docs.count() // 20_000), min_docs).insert(docs, id_col, text_col)
+    """With shards enough for ten times as many distinct keys as there are documents."""
+    return LineIndex.empty(docs.sparkSession, max(16, 10 * docs.count() // SHARD_KEYS), min_docs).insert(docs, id_col, text_col)
 
 
 def deduplicate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

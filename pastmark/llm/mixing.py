@@ -1,14 +1,16 @@
 """Mixing sources to target weights by blocks of tokens.
 
-The words of each source, document after document, are packed into blocks of a fixed length. Output slots are dealt
-to shards; a slot's source is drawn by a stratified uniform, so a shard's source counts are a multinomial draw and the
-totals over all shards meet the targets to a block. The slots of a source are numbered, and slot j takes the block
-that a pseudorandom permutation of the source's block numbers gives for j, round after round; slots and blocks are
-then joined by block number.
+The words of each source, document after document, are packed into blocks of a fixed length. The mix has as many slots
+as the targets need blocks, dealt to shards; every slot draws its source on its own, with chances in proportion to the
+targets, so the source counts of a shard are a multinomial draw. Over all shards a source is drawn a little too often
+or too seldom, by the square root of its slots; slots it has too many, taken at equal distances, are given to sources
+that have too few. The slots of a source are then numbered, and slot j takes the block that a pseudorandom permutation
+of the source's block numbers gives for j, round after round; slots and blocks are joined by block number.
 
 All of it is columns and SQL functions. Positions in a source come from sums over buckets of bounded size and offsets
-of buckets, never from one window over a source. A permutation is a fixed number of swap-or-not rounds on a hash, so
-each row finds its own place.
+of buckets, never from one window over a source; only tables of one row per source are in one task. Rows that are equal
+in all columns are one class with a count, however many there are, until the very end. A permutation is a fixed number
+of swap-or-not rounds on a hash, so each row finds its own place.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words in a block, slots in an output shard, documents in a bucket and buckets in a group (both in the mean), draws
-#: made from one row, rounds of a permutation, times a source may be repeated.
-BLOCK_WORDS, SHARD_SLOTS, BUCKET_DOCS, GROUP_BUCKETS, DRAWS, ROUNDS, MOST = 32, 1024, 1024, 4096, 4096, 14, 3
+#: Words in a block, slots in an output shard, documents in a bucket and buckets in a group (both in the mean), copies
+#: of a row that are made in one place, rounds of a permutation, times a source may be repeated.
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_DOCS, GROUP_BUCKETS, COPIES, ROUNDS, MOST = 32, 1024, 128, 4096, 1024, 14, 3
+CLASS = ["doc_id", "mark", "key"]
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -51,63 +54,97 @@ def target_sizes(sources: DataFrame, most: int = MOST) -> DataFrame:
     return shares.select("key", "source", F.col("source_size").cast("long"), "rank", "weight", target.alias("target"))
 
 
-def _offsets(sums: DataFrame) -> DataFrame:
-    """(key, bucket, offset) from (key, bucket, bucket_size): the words of a source before the bucket."""
+def _offsets(sums: DataFrame, bucket: str, size: str) -> DataFrame:
+    """(key, bucket, offset) from (key, bucket, size): the sum of a source's sizes before the bucket."""
     before = lambda column, *by: F.coalesce(F.sum(column).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    grouped = sums.withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS))
-    groups = grouped.groupBy("key", "group").agg(F.sum("bucket_size").alias("group_size"))
+    grouped = sums.select("key", bucket, F.col(size).alias("n"), F.floor(F.col(bucket) / GROUP_BUCKETS).alias("group"))
+    groups = grouped.groupBy("key", "group").agg(F.sum("n").alias("group_size"))
     groups = groups.select("key", "group", before("group_size", "key", "group").alias("group_offset"))
-    inside = grouped.select("key", "group", "bucket", before("bucket_size", "key", "group", "bucket").alias("inside"))
-    return inside.join(groups, ["key", "group"]).select("key", "bucket", (F.col("group_offset") + F.col("inside")).alias("offset"))
+    inside = grouped.select("key", "group", bucket, before("n", "key", "group", bucket).alias("inside"))
+    return inside.join(groups, ["key", "group"]).select("key", bucket, (F.col("group_offset") + F.col("inside")).alias("offset"))
+
+
+def _owners(points: DataFrame, at: str, spans: DataFrame, n_spans: int, total: int) -> DataFrame:
+    """`points` with the columns of the span (lo, hi and more; end exclusive, spans are disjoint and fill 0 .. total - 1)
+    that holds the number `at`. Numbers are dealt to cells of equal width, a few per span, and meet spans by cell."""
+    width = max(1, total // (4 * max(1, n_spans)))
+    cells = common.saved(spans.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))))
+    both = points.withColumn("cell", F.floor(F.col(at) / width)).join(common.small(cells, cells.count(), 64), "cell")
+    return both.where((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("cell")
+
+
+def source_key(source: Column) -> Column:
+    """Not null: null sources are one source, apart from empty ones."""
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def drawn_slots(targets: DataFrame, seed: int) -> DataFrame:
+    """(key, blocks, shard, slot, j): for every slot the source that it draws, and its number among the source's slots.
+    From (key, rank, draws, blocks), one row per source; over all slots each source has `draws` of them."""
+    n_sources, total = targets.agg(F.count("*"), F.coalesce(F.sum("draws"), F.lit(0))).first()
+    first = lambda column: F.sum(column).over(Window.orderBy("rank")) - F.col(column)  # noqa: E731  one row per source
+    spans = targets.select("key", first("draws").alias("lo"), F.sum("draws").over(Window.orderBy("rank")).alias("hi"))
+    slots = targets.sparkSession.range(total).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("chance"))
+    drawn = _owners(slots, "chance", spans, n_sources, total)
+    of_shard = common.saved(drawn.groupBy("shard", "key").agg(F.sort_array(F.collect_list("slot")).alias("slots")))  # SHARD_SLOTS at most
+    counts = of_shard.select("shard", "key", F.size("slots").cast("long").alias("n"))
+
+    had = targets.join(counts.groupBy("key").agg(F.sum("n").alias("had")), "key", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    had = had.withColumn("over", F.greatest(F.col("had") - F.col("draws"), F.lit(0))).withColumn("under", F.greatest(F.col("draws") - F.col("had"), F.lit(0)))
+    had = common.saved(had.withColumn("over_before", first("over")).withColumn("lo", first("under")).withColumn("hi", F.sum("under").over(Window.orderBy("rank"))))
+    moved = had.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
+
+    numbered = of_shard.join(_offsets(counts, "shard", "n"), ["key", "shard"]).select("key", "shard", "offset", F.posexplode("slots").alias("at", "slot"))
+    numbered = numbered.join(common.small(had.select("key", "blocks", "had", "over", "over_before"), n_sources, 128), "key")
+    j = F.col("offset") + F.col("at")
+    given_before = F.floor(j * F.col("over") / F.col("had"))
+    numbered = numbered.withColumn("given_before", given_before).withColumn("given", F.floor((j + 1) * F.col("over") / F.col("had")) > given_before)
+    stay = numbered.where("not given").select("key", "blocks", "shard", "slot", (j - F.col("given_before")).alias("j"))
+    given = numbered.where("given").select("shard", "slot", (F.col("over_before") + F.col("given_before")).alias("e"))
+    given = _owners(given, "e", had.select("key", "blocks", "had", "lo", "hi"), n_sources, moved)
+    return stay.union(given.select("key", "blocks", "shard", "slot", F.col("had") + F.col("e") - F.col("lo")))
 
 
 def mix(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Two tables. Documents: doc_id, mark (a hash of the text), copy, key (of the source), size, source_size, target,
+    """Two tables. Documents: doc_id, mark (a hash of the row), copy, key (of the source), size, source_size, target,
     start (words of the source before it). The mix, one row per slot and document in its block: shard, slot, block,
     round, key, start (of the document), first (the piece's first word in the document), words.
 
     A block is taken at most three times, once per round, so no word is taken more often. `copy` numbers rows that
-    are equal. Documents without words are in the first table only. Null sources are one source; null texts have no
-    words; an empty table gives empty results. The seed and the rows fix the result, whatever their order.
+    are equal in all columns; rows that share an id but differ are documents of their own. Documents without words are
+    in the first table only. Null sources are one source; null texts have no words; very long texts are counted whole
+    and lie in as many blocks as they need; an empty table gives empty results. Further columns of any name only tell
+    rows apart. The seed and the rows fix the result, whatever their order.
     """
     source = docs[source_col].cast("string")
-    key = F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("mark"), key.alias("key"), source.alias("source"), common.word_count(docs[text_col]).alias("size"))
-    sized = common.saved(sized)
-    buckets = 1 + sized.count() // BUCKET_DOCS
-    parts = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
-    sums = common.saved(parts.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), common.row_mark(docs).alias("mark"), source_key(source).alias("key"), source.alias("source"), common.word_count(docs[text_col]).alias("size"))
+    classes = common.saved(sized.groupBy(*CLASS, "source", "size").agg(F.count("*").alias("n")))
+    buckets = 1 + classes.count() // BUCKET_DOCS
+    parts = classes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets))).withColumn("whole", F.col("size") * F.col("n"))
+    sums = common.saved(parts.groupBy("key", "source", "bucket").agg(F.sum("whole").alias("bucket_size")))
     targets = target_sizes(sums.groupBy("key", "source").agg(F.sum("bucket_size").alias("source_size")))
     blocks = F.ceil(F.col("source_size") / BLOCK_WORDS)
     draws = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("blocks", blocks).withColumn("draws", draws)
-    targets = targets.withColumn("strata", F.sum("draws").over(Window.orderBy("rank")) - F.col("draws"))  # one row per source
-    targets = common.saved(targets)
+    targets = common.saved(targets.withColumn("blocks", blocks).withColumn("draws", draws))
 
     in_bucket = Window.partitionBy("key", "bucket").orderBy("doc_id", "mark")
-    own = F.coalesce(F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    copy = F.row_number().over(Window.partitionBy("key", "bucket", "doc_id", "mark").orderBy("size")).cast("long")
-    laid = parts.withColumn("own", own).withColumn("copy", copy).join(_offsets(sums), ["key", "bucket"])
-    laid = laid.join(targets.select("key", "source_size", "target"), "key")
-    laid = common.saved(laid.select("doc_id", "mark", "copy", "key", "size", "source_size", "target", (F.col("offset") + F.col("own")).alias("start")))
-
-    slots = targets.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
-    last = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    chunks = targets.where("draws > 0").withColumn("chunk", F.explode(last(F.ceil(F.col("draws") / DRAWS))))
-    chunks = chunks.repartition(max(8, slots >> 18), "key", "chunk")
-    begin = F.col("chunk") * DRAWS
-    drawn = chunks.withColumn("j", F.explode(F.sequence(begin, F.least(begin + DRAWS, F.col("draws")) - 1)))
-    slot = permuted(F.col("strata") + F.col("j"), F.lit(max(1, slots)), F.lit(seed))
+    own = F.coalesce(F.sum("whole").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = parts.withColumn("own", own).join(_offsets(sums, "bucket", "bucket_size"), ["key", "bucket"])
+    laid = laid.join(common.small(targets.select("key", "source_size", "target"), targets.count(), 64), "key")
+    laid = laid.select(*CLASS, "size", "source_size", "target", "n", (F.col("offset") + F.col("own")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    copies = F.sequence(F.col("part") * COPIES, F.least(F.col("part") * COPIES + COPIES, F.col("n")) - 1)
+    laid = laid.select(*CLASS, "size", "source_size", "target", "start", F.explode(copies).alias("copy"))
+    laid = common.saved(laid.withColumn("start", F.col("start") + F.col("copy") * F.col("size")))
+
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("key"))
     # A block is never null; said so, it is not worked out once more to see.
-    drawn = drawn.select("key", F.coalesce(block, F.lit(-1)).alias("block"), slot.alias("slot"), F.floor(F.col("j") / F.col("blocks")).alias("round"))
-
+    drawn = drawn_slots(targets, seed).select("key", F.coalesce(block, F.lit(-1)).alias("block"), "shard", "slot", F.floor(F.col("j") / F.col("blocks")).alias("round"))
     touched = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS))))
     first = F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0))
     words = F.least((F.col("block") + 1) * BLOCK_WORDS - F.col("start"), "size") - first
     pieces = touched.select("key", "block", "start", first.alias("first"), words.alias("words"))
     mixed = drawn.hint("merge").join(pieces, ["key", "block"])  # Spark takes what a sequence explodes to for small
-    return laid, mixed.select(F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", "block", "round", "key", "start", "first", "words")
+    return laid, mixed.select("shard", "slot", "block", "round", "key", "start", "first", "words")
 
 
 def shard_counts(mixed: DataFrame) -> DataFrame:
@@ -118,7 +155,8 @@ def shard_counts(mixed: DataFrame) -> DataFrame:
 def taken(laid: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of `mix` with `taken`, the words the mix takes of each, repeats counted."""
     sums = mixed.groupBy("key", "start").agg(F.sum("words").alias("sum"))
-    return laid.join(sums, ["key", "start"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("sum", F.lit(0))).otherwise(0).cast("long")).drop("sum")
+    some = laid.where("size > 0").join(sums, ["key", "start"], "left").select(*laid.columns, F.coalesce("sum", F.lit(0)).cast("long").alias("taken"))
+    return some.unionByName(laid.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -128,13 +166,14 @@ def mixed_documents(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text
     """
     laid, mixed = mix(docs, seed, id_col, text_col, source_col)
     spans = mixed.groupBy("key", "start", "round").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"), F.sum("words").alias("__taken"))
-    spans = spans.join(laid.where("size > 0").select("key", "start", "doc_id", "mark", "copy", "size"), ["key", "start"])
-    spans = spans.select("doc_id", "mark", "copy", "size", "__spans", "__taken")
-    # The columns of `docs` travel in one struct, so their names meet no others.
+    spans = spans.join(laid.where("size > 0").select(*CLASS, "start", "copy", "size"), ["key", "start"])
+    spans = spans.select(F.col("doc_id").alias("of"), *CLASS[1:], F.floor(F.col("copy") / COPIES).alias("part"), "size", "__spans", "__taken")
+    # Of equal rows one is kept with their number. The columns of `docs` travel in one struct, so their names meet no others.
     others = [c for c in docs.columns if c != text_col]
-    kept = docs.select(F.struct(*others).alias("row"), docs[id_col].cast("long").alias("row_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row_mark"))
-    kept = kept.withColumn("row_copy", F.row_number().over(Window.partitionBy("row_id", "row_mark").orderBy(F.lit(0))).cast("long"))
-    both = kept.join(spans, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")) & (F.col("row_copy") == F.col("copy")))
+    rows = docs.select(F.struct(*(docs[c] for c in others)).alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), common.row_mark(docs).alias("mark"), source_key(docs[source_col]).alias("key"))
+    rows = rows.groupBy(*CLASS).agg(F.first("row").alias("row"), F.first("text").alias("text"), F.count("*").alias("n"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    both = rows.join(spans, [*CLASS[1:], "part"]).where(F.col("doc_id").eqNullSafe(F.col("of")))
     partly = F.col("__taken") < F.col("size")
     both = both.withColumn("parts", F.when(partly, F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))))
     some = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("parts", (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")

@@ -22,8 +22,9 @@ from . import common
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-#: Rounds of expectation-maximisation, and votes added to each count so that no probability is 0.
-ROUNDS, ADDED = 50, 1.0
+#: Rounds of expectation-maximisation at most, the change of a probability that ends them, and votes added to each
+#: count so that no probability is 0.
+ROUNDS, SETTLED, ADDED = 500, 1e-9, 1.0
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +89,8 @@ def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> t
     patterns.
 
     Abstaining says nothing, so a rule's shares are of the documents it votes on. Rounds begin by taking those with
-    any vote against as poor. Without any document the prior is one half.
+    any vote against as poor, and end when no pattern's probability changes any more. Without any document the prior is
+    one half.
     """
     rules = len(next(iter(patterns), ()))
     good = {p: 0.1 if min(p) < 0 else 0.9 for p in patterns}
@@ -99,9 +101,11 @@ def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> t
         for r in range(rules):
             sums = {(v, k): ADDED + sum(n * (good[p] if k == 0 else 1 - good[p]) for p, n in patterns.items() if p[r] == v) for v in (-1, 1) for k in (0, 1)}
             chances[r] = {v: tuple(sums[v, k] / (sums[-1, k] + sums[1, k]) for k in (0, 1)) for v in (-1, 1)}
-        for p in patterns:
-            z = math.log(prior / (1 - prior)) + sum(math.log(chances[r][v][0] / chances[r][v][1]) for r, v in enumerate(p) if v)
-            good[p] = 1 / (1 + math.exp(-max(min(z, 500), -500)))
+        before = good
+        z = {p: math.log(prior / (1 - prior)) + sum(math.log(chances[r][v][0] / chances[r][v][1]) for r, v in enumerate(p) if v) for p in patterns}
+        good = {p: 1 / (1 + math.exp(-max(min(x, 500), -500))) for p, x in z.items()}
+        if max(abs(good[p] - before[p]) for p in patterns) < SETTLED:
+            break
     return prior, chances
 
 
@@ -114,8 +118,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The columns of `features` and `votes` (array in the rules' order), `p_good`, and base_failed: fewer than ten
     words, or more than a fifth of them in repeated windows.
 
-    Repeated rows give repeated results and count as often; rows with a null id are judged too; an empty table gives
-    an empty result.
+    Repeated rows give repeated results and count as often; rows with a null id are judged too; null, empty and blank
+    texts have no words and fail; very long texts are read whole; an empty table gives an empty result. Further columns
+    of any name are not looked at and not returned.
     """
     rules = votes()
     rated = common.saved(features(docs, id_col, text_col).withColumn("votes", F.array(*rules.values())))

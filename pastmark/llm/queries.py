@@ -50,8 +50,8 @@ def op5_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens() -> packing.Tokens:
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        return packing.Tokens(f.read(), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, 0)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f, open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as g:
+        return packing.Tokens(f.read(), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, 0, g.read())
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

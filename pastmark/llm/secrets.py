@@ -166,8 +166,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """Per row: its id (nulls stay) and `spans`, an array of (kind, start, end) by start, then by the rules' order.
 
     Positions are code points, end exclusive; matches of one kind never overlap. Null and empty texts have no spans.
-    Rows stay apart: repeated rows give repeated results and an empty table an empty one. Long texts are read whole;
-    the index takes them in slices, so memory follows the batch, not the table.
+    Rows stay apart: repeated rows give repeated results and an empty table an empty one. Very long texts are
+    read whole; the index takes rows in slices, so memory follows the slice, not the table. Further columns of any name
+    are not looked at and not returned.
     """
     rules = tuple(rules)
 

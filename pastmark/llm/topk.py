@@ -1,12 +1,11 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Candidates are dealt to shards of bounded size. A shard's index holds posting segments: for a dimension and a
-quantised level, the vectors whose component is in that level. Segments are taken by descending impact, the size of
-their level, for a block of queries at once. After each stage every query has, for every vector, a lower and an upper
-bound: what has been seen, more or less what components below the level can still add. A query stops only when the
-vectors whose upper bound reaches the k-th lower bound are few enough to score, or when no segment is left; those
-possible members are scored exactly. Levels are taken in stages; a stage's segments are laid out as a matrix, so that
-one product adds them for all queries of the block.
+Candidates are dealt to shards of bounded size. A shard's index has, for each dimension, the postings of its vectors in
+segments by descending quantised size of the component. A query's segments are taken by descending impact, the size of
+the segment times the query's component, over all dimensions at once. After each stage every vector has a lower and an
+upper bound: what has been seen, more or less what the segments that are left can still add. A query stops only when
+the vectors whose upper bound reaches the k-th lower bound are few, or when no segment is left; these possible members
+are scored exactly.
 
 Each block of queries meets each shard once. A shard gives at most k rows for a query, so what is merged is small.
 """
@@ -23,110 +22,142 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a shard and queries in a block, in the mean; bits of a component below its level.
-SHARD, BLOCK, LEVEL_BITS = 4096, 64, 4
-#: Shares of the postings after which a stage ends; possible members scored without going on, as multiples of k.
-STAGES, RESCORE = (0.25, 0.5, 0.75, 1.0), 16
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Vectors in a shard and queries in a block, in the mean; bits of a component's size that a segment keeps.
+SHARD, BLOCK, LEVEL_BITS = 4096, 64, 8
+#: Shares of the postings after which a stage ends; share of the shard that is scored without going on.
+STAGES, RESCORE = (0.3, 0.45, 0.55, 0.62, 0.69, 0.76, 0.84, 0.92), 1 / 32
+#: Sums below this are exact in doubles.
+EXACT = 2.0**52
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])
 
 
 class ImpactIndex:
-    """Posting segments of one shard by descending impact. `vectors`: (n, dimensions) of 64-bit integers."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = LEVEL_BITS):
-        self.ids, self.vectors, self.width = ids, vectors, (1 << bits) - 1
-        self.most = int(np.abs(vectors).max(initial=0)) + self.width
-        level = vectors >> bits
-        impact = np.maximum(np.abs(level << bits), np.abs((level << bits) + self.width))
-        values, counts = np.unique(impact, return_counts=True)
-        values, share = values[::-1], np.cumsum(counts[::-1]) / max(1, impact.size)
-        ends = sorted({int(np.searchsorted(share, s)) for s in STAGES} & set(range(len(values)))) if len(values) else []
-        #: Per stage: the least values and the marks of its postings, 0 elsewhere, and the greatest impact after it.
-        self.stages, above = [], None
-        for e in ends:
-            inside = impact >= values[e] if above is None else (impact >= values[e]) & (impact < above)
-            rest = int(values[e + 1]) if e + 1 < len(values) else 0
-            self.stages.append((np.where(inside, level << bits, 0), inside, rest))
-            above = values[e]
-
-    def search(self, queries: np.ndarray, k: int, skip: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its k best, by score and then id; `skip`: ids to leave out."""
-        n, m = len(self.ids), len(queries)
-        weight = np.abs(queries)
-        # Products of doubles are exact, and fast, while all sums are whole numbers below 2 ** 52.
-        kind = float if self.most * int(weight.sum(axis=1).max(initial=0)) < 2**52 else np.int64
-        whole, below = weight.sum(axis=1, keepdims=True).astype(kind), np.minimum(queries, 0) * self.width
-        allowed = np.stack([np.ones(n, bool) if s is None else self.ids != s for s in skip]) if m else np.ones((0, n), bool)
-        # Of what has been seen, by query and vector: the least of the score, and the weights of the dimensions.
-        lower, seen = np.zeros((m, n), kind), np.zeros((m, n), kind)
-        possible, enough, lowest = allowed.copy(), max(RESCORE * k, 32), np.iinfo(np.int64).min
-        going = np.arange(m)
-        for low, inside, impact in self.stages:
-            marks = inside.astype(kind).T
-            lower[going] += queries[going].astype(kind) @ low.astype(kind).T + below[going].astype(kind) @ marks
-            seen[going] += weight[going].astype(kind) @ marks
-            rest = impact * (whole[going] - seen[going])
-            bar = lowest
-            if n > k:
-                bar = np.partition(np.where(allowed[going], lower[going] - rest, lowest), n - k, axis=1)[:, n - k, None]
-            possible[going] = allowed[going] & (lower[going] + self.width * seen[going] + rest >= bar)
-            going = going[possible[going].sum(axis=1) > enough]
-            if not len(going):
+    """Posting segments of one shard by descending impact. `vectors`: (n, dimensions) of doubles that are whole."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, (n, dims) = ids, vectors, vectors.shape
+        self.most = float(np.abs(vectors).max(initial=0))
+        if self.most * max(1, dims) >= EXACT:
+            return  # searched without stops
+        size = np.abs(vectors).astype(np.int64)
+        self.bits = max(0, int(self.most).bit_length() - LEVEL_BITS)
+        level = size >> self.bits
+        #: Of each dimension: its vectors by descending level, with the least size of the level and the sign.
+        self.postings = np.argsort(-level, axis=0, kind="stable").T.copy()
+        self.sign = np.sign(np.take_along_axis(vectors.T, self.postings, 1))
+        self.base = self.sign * (np.take_along_axis(level.T, self.postings, 1) << self.bits)
+        #: ends[d, l]: how many postings of dimension d are in segments of level l or more.
+        self.levels = int(level.max(initial=0)) + 1
+        counts = np.zeros((dims, self.levels + 1), np.int64)
+        np.add.at(counts, (np.arange(dims)[:, None], level.T), 1)
+        self.ends = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+
+    def _stages(self, weight: np.ndarray) -> list[tuple[np.ndarray, float]]:
+        """How far each dimension is read after each stage, and the most that a posting not read then can add."""
+        unit = 1 << self.bits
+        top = float(weight.max(initial=0)) * self.levels * unit
+        impacts = top * 2.0 ** -np.arange(0, 20, 0.125)
+        least = np.ceil(impacts[:, None] / np.maximum(weight * unit, 1e-300)).clip(0, self.levels).astype(np.int64)
+        read = self.ends[np.arange(len(weight)), least]
+        share = read.sum(axis=1) / max(1, self.ends[:, 0].sum())
+        # A posting of a level below `least` has a size below least * unit.
+        rest = (weight * (least * unit - 1).clip(0)).max(axis=1, initial=0)
+        at = sorted({int(np.searchsorted(share, s)) for s in STAGES} - {len(impacts)})
+        return [(read[i], float(rest[i])) for i in at] + [(self.ends[:, 0], 0.0)]
+
+    def search(self, query: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The rows, ids and exact scores of the k best, by score and then id, and the share of postings read. `skip`: an
+        id to leave out."""
+        n, weight = len(self.ids), np.abs(query)
+        possible, read_share = np.ones(n, bool) if skip is None else self.ids != skip, 1.0
+        exact = self.most * float(weight.sum()) < EXACT
+        if exact and n > k and self.most * max(1, len(query)) < EXACT:
+            possible, read_share = self._possible(query, weight, k, possible)
+        rows = np.flatnonzero(possible)
+        if exact:
+            score = (self.vectors[rows] @ query).astype(np.int64)
+        else:
+            whole = [int(x) for x in query]
+            sums = [sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in self.vectors[rows].tolist()]
+            score = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in sums], np.int64)
+        best = np.lexsort((self.ids[rows], ~score))[:k]  # ~x falls as x rises, and does not overflow
+        return rows[best], self.ids[rows][best], score[best], read_share
+
+    def _possible(self, query, weight, k, allowed) -> tuple[np.ndarray, float]:
+        n, dims = self.vectors.shape
+        lower, upper, seen = np.zeros(n), np.zeros(n), np.zeros(n)
+        done, width, active = np.zeros(dims, np.int64), (1 << self.bits) - 1, int((weight > 0).sum())
+        for read, rest in self._stages(weight):
+            some = np.flatnonzero((read > done) & (weight > 0))
+            if len(some):
+                spans = [(d, done[d], read[d]) for d in some.tolist()]
+                rows, base, sign = (np.concatenate([x[d, a:b] for d, a, b in spans]) for x in (self.postings, self.base, self.sign))
+                q = np.repeat(query[some], read[some] - done[some])
+                sure, open_ = q * base, q * sign * width
+                lower += np.bincount(rows, sure + np.minimum(open_, 0), n)
+                upper += np.bincount(rows, sure + np.maximum(open_, 0), n)
+                seen += np.bincount(rows, minlength=n)
+                done = np.maximum(done, read)
+            left = rest * (active - seen)
+            worst = np.where(allowed, lower - left, -np.inf)
+            possible = allowed & (upper + left >= np.partition(worst, n - k)[n - k])
+            if possible.sum() <= max(4 * k, n * RESCORE):
                 break
-        out = []
-        for j in range(m):
-            rows = np.flatnonzero(possible[j])
-            score = self.vectors[rows] @ queries[j]
-            best = np.lexsort((self.ids[rows], -score))[:k]
-            out.append((self.ids[rows][best], score[best]))
-        return out
+        return possible, float(done.sum()) / max(1, n * dims)
 
 
 def _packed(df: DataFrame, groups: Column, name: str) -> DataFrame:
-    """Rows dealt by a hash of their id to as many groups for each vector length, each as one row."""
+    """Rows (id, v, n) dealt by a hash to as many groups for each vector length, each as one row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        vectors = np.stack(pdf["v"].to_numpy()).astype(np.int64)
-        return pd.DataFrame({"length": [vectors.shape[1]], name: [int(pdf["g"].iloc[0])], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [vectors.tobytes()]})
+        vectors = np.stack(pdf["v"].to_numpy()).astype(float)
+        order = np.lexsort((*vectors.T[::-1], pdf["id"].to_numpy(np.int64)))
+        pdf, vectors = pdf.iloc[order], vectors[order]
+        return pd.DataFrame({"length": [vectors.shape[1]], name: [int(pdf["g"].iloc[0])], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_n": [pdf["n"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [vectors.tobytes()]})
 
-    dealt = df.withColumn("length", F.size("v").cast("long")).withColumn("g", F.pmod(F.xxhash64("id"), groups))
-    return dealt.groupBy("length", "g").applyInPandas(run, f"length long, {name} long, {name}_ids binary, {name}_vectors binary")
+    dealt = df.withColumn("length", F.size("v").cast("long")).withColumn("g", F.pmod(F.xxhash64("id", "v"), groups))
+    return dealt.groupBy("length", "g").applyInPandas(run, f"length long, {name} long, {name}_ids binary, {name}_n binary, {name}_vectors binary")
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """(id, v): floor(scale * component) as long; rows with a null id or with null or non-finite components go."""
+    """(id, v): floor(scale * component), whole numbers as doubles; rows with a null id or vector, or with components
+    that are null or not finite, before or after, go. Further columns of any name are not looked at."""
     x = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("x"))
-    sound = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    sound = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c * scale) < float("inf")), F.lit(False)))
     x = x.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(sound)
-    return x.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    whole = lambda c: F.when(F.abs(c * scale) < EXACT, F.floor(c * scale).cast("double")).otherwise(c * scale)
+    return x.select("id", F.transform("x", whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k best rows of `vectors` for each row of `queries`, both (id, v) as
     `quantised` gives them; all if there are fewer. A query's own id is no candidate. Ties go to the smaller id;
-    repeated candidate rows count one by one, repeated query ids once (the least vector). Only vectors of a query's
-    length are its candidates. No candidates or no queries: no rows. Scores are exact in 64-bit integers.
+    repeated candidate rows count one by one, but are searched once; of repeated query ids the least vector asks. Only
+    vectors of a query's length are its candidates. No candidates or no queries: no rows. Scores are exact; those
+    beyond 64 bits are given as the greatest or least number of 64 bits, and tie.
     """
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("n", F.lit(1).cast("long"))
+    vectors = common.saved(vectors.groupBy("id", "v").agg(F.count("*").alias("n")))
     n_shards, n_blocks = (F.lit(max(1, -(-df.count() // per))) for df, per in ((vectors, SHARD), (queries, BLOCK)))
     shards, blocks = _packed(vectors, n_shards, "shard"), _packed(queries, n_blocks, "block")
     to_all = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards.cast("long") - 1)))
-    pairs = to_all.join(shards, ["length", "shard"]).select("length", "shard", "shard_ids", "shard_vectors", "block_ids", "block_vectors")
+    pairs = to_all.join(shards, ["length", "shard"]).select("length", "shard", "shard_ids", "shard_n", "shard_vectors", "block_ids", "block_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        last, index = None, None
+        last, index, times = None, None, None
         for batch in batches:
-            for length, shard, ids, data, query_ids, query_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+            for length, shard, ids, n, data, query_ids, query_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (length, shard) != last:
-                    last, index = (length, shard), ImpactIndex(ids, np.frombuffer(data, np.int64).reshape(len(ids), length))
-                queries = np.frombuffer(query_data, np.int64).reshape(len(query_ids), length)
+                    ids, times = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
+                    last, index = (length, shard), ImpactIndex(ids, np.frombuffer(data, float).reshape(len(ids), length))
+                query_ids = np.frombuffer(query_ids, np.int64).tolist()
                 out: list[tuple] = []
-                for query_id, (found, score) in zip(query_ids.tolist(), index.search(queries, k, query_ids.tolist()), strict=True):
-                    out += zip([query_id] * len(found), found.tolist(), score.tolist(), strict=True)
-                yield common.record_batch(FOUND, *(map(list, zip(*out, strict=True)) if out else ([], [], [])))
+                for query_id, query in zip(query_ids, np.frombuffer(query_data, float).reshape(-1, length), strict=True):
+                    rows, found, score, _ = index.search(query, k, query_id)
+                    out += zip([query_id] * len(found), found.tolist(), score.tolist(), np.minimum(times[rows], k).tolist(), strict=True)
+                yield common.record_batch(FOUND, *(map(list, zip(*out, strict=True)) if out else ([], [], [], [])))
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long, n long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
