@@ -12,20 +12,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import common
 
 #: Labelled documents to learn from at most, entries of the lexicon at most, documents that an entry must be in.
-MAX_LABELLED, MAX_TERMS, LEAST_DOCS = 10_000, 4_000, 3
+MAX_LABELLED, MAX_TERMS, LEAST_DOCS = 10_000, 100_000, 3
 #: Deviations above chance for each tier, parts for the left-out lexicons, word beginnings, trees and their depth.
 TIERS, FOLDS, BEGINNINGS, TREES, DEPTH = (4.0, 6.0, 9.0), 3, (4, 6), 24, 3
 #: Second-person forms in the four languages; characters written for letters.
@@ -39,17 +42,22 @@ BEGUN, PERSON, ODDLY = 2 * (FOLDS + 1), 4 * (FOLDS + 1), 4 * (FOLDS + 1) + 1
 
 
 EDGES, OTHERS = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W\d_]+")
-ODD, TAIL = re.compile(r"[^\W\d_][\d@$*_#]+[^\W\d_]|([^\W\d_])\1\1"), re.compile(rb"\W+$")
+ODD = re.compile(r"[^\W\d_][\d@$*_#]+[^\W\d_]|([^\W\d_])\1\1")
+
+
+def core(word: str) -> str:
+    """A word in lower case without what is no letter or digit at its ends."""
+    word = word.lower().strip(punctuation)
+    return word if word.isalpha() else EDGES.sub("", word)
 
 
 def letters(word: str) -> str:
-    """The letters of a word in lower case, with characters inside it that stand for letters replaced."""
-    word = word.lower()
-    return word if word.isalpha() else OTHERS.sub("", EDGES.sub("", word).translate(LOOKALIKES))
+    """The letters of a word, as `core` gives it, with characters inside it that stand for letters replaced."""
+    return word if word.isalpha() else OTHERS.sub("", word.translate(LOOKALIKES))
 
 
 def terms(word: bytes) -> tuple[str, ...]:
-    w = letters(word.decode("utf-8", "replace"))
+    w = letters(core(word.decode("utf-8", "replace")))
     return (f"={w}", *(w[:n] for n in BEGINNINGS if len(w) >= n)) if len(w) > 1 else ()
 
 
@@ -73,21 +81,24 @@ def fold(grp: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int) -> DataFrame:
     """doc_id, text, label of labelled documents, at most about `limit`, chosen by a hash of the id; labels without a
-    value go, of repeated ones the greatest is taken. Held-out ids, crc32(id as text) mod 5 = 0, are never in it."""
+    value go, of repeated ones the greatest is taken, and of documents that repeat an id the least text. Held-out ids,
+    crc32(id as text) mod 5 = 0, are never in it."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label")).where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = max(1, -(-known.count() // limit))
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0)
-    return docs.join(F.broadcast(some), "doc_id")  # about `limit` rows
+    some = common.saved(known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0))
+    found = docs.join(common.small(some, some.count(), 16), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, tuple[int, ...]]:
-    """term -> its tier by all of (text, label, grp), then its tiers without each fold. Of a group one document counts,
-    so that words of a text that is copied often seem no surer for it."""
+def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[str, tuple[int, ...]], int]:
+    """term -> its tier by all of (text, label, grp), then its tiers without each fold; and how many terms of a tier
+    were left out as there were more than `max_terms`, the least sure ones. Of a group one document counts, so that
+    words of a text that is copied often seem no surer for it."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo = common.Memo(terms)
@@ -111,95 +122,130 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[int, ...]]:
     parts = [list(range(FOLDS)), *([k for k in range(FOLDS) if k != out] for out in range(FOLDS))]
     seen = rows.select("fold", "label", F.explode("terms").alias("term")).groupBy("term").agg(*counts(F.lit(1), "n"), *counts(F.col("label"), "t"))
     scored = seen.select("term", *(score(of).alias(f"z{i}") for i, of in enumerate(parts))).where(F.greatest(*(F.col(f"z{i}") for i in range(len(parts)))) >= TIERS[0])
-    best = scored.orderBy(F.desc("z0"), "term").limit(MAX_TERMS).collect()
-    return {r["term"]: tuple(sum(r[f"z{i}"] >= t for t in TIERS) for i in range(len(parts))) for r in best}
-
-
-def features(docs: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
-    """The columns doc_id and text of `docs` and, if it has it, `part` (0: the whole lexicon; k: without fold k - 1)
-    to doc_id and an array of features."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS entries
+    scored = common.saved(scored)
+    best = scored.orderBy(F.desc("z0"), "term").limit(max_terms).collect()
+    return {r["term"]: tuple(sum(r[f"z{i}"] >= t for t in TIERS) for i in range(len(parts))) for r in best}, scored.count() - len(best)
+
+
+class Coder:
+    """The code of a word: two bits for its tier in each lexicon, by the whole word and by its beginnings, two marks."""
+
+    def __init__(self, lexicon: dict[str, tuple[int, ...]]):
+        packed = {t: sum(tier << 2 * i for i, tier in enumerate(tiers)) for t, tiers in lexicon.items()}
+        self.whole = {t[1:]: code for t, code in packed.items() if t[0] == "="}
+        self.begun = {t: code << BEGUN for t, code in packed.items() if t[0] != "="}
+        self.second = set(SECOND_PERSON)
+
+    def __call__(self, word: bytes) -> int:
+        text = word.decode("utf-8", "replace")
+        own = core(text)
+        w = letters(own)
+        out = (own in self.second) << PERSON | (ODD.search(text) is not None) << ODDLY
+        if len(w) < 2:
+            return out
+        out |= self.whole.get(w, 0)
+        found = [c for n in BEGINNINGS if len(w) >= n and (c := self.begun.get(w[:n]))]
+        if len(found) == 1:
+            return out | found[0]
+        return out | sum(max(c >> BEGUN + 2 * i & 3 for c in found) << BEGUN + 2 * i for i in range(FOLDS + 1)) if found else out
+
+
+#: Kinds of bytes that are counted in a text, as one table of bits.
+BYTE_KINDS = np.array([sum((b in kind) << i for i, kind in enumerate((UPPER, LOWER, MARKS, b"!?", b"\n"))) for b in range(256)], np.uint8)
+
+
+def feature_rows(texts: pa.Array, part: np.ndarray, memo: common.Memo) -> np.ndarray:
+    """A row of features per text. `part`: 0 for the whole lexicon, k for the one without fold k - 1."""
+    said = common.Words.of(texts)
+    code_of = said.each(memo)
+    once, codes = said.once(), code_of[said.index]
+    of = np.repeat(np.arange(len(said)), said.n)
+    person = codes >> PERSON & 1
+    near = person.copy()
+    for shift in range(1, NEAR + 1):
+        same = of[shift:] == of[:-shift]
+        near[shift:] |= person[:-shift] & same
+        near[:-shift] |= person[shift:] & same
+    words = np.maximum(said.n, 1)
+    rows = [np.log1p(said.n), said.sums(person) / words, said.sums(codes >> ODDLY & 1) / words]
+    shift, shift_once = 2 * part[of], 2 * np.repeat(part, once.n)
+    for kind in (0, BEGUN):
+        tier, tier_once = codes >> kind + shift & 3, code_of[once.index] >> kind + shift_once & 3
+        for k in range(1, len(TIERS) + 1):
+            hits = (tier >= k).astype(np.int64)
+            rows += [said.sums(hits) / words, np.log1p(once.sums((tier_once >= k).astype(np.int64))), said.sums(hits & near) / words]
+    raw = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    kinds = BYTE_KINDS[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    upper, lower, marks, calls, breaks = (common.sums((kinds >> i & 1).astype(np.int64), ends - ends[0]) for i in range(5))
+    n_bytes = np.diff(ends)
+    size = np.maximum(n_bytes, 1)
+    rows += [upper / np.maximum(1, upper + lower), marks / size, calls / size, breaks / size, once.n / words, (n_bytes - said.n) / words]
+    return np.stack(rows, axis=1).astype(float)
+
+
+def features(rows: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
+    """From (row, text, part): row, whatever it is, and an array of features; see `feature_rows`."""
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # as many entries as `fit` allows
 
     def run(batches: Iterator[pa.RecordBatch]):
-        lexicon, second = sent.value, {w.encode() for w in SECOND_PERSON}
-        none = (0,) * (FOLDS + 1)
-
-        def code(word: bytes) -> int:
-            """Two bits for the tier in each lexicon, by the whole word and by its beginnings, and two marks."""
-            found = terms(word)
-            text, out = word.decode("utf-8", "replace"), 0
-            for kind, some in ((0, found[:1]), (BEGUN, found[1:])):
-                tiers = [max(x) for x in zip(none, *(lexicon[t] for t in some if t in lexicon), strict=True)]
-                out |= sum(t << 2 * i for i, t in enumerate(tiers)) << kind
-            return out | (TAIL.sub(b"", word.lower()) in second) << PERSON | bool(ODD.search(text)) << ODDLY
-
-        memo = common.Memo(code, 400_000)  # a code is dear; half as many cost a third more time
-        schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
+        memo = common.Memo(Coder(sent.value), 400_000)
         for batch in common.sliced(batches):
-            out = []
-            for text, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                words = raw.split()
-                codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                n, own = max(1, len(words)), set(words)
-                once = np.fromiter(map(memo.__getitem__, own), np.int64, len(own))
-                said = codes >> PERSON & 1
-                person = said > 0
-                for shift in range(1, NEAR + 1) if said.any() else ():
-                    person[shift:] |= said[:-shift] > 0
-                    person[:-shift] |= said[shift:] > 0
-                row = [np.log1p(len(words)), said.sum() / n, (codes >> ODDLY & 1).sum() / n]
-                for kind in (0, BEGUN):
-                    tier, tier_once = codes >> kind + 2 * part & 3, once >> kind + 2 * part & 3
-                    for k in range(1, len(TIERS) + 1):
-                        hits = tier >= k
-                        row += [hits.sum() / n, np.log1p((tier_once >= k).sum()), (hits & person).sum() / n]
-                upper, lower, marks = (len(raw) - len(raw.translate(None, x)) for x in (UPPER, LOWER, MARKS))
-                size = max(1, len(raw))
-                row += [upper / max(1, upper + lower), marks / size, (raw.count(b"!") + raw.count(b"?")) / size, raw.count(b"\n") / size, len(own) / n, (len(raw) - len(words)) / n]
-                out.append([float(x) for x in row])
-            yield common.record_batch(schema, batch.column(0), out)
-
-    part = F.col("part") if "part" in docs.columns else F.lit(0)
-    return docs.select("doc_id", "text", part.cast("int").alias("part")).mapInArrow(run, "doc_id long, features array<double>")
+            found = feature_rows(batch.column(1), np.asarray(batch.column(2), np.int64), memo)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "features"])
+
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("features", ArrayType(DoubleType()))])
+    return rows.select("row", "text", F.col("part").cast("int").alias("part")).mapInArrow(run, schema)
 
 
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, tuple[int, ...]]
+    dropped_terms: int  # terms of a tier beyond `max_terms`
     trees: GBTClassificationModel | None
     curve: IsotonicRegressionModel | None
     rate: float  # the score where there are no trees
 
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """From (row, text): row and score."""
+        if self.trees is None:
+            return rows.select("row", F.lit(self.rate).alias("score"))
+        vectors = features(rows.withColumn("part", F.lit(0)), self.lexicon).select("row", array_to_vector("features").alias("features"))
+        raw = self.trees.transform(vectors).withColumn("raw", vector_to_array("probability")[1])
+        # The curve is a stair; a hundredth of the raw probability orders what is on one step.
+        score = F.lit(0.99) * F.col("calibrated") + F.lit(0.01) * F.col("raw")
+        return self.curve.transform(raw.select("row", "raw")).select("row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per row: doc_id, held_out, score from 0 to 1, predicted (1 if the score is 0.5 or more). Only the text is
-        scored. Null and empty texts are scored as texts without words; null ids stay; repeated rows give repeated
-        results; an empty table gives an empty one."""
-        chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-        if self.trees is None:
-            scored = chosen.select("doc_id", F.lit(self.rate).alias("score"))
-        else:
-            vectors = features(chosen, self.lexicon).select("doc_id", array_to_vector("features").alias("features"))
-            raw = self.trees.transform(vectors).withColumn("raw", vector_to_array("probability")[1])
-            # The curve is a stair; a hundredth of the raw probability orders what is on one step.
-            score = F.lit(0.99) * F.col("calibrated") + F.lit(0.01) * F.col("raw")
-            scored = self.curve.transform(raw.select("doc_id", "raw")).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+        scored. Null and empty texts are scored as texts without words; null ids stay; very long texts are read whole,
+        in one go; repeated rows give repeated results; an empty table gives an empty one. Further columns of any name
+        are not looked at and not returned."""
+        scored = self._scored(docs.select(docs[id_col].cast("long").alias("row"), docs[text_col].alias("text"))).withColumnRenamed("row", "doc_id")
         return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
+    def clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of `docs`, with their columns, that are not predicted toxic. Each row is judged by its own text,
+        whatever its id; for odd texts see `score`. The columns travel in one, so their names meet no others."""
+        kept = self._scored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))).where("score < 0.5")
+        return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
-    """Learn from at most about `max_labelled` labelled documents that are not held out. With fewer than 20, or all of
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> ToxicityModel:
+    """Learn from at most about `max_labelled` labelled documents that are not held out, and a lexicon of at most
+    `max_terms` entries, the surest; how many more there were is in the model. With fewer than 20 documents, or all of
     one label, there are no trees and every score is the share of toxic ones (0 without any)."""
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sample = common.saved(with_group(labelled_sample(chosen, labels, F.col(label_col).cast("int"), max_labelled)))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n < 20 or toxic in (0, n):
-        return ToxicityModel({}, None, None, toxic / n if n else 0.0)
-    lexicon = learn_lexicon(sample)
-    vectors = features(sample.withColumn("part", fold(F.col("grp")) + 1), lexicon).select("doc_id", array_to_vector("features").alias("features"))
-    rows = common.saved(vectors.join(sample.select("doc_id", F.col("label").cast("double").alias("label")).distinct(), "doc_id"))
+        return ToxicityModel({}, 0, None, None, toxic / n if n else 0.0)
+    lexicon, dropped = learn_lexicon(sample, max_terms)
+    rows = sample.select(F.struct("doc_id", F.col("label").cast("double").alias("label")).alias("row"), "text", (fold(F.col("grp")) + 1).alias("part"))
+    rows = common.saved(features(rows, lexicon).select("row.doc_id", "row.label", array_to_vector("features").alias("features")))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, minInstancesPerNode=2).fit(rows.where(~apart).orderBy("doc_id"))
     judged = trees.transform(rows.where(apart)).select("label", vector_to_array("probability")[1].alias("raw"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(judged)
-    return ToxicityModel(lexicon, trees, curve, toxic / n)
+    return ToxicityModel(lexicon, dropped, trees, curve, toxic / n)
