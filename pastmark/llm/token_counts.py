@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -93,8 +94,10 @@ def count_pieces(docs: DataFrame, pieces: list[bytes], word_start: bytes = b" ",
     """Per row: its id (nulls stay), number of words, greedy pieces over all words, and the most pieces of one word.
 
     Each word is read with `word_start` before it, so pieces that begin with it can only start a word. Letters keep
-    their case. Null, empty and blank texts have 0 words and 0 pieces. Rows are counted one by one without a shuffle:
-    repeated rows give repeated results and an empty table an empty one. Workers remember words up to a fixed number.
+    their case. Null, empty and blank texts have 0 words and 0 pieces; very long texts and words are read whole, in time
+    in proportion to their length. Rows are counted one by one without a shuffle: repeated rows give repeated results
+    and an empty table an empty one. Further columns of any name are not looked at and not returned. Workers remember
+    words up to a fixed number.
     """
     counter = PieceCounter(pieces)
     sent = docs.sparkSession.sparkContext.broadcast(counter)  # at most MAX_PIECES pieces
@@ -103,12 +106,11 @@ def count_pieces(docs: DataFrame, pieces: list[bytes], word_start: bytes = b" ",
         count = sent.value
         memo = common.Memo(lambda word: count(word_start + word))
         for batch in common.sliced(batches):
-            rows = ([], [], [])
-            for text in batch.column(1).to_pylist():
-                of = [memo[w] for w in text.encode("utf-8", "replace").split()] if text else []
-                for column, value in zip(rows, (len(of), sum(of), max(of, default=0)), strict=True):
-                    column.append(value)
-            yield common.record_batch(COUNTS, batch.column(0), *rows)
+            said = common.Words.of(batch.column(1))
+            per_word, most, some = said.each(memo)[said.index], np.zeros(len(said), np.int64), said.n > 0
+            if some.any():
+                most[some] = np.maximum.reduceat(per_word, said.starts[:-1][some])
+            yield common.record_batch(COUNTS, batch.column(0), said.n, said.sums(per_word), most)
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_words long, n_pieces long, longest_word_pieces long")
