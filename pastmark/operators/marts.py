@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,18 @@ def status_policy(rows: DataFrame, composite: DataFrame, single: DataFrame, keys
     return out.withColumn("status", F.coalesce("__both", "__one", F.lit(default))).drop("__both", "__one")
 
 
+def marked(rows: DataFrame, others: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """`rows` with a boolean: is there a row in `others` with the same keys? NULL keys find nothing."""
+    found = others.select(*keys).distinct().withColumn(name, F.lit(True))
+    return rows.join(found, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def run_log(output: DataFrame, version: str, inputs: Sequence[str], started_at, counts: Mapping[str, Column]) -> DataFrame:
+    """One row on a finished run: version, inputs, status, times and counts of what it made, in one pass."""
+    out = output.agg(*(c.alias(n) for n, c in counts.items()))
+    return out.select(F.lit(version).alias("version"), F.lit(",".join(inputs)).alias("inputs"), F.lit("COMPLETED").alias("status"), F.lit(started_at).alias("started_at"), F.current_timestamp().alias("completed_at"), *counts)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of `new`, and those of `old` whose key it does not have."""
     return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))

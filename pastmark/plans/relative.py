@@ -59,9 +59,9 @@ def relative_history(spark, sf_dir):
     x = values(spark, sf_dir)
     n = F.count("v").over(R.Window.partitionBy("grp"))
     events = x.withColumn("n", n).withColumn("gap", -R.gap_to_median("v", ["grp"])).withColumn("pct", F.round(R.percentile_in_group("v", ["grp"], False), 8)).where("v is not null and n >= 3")
-    pairs = H.last_n_pairs(events, ["member"], "d", ["grp"], IDS, 5, ["gap", "pct"], x.select("grp", "member", "d"))
     w = F.col("recency") <= 3
-    out = pairs.groupBy(*IDS).agg(F.count_if(w).alias("n3"), F.round(F.avg(F.when(w, F.col("gap"))), 7).alias("gap3"), F.median(F.when(w, F.col("pct"))).alias("pct3"), F.count("*").alias("n5"), F.round(F.avg("gap"), 7).alias("gap5"), F.median("pct").alias("pct5"))
+    aggregates = [F.count_if(w).alias("n3"), F.round(F.avg(F.when(w, F.col("gap"))), 7).alias("gap3"), F.median(F.when(w, F.col("pct"))).alias("pct3"), F.count("*").alias("n5"), F.round(F.avg("gap"), 7).alias("gap5"), F.median("pct").alias("pct5")]
+    out = H.last_n_features(events, ["member"], "d", ["grp"], IDS, 5, ["gap", "pct"], aggregates, x.select("grp", "member", "d"))
     return out.withColumns({c: F.round(c, 6) for c in ("pct3", "pct5")})
 
 
@@ -71,8 +71,8 @@ SELECT grp, member, metric, round(median(value) FILTER (r <= 3), 5) AS median3,
 def pace_history(spark, sf_dir):
     e = runs(spark, sf_dir)
     wide = e.select("grp", "member", "d", ((F.col("t") - 3 * F.col("rating")) / 2).alias("late"), (F.col("weight") - F.col("tax")).alias("start"))
-    pairs = H.last_n_pairs(P.long_form(wide, ["grp", "member", "d"], ["late", "start"]), ["member", "metric"], "d", ["grp"], ["grp", "member", "metric"], 5, ["value"])
-    return rounded(pairs.groupBy(*IDS, "metric").agg(F.median(F.when(F.col("recency") <= 3, F.col("value"))).alias("median3"), F.median("value").alias("median5")), 5)
+    aggregates = [F.median(F.when(F.col("recency") <= 3, F.col("value"))).alias("median3"), F.median("value").alias("median5")]
+    return rounded(H.last_n_features(P.long_form(wide, ["grp", "member", "d"], ["late", "start"]), ["member", "metric"], "d", ["grp"], IDS, 5, ["value"], aggregates), 5)
 
 
 COLUMNS = ("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")

@@ -60,12 +60,22 @@ def test_point_in_time(spark):
     r = prior.where("grp = 'R3' and member = 'H1'").first()
     assert (r.n_prior, r.fins, r.hits, r["last"]) == (2, 1, 1, date(2024, 1, 12))
     assert prior.where("n_prior = 0").count() == 2
-    pairs = H.last_n_pairs(events, ["member"], "d", ["grp"], ["grp", "member"], 5, ["fin"])
-    assert sorted((r.recency, r.fin) for r in pairs.where("grp = 'R3' and member = 'H1'").collect()) == [(1, False), (2, True)]
+    days = H.last_n_of_days(events, ["member"], "d", ["grp"], 5, ["fin"])
+    assert sorted((r.recency, r.fin) for r in days.where("d = '2024-01-19' and member = 'H1'").collect()) == [(1, False), (2, True)]
     last = H.last_n_sums(events, ["member"], "d", ["grp"], ["grp", "member"], 1, {"hits": one_if("hit").cast("long")})
     assert {(r.grp, r.member): (r.last_n_count, r.hits) for r in last.collect()} == {("R1", "H1"): (0, 0), ("R1", "H2"): (0, 0), ("R2", "H1"): (1, 1), ("R2", "H2"): (1, 1), ("R3", "H1"): (1, 0), ("R3", "H2"): (1, 1)}
 
 
+def test_last_n_of_days(spark):
+    rows = [(1, "x", 1, 1.0), (2, "x", 1, 2.0), (3, "x", 2, 3.0), (4, "x", 2, None), (5, "x", 5, 5.0), (6, "y", 3, 6.0), (7, None, 3, 7.0)]
+    events = spark.createDataFrame([(i, m, date(2024, 1, d), v) for i, m, d, v in rows], "id long, member string, d date, v double")
+    held = lambda df: {(r.member, r.d.day): sorted(zip(r.n, r.v, strict=True)) for r in df.groupBy("member", "d").agg(F.collect_list("recency").alias("n"), F.collect_list(F.coalesce("v", F.lit(-1.0))).alias("v")).collect()}
+    assert held(H.last_n_of_days(events, ["member"], "d", ["id"], 3, ["v"])) == {("x", 2): [(1, 2.0), (2, 1.0)], ("x", 5): [(1, -1.0), (2, 3.0), (3, 2.0)]}
+    # Only events with a value count, but all days ask, also one without events before it or of its own.
+    asked = events.select("member", "d").union(spark.createDataFrame([("x", date(2024, 1, 3)), ("z", date(2024, 1, 3))], "member string, d date"))
+    assert held(H.last_n_of_days(events.where("v is not null"), ["member"], "d", ["id"], 2, ["v"], asked)) == {("x", 2): [(1, 2.0), (2, 1.0)], ("x", 3): [(1, 3.0), (2, 2.0)], ("x", 5): [(1, 3.0), (2, 2.0)]}
+
+
 def test_same_day_events_do_not_see_each_other(spark):
     rows = [("a", "x", date(2024, 1, 1)), ("b", "x", date(2024, 1, 1)), ("c", "x", date(2024, 1, 2)), ("d", None, date(2024, 1, 2))]
     events = spark.createDataFrame(rows, "grp string, member string, d date")
