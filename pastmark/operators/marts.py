@@ -68,6 +68,46 @@ def share_of_total(df: DataFrame, dims: Sequence[str], amount: str, within: Sequ
     return sums.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy(*within)))
 
 
+def _places(members: DataFrame, group: str, rank: str) -> DataFrame:
+    return members.groupBy(group).agg(*(F.count_if(F.col(rank) == k).alias(f"r{k}") for k in (1, 2, 3)))
+
+
+def tied_counts(members: DataFrame, group: str, rank: str) -> DataFrame:
+    """(group, pool, expected): how many combinations win in a pool by the members on ranks 1 to 3. With ties a rank is
+    skipped: two first leave no second, and fill its place."""
+    a, b, c = F.col("r1"), F.col("r2"), F.col("r3")
+    two, placed = lambda n: (n * (n - 1) / 2).cast("long"), a + b + c
+    expected = {
+        "WIN": a, "QNL": F.when(b == 0, two(a)).otherwise(a * b), "EXA": F.when(b == 0, a * (a - 1)).otherwise(a * b), "QPL": two(placed),
+        "TLA": F.when(b == 0, two(a) * c).when(c == 0, a * two(b)).otherwise(a * b * c), "TRI": F.when(b == 0, a * (a - 1) * c).when(c == 0, a * b * (b - 1)).otherwise(a * b * c),
+    }
+    return _places(members, group, rank).select(group, *(x.cast("long").alias(p) for p, x in expected.items())).unpivot(group, list(expected), "pool", "expected")
+
+
+def winning_sets(members: DataFrame, group: str, rank: str) -> DataFrame:
+    """(group, pool, paid): the same counts another way: every choice of ranks a combination can have, times the ways to
+    fill it from the members on these ranks. The order of a combination is one of ranks that do not fall."""
+    n = {k: F.col(f"r{k}") for k in (1, 2, 3)}
+
+    def ways(ranks: tuple[int, ...], ordered: bool) -> Column:
+        out = F.lit(1).cast("long")
+        for k in set(ranks):
+            m = ranks.count(k)
+            for i in range(m):
+                out = out * F.greatest(n[k] - i, F.lit(0))
+            out = out if ordered or m < 2 else out / 2
+        return out
+
+    # A choice of ranks wins when no better rank is left open: the second place is of rank 2, or of rank 1 if two tied.
+    none2, none3 = n[2] == 0, n[3] == 0
+    pools = {
+        "WIN": [((1,), F.lit(True))], "QNL": [((1, 2), F.lit(True)), ((1, 1), none2)], "EXA": [((1, 2), F.lit(True)), ((1, 1), none2)], "QPL": [((i, j), F.lit(True)) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j],
+        "TLA": [((1, 2, 3), F.lit(True)), ((1, 1, 3), none2), ((1, 2, 2), none3)], "TRI": [((1, 2, 3), F.lit(True)), ((1, 1, 3), none2), ((1, 2, 2), none3)],
+    }
+    sums = {p: sum((F.when(cond, ways(ranks, p in ("EXA", "TRI"))).otherwise(0) for ranks, cond in choices), F.lit(0)) for p, choices in pools.items()}
+    return _places(members, group, rank).select(group, *(x.cast("long").alias(p) for p, x in sums.items())).unpivot(group, list(sums), "pool", "paid")
+
+
 def pareto_front(metrics: DataFrame, key: str, more_is_better: Sequence[str], less_is_better: Sequence[str]) -> DataFrame:
     """`metrics` with `on_front`: no other row is at least as good in all and better in one. For small aggregates."""
     m, o = metrics.alias("m"), metrics.alias("o")

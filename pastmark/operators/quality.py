@@ -41,6 +41,13 @@ def issues(broken: DataFrame, rule: str, severity: str, key: Column, value: Colu
     return broken.select(F.md5(F.concat_ws("|", F.lit(rule), key)).alias("issue_id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), key.alias("issue_key"), value.cast("string").alias("issue_value"))
 
 
+def sourced_issues(broken: DataFrame, rule: str, severity: str, source: str, message: str, row_id: Column, key: Column, value: Column) -> DataFrame:
+    """Issues with the table they come from, the row (NULL for groups of rows) and what is wrong."""
+    key = key.cast("string")
+    out = [F.md5(F.concat_ws("|", F.lit(rule), F.coalesce(row_id, key))).alias("issue_id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(source).alias("source"), row_id.alias("row_id"), key.alias("issue_key"), value.cast("string").alias("issue_value"), F.lit(message).alias("message")]
+    return broken.select(*out)
+
+
 def issue_table(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
