@@ -7,8 +7,10 @@ sets with the probability of their Jaccard similarity. Values are cut to 16 bits
 Copies with equal sets first collapse to their smallest id. In every bucket, chunks of bounded size propose the edges
 of a maximum spanning forest by signature agreement; proposals are confirmed on full sets; confirmed links give
 components. Where a bucket still holds several components, all pairs of different components whose signatures are not
-clearly apart are confirmed in place, each pair once, in blocks, and only links leave it. So a group of near copies is joined through few links and
-no link between different components is left out, but for the miss probability of the bands.
+clearly apart are confirmed in place, each pair once, in blocks, and only links leave it. Blocks are made by component:
+a large one has blocks of its own, which never meet each other. So a group of near copies is joined through few links,
+one that has become one component costs its other members only, and no link between different components is left out,
+but for the miss probability of the bands.
 """
 
 from __future__ import annotations
@@ -50,20 +52,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[bytes], memo: dict[bytes, int], size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words than `size` are one shingle, none gives none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    word = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    many = max(1, len(word) - size + 1)
-    out = np.full(many, min(len(word), size), np.uint64)
-    for i in range(min(size, len(word))):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + word[i : i + many])
-    return np.unique(out)
+def word_memo() -> common.Memo:
+    return common.Memo(xxhash.xxh3_64_intdigest)
 
 
-def word_memo() -> dict[bytes, int]:
-    return common.Memo(xxhash.xxh3_64_intdigest)
+def shingle_hashes(texts: pa.Array, memo: common.Memo, size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles; fewer words than `size` are one shingle, none
+    gives none. A-Z count as lower case."""
+    said = common.Words.of(texts, lower=True)
+    word = said.each(memo, np.uint64)[said.index]
+    n_whole = max(0, len(word) - size + 1)
+    whole = np.full(n_whole, size, np.uint64)
+    for i in range(size):
+        whole = _mixed(whole * np.uint64(0x9E3779B97F4A7C15) + word[i : i + n_whole])
+    for lo, hi in zip(said.starts[:-1].tolist(), said.starts[1:].tolist(), strict=True):
+        if hi - lo >= size:
+            yield np.unique(whole[lo : hi - size + 1])
+        elif lo == hi:
+            yield np.empty(0, np.uint64)
+        else:
+            out = np.full(1, hi - lo, np.uint64)
+            for w in word[lo:hi]:
+                out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + w)
+            yield out
 
 
 class MinMax:
@@ -101,19 +112,16 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]):
         memo, hasher = word_memo(), MinMax(threshold)
         for batch in common.sliced(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(ids), 2000):
-                rows: list[list] = [[] for _ in SIGNATURES]
-                for doc, text in zip(ids[lo : lo + 2000], texts[lo : lo + 2000], strict=True):
-                    shingles = shingle_hashes(common.words(text), memo)
-                    row = (doc, len(shingles), None, None, None, None)
-                    if len(shingles):
-                        key, signature = xxhash.xxh3_128_digest(shingles.tobytes()), hasher.signature(shingles)
-                        halves = (int.from_bytes(key[:8], signed=True), int.from_bytes(key[8:], signed=True))
-                        row = (doc, len(shingles), *halves, hasher.buckets(signature), signature.tobytes())
-                    for column, value in zip(rows, row, strict=True):
-                        column.append(value)
-                yield common.record_batch(SIGNATURES, *rows)
+            rows: list[list] = [[] for _ in SIGNATURES]
+            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_hashes(batch.column(1), memo), strict=True):
+                row = (doc, len(shingles), None, None, None, None)
+                if len(shingles):
+                    key, signature = xxhash.xxh3_128_digest(shingles.tobytes()), hasher.signature(shingles)
+                    halves = (int.from_bytes(key[:8], signed=True), int.from_bytes(key[8:], signed=True))
+                    row = (doc, len(shingles), *halves, hasher.buckets(signature), signature.tobytes())
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+            yield common.record_batch(SIGNATURES, *rows)
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, buckets array<long>, signature binary")
@@ -125,10 +133,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         memo = word_memo()
         for batch in common.sliced(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(ids), 1000):
-                sets = [shingle_hashes(common.words(t), memo).tobytes() for t in texts[lo : lo + 1000]]
-                yield common.record_batch(SETS, ids[lo : lo + 1000], sets)
+            yield common.record_batch(SETS, batch.column(0), [x.tobytes() for x in shingle_hashes(batch.column(1), memo)])
 
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
@@ -210,26 +215,27 @@ def spanning_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def crossing_links(members: DataFrame, threshold: float) -> DataFrame:
-    """From (bucket, left, right, block, doc_id, component, signature, shingles): per bucket and pair of blocks, links
-    between different components. Pairs whose signatures may reach the threshold are confirmed on full sets at once,
-    in the first band that both share only; what is linked already is not looked at again."""
+    """From (bucket, pair, side, doc_id, component, signature, shingles): per bucket and pair of blocks, links between
+    different components of its side 0 and side 1, or of all its rows (side 2: one block). Pairs whose signatures may
+    reach the threshold are confirmed on full sets at once, in the first band that both share only; what is linked
+    already is not looked at again."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]):
         hasher = MinMax(threshold)
 
         def found():
-            for (bucket, left, right), rows in _runs(batches, 3):
-                block, ids, comps, sigs, sets = zip(*((r[3:]) for r in rows), strict=True)
-                block, comps = np.array(block), np.array(comps)
+            for (bucket, _), rows in _runs(batches, 2):
+                side, ids, comps, sigs, sets = zip(*((r[2:]) for r in rows), strict=True)
+                side, comps = np.array(side), np.array(comps)
                 sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
                 size = np.array([len(s) // 8 for s in sets])
                 band = hasher.banded(sig)
                 own = next(i for i, x in enumerate(hasher.buckets(sig[0])) if x == bucket)
                 need = least_agreement(threshold, sig.shape[1]) * sig.shape[1]
-                for i in np.flatnonzero(block == left):
-                    js = np.flatnonzero((block == right) & (comps != comps[i]))
-                    js = js[js > i] if left == right else js
+                for i in np.flatnonzero(side != 1):
+                    js = np.flatnonzero((side != 0) & (comps != comps[i]))
+                    js = js[js > i] if side[i] == 2 else js
                     js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
                     same = (sig[js] == sig[i]).sum(axis=1)
                     js, same = js[same >= need], same[same >= need]
@@ -251,13 +257,36 @@ def _components(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
+def block_pairs(placed: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """From (bucket, doc_id, component, own_bytes): (bucket, pair, side, doc_id, component), each row once for every pair
+    of blocks that its block is in. Blocks hold about `block` rows and `block_bytes` bytes; components larger than that
+    have blocks of their own, which are not paired with each other."""
+    n_blocks = lambda m, b: F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(b) / block_bytes)).cast("long")
+    of = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("own_bytes").alias("b"))
+    of = of.withColumn("own", n_blocks("m", "b"))
+    pool = of.where("own = 1").groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).select("bucket", n_blocks("m", "b").alias("pool"))
+    of = of.join(pool, "bucket", "left").select("bucket", "component", "own", "pool")
+    alone = F.col("own") > 1
+    number = F.when(alone, F.pmod(F.xxhash64("bucket", "doc_id"), "own")).otherwise(F.pmod(F.xxhash64("bucket", "component"), "pool"))
+    at = F.struct(F.when(alone, F.col("component")).alias("owner"), number.alias("number"))
+    rows = placed.select("bucket", "doc_id", "component").join(of, ["bucket", "component"]).select("bucket", "doc_id", "component", at.alias("at"))
+    blocks = rows.select("bucket", "at").distinct()
+    left, right = blocks.withColumnRenamed("at", "left"), blocks.withColumnRenamed("at", "right")
+    pairs = left.join(right, "bucket").where(F.col("left") <= F.col("right")).where("left.owner is null or right.owner is null or left.owner <> right.owner")
+    pairs = pairs.withColumn("pair", F.xxhash64("left", "right"))
+    same = F.col("left") == F.col("right")
+    uses = pairs.select("bucket", "pair", F.col("left").alias("at"), F.when(same, 2).otherwise(0).alias("side")).union(pairs.where(~same).select("bucket", "pair", F.col("right").alias("at"), F.lit(1).alias("side")))
+    return rows.join(uses, ["bucket", "at"]).select("bucket", "pair", "side", "doc_id", "component")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reached by links, itself included) and kept.
 
     Documents without words have n_shingles 0 and are linked with nothing; fewer than five words are one shingle.
     Equal texts and other texts of equal sets are linked like any. Rows with a null id are kept, with a null
     component. Rows that repeat an id share its component and are all kept or all dropped; if their texts differ, each
-    takes part. An empty table gives an empty result. Links are exact on full sets (64-bit shingle hashes).
+    takes part. Very long texts are read whole. An empty table gives an empty result. Further columns of any name are
+    not looked at and not returned. Links are exact on full sets (64-bit shingle hashes).
     """
     base = common.saved(signatures(docs, threshold, id_col, text_col))
     sets_known = base.where("doc_id is not null and n_shingles > 0")
@@ -283,13 +312,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     component = common.saved(_components(involved, links))
 
     placed = members.where("n > 2").join(component, "doc_id").join(sets.select("doc_id", F.length("shingles").alias("own_bytes")), "doc_id")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum("own_bytes").alias("bytes")).where("low <> high")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
-    block = F.when(blocks > 1, F.pmod(F.xxhash64("bucket", "doc_id"), blocks)).otherwise(0).cast("long")
-    crossing = placed.join(mixed.select("bucket", "m", "bytes"), "bucket").withColumn("block", block).withColumn("blocks", blocks).join(signature, "doc_id").join(sets, "doc_id")
-    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    crossing = crossing.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "component", "signature", "shingles")
-    crossing = crossing.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "doc_id")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    placed = common.saved(placed.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component", "own_bytes"))
+    crossing = block_pairs(placed).join(signature, "doc_id").join(sets, "doc_id").select("bucket", "pair", "side", "doc_id", "component", "signature", "shingles")
+    crossing = crossing.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "doc_id")
     more = crossing_links(crossing, threshold)
     merged = common.connected_components(links.union(more))
 
