@@ -110,20 +110,75 @@ def test_near_dedup(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_near_dedup_of_a_drifting_group(spark):
+def drifting(n):
+    """Texts of which each differs a little from the one before, so near copies are linked in chains."""
     random = np.random.default_rng(4)
     text = [f"w{random.integers(50)}x{k}" for k in range(120)]
     rows = []
-    for i in range(400):
+    for i in range(n):
         if random.random() < 0.5:
             text[random.integers(len(text))] = f"e{i}"
         rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_near_dedup_of_a_drifting_group(spark):
+    rows = drifting(200)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for percent in (80, 85):
         out = near_dedup.near_duplicates(frame, percent / 100).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(rows, percent)
 
 
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    rows = drifting(200)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "block_pairs", lambda placed, block_pairs=near_dedup.block_pairs: block_pairs(placed, 16))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(rows, 85)
+
+
+def test_near_dedup_of_a_bucket_over_many_blocks(spark):
+    """More near copies in a bucket than a block holds: one large group, and templates that are near but not linked."""
+    random = np.random.default_rng(7)
+    common_words = [f"c{k}" for k in range(100)]
+    rows = [(i, " ".join([*common_words, f"x{i}"])) for i in range(1100)]
+    for i in range(1100, 1400):
+        own = list(common_words)
+        for k in random.choice(100, 3, replace=False):
+            own[k] = f"y{i}"
+        rows.append((i, " ".join(own)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()
+    sets = [brute.shingles(t) for _, t in rows]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    holds = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        holds[i, [number[y] for y in x]] = 1
+    both, size = holds @ holds.T, holds.sum(axis=1)
+    linked = 100 * both >= 85 * (size[:, None] + size - both)
+    low = np.arange(len(rows))
+    while (new := np.where(linked, low, len(rows)).min(axis=1)).tolist() != low.tolist():
+        low = new
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(x), c) for i, (x, c) in enumerate(zip(sets, low.tolist(), strict=True))}
+
+
+def test_blocks_of_one_component_never_meet(spark):
+    rows = [(1, i, 0, 100) for i in range(300)] + [(1, 1000 + i, 1000 + i, 100) for i in range(20)] + [(2, i, i % 2, 100) for i in range(40)]
+    out = near_dedup.block_pairs(spark.createDataFrame(rows, "bucket long, doc_id long, component long, own_bytes long"), 32).collect()
+    members = {}
+    for r in out:
+        members.setdefault((r.bucket, r.pair), []).append(r)
+    met = set()
+    for (bucket, _), own in members.items():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if a.component != b.component and (a.side == 2 or {a.side, b.side} == {0, 1}):
+                    met.add((bucket, *sorted((a.doc_id, b.doc_id))))
+    comp = {(b, i): c for b, i, c, _ in rows}
+    assert met == {(b, *sorted((i, j))) for b, i, c, _ in rows for b2, j, c2, _ in rows if b == b2 and i < j and comp[b, i] != comp[b, j]}
+    assert len(out) < 320 * 2 + 40 * 3 + 20 * 12  # linear in the large component, not its blocks squared
+
+
 def test_min_max_signatures_are_unbiased():
     random = np.random.default_rng(2)
     hasher, a, b = near_dedup.MinMax(0.8), [], []
@@ -156,12 +211,55 @@ def test_mixing(docs, none, spark):
     assert mixing.taken(laid, mixed).count() == 0 and mixing.mixed_documents(none).count() == 0
     parts = mixing.mixed_documents(docs).collect()
     whole = {(i, t) for i, t, _ in TEXTS}
-    assert all((r.doc_id, r.text) in whole or len(brute.words(r.text)) < 36_000 for r in parts)
+    words_of = {}
+    for i, t, _ in TEXTS:
+        words_of[i] = words_of.get(i, Counter()) | Counter(brute.words(t))
+    assert any((r.doc_id, r.text) in whole for r in parts) and all(r.text and not Counter(brute.words(r.text)) - words_of[r.doc_id] for r in parts)
     assert sum(len(brute.words(r.text)) for r in parts) == sum(r.taken for r in out)
     order = spark.range(257).select(mixing.permuted(F.col("id"), F.lit(257), F.lit(1)).alias("x"))
     assert sorted(r.x for r in order.collect()) == list(range(257))
 
 
+def test_mixing_of_one_id_under_two_sources(spark):
+    schema = "doc_id long, text string, source string, mark long, extra map<string,int>"
+    rows = [(1, "t " * 50, "A", 1, None), (1, "t " * 50, "B", 2, None), (1, "t " * 50, "B", 3, {"a": 1}), (1, "t " * 50, "B", 3, {"a": 1}), (None, "u " * 40, None, 4, None), (None, "u " * 40, None, 4, None)]
+    frame = spark.createDataFrame(rows, schema)
+    laid, mixed = mixing.mix(frame)
+    out = mixing.taken(laid, mixed).collect()
+    assert Counter((r.doc_id, r.key) for r in out) == {(1, "=A"): 1, (1, "=B"): 3, (None, ""): 2}
+    parts = mixing.mixed_documents(frame).collect()
+    takes, words_out = Counter(), Counter()
+    for r in out:
+        takes[r.key] += r.taken
+    for r in parts:
+        words_out[mixing_key(r.source)] += len(brute.words(r.text))
+    assert takes == words_out and {"=A", "=B", ""} == set(takes)
+    assert {(r.source, r.mark) for r in parts} == {(r[2], r[3]) for r in rows}
+    again = mixing.mixed_documents(frame.repartition(3)).collect()
+    assert Counter(map(str, parts)) == Counter(map(str, again))
+
+
+def mixing_key(source):
+    return "" if source is None else f"={source}"
+
+
+def test_shards_draw_multinomial_counts(spark):
+    draws = [40_000, 20_000, 10_000, 500, 0]
+    targets = spark.createDataFrame([(f"={k}", k, n, n // 2 + 1) for k, n in enumerate(draws)], "key string, rank long, draws long, blocks long")
+    slots = mixing.drawn_slots(targets, 3).toPandas()
+    assert sorted(slots["slot"]) == list(range(sum(draws)))
+    for k, n in enumerate(draws):
+        assert sorted(slots[slots["key"] == f"={k}"]["j"]) == list(range(n))  # totals meet the targets
+    whole = slots[slots["shard"] < sum(draws) // mixing.SHARD_SLOTS]
+    counts = whole.groupby(["shard", "key"]).size().unstack(fill_value=0)
+    assert (counts.sum(axis=1) == mixing.SHARD_SLOTS).all()
+    for k, n in enumerate(draws[:4]):
+        p = n / sum(draws)
+        var = mixing.SHARD_SLOTS * p * (1 - p)
+        chi = ((counts[f"={k}"] - mixing.SHARD_SLOTS * p) ** 2 / var).sum() / len(counts)
+        assert 0.6 < chi < 1.5  # as a multinomial draw spreads; counts of a fixed total over few slots would not
+
+
 def test_packing(docs, none):
     from pastmark.llm.queries import tokens
 
@@ -171,12 +269,46 @@ def test_packing(docs, none):
     total = Counter(r.doc_id for r in out if r.start == 0)
     assert total == Counter(i for i, _, _ in TEXTS)
     special = next(r for r in out if r.doc_id == 14 and r.start == 0)
-    assert np.frombuffer(special.ids, "<u4")[0] == 50256 or special.length < 3
+    assert np.frombuffer(special.ids, "<u4")[0] == 50256
     assert packing.pack(none, tokens()).count() == 0
     joined = packing.sequences(packing.pack(docs, tokens()))
     assert all(len(r.ids) == 4 * r.sequence_length for r in joined.collect())
 
 
+def test_packing_of_long_runs_of_blanks(spark):
+    import public_tokenizers
+    from pastmark.llm.queries import tokens
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, " " * 1_000_000), (2, "\t" * 1_000_000), (3, "\xa0" * 1_000_000), (4, "a" + " " * 1_000_000 + "b"), (5, "x\n" * 10 + "\n" * 900_000 + "y <|endoftext|>")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokens()).toPandas()
+    for i, text in rows:
+        own = out[out["doc_id"] == i].sort_values("start")
+        ids = np.concatenate([np.frombuffer(x, "<u4") for x in own["ids"]])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_step_groups_are_balanced(spark):
+    rows = [(i, "some words to pack " * (1 + i * 7919 % 61)) for i in range(6000)]
+    from pastmark.llm.queries import tokens
+
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), tokens()).toPandas()
+    for length, of in out.drop_duplicates("sequence_id").groupby("sequence_length"):
+        sizes = of.groupby("step_id").size()
+        assert sizes.max() - sizes.min() <= 1 and sizes.max() * length <= packing.STEP_TOKENS
+    assert out.groupby("step_id")["sequence_length"].nunique().max() == 1 and out["step_id"].nunique() > 3
+
+
+def test_packer_takes_tiers_in_turn():
+    packer = packing.Packer(1)
+    for i, n in enumerate([600, 400, 100, 30]):
+        packer.add(i, np.arange(n, dtype=np.uint32))
+    packer.finish()
+    assert [(r[0], r[2], r[7]) for r in packer.rows[:2]] == [(0, 600, 1024), (1, 400, 1024)]  # the gap of 424 takes the rest of 400
+    assert {r[7] for r in packer.rows} <= {1 << k for k in range(11)}
+
+
 def test_quality_rules(docs, none):
     out = quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
     assert as_bag(out) == as_bag((i, *brute.quality_counts(t)) for i, t, _ in TEXTS)
@@ -202,18 +334,36 @@ def test_topk(spark, none):
         score = x @ x[ids.index(q)]
         best = sorted((-s, i) for s, i in zip(score.tolist(), ids, strict=True) if i != q)[:3]
         assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert topk.top_k(v.limit(0), v).count() == 0
+    assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
 def test_impact_index_stops_early_and_is_exact():
     random = np.random.default_rng(6)
-    x = (random.standard_normal((3000, 24)) * 1024 * random.random((3000, 1)) ** 3).astype(np.int64)
-    index = topk.ImpactIndex(np.arange(3000), x)
-    for q in range(0, 3000, 300):
-        ids, scores = index.search(x[[q, 5]], 10, [q, None])[0]
-        truth = x @ x[q]
-        truth[q] = -(2**62)
-        assert ids.tolist() == np.lexsort((np.arange(3000), -truth))[:10].tolist() and (scores == truth[ids]).all()
+    spread = random.standard_normal((3000, 64))
+    peaked = random.standard_normal((3000, 24)) * random.random((3000, 1)) ** 3
+    for x, read in ((spread / np.linalg.norm(spread, axis=1)[:, None], 0.8), (peaked, 0.6)):
+        x = np.floor(1024 * x)
+        index, shares = topk.ImpactIndex(np.arange(3000), x), []
+        for q in range(0, 3000, 300):
+            for skip in (q, None):
+                rows, ids, scores, share = index.search(x[q], 10, skip)
+                truth = x @ x[q]
+                if skip is not None:
+                    truth[q] = -(2.0**62)
+                assert ids.tolist() == rows.tolist() == np.lexsort((np.arange(3000), -truth))[:10].tolist() and (scores == truth[ids]).all()
+                shares.append(share)
+        assert max(shares) < 1 and np.mean(shares) < read  # every query stopped on proof
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1.0, 2.0]), (2, [-1e300, 5.0]), (3, [3e12, 7e12]), (100, [2e12, 5e12]), (4, [1e306, 0.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert 4 not in {r.id for r in v.collect()}  # 1024 times that is not finite
+    out = {(r.query_id, r.vec_id): r.score for r in topk.top_k(v, v.where("id in (0, 100)"), 10).collect()}
+    whole = {i: [int(1024 * c) for c in x] for i, x in rows if i != 4}
+    assert len(out) == 8
+    for (q, i), score in out.items():
+        assert score == min(max(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), -(2**63)), 2**63 - 1)
 
 
 def test_models(spark, docs, none):
@@ -226,5 +376,74 @@ def test_models(spark, docs, none):
     assert quality_model.fit(none, labels, F.col("quality"), 3).score(docs).count() == len(TEXTS)
 
 
+def test_toxicity_features_by_hand():
+    import pyarrow as pa
+
+    lexicon = {"=idiot": (3, 2, 0, 1), "idio": (1, 1, 1, 1), "=awful": (2, 0, 0, 0)}
+    memo = common.Memo(toxicity.Coder(lexicon))
+    text = "You IDIOT! awful\nidiotic, 1d10t one two three"
+    a, b, empty = toxicity.feature_rows(pa.array([text, text, None]), np.array([0, 1, 0]), memo)
+    n = 8
+    # said: You; idiot, awful and 1d10t (letters idiot) whole; idio begins idiot, idiotic and 1d10t
+    assert a[0] == pytest.approx(np.log1p(n)) and a[1] == 1 / n and a[2] == 1 / n  # one second person, one odd spelling
+    assert a[3:12] == pytest.approx([3 / n, np.log1p(3), 3 / n, 3 / n, np.log1p(3), 3 / n, 2 / n, np.log1p(2), 2 / n])  # all of them within four words of You
+    assert b[3] == pytest.approx(2 / n) and b[9] == 0  # the lexicon without the first third: idiot is of tier 2
+    assert a[12] == pytest.approx(3 / n) and a[15] == 0
+    raw = text.encode()
+    assert a[21:] == pytest.approx([6 / sum(c.isalpha() for c in text), 1 / len(raw), 1 / len(raw), 1 / len(raw), 1.0, (len(raw) - n) / n])
+    assert empty.tolist() == [0.0] * len(a)
+    assert toxicity.letters(toxicity.core("«1d10t!»")) == "idiot" and toxicity.terms(b"Ab") == ("=ab",)
+
+
+def test_toxicity_learns_its_lexicon(spark):
+    rows = [(i, f"vile w{i} thing" if i % 4 == 0 else f"kind w{i} thing", int(i % 4 == 0)) for i in range(400)]
+    sample = toxicity.with_group(spark.createDataFrame(rows, "doc_id long, text string, label long"))
+    lexicon, dropped = toxicity.learn_lexicon(sample)
+    # vile is in all 100 toxic and no other document: (100 - 100 / 4) / sqrt(100 / 4 * 3 / 4) deviations
+    assert lexicon == {"=vile": (3, 3, 3, 3), "vile": (3, 3, 3, 3)} and dropped == 0
+    assert toxicity.learn_lexicon(sample, 1) == ({"=vile": (3, 3, 3, 3)}, 1)
+
+
+def test_samples_take_each_id_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (None, "x"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1), (4, 1)], "doc_id long, toxic int")
+    out = toxicity.labelled_sample(docs, labels, F.col("toxic"), 100).collect()
+    assert {(r.doc_id, r.text, r.label) for r in out} == {(i, t, y) for i, t, y in ((1, "a", 1), (2, None, 1), (3, "c", 0)) if not brute.held_out(i)}
+
+
+def test_ordinal_slopes_are_those_of_the_loss():
+    random = np.random.default_rng(8)
+    scores, theta, grades = random.standard_normal(50), np.array([-0.7, 0.1, 1.3]), random.integers(0, 4, 50)
+    _, by_score, by_theta = quality_model.loss_slopes(scores, theta, grades)
+    step = 1e-6
+    loss = lambda s, t: quality_model.loss_slopes(s, t, grades)[0]
+    assert np.allclose(by_score, (loss(scores + step, theta) - loss(scores - step, theta)) / (2 * step), atol=1e-6)
+    for j in range(3):
+        move = step * (np.arange(3) == j)
+        assert np.allclose(by_theta[:, j], (loss(scores, theta + move) - loss(scores, theta - move)) / (2 * step), atol=1e-6)
+
+
+def test_ordinal_fit_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{'good' if i % 2 else 'poor'}{k} w{i}" for k in range(20))) for i in range(200)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    full = quality_model.fit(docs, ratings, F.col("quality"), 2)
+    part = quality_model.fit(docs, ratings, F.col("quality"), 2, max_bytes=20_000)
+    assert 0 < (part.weights != 0).sum() < (full.weights != 0).sum()
+    assert (quality_model.fit(docs, ratings, F.col("quality"), 2, max_bytes=0).weights == 0).all()
+
+
+def test_sessions_on_a_cluster_need_a_shared_folder(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_checkpoints(Session)
+
+
 def test_digest_of_nothing():
     assert brute.secrets(None)[3] == hashlib.sha256(b"").hexdigest()

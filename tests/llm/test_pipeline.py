@@ -62,3 +62,35 @@ def test_stages(spark, tmp_path):
 
 def test_run_gives_packed_rows(spark):
     assert corpus_pipeline.run(spark, SF.replace('0.01', '0.001')).count() > 100
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, texts without words, further columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mark long, row string, features string"
+    line = "one fine and rather long line that comes in many documents"
+    rows = [
+        (1, None, "en", "a", 0, 1, "r", "f"), (2, "", None, "a", 0, 1, "r", "f"), (3, " \n\t", "en", None, 3, 1, None, None), (None, f"{line}\nalone", "en", "a", None, 1, "r", "f"), (None, None, None, None, None, None, None, None),
+        (4, f"{line}\nx y z", "en", "a", 1, 1, "r", "f"), (5, f"{line}\nx y z", "en", "b", 1, 1, "r", "f"), (6, f"{line}\nu v", "en", "b", 1, 1, "r", "f"),
+        (7, "six words that are said twice", "en", "b", 1, 1, "r", "f"), (7, "six words that are said twice", "en", "b", 1, 1, "r", "f"), (7, "another text of the same id", "en", "c", 1, 1, "r", "f"), (8, "six words that are said twice", "en", "b", 1, 1, "r", "f"),
+        (9, "long " * 40_000, "en", "c", 1, 1, "r", "f"),
+    ]
+    labels = "/root/testdata/sf0.001"
+    for frame, empty in ((spark.createDataFrame(rows, schema), False), (spark.createDataFrame([], schema), True)):
+        docs, kept = frame, [frame.collect()]
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{empty}{i}")
+            stage(spark, docs, labels).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert i == 4 or docs.columns == frame.columns
+            kept.append(docs.collect())
+        if empty:
+            assert not any(kept)
+            continue
+        key = lambda r: (r.doc_id, r.text, r.source)
+        assert Counter(map(key, kept[1])) == Counter(map(key, kept[0]))  # none is toxic
+        want = [(r.doc_id, t) for r, (_, _, t) in zip(kept[1], brute.line_dedup([(r.doc_id, r.text) for r in kept[1]]), strict=True)]
+        assert Counter((r.doc_id, r.text or "") for r in kept[2]) == Counter(want)
+        left = Counter(r.doc_id for r in kept[3])
+        assert left[8] == 0 and left[7] == 2 and left[None] == 2 and left[1] == left[2] == left[3] == left[9] == 1
+        assert {r.doc_id for r in kept[4]} <= {None, 4, 5, 6, 7, 9} and all(brute.words(r.text) for r in kept[4])
+        assert sum(r.length for r in kept[5]) == sum(r.doc_tokens for r in kept[5] if r.start == 0)
