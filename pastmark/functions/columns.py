@@ -16,8 +16,8 @@ def blank_to_null(c: Column, unknown: str | None = None) -> Column:
 
 
 def parse_int(c: Column) -> tuple[Column, Column]:
-    """(value, valid) of a whole number in text; anything else is NULL and not valid."""
-    value = F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("int"))
+    """(decimal(38,0), valid) of a whole number in text; anything else is NULL and not valid."""
+    value = F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("decimal(38,0)"))
     return value, value.isNotNull()
 
 
@@ -57,6 +57,11 @@ def split_seconds(by_difference: Column, total: Column, passed: Column, direct:
     return F.when(by_difference, total - passed).otherwise(direct)
 
 
+def mapping_label(by_difference: Column) -> Column:
+    """Which way `split_seconds` has gone, for the lineage of a row."""
+    return F.when(by_difference, "TOTAL_LESS_PASSED").otherwise("DIRECT")
+
+
 def composite_key(*parts: Column, sep: str = "|") -> Column:
     """NULL if any part is NULL."""
     return reduce(lambda a, b: F.concat(a, F.lit(sep), b), parts)

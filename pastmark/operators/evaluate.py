@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
+from pastmark.operators.relative import numbered_values
 from pastmark.operators.state import saved
 
 
@@ -59,11 +60,11 @@ def confusion(preds: DataFrame, thresholds: Sequence[float], y: str = "y", p: st
 
 
 def score_curve(preds: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """(by, p, pos, neg, tp, fp): counts per distinct score and running counts from the highest. The window runs over
-    distinct scores of a segment."""
-    n = preds.groupBy(*by, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    return n.select(*by, F.col(p).alias("p"), "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    """(by, p, pos, neg, tp, fp): counts per distinct score and running counts from the highest; ranges of scores are
+    summed apart, so no segment is in one task."""
+    counted = preds.select(*by, (-F.col(p)).alias("__down"), F.when(F.col(y) == 1, 1).otherwise(0).cast("long").alias("pos"), F.when(F.col(y) == 0, 1).otherwise(0).cast("long").alias("neg"))
+    n = numbered_values(counted, "__down", by, ["pos", "neg"])
+    return n.select(*by, (-F.col("__down")).alias("p"), "pos", "neg", (F.col("pos_below") + F.col("pos")).alias("tp"), (F.col("neg_below") + F.col("neg")).alias("fp"))
 
 
 def best_f1(preds: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -96,6 +97,23 @@ def topk_hits(preds: DataFrame, group: str, member: str, ks: Sequence[int] = (1,
     return rows.groupBy("k").agg(F.count("*").alias("n_groups"), F.avg((F.col("h") > 0).cast("int")).alias("any_hit"), F.avg("h").alias("mean_hits"), (F.sum("h") / F.sum("n")).alias("precision"), (F.sum("h") / F.sum("pos")).alias("micro_recall"), F.avg(C.ratio(F.col("h"), F.col("pos"))).alias("macro_recall"))
 
 
+def hit_distribution(preds: DataFrame, group: str, member: str, ks: Sequence[int] = (1, 2, 3), y: str = "y", p: str = "p") -> DataFrame:
+    """(k, hits, n_groups, share): how many groups have so many hits among their first k."""
+    r = ranked(preds, group, member, y, p)
+    g = r.groupBy(group).agg(*(F.count_if((F.col("rank") <= k) & (F.col(y) == 1)).alias(f"h{k}") for k in ks))
+    rows = g.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in ks))).alias("x")).select("x.*")
+    n = rows.groupBy("k", "hits").agg(F.count("*").alias("n_groups"))  # a few rows per k
+    return n.withColumn("share", F.col("n_groups") / F.sum("n_groups").over(Window.partitionBy("k")))
+
+
+def reproduced(stored: DataFrame, again: DataFrame, keys: Sequence[str], metrics: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """(keys, metric, stored, again, difference, same): each stored metric against the one found again; one that either
+    side lacks is not the same."""
+    long = lambda df, name: df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(list(keys), list(metrics), "metric", name)
+    out = long(stored, "stored").join(long(again, "again"), [*keys, "metric"], "full").withColumn("difference", F.abs(F.col("stored") - F.col("again")))
+    return out.withColumn("same", F.coalesce(F.col("difference") <= tolerance, F.lit(False)))
+
+
 def ranking_metrics(preds: DataFrame, group: str, member: str, y: str = "y", p: str = "p") -> DataFrame:
     """One row: NDCG@3, recall@1 and @3, top-1, any hit in 3, mean rank of positives, average precision; groups without
     positives are skipped."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastmark.operators.state import saved
+
 
 def average_rank(x: str, group: Sequence[str], ascending: bool = True) -> Column:
     """Rank from 1; ties share the mean of their ranks. NULL values come last and move no one."""
@@ -26,7 +28,8 @@ def gap_to_median(x: str, group: Sequence[str]) -> Column:
 
 
 def rank_percent_bin(x: str, group: Sequence[str], k: int) -> Column:
-    """1 .. k by rank share, ties together; NULL for NULL values and where all values of the group are equal."""
+    """1 .. k by rank share, ties together; NULL for NULL values and where all values of the group are equal. For groups
+    that one task can sort; `with_rank_bins` is for any."""
     whole = Window.partitionBy(*group)
     share = average_rank(x, group) / F.count(x).over(whole)
     flat = F.min(x).over(whole) == F.max(x).over(whole)
@@ -34,7 +37,50 @@ def rank_percent_bin(x: str, group: Sequence[str], k: int) -> Column:
 
 
 def equal_count_bin(order: Sequence[str], group: Sequence[str], q: int) -> Column:
-    """1 .. q over the sorted rows of a group, cut at equal positions as a quantile cut of 0 .. n - 1 does."""
+    """1 .. q over the sorted rows of a group, cut at equal positions as a quantile cut of 0 .. n - 1 does. For groups
+    that one task can sort; `with_equal_bins` is for any."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return F.greatest(F.lit(1), F.ceil(at * F.lit(q) / F.greatest(n - 1, F.lit(1)))).cast("int")
+
+
+def with_rank_bins(df: DataFrame, x: str, group: Sequence[str], k: int, flat: bool = True) -> DataFrame:
+    """`df` with `bin`, as `rank_percent_bin` gives it; without `flat` also where all values are equal.
+
+    Values are counted first; distinct values are dealt to ranges by quantiles of their group that the data give, and
+    numbered by sums over ranges, so neither a large group nor a hot value is in one task."""
+    at = numbered_values(df.where(F.col(x).isNotNull()), x, group)
+    share = (F.col("__below") + (F.col("__n") + 1) / 2.0) / F.col("__all")
+    varied = F.lit(True) if not flat else F.col("__n") < F.col("__all")
+    bins = at.select(*group, F.col(x).alias("__x"), F.when(varied, F.least(F.ceil(share * k), F.lit(k)).cast("int")).alias("bin"))
+    on = [df[g].eqNullSafe(bins[g]) for g in group]
+    return df.join(bins, [*on, df[x] == bins["__x"]], "left").select(*(df[c] for c in df.columns), bins["bin"])
+
+
+def with_equal_bins(df: DataFrame, order: Sequence[str], group: Sequence[str], q: int) -> DataFrame:
+    """`df` with `bin`, 1 .. q, as `equal_count_bin` gives it, with rows numbered by ranges of their order."""
+    at = numbered_values(df.withColumn("__o", F.struct(*order)), "__o", group)
+    bins = at.select(*(F.col(g).alias(f"__b{i}") for i, g in enumerate(group)), "__o", F.greatest(F.lit(1), F.ceil(F.col("__below") * F.lit(q) / F.greatest(F.col("__all") - 1, F.lit(1)))).cast("int").alias("bin"))
+    on = [F.col(g).eqNullSafe(F.col(f"__b{i}")) for i, g in enumerate(group)]
+    return df.withColumn("__x", F.struct(*order)).join(bins, [*on, F.col("__x") == F.col("__o")]).select(*df.columns, "bin")
+
+
+def numbered_values(df: DataFrame, x: str, group: Sequence[str], weights: Sequence[str] = ()) -> DataFrame:
+    """(group, x, __n, __below, __all, and for each weight its sum of the value and of smaller values): one row per
+    distinct value, with how many rows have it, have smaller ones and are in the group.
+
+    Values are sorted by Spark's range partitioning; running sums inside a partition start from the sums of the
+    partitions before, of which there are few."""
+    sums = [F.count("*").alias("__n"), *(F.sum(w).alias(w) for w in weights)]
+    names = ["__n", *weights]
+    counted = saved(df.groupBy(*group, x).agg(*sums).repartitionByRange(*group, x).withColumn("__p", F.spark_partition_id()))
+    parts = counted.groupBy(*group, "__p").agg(*(F.sum(n).alias(n) for n in names))  # few rows: parts and groups
+    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    offsets = parts.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__p").alias("__part"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__before_{n}") for n in names), F.sum("__n").over(whole).alias("__all"))
+    own = Window.partitionBy(*group, "__p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    rows = counted.select("*", *(F.coalesce(F.sum(n).over(own), F.lit(0)).alias(f"__own_{n}") for n in names))
+    on = [F.col("__p") == F.col("__part"), *(F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group))]
+    out = rows.join(offsets, on)
+    below = {n: (F.col(f"__own_{n}") + F.col(f"__before_{n}")).alias("__below" if n == "__n" else f"{n}_below") for n in names}
+    return out.select(*group, x, *names, *below.values(), "__all")

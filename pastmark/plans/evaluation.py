@@ -32,7 +32,7 @@ def group_losses(spark, sf_dir):
 @register(f"""WITH {PREDS}, b AS (SELECT period, y, p, row_number() OVER (PARTITION BY period ORDER BY p, grp, member) - 1 AS pos, count(*) OVER (PARTITION BY period) AS n FROM preds),
 c AS (SELECT *, CAST(greatest(1, ceil(pos * 10 / greatest(n - 1, 1))) AS INTEGER) AS bin FROM b) SELECT period, bin, count(*) AS n_rows, round(avg(p), 7) AS mean_p, round(avg(y), 7) AS rate FROM c GROUP BY 1, 2""")
 def calibration_bins(spark, sf_dir):
-    x = preds(spark, sf_dir).withColumn("bin", R.equal_count_bin(["p", "grp", "member"], ["period"], 10))
+    x = R.with_equal_bins(preds(spark, sf_dir), ["p", "grp", "member"], ["period"], 10)
     return rounded(x.groupBy("period", "bin").agg(F.count("*").alias("n_rows"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate")), 7)
 
 
@@ -100,7 +100,7 @@ def category_drift(spark, sf_dir):
 @register(f"""WITH {LOSS}, sz AS (SELECT period, n AS seg, brier FROM g), n AS (SELECT seg, count(*) FILTER (period = 'STABLE') AS n0, count(*) FILTER (period = 'SHIFTED') AS n1, avg(brier) FILTER (period = 'STABLE') AS m0, avg(brier) FILTER (period = 'SHIFTED') AS m1 FROM sz GROUP BY 1),
 s AS (SELECT *, n0 / sum(n0) FILTER (n0 > 0 AND n1 > 0) OVER () AS s0, n1 / sum(n1) FILTER (n0 > 0 AND n1 > 0) OVER () AS s1, n0 > 0 AND n1 > 0 AS b FROM n),
 f AS (SELECT sum(n0 * m0) / sum(n0) AS first_mean, sum(n1 * m1) / sum(n1) AS second_mean, sum(0.5 * (s1 - s0) * (m0 + m1)) FILTER (b) AS composition, sum(0.5 * (m1 - m0) * (s0 + s1)) FILTER (b) AS within, sum(s0 * m0) FILTER (b) AS c0, sum(s1 * m1) FILTER (b) AS c1 FROM s)
-SELECT round(first_mean, 8) AS first_mean, round(second_mean, 8) AS second_mean, round(composition, 8) AS composition, round(within, 8) AS within, round(second_mean - first_mean, 8) AS total_change, round(c0 - first_mean, 8) AS first_only, round(second_mean - c1, 8) AS second_only, 0.0::DOUBLE AS residual FROM f""")
+SELECT round(first_mean, 8) AS first_mean, round(second_mean, 8) AS second_mean, round(composition, 8) AS composition, round(within, 8) AS within, round(second_mean - first_mean, 8) AS total_change, round(c0 - first_mean, 8) AS first_only, round(second_mean - c1, 8) AS second_only, round(abs((second_mean - first_mean) - (composition + within + (c0 - first_mean) + (second_mean - c1))), 8) AS residual FROM f""")
 def mix_decomposition(spark, sf_dir):
     g = E.group_losses(preds(spark, sf_dir), ["period", "grp"])
     out = rounded(E.mix_decomposition(g, "n", "period", "STABLE", "SHIFTED", "brier"), 8)
@@ -118,24 +118,45 @@ def folds(spark, sf_dir):
     return preds(spark, sf_dir).withColumn("fold", F.year("d").cast("long")).withColumn("res", F.col("y") - F.col("p")).withColumn("sq", F.col("res") * F.col("res"))
 
 
-@register(f"WITH {FOLDS}, b AS (SELECT *, {_avg_rank_sql('t', 'fold', 'f', 'bin', 5)} FROM f) SELECT fold, bin, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, round(avg(y), 7) AS rate, round(avg(p), 7) AS mean_p, round(avg(res), 7) AS mean_residual, round(avg(sq), 7) AS mean_brier, min(t) AS lowest, round(median(t), 4) AS middle, max(t) AS highest FROM b WHERE bin IS NOT NULL GROUP BY 1, 2")
+#: The features of a prediction's row that residuals are looked at by.
+BINNED = ("t", "rating", "weight", "dist", "venue")
+LONG = FOLDS + f""", u AS (SELECT fold, grp, member, y, p, res, sq, z.m AS feature, z.v AS v FROM (SELECT *, unnest([{", ".join(f"{{'m': '{c}', 'v': CAST({c} AS DOUBLE)}}" for c in BINNED)}]) AS z FROM f))"""
+
+
+def _long_bins(spark, sf_dir, k):
+    """(fold, grp, member, y, p, res, sq, feature, value, bin): a row per feature."""
+    x = folds(spark, sf_dir).select("fold", "grp", "member", "y", "p", "res", "sq", *(F.col(c).cast("double").alias(c) for c in BINNED))
+    long = x.unpivot(["fold", "grp", "member", "y", "p", "res", "sq"], list(BINNED), "feature", "value")
+    return R.with_rank_bins(long, "value", ["fold", "feature"], k)
+
+
+@register(f"WITH {LONG}, b AS (SELECT *, {_avg_rank_sql('v', 'fold, feature', 'u', 'bin', 5)} FROM u) SELECT fold, feature, bin, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, round(avg(y), 7) AS rate, round(avg(p), 7) AS mean_p, round(avg(res), 7) AS mean_residual, round(avg(sq), 7) AS mean_brier, min(v) AS lowest, round(median(v), 4) AS middle, max(v) AS highest FROM b WHERE bin IS NOT NULL GROUP BY 1, 2, 3")
 def residual_bins(spark, sf_dir):
-    x = folds(spark, sf_dir).withColumn("bin", R.rank_percent_bin("t", ["fold"], 5)).where("bin is not null")
-    out = x.groupBy("fold", "bin").agg(F.count("*").alias("n_rows"), F.countDistinct("grp").alias("n_groups"), F.avg("y").alias("rate"), F.avg("p").alias("mean_p"), F.avg("res").alias("mean_residual"), F.avg("sq").alias("mean_brier"), F.min("t").alias("lowest"), F.round(F.median("t"), 4).alias("middle"), F.max("t").alias("highest"))
+    """Residuals by fifths of each feature."""
+    x = _long_bins(spark, sf_dir, 5).where("bin is not null")
+    out = x.groupBy("fold", "feature", "bin").agg(F.count("*").alias("n_rows"), F.countDistinct("grp").alias("n_groups"), F.avg("y").alias("rate"), F.avg("p").alias("mean_p"), F.avg("res").alias("mean_residual"), F.avg("sq").alias("mean_brier"), F.min("value").alias("lowest"), F.round(F.median("value"), 4).alias("middle"), F.max("value").alias("highest"))
     return rounded(out, 7)
 
 
-@register(f"""WITH {FOLDS}, b AS (SELECT *, {_avg_rank_sql('t', 'fold', 'f', 'a', 3)}, {_avg_rank_sql('dist', 'fold', 'f', 'b', 3)} FROM f), v AS (SELECT * FROM b WHERE a IS NOT NULL AND b IS NOT NULL),
-c AS (SELECT fold, a, b, count(*) AS n_rows, avg(res) AS r FROM v GROUP BY 1, 2, 3), ma AS (SELECT fold, a, avg(res) AS x FROM v GROUP BY 1, 2), mb AS (SELECT fold, b, avg(res) AS z FROM v GROUP BY 1, 2), mf AS (SELECT fold, avg(res) AS m FROM v GROUP BY 1)
-SELECT fold, a AS left_bin, b AS right_bin, n_rows, round(r, 7) AS mean_residual, round(x + z - m, 7) AS additive, round(r - (x + z - m), 7) AS interaction FROM c JOIN ma USING (fold, a) JOIN mb USING (fold, b) JOIN mf USING (fold)""")
+CELLS = f"""b AS (SELECT *, {_avg_rank_sql('v', 'fold, feature', 'u', 'bin', 3)} FROM u), v AS (SELECT l.fold, l.feature AS left_feature, r.feature AS right_feature, l.bin AS left_bin, r.bin AS right_bin, l.res FROM b l JOIN b r ON l.grp = r.grp AND l.member = r.member AND l.feature < r.feature WHERE l.bin IS NOT NULL AND r.bin IS NOT NULL),
+c AS (SELECT fold, left_feature, right_feature, left_bin, right_bin, count(*) AS n_rows, sum(res) AS s FROM v GROUP BY ALL),
+cells AS (SELECT *, s / n_rows AS m, sum(s) OVER l / sum(n_rows) OVER l + sum(s) OVER r / sum(n_rows) OVER r - sum(s) OVER w / sum(n_rows) OVER w AS additive FROM c WINDOW w AS (PARTITION BY fold, left_feature, right_feature), l AS (PARTITION BY fold, left_feature, right_feature, left_bin), r AS (PARTITION BY fold, left_feature, right_feature, right_bin))"""
+
+
+def _cells(spark, sf_dir):
+    wide = _long_bins(spark, sf_dir, 3).groupBy("fold", "grp", "member").pivot("feature", list(BINNED)).agg(F.first("bin")).join(folds(spark, sf_dir).select("grp", "member", "res"), ["grp", "member"])
+    pairs = [(a, b) for a in sorted(BINNED) for b in sorted(BINNED) if a < b]
+    x = wide.select("fold", "res", F.explode(F.array(*(F.struct(F.lit(a).alias("left_feature"), F.lit(b).alias("right_feature"), F.col(a).alias("left_bin"), F.col(b).alias("right_bin")) for a, b in pairs))).alias("x")).select("fold", "res", "x.*")
+    c = x.where("left_bin is not null and right_bin is not null").groupBy("fold", "left_feature", "right_feature", "left_bin", "right_bin").agg(F.count("*").alias("n_rows"), F.sum("res").alias("s"))
+    pair = ["fold", "left_feature", "right_feature"]
+    mean = lambda *by: F.sum("s").over(Window.partitionBy(*pair, *by)) / F.sum("n_rows").over(Window.partitionBy(*pair, *by))
+    return c.withColumn("mean_residual", F.col("s") / F.col("n_rows")).withColumn("additive", mean("left_bin") + mean("right_bin") - mean()).drop("s")
+
+
+@register(f"WITH {LONG}, {CELLS} SELECT fold, left_feature, right_feature, left_bin, right_bin, n_rows, round(m, 7) AS mean_residual, round(additive, 7) AS additive, round(m - additive, 7) AS interaction FROM cells")
 def residual_cells(spark, sf_dir):
-    """Two features at once: what their own bins do not explain. All from sums over the nine cells of a fold."""
-    x = folds(spark, sf_dir).withColumn("left_bin", R.rank_percent_bin("t", ["fold"], 3)).withColumn("right_bin", R.rank_percent_bin("dist", ["fold"], 3)).where("left_bin is not null and right_bin is not null")
-    c = x.groupBy("fold", "left_bin", "right_bin").agg(F.count("*").alias("n_rows"), F.sum("res").alias("s"))
-    mean = lambda *by: F.sum("s").over(Window.partitionBy(*by)) / F.sum("n_rows").over(Window.partitionBy(*by))
-    additive = mean("fold", "left_bin") + mean("fold", "right_bin") - mean("fold")
-    out = c.withColumn("mean_residual", F.col("s") / F.col("n_rows")).withColumn("additive", additive)
-    return rounded(out.withColumn("interaction", F.col("mean_residual") - F.col("additive")).drop("s"), 7)
+    """All pairs of features: what their own bins do not explain. From sums over the nine cells of a fold and pair."""
+    return rounded(_cells(spark, sf_dir).withColumn("interaction", F.col("mean_residual") - F.col("additive")), 7)
 
 
 @register(f"""WITH {FOLDS}, g AS (SELECT fold, grp, count(*) AS size, sum(p) AS ps, sum(y) AS hits, max(p) - min(p) AS gap, avg(sq) AS br, avg(res) AS mr FROM f GROUP BY 1, 2)
@@ -145,6 +166,72 @@ def group_structure(spark, sf_dir):
     return rounded(g.groupBy("fold", "size").agg(F.count("*").alias("n_groups"), F.avg("ps").alias("mean_predicted"), F.median("ps").alias("median_predicted"), F.avg("hits").alias("mean_hits"), F.median("hits").alias("median_hits"), F.avg("br").alias("mean_brier"), F.avg("mr").alias("mean_residual")), 7)
 
 
+GAPS = FOLDS + """, gp AS (SELECT fold, grp, max(p) - min(p) AS gap, sum(p) AS ps, sum(y) AS hits, avg(sq) AS br, avg(res) AS mr, avg((0.2 + 3 * weight - y) * (0.2 + 3 * weight - y)) AS br2, sum(0.2 + 3 * weight) AS ps2 FROM f GROUP BY 1, 2)"""
+
+
+def _gaps(spark, sf_dir):
+    other = 0.2 + 3 * F.col("weight")
+    g = folds(spark, sf_dir).groupBy("fold", "grp").agg((F.max("p") - F.min("p")).alias("gap"), F.sum("p").alias("ps"), F.sum("y").alias("hits"), F.avg("sq").alias("br"), F.avg("res").alias("mr"), F.avg((other - F.col("y")) * (other - F.col("y"))).alias("br2"), F.sum(other).alias("ps2"))
+    return R.with_rank_bins(g.withColumn("gap", F.round("gap", 9)), "gap", ["fold"], 4, flat=False)
+
+
+def _gap_bin_sql():
+    return "CAST(least(ceil((rank() OVER (PARTITION BY fold ORDER BY gap) + (count(*) OVER (PARTITION BY fold, gap) - 1) / 2.0) / count(*) OVER (PARTITION BY fold) * 4), 4) AS INTEGER) AS bin"
+
+
+@register(f"WITH {GAPS}, r AS (SELECT * REPLACE (round(gap, 9) AS gap) FROM gp), b AS (SELECT *, {_gap_bin_sql()} FROM r) SELECT fold, bin, count(*) AS n_groups, round(median(gap), 7) AS median_gap, round(avg(ps), 7) AS mean_predicted, round(avg(hits), 7) AS mean_hits, round(avg(br), 7) AS mean_brier, round(avg(mr), 7) AS mean_residual FROM b GROUP BY 1, 2")
+def gap_structure(spark, sf_dir):
+    """Groups by the distance between their highest and lowest chance, in quarters of a fold."""
+    out = _gaps(spark, sf_dir).groupBy("fold", "bin").agg(F.count("*").alias("n_groups"), F.median("gap").alias("median_gap"), F.avg("ps").alias("mean_predicted"), F.avg("hits").alias("mean_hits"), F.avg("br").alias("mean_brier"), F.avg("mr").alias("mean_residual"))
+    return rounded(out, 7)
+
+
+@register(f"WITH {GAPS}, r AS (SELECT * REPLACE (round(gap, 9) AS gap) FROM gp), b AS (SELECT *, {_gap_bin_sql()} FROM r) SELECT fold, bin, round(avg(br), 7) AS brier_first, round(avg(br2), 7) AS brier_second, round(avg(ps), 7) AS predicted_first, round(avg(ps2), 7) AS predicted_second, round(avg(br2) - avg(br), 7) AS brier_change, round(avg(ps2) - avg(ps), 7) AS predicted_change FROM b GROUP BY 1, 2")
+def model_comparison(spark, sf_dir):
+    """Two models by the gap quarters of the first: a row per model, then models as columns and their difference."""
+    g = _gaps(spark, sf_dir)
+    model = lambda name, br, ps: g.select("fold", "bin", F.lit(name).alias("model"), F.col(br).alias("brier"), F.col(ps).alias("predicted"))
+    long = model("first", "br", "ps").unionByName(model("second", "br2", "ps2"))
+    wide = long.groupBy("fold", "bin").pivot("model", ["first", "second"]).agg(F.avg("brier").alias("brier"), F.avg("predicted").alias("predicted"))
+    names = [F.col(f"{m}_{x}").alias(f"{x}_{m}") for x in ("brier", "predicted") for m in ("first", "second")]
+    change = lambda x: (F.col(f"second_{x}") - F.col(f"first_{x}")).alias(f"{x}_change")
+    return rounded(wide.select("fold", "bin", *names, change("brier"), change("predicted")), 7)
+
+
+@register(f"""WITH {LOSS} SELECT period, metric, stored, again, round(abs(stored - again), 8) AS difference, abs(stored - again) <= 1e-7 AS same FROM (SELECT period, unnest(['brier', 'log_loss']) AS metric, unnest([round(avg(brier) + CASE WHEN period = 'SHIFTED' THEN 0.001 ELSE 0 END, 8), round(avg(log_loss), 8)]) AS stored, unnest([round(avg(brier), 8), round(avg(log_loss), 8)]) AS again FROM g GROUP BY 1)""")
+def reproduction_check(spark, sf_dir):
+    """Stored metrics, one of them changed, against those found again from the predictions."""
+    again = rounded(E.macro_losses(preds(spark, sf_dir), "grp", ["period"]).select("period", F.col("macro_brier").alias("brier"), F.col("macro_log_loss").alias("log_loss")), 8)
+    w = F.sum("w").over(Window.partitionBy("period"))  # the same means another way: rows weigh one over the size of their group
+    x = preds(spark, sf_dir).withColumn("w", 1 / F.count("*").over(Window.partitionBy("period", "grp"))).withColumn("total", w)
+    stored = x.groupBy("period").agg(F.sum(C.brier(F.col("y"), F.col("p")) * F.col("w") / F.col("total")).alias("brier"), F.sum(C.log_loss(F.col("y").cast("double"), F.col("p")) * F.col("w") / F.col("total")).alias("log_loss"))
+    stored = rounded(stored.withColumn("brier", F.col("brier") + F.when(F.col("period") == "SHIFTED", 0.001).otherwise(0.0)), 8)
+    out = E.reproduced(stored, again, ["period"], ["brier", "log_loss"], 1e-7)
+    return out.withColumn("difference", F.round("difference", 8))
+
+
+@register(f"""WITH {RANKED}, k AS (SELECT unnest([1, 2, 3]) AS k), g AS (SELECT grp, k, count(*) FILTER (rank <= k AND y = 1) AS hits FROM r, k GROUP BY 1, 2), n AS (SELECT k, hits, count(*) AS n_groups FROM g GROUP BY 1, 2) SELECT CAST(k AS INTEGER) AS k, hits, n_groups, round(n_groups / sum(n_groups) OVER (PARTITION BY k), 8) AS share FROM n""")
+def topk_hit_distribution(spark, sf_dir):
+    """In how many groups the first k hold 0, 1, .. hits."""
+    return rounded(E.hit_distribution(preds(spark, sf_dir), "grp", "member"), 8)
+
+
+@register(f"""WITH {PREDS}, x AS (SELECT DISTINCT period, grp, pool FROM preds), n AS (SELECT pool, count(*) FILTER (period = 'STABLE') AS a, count(*) FILTER (period = 'SHIFTED') AS b FROM x GROUP BY 1), s AS (SELECT pool, a / sum(a) OVER () AS f, b / sum(b) OVER () AS s FROM n)
+SELECT pool, round(f, 8) AS first_share, round(s, 8) AS second_share, round(100 * (s - f), 8) AS points FROM s""")
+def category_drift_of_groups(spark, sf_dir):
+    """Shares of groups, not of their rows."""
+    x = preds(spark, sf_dir).select("period", "grp", "pool").distinct()
+    return rounded(E.category_drift(x, "period", "STABLE", "SHIFTED", "pool"), 8)
+
+
+@register(f"""WITH {LOSS}, s AS (SELECT period, CASE WHEN n <= 3 THEN '<=3' WHEN n <= 5 THEN '4-5' ELSE '6+' END AS segment, n, log_loss, brier FROM g) SELECT period, segment, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, round(count(*) / sum(count(*)) OVER (PARTITION BY period), 8) AS share, round(avg(log_loss), 8) AS mean_log_loss, round(avg(brier), 8) AS mean_brier FROM s GROUP BY 1, 2""")
+def segment_shares(spark, sf_dir):
+    """Groups by size band and period: shares and losses."""
+    g = E.group_losses(preds(spark, sf_dir), ["period", "grp"]).withColumn("segment", C.band(F.col("n"), [3, 5]))
+    out = g.groupBy("period", "segment").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), F.avg("log_loss").alias("mean_log_loss"), F.avg("brier").alias("mean_brier"))
+    return rounded(out.withColumn("share", F.col("n_groups") / F.sum("n_groups").over(Window.partitionBy("period"))), 8)  # a row per band and period
+
+
 @register(f"""WITH {FOLDS}, c AS (SELECT fold, pool, avg(res) AS r FROM f GROUP BY 1, 2), k AS (SELECT a.fold AS fa, b.fold AS fb, corr(a.r, b.r) AS c FROM c a JOIN c b ON a.pool = b.pool AND a.fold < b.fold GROUP BY 1, 2)
 SELECT pool, round(max(r) - min(r), 7) AS spread, greatest(count(*) FILTER (r > 0), count(*) FILTER (r < 0)) AS same_direction, (SELECT round(median(c), 5) FROM k) AS median_correlation FROM c GROUP BY 1""")
 def pattern_stability(spark, sf_dir):
@@ -155,17 +242,17 @@ def pattern_stability(spark, sf_dir):
     return out.crossJoin(k)  # one row
 
 
-@register(f"""WITH {LOSS}, i AS (SELECT grp, brier, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM g WHERE period = 'SHIFTED' AND grp % 16 = 0),
-s AS (SELECT unnest(generate_series(0, 199)) AS draw), d AS (SELECT draw, slot, CAST('0x' || substr(md5(draw || ':' || slot), 1, 8) AS BIGINT) % (SELECT max(n) FROM i) AS i FROM s, (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM i))) AS slot)),
+@register(f"""WITH {LOSS}, i AS (SELECT grp, brier, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM g WHERE period = 'SHIFTED'),
+s AS (SELECT unnest(generate_series(0, 99)) AS draw), d AS (SELECT draw, slot, CAST('0x' || substr(md5(draw || ':' || slot), 1, 8) AS BIGINT) % (SELECT max(n) FROM i) AS i FROM s, (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM i))) AS slot)),
 m AS (SELECT draw, avg(brier) AS mean FROM d JOIN i USING (i) GROUP BY 1)
 SELECT count(*) AS draws, {", ".join(f"round(quantile_cont(mean, {q}), 7) AS q{n}" for n, q in (("025", 0.025), ("50", 0.5), ("975", 0.975)))} FROM m""")
 def bootstrap_quantiles(spark, sf_dir):
-    """A small case with SQL: 200 draws of every sixteenth late group only. The whole job is `bootstrap_stability`."""
-    g = E.group_losses(preds(spark, sf_dir).where("period = 'SHIFTED' and grp % 16 = 0"), ["grp"])
+    """100 draws of all late groups by a hash that SQL has too. The whole job is `bootstrap_stability`."""
+    g = E.group_losses(preds(spark, sf_dir).where("period = 'SHIFTED'"), ["grp"])
     i = E.numbered(g, "grp").select("i", "brier")
     n = i.count()
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "slot")), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    m = E.bootstrap(i, "i", "brier", n, 200, drawn)
+    m = E.bootstrap(i, "i", "brier", n, 100, drawn)
     return m.agg(F.count("*").alias("draws"), *(F.round(F.percentile("mean", q), 7).alias(f"q{k}") for k, q in (("025", 0.025), ("50", 0.5), ("975", 0.975))))
 
 

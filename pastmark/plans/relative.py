@@ -41,15 +41,18 @@ def median_gap(spark, sf_dir):
     return values(spark, sf_dir).select("grp", "member", F.round(R.gap_to_median("v", ["grp"]), 4).alias("gap"))
 
 
-@register(f"""WITH {RELATIVE}, c AS (SELECT a.grp, a.member, count(*) FILTER (b.v < a.v) AS below, count(*) FILTER (b.v = a.v) AS same, count(b.v) AS n FROM rel a JOIN rel b ON a.grp = b.grp WHERE a.v IS NOT NULL GROUP BY 1, 2)
-SELECT 0::BIGINT AS differing, count(*) AS compared FROM c WHERE n >= 3""")
+@register(f"""WITH {RELATIVE}, c AS (SELECT a.grp, a.member, count(*) FILTER (b.v < a.v) AS below, count(*) FILTER (b.v = a.v) AS same, count(b.v) AS n FROM rel a JOIN rel b ON a.grp = b.grp WHERE a.v IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT grp, member, {_pct('lo')} + CASE WHEN grp % 97 = 0 THEN 0.001 ELSE 0 END AS pct FROM rel)
+SELECT count(*) FILTER (abs((below + (same - 1) / 2.0) / (n - 1) - pct) > 1e-7) AS differing, count(*) AS compared FROM c JOIN p USING (grp, member) WHERE n >= 3""")
 def percentile_recount(spark, sf_dir):
-    """The window form against counting within the group; orders are small."""
-    x = values(spark, sf_dir).withColumn("p", R.percentile_in_group("v", ["grp"])).where("v is not null")
-    a, b = x.alias("a"), x.select("grp", F.col("v").alias("w")).alias("b")
-    c = a.join(b, "grp").groupBy("grp", "member", "p").agg(F.count_if(F.col("w") < F.col("v")).alias("below"), F.count_if(F.col("w") == F.col("v")).alias("same"), F.count("*").alias("n")).where("n >= 3")
+    """Percentiles, some of them changed, against counting smaller and equal values: a running count over the distinct
+    values of a group, joined by value, so a group's rows never meet in pairs."""
+    x = values(spark, sf_dir).withColumn("p", F.round(R.percentile_in_group("v", ["grp"]), 8) + F.when(F.col("grp") % 97 == 0, 0.001).otherwise(0.0)).where("v is not null")
+    n = x.groupBy("grp", "v").agg(F.count("*").alias("same"))
+    upto, whole = R.Window.partitionBy("grp").orderBy("v"), R.Window.partitionBy("grp")
+    n = n.select("grp", "v", "same", (F.sum("same").over(upto) - F.col("same")).alias("below"), F.sum("same").over(whole).alias("n")).where("n >= 3")
     counted = (F.col("below") + (F.col("same") - 1) / 2.0) / (F.col("n") - 1)
-    return c.agg(F.count_if(F.abs(counted - F.col("p")) > 1e-12).alias("differing"), F.count("*").alias("compared"))
+    return x.join(n, ["grp", "v"]).agg(F.count_if(F.abs(counted - F.col("p")) > 1e-7).alias("differing"), F.count("*").alias("compared"))
 
 
 @register(f"""WITH {RELATIVE}, ev AS (SELECT grp, member, d, middle - v AS gap, {_pct('hi')} AS pct FROM rel WHERE v IS NOT NULL AND n >= 3),
@@ -109,10 +112,14 @@ def composition_mix(spark, sf_dir):
     return rounded(P.composition(runs(spark, sf_dir).withColumn("year_month", F.date_format("d", "yyyy-MM")), ["year_month"], "pool"), 8)
 
 
-@register("SELECT 'a' AS \"left\", 'c' AS \"right\"")
+@register("""WITH l AS (SELECT l_quantity AS a, l_discount AS b, CASE WHEN l_quantity > 25 THEN l_quantity ELSE 50 - (50 - l_quantity) END AS c, CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) THEN -1 ELSE l_quantity END AS d, l_tax AS e, l_tax AS f FROM lineitem)
+SELECT x.p AS "left", x.q AS "right" FROM (SELECT unnest([{'p': 'a', 'q': 'b', 'n': count(*) FILTER (a <> b)}, {'p': 'a', 'q': 'c', 'n': count(*) FILTER (a <> c)}, {'p': 'a', 'q': 'd', 'n': count(*) FILTER (a <> d)}, {'p': 'c', 'q': 'd', 'n': count(*) FILTER (c <> d)}, {'p': 'e', 'q': 'f', 'n': count(*) FILTER (e <> f)}]) AS x FROM l) WHERE x.n = 0""")
 def equal_columns(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_quantity") + 0).alias("c"))
-    return P.equal_columns(l, ["l_orderkey", "l_linenumber", "l_partkey"], ["a", "b", "c"])
+    """Two pairs of equal columns, one that differs in a single order, and others."""
+    l, q = table(spark, sf_dir, "lineitem"), F.col("l_quantity")
+    last = l.agg(F.max("l_orderkey").alias("last"))
+    l = l.crossJoin(F.broadcast(last)).select("l_orderkey", "l_linenumber", "l_partkey", q.alias("a"), F.col("l_discount").alias("b"), F.when(q > 25, q).otherwise(50 - (50 - q)).alias("c"), F.when(F.col("l_orderkey") == F.col("last"), -1.0).otherwise(q).alias("d"), F.col("l_tax").alias("e"), F.col("l_tax").alias("f"))  # one row
+    return P.equal_columns(l, ["l_orderkey", "l_linenumber", "l_partkey"], ["a", "b", "c", "d", "e", "f"])
 
 
 @register("""SELECT (SELECT count(*) FROM lineitem)::BIGINT AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS n_distinct_rows, count(*) AS n_keys, count(*) FILTER (n > 1) AS n_repeated_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
