@@ -20,6 +20,13 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def field_types(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, n_rows, n_blank, n_integer, n_decimal, n_distinct) of text fields."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select("x.*")
+    of = lambda shape: F.count_if(F.col("v").rlike(shape))
+    return long.groupBy("field").agg(F.count("*").alias("n_rows"), F.count_if(F.trim("v") == "").alias("n_blank"), of(r"^[+-]?[0-9]+$").alias("n_integer"), of(r"^[+-]?[0-9]*\.[0-9]+$").alias("n_decimal"), F.countDistinct("v").alias("n_distinct"))
+
+
 def long_form(df: DataFrame, ids: Sequence[str], columns: Sequence[str], drop_null: bool = True) -> DataFrame:
     """(ids, metric, value) of the columns as double."""
     out = df.select(*ids, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(list(ids), list(columns), "metric", "value")

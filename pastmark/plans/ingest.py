@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
+from pastmark.operators import profile as P
+from pastmark.operators.state import saved
 from pastmark.sources import documents as D
 from pastmark.plans.base import Registry, table
 
@@ -12,18 +15,24 @@ register = Registry()
 FIELDS = ("id", "kind", "amount", "day")
 
 
-def raw(spark, sf_dir):
-    """(file_id, body): a document per user and day, of bounded size; one item alone is an object, not an array."""
+#: Event ids that a page of a user's day spans at most, so no document grows with the table.
+PAGE = 5000
+
+
+def raw(spark, sf_dir, page=PAGE):
+    """(file_id, body): a document per user, day and page of event ids; one item alone is an object, not an array. Events
+    have one id each, so a page has at most so many items as its span."""
     e = table(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyyMMdd")
     item = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.format_string("%.2f", "value").alias("amount"), day.alias("day")))
-    docs = e.select(F.concat_ws("-", "user_id", day).alias("file_id"), "event_id", item.alias("item")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"].alias("items"))
+    docs = e.select(F.concat_ws("-", "user_id", day, F.floor(F.col("event_id") / page)).alias("file_id"), "event_id", item.alias("item")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"].alias("items"))
     many = F.when(F.size("items") == 1, F.col("items")[0]).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
     body = F.concat(F.lit('{"response":{"header":{"resultCode":"00"},"body":{"totalCount":'), F.size("items"), F.lit(',"items":{"item":'), many, F.lit("}}}}"))
     return docs.select("file_id", body.alias("body"))
 
 
-ROWS = """e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS file_id, CAST(row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY event_id) AS INTEGER) AS position, CAST(event_id AS VARCHAR) AS id, event_type AS kind, value, strftime(ts, '%Y%m%d') AS day FROM events)"""
+ROWS = """e0 AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') || '-' || event_id // 5000 AS file_id FROM events),
+e AS (SELECT file_id, user_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY event_id) AS INTEGER) AS position, CAST(event_id AS VARCHAR) AS id, event_type AS kind, value, strftime(ts, '%Y%m%d') AS day FROM e0)"""
 
 
 @register(f"WITH {ROWS} SELECT file_id, position, sha256(file_id || ':' || position) AS row_id, id, kind, CAST(strptime(day, '%Y%m%d') AS DATE) AS day, round(CAST(value AS DECIMAL(18, 2)), 2)::DOUBLE AS amount FROM e")
@@ -48,10 +57,59 @@ def batch_rollup(spark, sf_dir):
     return D.batch_rollup(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("batch_id"), status.alias("status")))
 
 
-@register(f"WITH {ROWS}, d AS (SELECT file_id, count(*) AS n, min(kind) AS lo, max(kind) AS hi FROM e GROUP BY 1) SELECT CASE WHEN lo = 'click' AND hi = 'click' THEN 'SUCCESS' ELSE 'REQUEST_MISMATCH' END AS status, count(*) AS n_files FROM d GROUP BY 1")
+def stored(spark, sf_dir):
+    """(file_id, user, body, http_status): the documents as answers, of which some users' are faulty."""
+    docs = raw(spark, sf_dir).withColumn("user", F.split("file_id", "-")[0].cast("long"))
+    k, body = F.col("user") % 10, F.col("body")
+    faulty = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("{"), body)).when(k == 3, F.lit('{"response":{"header":{"resultCode":"00"},"body":{"totalCount":0,"items":""}}}')).when(k == 4, F.regexp_replace(body, "resultCode", "code")).when(k == 5, F.regexp_replace(body, '"00"', '"22"')).otherwise(body)
+    return docs.select("file_id", "user", faulty.alias("body"), F.when(k == 2, 500).otherwise(200).alias("http_status"))
+
+
+@register(f"""WITH {ROWS}, d AS (SELECT file_id, max(user_id) AS u, min(kind) AS lo, max(kind) AS hi FROM e GROUP BY 1)
+SELECT CASE u % 10 WHEN 0 THEN 'EMPTY_BODY' WHEN 1 THEN 'INVALID_JSON' WHEN 2 THEN 'API_ERROR' WHEN 3 THEN 'NO_DATA' WHEN 4 THEN 'INVALID_SCHEMA' WHEN 5 THEN 'API_ERROR' ELSE CASE WHEN lo = 'click' AND hi = 'click' THEN 'SUCCESS' ELSE 'REQUEST_MISMATCH' END END AS status, count(*) AS n_files FROM d GROUP BY 1""")
 def payload_status(spark, sf_dir):
-    docs = raw(spark, sf_dir)
-    return docs.groupBy(D.payload_status(F.col("body"), F.lit(200), F.lit("click"), "kind").alias("status")).agg(F.count("*").alias("n_files"))
+    """All outcomes of an answer."""
+    return stored(spark, sf_dir).groupBy(D.payload_status(F.col("body"), F.col("http_status"), F.lit("click"), "kind").alias("status")).agg(F.count("*").alias("n_files"))
+
+
+@register("""WITH r AS (SELECT o_orderkey AS request_id, o_custkey % 7 AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'NO_DATA' ELSE 'API_ERROR' END AS status, o_totalprice FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY o_totalprice, request_id) AS request_no FROM r), f AS (SELECT DISTINCT l_orderkey AS request_id, 'f' || l_orderkey || '-' || l_linenumber AS file_id FROM lineitem)
+SELECT request_no, request_id, file_id FROM n JOIN f USING (request_id) WHERE status = 'SUCCESS' AND batch_id = 3""")
+def manifest_scan(spark, sf_dir):
+    """The files of one batch's successful requests, in the order of requests."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "NO_DATA").otherwise("API_ERROR")
+    requests = o.select(key.alias("request_id"), (F.col("o_custkey") % 7).alias("batch_id"), status.alias("status"), "o_totalprice").withColumn("request_no", F.row_number().over(Window.partitionBy("batch_id").orderBy("o_totalprice", "request_id")))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.concat(F.lit("f"), "l_orderkey", F.lit("-"), "l_linenumber").alias("file_id")).distinct()
+    return D.manifest_scan(requests.select("batch_id").distinct(), requests, files, 3).select("request_no", "request_id", "file_id")
+
+
+@register(f"""WITH {ROWS}, d AS (SELECT DISTINCT file_id, user_id AS u FROM e) SELECT file_id, CASE WHEN u % 11 = 0 THEN 'MISSING' WHEN u % 13 = 0 THEN 'SIZE' ELSE 'HASH' END AS issue FROM d WHERE u % 11 = 0 OR u % 13 = 0 OR u % 17 = 0""")
+def file_audit(spark, sf_dir):
+    """A manifest against stored files, of which some are missing, longer or changed."""
+    docs = saved(raw(spark, sf_dir).withColumn("user", F.split("file_id", "-")[0].cast("long")))
+    manifest = docs.select("file_id", F.octet_length("body").cast("long").alias("size"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
+    u, body = F.col("user"), F.col("body")
+    kept = docs.where(u % 11 != 0).select("file_id", F.when(u % 13 == 0, F.concat(body, F.lit(" "))).when(u % 17 == 0, F.concat(F.lit("["), F.substr(body, F.lit(2)))).otherwise(body).cast("binary").alias("content"))
+    return D.file_audit(manifest, kept)
+
+
+@register(f"""WITH {ROWS}, x AS (SELECT e.*, CAST(id AS BIGINT) AS k FROM e) SELECT count(*) AS n_rows, count(*) FILTER (k % 97 = 0) AS orphans, count(*) FILTER (k % 89 = 0 AND k % 97 <> 0) AS wrong_row_id, (SELECT count(*) FROM (SELECT file_id FROM x WHERE k % 97 <> 0 GROUP BY 1 HAVING count(*) <> max(position) OR min(position) <> 1)) AS files_with_gaps, count(*) FILTER (k % 83 = 0) AS wrong_flag FROM x""")
+def staging_audit(spark, sf_dir):
+    """Staged rows with planted faults against their documents: rows of no document, row ids, sequence, parse flags."""
+    docs = saved(raw(spark, sf_dir))
+    rows, k = D.exploded(docs, FIELDS), F.col("id").cast("long")
+    rows = rows.withColumn("valid", C.parse_int(F.col("id"))[1] != (k % 83 == 0)).withColumn("row_id", F.when(k % 89 == 0, "wrong").otherwise(F.col("row_id"))).withColumn("file_id", F.when(k % 97 == 0, F.concat(F.lit("none-"), "id")).otherwise(F.col("file_id")))
+    return D.staging_audit(rows, docs, "id", "valid")
+
+
+@register(f"""WITH {ROWS}, x AS (SELECT unnest([{{'f': 'id', 'v': id}}, {{'f': 'kind', 'v': CASE WHEN user_id % 3 = 0 THEN ' ' ELSE kind END}}, {{'f': 'amount', 'v': printf('%.2f', round(CAST(value AS DECIMAL(18, 2)), 2))}}, {{'f': 'day', 'v': day}}]) AS z FROM e)
+SELECT z.f AS field, count(*) AS n_rows, count(*) FILTER (trim(z.v) = '') AS n_blank, count(*) FILTER (regexp_full_match(z.v, '[+-]?[0-9]+')) AS n_integer, count(*) FILTER (regexp_full_match(z.v, '[+-]?[0-9]*[.][0-9]+')) AS n_decimal, count(DISTINCT z.v) AS n_distinct FROM x GROUP BY 1""")
+def raw_profile(spark, sf_dir):
+    """The fields of staged rows: how many are blank, whole, decimal, distinct."""
+    rows = D.exploded(raw(spark, sf_dir), FIELDS)
+    rows = rows.withColumn("kind", F.when(F.split("file_id", "-")[0].cast("long") % 3 == 0, " ").otherwise(F.col("kind")))
+    return P.field_types(rows, FIELDS)
 
 
 @register(f"WITH {ROWS} SELECT file_id, position, id FROM e WHERE day > (SELECT min(day) FROM e)")
@@ -63,25 +121,30 @@ def idempotent_load(spark, sf_dir):
     return D.new_rows(rows, loaded).select("file_id", "position", "id")
 
 
-@register(f"""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT unnest(['복식', '쌍식']) AS pool), x AS (SELECT l_orderkey, pool, n FROM g, k WHERE n BETWEEN 2 AND 15)
+@register(f"""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT unnest(['복식', '쌍식']) AS pool), x AS (SELECT l_orderkey, pool, n FROM g, k WHERE n BETWEEN 2 AND 16)
 SELECT l_orderkey, pool, 1::INTEGER AS combination_no, CASE pool WHEN '복식' THEN [1, n] ELSE [n, 1] END::INTEGER[] AS members, pool = '쌍식' AS ordered, CAST(n AS DOUBLE) / 2 AS odds FROM x""")
 def parse_combinations(spark, sf_dir):
-    """A small case with SQL: two pools, one combination, 2 to 15 members. The whole job is `parse_pools`."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n")).where("n between 2 and 15")
+    """All orders in two pools with one combination each; orders of one member or more than 16 are rejected by the
+    parser. `parse_pools` has all pools and the rejected texts."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
     rows = g.withColumn("pool", F.explode(F.array(F.lit("복식"), F.lit("쌍식"))))
-    text = F.concat(F.substring(F.lit(D.CIRCLED), F.col("n"), F.lit(1)), F.lit("①-"), F.format_string("%.1f", F.col("n") / 2))
+    text = F.concat(_token(F.col("n")), F.lit("①-"), F.format_string("%.1f", F.col("n") / 2))
     good, _ = D.winning_combinations(rows.withColumn("odds", text))
     return good.select("l_orderkey", "pool", "combination_no", "members", "ordered", F.col("odds_value").cast("double").alias("odds"))
 
 
+def _token(x):
+    return F.when(x <= len(D.CIRCLED), F.substring(F.lit(D.CIRCLED), x, F.lit(1))).otherwise(F.concat(F.lit("("), x.cast("string"), F.lit(")")))
+
+
 def combination_texts(orders):
     """(l_orderkey, pool, odds) from (l_orderkey, n): up to three combinations a text for each of the seven pools. The
     first member is n, or n less 0 to 2 for pools of one pick; the others count up from the combination's number, so
-    small orders repeat a member and are broken. Members above 15 stand in brackets."""
+    small orders repeat a member and are broken. Members above 15 stand in brackets; above 16 there are none, and the
+    parser rejects them."""
     j, n = F.col("j"), F.col("n")
-    token = lambda x: F.when(x <= len(D.CIRCLED), F.substring(F.lit(D.CIRCLED), x, F.lit(1))).otherwise(F.concat(F.lit("("), x.cast("string"), F.lit(")")))
     members = {1: [n - j + 1], 2: [n, j], 3: [n, j, j + 1]}
-    combination = lambda picks: F.concat(*(token(x.cast("int")) for x in members[picks]), F.lit("-"), F.format_string("%.1f", (n + j) / 2))
+    combination = lambda picks: F.concat(*(_token(x.cast("int")) for x in members[picks]), F.lit("-"), F.format_string("%.1f", (n + j) / 2))
     items = orders.withColumn("j", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(3)).cast("int"))))
     items = items.select("l_orderkey", "j", F.explode(F.array(*(F.struct(F.lit(pool).alias("pool"), combination(picks).alias("item")) for pool, picks in D.PICKS.items()))).alias("x"))
     texts = items.groupBy("l_orderkey", "x.pool").agg(F.array_sort(F.collect_list(F.struct("j", "x.item")))["item"].alias("items"))
@@ -110,3 +173,14 @@ def semantic_view(spark, sf_dir):
     rows = l.select("l_orderkey", "l_partkey", "l_linenumber", weight.alias("w"), track.alias("t"), time.alias("s"))
     (kg, change), (label, percent) = C.parse_weight(F.col("w")), C.parse_track(F.col("t"))
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", kg.alias("kg"), change.alias("change"), label.alias("track"), percent.alias("percent"), C.parse_seconds(F.col("s")).cast("double").alias("seconds"))
+
+
+@register("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem) SELECT count(*) AS n_rows, count(DISTINCT l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS n_ids, count(*) FILTER (l_linenumber % 4 = 3) AS broken_weights, 0::BIGINT AS broken_tracks, count(*) FILTER (l_linenumber % 5 = 0) AS broken_times, count(*) FILTER (l_linenumber % 4 <> 3) AS n_weights, CAST(max(CASE WHEN l_linenumber % 4 <> 3 THEN CAST(q AS INTEGER) END) AS INTEGER) AS heaviest FROM s""")
+def semantic_audit(spark, sf_dir):
+    """What the texts of weights, tracks and times give: rows, ids, and texts that are there but say nothing."""
+    l, n, q = table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    weight = F.when(n % 4 == 0, F.concat(q, F.lit("(+"), n, F.lit(")"))).when(n % 4 == 1, F.concat(q, F.lit("()"))).when(n % 4 == 2, q).otherwise("broken")
+    rows = l.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("id"), weight.alias("w"), F.when(n % 2 == 0, F.concat(F.lit("wet ("), n, F.lit("%)"))).otherwise("dry").alias("t"), F.when(n % 5 == 0, "n/a").otherwise(q).alias("s"))
+    (kg, _), (label, _), seconds = C.parse_weight(F.col("w")), C.parse_track(F.col("t")), C.parse_seconds(F.col("s"))
+    silent = lambda value, text: F.count_if(value.isNull() & C.blank_to_null(F.col(text)).isNotNull())
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), silent(kg, "w").alias("broken_weights"), silent(label, "t").alias("broken_tracks"), silent(seconds, "s").alias("broken_times"), F.count(kg).alias("n_weights"), F.max(kg).alias("heaviest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pastmark.operators import quality as Q
@@ -90,3 +91,30 @@ def field_agreement(spark, sf_dir):
 def top_rows_per_supplier(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
     return Q.first_rows(l, ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_partkey", "l_linenumber"], 3).drop("l_linenumber")
+
+
+@register("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus AS status, lag(o_orderstatus) OVER w AS previous, lag(o_orderdate) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT previous, status, count(*) AS n_rows, CAST(max(date_diff('day', CAST(before AS DATE), CAST(o_orderdate AS DATE))) AS INTEGER) AS widest FROM o WHERE previous IS NOT NULL GROUP BY 1, 2""")
+def status_transitions(spark, sf_dir):
+    """From which status of an entity's last event to which of the next."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.lag("o_orderstatus").over(order).alias("previous"), F.datediff("o_orderdate", F.lag("o_orderdate").over(order)).alias("days"))
+    return o.where("previous is not null").groupBy("previous", "status").agg(F.count("*").alias("n_rows"), F.max("days").alias("widest"))
+
+
+@register("""WITH n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n_rows FROM orders GROUP BY 1, 2) SELECT *, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, n_rows DESC, o_orderpriority) AS place FROM n ORDER BY place LIMIT 7""")
+def labelled_order(spark, sf_dir):
+    """The first seven cells in the order of their labels, not of their letters, then by size."""
+    n = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n_rows"))
+    label = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    order = [label, F.desc("n_rows"), F.col("o_orderpriority")]
+    return n.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy(*order).limit(7)  # a row per pair of labels
+
+
+@register("""WITH g AS (SELECT o_orderpriority AS pool, l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), m AS (SELECT pool, n, count(*) AS n_groups FROM g GROUP BY 1, 2) SELECT pool, n, n_groups, round(n_groups / sum(n_groups) OVER (PARTITION BY pool), 8) AS share, n_groups < 0.05 * sum(n_groups) OVER (PARTITION BY pool) AS unusual FROM m""")
+def unusual_counts(spark, sf_dir):
+    """How many members groups of a pool have, and which counts are rare."""
+    l, o = table(spark, sf_dir, "lineitem").select("l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("pool"))
+    n = l.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("pool", "n").agg(F.count("*").alias("n_groups"))
+    whole = F.sum("n_groups").over(Window.partitionBy("pool"))
+    return n.withColumn("share", F.round(F.col("n_groups") / whole, 8)).withColumn("unusual", F.col("n_groups") < 0.05 * whole)

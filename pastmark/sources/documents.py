@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastmark.operators.quality import sequence_gaps
+
 #: Where the items, the result code and the count stand in a document, and the code of success.
 ITEMS, CODE, TOTAL, SUCCESS = "$.response.body.items.item", "$.response.header.resultCode", "$.response.body.totalCount", "00"
 
@@ -32,6 +34,18 @@ def exploded(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.select("file_id", "position", row_id.alias("row_id"), "source_item", *(F.get_json_object("source_item", f"$['{f}']").alias(f) for f in fields))
 
 
+def staging_audit(rows: DataFrame, documents: DataFrame, whole: str, flag: str) -> DataFrame:
+    """One row: staged rows, those of no document, with another row id than their place gives, files whose positions are
+    not 1 .. n, and rows whose `flag` does not say whether the text in `whole` is a whole number."""
+    known = rows.join(documents.select("file_id"), "file_id", "left_semi")
+    row_id = F.sha2(F.concat_ws(":", "file_id", "position").cast("binary"), 256)
+    of_row = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.trim(whole).rlike("^[+-]?[0-9]+$") != F.col(flag)).alias("wrong_flag"))
+    of_known = known.agg(F.count("*").alias("n_known"), F.count_if(F.col("row_id") != row_id).alias("wrong_row_id"))
+    files = sequence_gaps(known, ["file_id"], "position").agg(F.count("*").alias("files_with_gaps"))
+    out = of_row.crossJoin(of_known).crossJoin(files)  # one row each
+    return out.select("n_rows", (F.col("n_rows") - F.col("n_known")).alias("orphans"), "wrong_row_id", "files_with_gaps", "wrong_flag")
+
+
 def new_rows(batch: DataFrame, loaded: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows of a batch that are not loaded yet, each id once; loading a batch twice adds nothing."""
     return batch.dropDuplicates([row_id]).join(loaded.select(row_id), row_id, "left_anti")
@@ -75,7 +89,7 @@ def file_audit(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_id", issue.alias("issue")).where("issue is not null")
 
 
-#: Circled numbers from 1; larger numbers stand in brackets. Pools by number of picks, and those in order.
+#: Circled numbers from 1; the number 16 stands in brackets. Pools by number of picks, and those in order.
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮"
 PICKS = {"단식": 1, "연식": 1, "복식": 2, "쌍식": 2, "복연": 2, "삼복": 3, "삼쌍": 3}
 IN_ORDER = ("쌍식", "삼쌍")
@@ -84,7 +98,7 @@ IN_ORDER = ("쌍식", "삼쌍")
 def winning_combinations(rows: DataFrame, pool: str = "pool", text: str = "odds") -> tuple[DataFrame, DataFrame]:
     """(good, rejected). Good: the columns of `rows` with combination_no, members, ordered and odds_value, a row per
     combination; members of pools without an order are sorted. A row with one broken item is rejected whole."""
-    token = rf"[{CIRCLED}]|\([0-9]+\)"
+    token = rf"[{CIRCLED}]|\(16\)"
     picks = F.element_at(F.create_map(*(F.lit(x) for kv in PICKS.items() for x in kv)), F.col(pool))
     number = lambda t: F.when(t.startswith("("), F.regexp_replace(t, "[()]", "").try_cast("int")).otherwise(F.instr(F.lit(CIRCLED), t))
     parts = F.filter(F.split(F.trim(text), r"\s{2,}"), lambda x: x != "")
@@ -102,11 +116,18 @@ def winning_combinations(rows: DataFrame, pool: str = "pool", text: str = "odds"
 
 
 def write_versioned(df: DataFrame, folder: str, version: str, partition_by: Sequence[str] = ()) -> str:
-    """A full rebuild of a layer under its own version; readers go on with the old one until the path is switched."""
+    """A full rebuild of a layer under its own version. When it is written, `current` is switched to it; until then, and
+    if the job fails, readers of `read_current` go on with the old one. Returns the new version's path."""
     path = f"{folder}/version={version}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
     return path
 
 
+def read_current(spark, folder: str) -> DataFrame:
+    version = spark.read.schema("version string").json(f"{folder}/current").first().version
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)

@@ -149,3 +149,71 @@ def test_quality_rules(spark):
     assert sorted((r.k, r.v) for r in Q.promoted(rows, ["k"], ["v"]).collect()) == [(2, "c"), (3, None)]
     old, new = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z")], "k int, v string")
     assert sorted(tuple(r) for r in marts.upserted(old, new, ["k"]).collect()) == [(1, "x"), (2, "z")]
+
+
+def test_layers_are_switched_when_written(spark, tmp_path):
+    folder, rows = str(tmp_path / "layer"), spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    D.write_versioned(rows, folder, "1", ["k"])
+    D.write_versioned(rows.limit(1), folder, "2")
+    assert D.read_current(spark, folder).count() == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        D.write_versioned(rows, folder, "1", ["k"])
+    assert D.read_current(spark, folder).count() == 1
+    D.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == [("1", "a"), ("2", "b")]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text('{"a":\n1}')
+    assert [r.body for r in D.read_documents(spark, str(tmp_path / "docs")).collect()] == ['{"a":\n1}']
+
+
+def test_whole_numbers_of_any_size(spark):
+    rows = spark.createDataFrame([(t,) for t in ("7", " -12 ", "99999999999", "1.5", "", "x", None)], "t string")
+    value, valid = C.parse_int(F.col("t"))
+    assert [(None if r.v is None else int(r.v), r.ok) for r in rows.select(value.alias("v"), valid.alias("ok")).collect()] == [(7, True), (-12, True), (99999999999, True), (None, False), (None, False), (None, False), (None, False)]
+
+
+def test_windows_and_folds_are_checked(spark):
+    rows = spark.createDataFrame([(date(2024, m, 5), m % 2) for m in range(1, 13)], "d date, y int")
+    assert models.bounded(rows, "d", date(2024, 3, 1), date(2024, 12, 31)).count() == 10
+    with pytest.raises(ValueError, match="after"):
+        models.bounded(rows, "d", date(2024, 3, 1), date(2024, 11, 30))
+    folds = models.dated_folds(rows, "d", [(date(2024, 4, 1), date(2024, 6, 30)), (date(2024, 7, 1), date(2024, 9, 30))])
+    assert [(a.count(), b.count()) for a, b, _ in folds] == [(3, 3), (6, 3)]
+    for blocks in ([(date(2024, 4, 1), date(2024, 6, 30)), (date(2024, 6, 30), date(2024, 9, 30))], [(date(2024, 1, 1), date(2024, 2, 1))], [(date(2025, 1, 1), date(2025, 2, 1))]):
+        with pytest.raises(ValueError):
+            models.dated_folds(rows, "d", blocks)
+    assert models.last_months(rows, "d", 2) == [(date(2024, 11, 1), date(2024, 11, 30)), (date(2024, 12, 1), date(2024, 12, 31))]
+
+
+def test_trees_learn_what_a_line_cannot(spark):
+    rows = spark.createDataFrame([(float(a), float(a % 3), "k" if a % 2 else None, int(3 <= a <= 6), i) for i in range(30) for a in range(10)], "a double, b double, c string, y int, i int")
+    x = models.indexed(rows, ["a", "b"], ["c"])
+    out = models.probabilities(models.boosted(rows.withColumn("features", x), rounds=10, depth=3), rows.withColumn("features", x))
+    assert out.where((F.col("p") > 0.5).cast("int") != F.col("y")).count() == 0
+    unseen = spark.createDataFrame([(None, 1.0, "new")], "a double, b double, c string").select(x.alias("f")).first().f.toArray().tolist()
+    assert unseen == [-1e9, 1.0, -1.0]
+
+
+def test_sigmoid_calibration_mends_a_skewed_chance(spark):
+    rows = [(int(k % 10 < 10 * p), p**2) for p in (0.2, 0.5, 0.8) for k in range(200)]
+    oof = spark.createDataFrame(rows, "y int, p double")
+    out = {round(r.q, 2): r.p for r in models.calibrated(oof, oof.select("y", "p", F.col("p").alias("q"))).select("q", "p").distinct().collect()}
+    assert out[0.25] == pytest.approx(0.5, abs=0.06) and out[0.04] < out[0.25] < out[0.64]
+
+
+def test_bins_of_ranges_are_those_of_windows(spark):
+    x = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 101).alias("v"), F.col("id"))
+    x = x.union(spark.createDataFrame([(None, 5, 1000), (None, 5, 1001)], "g long, v long, id long"))
+    ranged = {r.id: r.bin for r in R.with_rank_bins(x, "v", ["g"], 4).collect()}
+    plain = {r.id: r.b for r in x.withColumn("b", R.rank_percent_bin("v", ["g"], 4)).collect()}
+    assert ranged == plain and len(ranged) == 502
+    equal = {r.id: r.bin for r in R.with_equal_bins(x, ["v", "id"], ["g"], 6).collect()}
+    assert equal == {r.id: r.b for r in x.withColumn("b", R.equal_count_bin(["v", "id"], ["g"], 6)).collect()}
+
+
+def test_tied_places_two_ways(spark):
+    rows = [(g, r) for g, ranks in enumerate([(1, 2, 3), (1, 1, 3), (1, 2, 2), (1, 1, 1), (1, 2, 3, 3), (1, 1)]) for r in ranks]
+    frame = spark.createDataFrame(rows, "g int, r int")
+    a = {(r.g, r.pool): r.expected for r in marts.tied_counts(frame, "g", "r").collect()}
+    assert a == {(r.g, r.pool): r.paid for r in marts.winning_sets(frame, "g", "r").collect()}
+    assert [a[g, "QNL"] for g in range(6)] == [1, 1, 2, 3, 1, 1] and [a[g, "TRI"] for g in range(5)] == [1, 2, 2, 0, 2] and a[4, "QPL"] == 6

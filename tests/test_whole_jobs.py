@@ -98,9 +98,23 @@ def test_all_pools_of_all_orders_are_parsed_or_rejected(spark, tmp_path):
     for k, n in sizes.items():
         for pool, picks in {"단식": 1, "연식": 1, "복식": 2, "쌍식": 2, "복연": 2, "삼복": 3, "삼쌍": 3}.items():
             rows = [(j, [[n - j + 1], [n, j], [n, j, j + 1]][picks - 1], (n + j) / 2) for j in range(1, min(n, 3) + 1)]
-            if any(len(set(m)) < picks for _, m, _ in rows):
+            if any(len(set(m)) < picks or max(m) > 16 for _, m, _ in rows):
                 broken.add((k, pool))
             else:
                 ordered = pool in ("쌍식", "삼쌍")
                 expected[k, pool] = [(j, m if ordered else sorted(m), ordered, odds) for j, m, odds in rows]
     assert rejected == broken and {key: sorted(v) for key, v in good.items()} == expected
+
+
+def test_every_query_is_registered_once_and_has_columns_of_its_sql():
+    from pastmark.plans import MODULES, SQL
+
+    names = [n for m in MODULES for n in m.register.queries]
+    assert len(names) == len(set(names)) == len(QUERIES) and set(SQL) <= set(names)
+
+
+def test_the_snapshot_has_125_features():
+    from pastmark.plans import place
+
+    assert len(place.FEATURES) == len(set(place.FEATURES)) == 125
+    assert [len(x) for x in (place.F1, place.F2, place.F3)] == [6, 8, 10]
