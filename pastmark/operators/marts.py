@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
+from pastmark.operators.state import saved, small
 
 
 def date_dimension(events: DataFrame, day: str) -> DataFrame:
@@ -23,7 +24,7 @@ def status_policy(rows: DataFrame, composite: DataFrame, single: DataFrame, keys
     `composite`: both codes and status; `single`: first code and status. The rules are small seed tables."""
     a = composite.select(*keys, F.col("status").alias("__both"))
     b = single.select(keys[0], F.col("status").alias("__one"))
-    out = rows.join(F.broadcast(a), list(keys), "left").join(F.broadcast(b), keys[0], "left")
+    out = rows.join(small(a), list(keys), "left").join(small(b), keys[0], "left")
     return out.withColumn("status", F.coalesce("__both", "__one", F.lit(default))).drop("__both", "__one")
 
 
@@ -108,15 +109,51 @@ def winning_sets(members: DataFrame, group: str, rank: str) -> DataFrame:
     return _places(members, group, rank).select(group, *(x.cast("long").alias(p) for p, x in sums.items())).unpivot(group, list(sums), "pool", "paid")
 
 
-def pareto_front(metrics: DataFrame, key: str, more_is_better: Sequence[str], less_is_better: Sequence[str]) -> DataFrame:
-    """`metrics` with `on_front`: no other row is at least as good in all and better in one. For small aggregates."""
-    m, o = metrics.alias("m"), metrics.alias("o")
-    pairs = [(F.col(f"o.{c}"), F.col(f"m.{c}")) for c in more_is_better] + [(F.col(f"m.{c}"), F.col(f"o.{c}")) for c in less_is_better]
-    all_of, any_of = F.lit(True), F.lit(False)
-    for better, worse in pairs:
-        all_of, any_of = all_of & (better >= worse), any_of | (better > worse)
-    front = m.join(F.broadcast(o), (F.col(f"o.{key}") != F.col(f"m.{key}")) & all_of & any_of, "left_anti").select(F.col(f"m.{key}").alias(key), F.lit(True).alias("on_front"))
-    return metrics.join(front, key, "left").fillna(False, ["on_front"])
+#: Rows that are compared with each other in one place.
+FRONT_ROWS = 4096
+
+
+def pareto_front(metrics: DataFrame, key: str, more_is_better: Sequence[str], less_is_better: Sequence[str], block: int = FRONT_ROWS) -> DataFrame:
+    """`metrics` with `on_front`: no other row is at least as good in all and better in one; rows with a NULL are on it.
+
+    A row beaten anywhere is beaten by a row of its block's front or is not in the block's front itself, so fronts of
+    blocks are found first, again and again while there is more than a block of them and they shrink; each row is then
+    compared with what is left, block by block."""
+    names = [*more_is_better, *less_is_better]
+    signs = [1.0] * len(more_is_better) + [-1.0] * len(less_is_better)
+    points = saved(metrics.select(F.col(key), *(F.col(c).cast("double").alias(c) for c in names)).dropna())
+
+    def beaten(a, b):
+        """Which rows of a some row of b beats."""
+        import numpy as np
+
+        out = np.zeros(len(a), bool)
+        for x in b:
+            out |= (x >= a).all(axis=1) & (x > a).any(axis=1)
+        return out
+
+    def front(frame):
+        x = frame[names].to_numpy(float) * signs
+        return frame[~beaten(x, x)]
+
+    best, n = points, points.count()
+    while n > block:
+        dealt = best.withColumn("__b", F.pmod(F.xxhash64(*names, key), F.lit(-(-n // block))))
+        fewer = saved(dealt.groupBy("__b").applyInPandas(front, dealt.schema).drop("__b"))
+        before, n, best = n, fewer.count(), fewer
+        if n > 0.9 * before:
+            break
+    blocks = max(1, -(-n // block))
+    own = best.select(*names, F.pmod(F.xxhash64(*names), F.lit(blocks)).alias("__b"))
+    asked = points.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(max(1, -(-points.count() // block)))))
+    own = own.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-points.count() // block)) - 1))))
+
+    def compare(_, a, b):
+        return a[beaten(a[names].to_numpy(float) * signs, b[names].to_numpy(float) * signs)][[key]]
+
+    schema = points.select(key).schema
+    lost = asked.groupBy("__b", "__part").cogroup(own.groupBy("__b", "__part")).applyInPandas(compare, schema).distinct().withColumn("on_front", F.lit(False))
+    return metrics.join(lost, key, "left").fillna(True, ["on_front"])
 
 
 def rate_mix(df: DataFrame, segment: str, period: str, first: str, second: str, hit: Column) -> DataFrame:

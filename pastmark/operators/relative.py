@@ -84,3 +84,16 @@ def numbered_values(df: DataFrame, x: str, group: Sequence[str], weights: Sequen
     out = rows.join(offsets, on)
     below = {n: (F.col(f"__own_{n}") + F.col(f"__before_{n}")).alias("__below" if n == "__n" else f"{n}_below") for n in names}
     return out.select(*group, x, *names, *below.values(), "__all")
+
+
+def exact_quantiles(df: DataFrame, x: str, group: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """(group, q0, q1, ..): interpolated quantiles of the values that are not NULL, exact at every size: the values at
+    the two places around each quantile, from `numbered_values`. Groups without a value have no row."""
+    rows = numbered_values(df.select(*group, F.col(x).cast("double").alias("__x")).where("__x is not null"), "__x", group)
+    place = lambda q: (F.col("__all") - 1) * F.lit(float(q))
+    holds = lambda k: (F.col("__below") <= k) & (k < F.col("__below") + F.col("__n"))
+    of = lambda k: F.max(F.when(holds(k), F.col("__x")))
+    parts = [f(place(q)) for q in at for f in (F.floor, F.ceil)]
+    found = rows.groupBy(*group).agg(F.first("__all").alias("__all"), *(of(k).alias(f"__v{i}") for i, k in enumerate(parts)))
+    value = lambda i, q: F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * (place(q) - F.floor(place(q)))
+    return found.select(*group, *(value(i, q).alias(f"q{i}") for i, q in enumerate(at)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -16,3 +17,12 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that is still sent whole to every executor.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast if the table is counted and small; else Spark shuffles the join as usual."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

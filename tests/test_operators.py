@@ -217,3 +217,32 @@ def test_tied_places_two_ways(spark):
     a = {(r.g, r.pool): r.expected for r in marts.tied_counts(frame, "g", "r").collect()}
     assert a == {(r.g, r.pool): r.paid for r in marts.winning_sets(frame, "g", "r").collect()}
     assert [a[g, "QNL"] for g in range(6)] == [1, 1, 2, 3, 1, 1] and [a[g, "TRI"] for g in range(5)] == [1, 2, 2, 0, 2] and a[4, "QPL"] == 6
+
+
+def test_exact_quantiles_of_any_group(spark):
+    import numpy as np
+
+    random = np.random.default_rng(3)
+    values = [(None if k == 2 else int(k), float(v)) for k, v in zip(random.integers(0, 4, 700), random.integers(0, 90, 700) / 4, strict=True)] + [(7, None), (8, 1.5)]
+    out = {r.k: (r.q0, r.q1, r.q2) for r in R.exact_quantiles(spark.createDataFrame(values, "k int, v double"), "v", ["k"], [0.1, 0.5, 0.95]).collect()}
+    groups = {}
+    for k, v in values:
+        groups.setdefault(k, []).append(v)
+    del groups[7]
+    assert out.keys() == groups.keys()
+    for k, own in groups.items():
+        assert out[k] == pytest.approx(tuple(np.quantile(own, [0.1, 0.5, 0.95])))
+
+
+def test_pareto_front_in_blocks(spark):
+    import numpy as np
+
+    random = np.random.default_rng(4)
+    x = random.integers(0, 60, (400, 3)).astype(float)
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(1000, None, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    z = x * [1, 1, -1]
+    front = {i for i in range(400) if not ((z >= z[i]).all(axis=1) & (z > z[i]).any(axis=1)).any()} | {1000}
+    for block in (4096, 32):
+        out = marts.pareto_front(frame, "k", ["a", "b"], ["c"], block).collect()
+        assert len(out) == 401 and {r.k for r in out if r.on_front} == front
