@@ -248,3 +248,32 @@ def tied_combinations(spark, sf_dir):
     paid = marts.winning_sets(observed, "grp", "rank").withColumn("paid", F.col("paid") + F.when(F.col("grp") % 41 == 0, 1).otherwise(0))
     both = expected.join(paid, ["grp", "pool"], "left").fillna(0, ["paid"])
     return both.groupBy("pool").agg(F.count("*").alias("n_groups"), F.sum("expected").alias("expected"), F.count_if(F.col("paid") != F.col("expected")).alias("mismatched"))
+
+
+@register(f"""WITH {RAW}, k AS (SELECT *, CAST(no AS BIGINT) AS n FROM canonical) SELECT (SELECT count(*) FROM k) + (SELECT count(*) FROM k WHERE n % 101 = 0) AS n_rows, (SELECT count(*) FROM k WHERE n % 101 = 0) AS repeated_members, (SELECT count(*) * 1 FROM k WHERE n % 97 = 0) + (SELECT count(*) FROM k WHERE n % 97 = 0 AND n % 101 = 0) AS rank_outside,
+(SELECT count(*) FROM k WHERE n % 89 = 0) + (SELECT count(*) FROM k WHERE n % 89 = 0 AND n % 101 = 0) AS no_source, (SELECT count(*) FROM k WHERE n % 83 = 0) + (SELECT count(*) FROM k WHERE n % 83 = 0 AND n % 101 = 0) AS no_group, (SELECT count(*) FROM k WHERE n % 79 = 0 AND n % 97 <> 0) + (SELECT count(*) FROM k WHERE n % 79 = 0 AND n % 97 <> 0 AND n % 101 = 0) AS finish_mismatch, (SELECT count(*) FROM csales WHERE amount < 1000) AS small_amounts FROM (SELECT 1)""")
+def canonical_audit(spark, sf_dir):
+    """Canonical rows with planted faults: repeated members, ranks outside 1 to 16, rows of no staged row or no group,
+    finishes without a rank."""
+    rows, sold, of_group = layers(spark, sf_dir)
+    c, n = F.col, F.col("no").cast("long")
+    out = canonical_members(rows, of_group)
+    out = out.withColumn("valid_finish", F.when(n % 79 == 0, ~c("valid_finish")).otherwise(c("valid_finish"))).withColumn("rank", F.when(n % 97 == 0, 17).otherwise(c("rank"))).withColumn("row_id", F.when(n % 89 == 0, F.concat(F.lit("none-"), "row_id")).otherwise(c("row_id")))
+    out = out.withColumn("of", F.when(n % 83 == 0, F.concat(F.lit("none-"), "no")).otherwise(c("no")))
+    out = saved(out.unionByName(out.where(n % 101 == 0)))
+    in_range = c("rank").between(1, 16)
+    parts = [
+        Q.rule_counts(out, {"rank_outside": ~in_range, "finish_mismatch": F.coalesce(in_range, F.lit(True)) & (c("valid_finish") != c("rank").isNotNull())}),
+        Q.repeated_keys(out, ["member_id"]).agg(F.coalesce(F.sum(c("n_rows") - 1), F.lit(0)).alias("repeated_members")), out.join(rows.select("row_id"), "row_id", "left_anti").agg(F.count("*").alias("no_source")),
+        out.join(of_group.select(c("no").alias("of")), "of", "left_anti").agg(F.count("*").alias("no_group")), canonical_sales(sold, of_group).agg(F.count_if(c("amount") < 1000).alias("small_amounts")),
+    ]
+    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+@register("""WITH old AS (SELECT n_nationkey AS code, n_name AS label FROM nation), fresh AS (SELECT n_nationkey + 20 AS code, 'NEW ' || n_name AS label FROM nation WHERE n_nationkey < 10) SELECT coalesce(f.code, o.code) AS code, coalesce(f.label, o.label) AS label FROM old o FULL JOIN fresh f ON f.code = o.code""")
+def seed_upsert(spark, sf_dir):
+    """A keyed seed table with newer rows over it."""
+    key = F.col("n_nationkey")
+    old = table(spark, sf_dir, "nation").select(key.alias("code"), F.col("n_name").alias("label"))
+    fresh = table(spark, sf_dir, "nation").where("n_nationkey < 10").select((key + 20).alias("code"), F.concat(F.lit("NEW "), "n_name").alias("label"))
+    return marts.upserted(old, fresh, ["code"])
