@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
+from pastmark.operators.relative import joined_quantiles
 from pastmark.operators.state import saved, small
 
 
@@ -54,13 +55,15 @@ def eligible_groups(sales: DataFrame, group: Sequence[str], pool: str, n_pools:
 def summary(df: DataFrame, dims: Sequence[str], amount: str, group: str, money: str = "decimal(18,2)") -> DataFrame:
     """(dims, n_groups, total, mean, median) of an amount; summed as decimals, so the order of rows is no matter."""
     total = F.sum(F.col(amount).cast(money)).cast("double")
-    return df.groupBy(*dims).agg(F.countDistinct(group).alias("n_groups"), total.alias("total"), (total / F.count(amount)).alias("mean"), F.median(F.col(amount).cast("double")).alias("median"))
+    found = df.groupBy(*dims).agg(F.countDistinct(group).alias("n_groups"), total.alias("total"), (total / F.count(amount)).alias("mean"))
+    return joined_quantiles(found, df, amount, dims, {"median": 0.5})
 
 
 def group_total_summary(df: DataFrame, dims: Sequence[str], group: str, amount: str, money: str = "decimal(18,2)") -> DataFrame:
     """(dims, n_groups, mean_total, median_total): sums by group, then their mean and median by dimension."""
     sums = df.groupBy(*dims, group).agg(F.sum(F.col(amount).cast(money)).alias("x"))
-    return sums.groupBy(*dims).agg(F.count("*").alias("n_groups"), (F.sum("x").cast("double") / F.count("x")).alias("mean_total"), F.median(F.col("x").cast("double")).alias("median_total"))
+    found = sums.groupBy(*dims).agg(F.count("*").alias("n_groups"), (F.sum("x").cast("double") / F.count("x")).alias("mean_total"))
+    return joined_quantiles(found, sums, "x", dims, {"median_total": 0.5})
 
 
 def share_of_total(df: DataFrame, dims: Sequence[str], amount: str, within: Sequence[str] = ()) -> DataFrame:

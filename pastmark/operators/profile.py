@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastmark.operators.relative import exact_quantiles
+from pastmark.operators.relative import joined_quantiles
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,9 +50,7 @@ def quantile_profile(df: DataFrame, dims: Sequence[str], columns: Sequence[str],
     """(dims, metric, n_rows, null_rate, mean, p10 ..): exact interpolated quantiles by dimension."""
     long, by = long_form(df, dims, columns, False), [*dims, "metric"]
     out = long.groupBy(*by).agg(F.count("*").alias("n_rows"), F.avg(F.col("value").isNull().cast("int")).alias("null_rate"), F.avg("value").alias("mean"))
-    q = exact_quantiles(long, "value", by, at).select(*(F.col(c).alias(f"__{c}") for c in by), *(F.col(f"q{i}").alias(f"p{round(100 * p)}") for i, p in enumerate(at)))
-    both = out.join(q, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)), "left")
-    return both.select(*by, "n_rows", "null_rate", "mean", *(f"p{round(100 * p)}" for p in at))
+    return joined_quantiles(out, long, "value", by, {f"p{round(100 * p)}": p for p in at})
 
 
 def composition(df: DataFrame, period: Sequence[str], dim: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,3 +97,11 @@ def exact_quantiles(df: DataFrame, x: str, group: Sequence[str], at: Sequence[fl
     found = rows.groupBy(*group).agg(F.first("__all").alias("__all"), *(of(k).alias(f"__v{i}") for i, k in enumerate(parts)))
     value = lambda i, q: F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * (place(q) - F.floor(place(q)))
     return found.select(*group, *(value(i, q).alias(f"q{i}") for i, q in enumerate(at)))
+
+
+def joined_quantiles(found: DataFrame, df: DataFrame, x: str, group: Sequence[str], at: Mapping[str, float]) -> DataFrame:
+    """`found`, one row per group of `df`, with the named quantiles of its values."""
+    q = exact_quantiles(df, x, group, list(at.values()))
+    q = q.select(*(F.col(g).alias(f"__q{i}") for i, g in enumerate(group)), *(F.col(f"q{i}").alias(n) for i, n in enumerate(at)))
+    on = [F.col(g).eqNullSafe(F.col(f"__q{i}")) for i, g in enumerate(group)]
+    return found.join(q, on, "left").select(*found.columns, *at)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
 from pastmark.operators import marts
+from pastmark.operators.relative import joined_quantiles
 from pastmark.plans.base import PREDS, RUNS, Registry, preds, rounded, runs, table
 
 register = Registry()
@@ -121,7 +122,8 @@ COUNTS = """m AS (SELECT pool, median(amount) AS middle, quantile_cont(amount, 0
 @register(f"""WITH {SALES}, {COUNTS} SELECT pool, round(middle, 4) AS middle, round(high, 4) AS high, round(tail, 6) AS tail, n,
 NOT EXISTS (SELECT 1 FROM m o WHERE o.pool <> m.pool AND o.middle >= m.middle AND o.n >= m.n AND o.tail <= m.tail AND (o.middle > m.middle OR o.n > m.n OR o.tail < m.tail)) AS on_front FROM m""")
 def pareto_front(spark, sf_dir):
-    m = sales(spark, sf_dir).groupBy("pool").agg(F.median("amount").alias("middle"), F.percentile("amount", 0.95).alias("high"), F.count("*").alias("n"))
+    s = sales(spark, sf_dir)
+    m = joined_quantiles(s.groupBy("pool").agg(F.count("*").alias("n")), s, "amount", ["pool"], {"middle": 0.5, "high": 0.95})
     m = m.withColumn("tail", F.col("high") / F.col("middle"))
     out = marts.pareto_front(m, "pool", ["middle", "n"], ["tail"])
     return out.select("pool", F.round("middle", 4).alias("middle"), F.round("high", 4).alias("high"), F.round("tail", 6).alias("tail"), "n", "on_front")
@@ -157,7 +159,9 @@ def status_policy_join(spark, sf_dir):
 def price_profile_by_pool(spark, sf_dir):
     from pastmark.plans.base import placed
 
-    return placed(runs(spark, sf_dir)).groupBy("pool").agg(F.round(F.percentile("t", 0.1), 5).alias("p10"), F.round(F.median("t"), 5).alias("p50"), F.round(F.percentile("t", 0.9), 5).alias("p90"), F.count("*").alias("n"), F.count_if(F.col("rk") == 1).alias("n_first"))
+    rows = placed(runs(spark, sf_dir))
+    out = rows.groupBy("pool").agg(F.count("*").alias("n"), F.count_if(F.col("rk") == 1).alias("n_first"))
+    return rounded(joined_quantiles(out, rows, "t", ["pool"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}), 5)
 
 
 @register("""SELECT nullif(trim(p_type), '') AS kind, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'low' WHEN p_type IN ('PROMO', 'LARGE') THEN 'high' ELSE p_type END AS class,
