@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys remembered by a per-task memo before it is emptied; bounds a Python worker's memory.
 MEMO_ENTRIES = 200_000
 #: Rows taken at a time from an Arrow batch, and about how many bytes of them.
-SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +59,18 @@ class Words:
     def n(self) -> np.ndarray:
         return np.diff(self.starts)
 
+    @property
+    def text_of(self) -> np.ndarray:
+        """The number of the text that each word is in."""
+        return np.repeat(np.arange(len(self)), self.n)
+
     def each(self, memo: Memo, kind: type = np.int64) -> np.ndarray:
         """What the memo gives for each distinct word."""
         return np.fromiter(map(memo.__getitem__, self.distinct), kind, len(self.distinct))
 
     def once(self) -> Words:
         """The distinct words of each text."""
-        of = np.repeat(np.arange(len(self)), self.n)
-        pairs = np.unique(of * max(1, len(self.distinct)) + self.index)
+        pairs = np.unique(self.text_of * max(1, len(self.distinct)) + self.index)
         starts = np.searchsorted(pairs, np.arange(len(self) + 1) * max(1, len(self.distinct)))
         return Words(self.distinct, pairs % max(1, len(self.distinct)), starts)
 
@@ -77,7 +81,7 @@ class Words:
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values from starts[i] to starts[i + 1]; exact for whole numbers."""
-    total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind in "fui" else np.int64), np.cumsum(values)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=float if values.dtype.kind == "f" else np.int64)])
     return total[starts[1:]] - total[starts[:-1]]
 
 
@@ -105,6 +109,14 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let rows with whole texts travel between Spark and Python by at most so many at a time: executors hold several
+    batches of each task outside the heap. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: computed once, and still there when an executor is lost."""
     shared_checkpoints(df.sparkSession)
@@ -143,6 +155,12 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    freed()
+
+
+def freed() -> None:
+    """Give memory that Arrow holds back for later to the system; the worker lives on when its task has ended."""
+    pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE_WORDS, PERMUTATIONS = 5, 64
-#: Bucket members compared with each other in one place, and bytes of their sets; larger buckets are cut in blocks.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Bucket members joined to a spanning forest in one place; members compared with each other in one place, and bytes of
+#: their sets. Larger buckets are cut in parts and blocks.
+PART, BLOCK, BLOCK_BYTES = 512, 1024, 16 << 20
 #: Signatures agree on so much less than the threshold only with a probability under 1e-6 (five deviations).
 DEVIATIONS = 5.0
 
@@ -157,6 +158,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             sets = zip(batch.column(2), batch.column(3), strict=True)
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
+        common.freed()
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
@@ -167,7 +169,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch], keys: int):
     """Rows of sorted batches by their first columns; a run of equal keys may go over batches."""
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    return groupby(rows, key=lambda row: row[:keys])
+    yield from groupby(rows, key=lambda row: row[:keys])
+    common.freed()
 
 
 def _pair_batches(found: Iterator[tuple[int, int]]):
@@ -303,7 +306,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     sets = common.saved(shingle_sets(text.join(wanted, "doc_id", "left_semi")))
     signature = base.where("doc_id is not null").select("doc_id", "signature").join(wanted, "doc_id", "left_semi")
 
-    part = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("n") / BLOCK))).otherwise(0).cast("long")
+    part = F.when(F.col("n") > PART, F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("n") / PART))).otherwise(0).cast("long")
     larger = members.where("n > 2").withColumn("part", part).join(signature, "doc_id")
     larger = larger.select("bucket", "part", "doc_id", "signature").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id")
     two = members.where("n = 2").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))

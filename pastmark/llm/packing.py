@@ -179,6 +179,7 @@ def pack(docs: DataFrame, tokens: Tokens, id_col: str = "doc_id", text_col: str
                     yield from ready(2000)
         packer.finish()
         yield from ready(1)
+        common.freed()
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return in_step_groups(common.saved(chosen.mapInArrow(run, PIECES_DDL)))

@@ -65,7 +65,7 @@ class OrdinalModel:
             model = sent.value
             # In whole numbers, so that sums do not depend on the order of words.
             fixed = np.round(model.weights.astype(float) * UNIT).astype(np.int64).tolist()
-            memo = common.Memo(lambda word: sum([fixed[s] for s in slots_of_word(word)]), 400_000)
+            memo = common.Memo(lambda word: sum([fixed[s] for s in slots_of_word(word)]))
             schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
             for batch in common.sliced(batches):
                 said = common.Words.of(batch.column(1))

@@ -157,9 +157,8 @@ BYTE_KINDS = np.array([sum((b in kind) << i for i, kind in enumerate((UPPER, LOW
 def feature_rows(texts: pa.Array, part: np.ndarray, memo: common.Memo) -> np.ndarray:
     """A row of features per text. `part`: 0 for the whole lexicon, k for the one without fold k - 1."""
     said = common.Words.of(texts)
-    code_of = said.each(memo)
-    once, codes = said.once(), code_of[said.index]
-    of = np.repeat(np.arange(len(said)), said.n)
+    code_of = said.each(memo, np.int32)
+    once, codes, of = said.once(), code_of[said.index], said.text_of.astype(np.int32)
     person = codes >> PERSON & 1
     near = person.copy()
     for shift in range(1, NEAR + 1):
@@ -168,16 +167,17 @@ def feature_rows(texts: pa.Array, part: np.ndarray, memo: common.Memo) -> np.nda
         near[:-shift] |= person[shift:] & same
     words = np.maximum(said.n, 1)
     rows = [np.log1p(said.n), said.sums(person) / words, said.sums(codes >> ODDLY & 1) / words]
+    part = part.astype(np.int32)
     shift, shift_once = 2 * part[of], 2 * np.repeat(part, once.n)
     for kind in (0, BEGUN):
         tier, tier_once = codes >> kind + shift & 3, code_of[once.index] >> kind + shift_once & 3
         for k in range(1, len(TIERS) + 1):
-            hits = (tier >= k).astype(np.int64)
-            rows += [said.sums(hits) / words, np.log1p(once.sums((tier_once >= k).astype(np.int64))), said.sums(hits & near) / words]
+            hits = tier >= k
+            rows += [said.sums(hits) / words, np.log1p(once.sums(tier_once >= k)), said.sums(hits & (near > 0)) / words]
     raw = pc.fill_null(texts, "").cast(pa.large_binary())
     ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     kinds = BYTE_KINDS[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-    upper, lower, marks, calls, breaks = (common.sums((kinds >> i & 1).astype(np.int64), ends - ends[0]) for i in range(5))
+    upper, lower, marks, calls, breaks = (common.sums(kinds >> i & 1, ends - ends[0]) for i in range(5))
     n_bytes = np.diff(ends)
     size = np.maximum(n_bytes, 1)
     rows += [upper / np.maximum(1, upper + lower), marks / size, calls / size, breaks / size, once.n / words, (n_bytes - said.n) / words]
@@ -185,18 +185,21 @@ def feature_rows(texts: pa.Array, part: np.ndarray, memo: common.Memo) -> np.nda
 
 
 def features(rows: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
-    """From (row, text, part): row, whatever it is, and an array of features; see `feature_rows`."""
+    """From (row, part, text): row, whatever it is, and an array of features; see `feature_rows`. Without a column text it
+    is the field of that name in row, so that it need not travel twice."""
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # as many entries as `fit` allows
+    apart = "text" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
-        memo = common.Memo(Coder(sent.value), 400_000)
+        memo = common.Memo(Coder(sent.value))
         for batch in common.sliced(batches):
-            found = feature_rows(batch.column(1), np.asarray(batch.column(2), np.int64), memo)
+            texts = batch.column(2) if apart else batch.column(0).field("text")
+            found = feature_rows(texts, np.asarray(batch.column(1), np.int64), memo)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "features"])
 
     schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("features", ArrayType(DoubleType()))])
-    return rows.select("row", "text", F.col("part").cast("int").alias("part")).mapInArrow(run, schema)
+    return rows.select("row", F.col("part").cast("int").alias("part"), *(["text"] if apart else [])).mapInArrow(run, schema)
 
 
 @dataclass
@@ -208,7 +211,7 @@ class ToxicityModel:
     rate: float  # the score where there are no trees
 
     def _scored(self, rows: DataFrame) -> DataFrame:
-        """From (row, text): row and score."""
+        """From (row, text), or row with a field text: row and score."""
         if self.trees is None:
             return rows.select("row", F.lit(self.rate).alias("score"))
         vectors = features(rows.withColumn("part", F.lit(0)), self.lexicon).select("row", array_to_vector("features").alias("features"))
@@ -228,8 +231,9 @@ class ToxicityModel:
     def clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The rows of `docs`, with their columns, that are not predicted toxic. Each row is judged by its own text,
         whatever its id; for odd texts see `score`. The columns travel in one, so their names meet no others."""
-        kept = self._scored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))).where("score < 0.5")
-        return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+        names = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)}
+        kept = self._scored(docs.select(F.struct(*(docs[c].alias(n) for c, n in names.items())).alias("row"))).where("score < 0.5")
+        return kept.select(*(F.col("row").getField(n).alias(c) for c, n in names.items()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> ToxicityModel:
