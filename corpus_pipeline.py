@@ -19,17 +19,20 @@ from pastmark.llm.queries import tokens
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier predicts to be toxic go; other rows of the same id stay."""
+    common.text_batches(spark)
     return toxicity.fit(docs, common.table(spark, sf_dir, "labels")).clean(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more stay in one of them only; all rows stay, null ids with all lines."""
+    common.text_batches(spark)
     return line_dedup.without_shared_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, similarity of 0.8 or more), once if its row is
     repeated. Documents without words and rows with a null id are nobody's duplicates."""
+    common.text_batches(spark)
     gone = common.saved(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
     kept = docs.join(common.small(gone, gone.count(), 8), "doc_id", "left_anti").select(*docs.columns)
     # Of rows that repeat an id and a text, one stays; only rows of such ids are moved for it.
@@ -46,11 +49,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their target weights; a row is what one round takes of a document. Documents without words
     end here. Null sources are one source."""
+    common.text_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of several lengths; each row of the mix is tokenised by itself."""
+    common.text_batches(spark)
     return packing.pack(docs, tokens())
 
 
