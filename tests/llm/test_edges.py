@@ -132,7 +132,7 @@ def test_near_dedup_of_a_drifting_group(spark):
 
 def test_near_dedup_in_blocks(spark, monkeypatch):
     rows = drifting(200)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PART", 16)
     monkeypatch.setattr(near_dedup, "block_pairs", lambda placed, block_pairs=near_dedup.block_pairs: block_pairs(placed, 16))
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(rows, 85)
