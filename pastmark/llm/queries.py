@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, topk, toxicity
+from . import fingerprints, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, spelling, token_counts, topk, toxicity, whitening
 from .common import table
 
 
@@ -79,7 +79,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 0.85)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_source_mix, op4_token_counts, op5_quality_grades, op6_packing, op7_line_dedup, op8_exact_topk, op9_quality_rules, op10_near_dedup)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_secret_scan, op3_source_mix, op4_token_counts, op5_quality_grades, op6_packing, op7_line_dedup, op8_exact_topk, op9_quality_rules, op10_near_dedup,
+        op11_fingerprints, op12_spelling_variants, op13_whitening,
+    )
+}
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,4 +147,19 @@ g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
+    "op12_spelling_variants": rf"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) AS c FROM range(256) r(i))),
+u AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM u GROUP BY 1, 2),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(bytes, lambda x: CAST(x AS BIGINT)), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), CAST(4294967295 AS BIGINT))) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM p),
+k AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+UNION SELECT d.word, w.word FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.rest),
+o AS (SELECT a, b, y.n AS n, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) AS place, count(*) OVER (PARTITION BY a) AS n_near FROM k JOIN w y ON y.word = b),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN o.n >= 2 * w.n THEN b END AS form, CASE WHEN o.n >= 2 * w.n THEN o.n END AS form_n FROM w LEFT JOIN o ON o.a = w.word AND place = 1),
+g AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.up)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN g ON g.word = f.word WHERE up IS NULL""",
 }

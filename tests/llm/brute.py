@@ -114,3 +114,62 @@ def quality_counts(text):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def near_words(words):
+    """word -> its near words: all that differ by one letter inserted, deleted or replaced."""
+    out = {w: set() for w in words}
+    for w in words:
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            if rest in out:
+                out[w].add(rest)
+                out[rest].add(w)
+    open_at = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            open_at[w[:i], w[i + 1 :]].add(w)
+    for group in open_at.values():
+        for w in group:
+            out[w] |= group - {w}
+    return out
+
+
+def spelling(docs, least_count=3):
+    """docs: (doc_id, text) -> {word: (n, n_near, form, form_n, root)}."""
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[a-zÀ-ÿ]+", lower(text or "")):
+            h = zlib.crc32(f"{i}:{run}".encode())
+            if i is not None and h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 5 and n >= least_count}
+    near = near_words(counts)
+    forms = {}
+    for w, others in near.items():
+        best = min(others, key=lambda b: (-counts[b], b), default=None)
+        forms[w] = best if best and counts[best] >= 2 * counts[w] else None
+
+    def root(w):
+        while forms[w]:
+            w = forms[w]
+        return w
+
+    return {w: (n, len(near[w]), forms[w], counts.get(forms[w]), root(w)) for w, n in counts.items()}
+
+
+def following(docs):
+    """docs: (doc_id, text), ids distinct -> {doc_id: (n_chars, edited text, next text)}."""
+    order = sorted(docs, key=lambda d: -d[0])
+    out = {}
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        out[i] = (len(text), text[: len(text) - half] + after[:half], after)
+    return out
+
+
+def likeness(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0

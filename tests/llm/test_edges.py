@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pastmark.llm import common, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, topk, toxicity
+from pastmark.llm import common, fingerprints, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, spelling, token_counts, topk, toxicity, whitening
 
 from . import brute
 
@@ -447,3 +447,123 @@ def test_sessions_on_a_cluster_need_a_shared_folder(spark):
 
 def test_digest_of_nothing():
     assert brute.secrets(None)[3] == hashlib.sha256(b"").hexdigest()
+
+
+def test_fingerprints(spark, docs, none):
+    out = as_bag((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited(docs, parts=3).collect())
+    distinct = sorted({(i, t or "") for i, t, _ in TEXTS}, key=lambda d: (d[0] is None, -(d[0] or 0)))
+    assert sum(out.values()) == len(TEXTS)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    expect = Counter()
+    for k, (i, text) in enumerate(distinct):
+        if i is not None and distinct[(k + 1) % len(distinct)][0] is not None:
+            half = len(text) // 2
+            expect[i, len(text), sha(text[: len(text) - half] + distinct[(k + 1) % len(distinct)][1][:half])] = sum(t[0] == i and (t[1] or "") == text for t in TEXTS)
+    assert all(out[key] == n for key, n in expect.items()) and len(expect) >= 12
+    assert fingerprints.edited(docs, parts=3).columns == [f.name for f in fingerprints.EDITED] and fingerprints.edited(none).count() == 0
+    one = spark.createDataFrame([(4, "a b c d e f g h")] * 40, "doc_id long, text string")
+    alone = fingerprints.edited(one, parts=4).collect()
+    assert len(alone) == 40 and {(r.edited_sha256, r.near_next) for r in alone} == {(sha("a b c d a b c d"), 1.0)}
+
+
+def test_fingerprints_of_a_hot_document(spark):
+    """One row repeated so often that it fills many ranges, between two others."""
+    rows = [(5, "hot text that is there very often indeed")] * 900 + [(i, f"text number {i} of a few") for i in range(10) if i != 5]
+    for parts in (1, 7, 16):
+        out = fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string"), parts=parts).collect()
+        expect = brute.following(list(dict(rows).items()))
+        assert len(out) == len(rows)
+        assert all(r.edited_sha256 == hashlib.sha256(expect[r.doc_id][1].encode()).hexdigest() for r in out)
+
+
+def test_sketches_merge(spark):
+    texts = [(i, " ".join(f"w{(i * 37 + k) % 700}" for k in range(400))) for i in range(12)]
+    parts = fingerprints.sketches(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("grp", F.when(F.col("doc_id") < 10, F.col("doc_id") % 2))
+    merged = {r.grp: np.array(r.sketch, np.int64).view(np.uint64) for r in fingerprints.merged(parts, "grp").collect()}
+    each = {r.doc_id: np.array(r.sketch, np.int64).view(np.uint64) for r in parts.collect()}
+    assert merged.keys() == {0, 1, None}
+    for g, sketch in merged.items():
+        own = [s for i, s in each.items() if (i % 2 if i < 10 else None) == g]
+        assert sketch.tolist() == np.unique(np.concatenate(own))[: fingerprints.K].tolist()
+    a, b = each[0], each[1]
+    true_a, true_b = brute.shingles(texts[0][1]), brute.shingles(texts[1][1])
+    assert fingerprints.containment(a, b) == pytest.approx(len(true_a & true_b) / len(true_a), abs=0.12)
+    assert fingerprints.distinct(merged[0]) == pytest.approx(700, rel=0.2)
+    empty = np.empty(0, np.uint64)
+    assert (fingerprints.resemblance(empty, empty), fingerprints.resemblance(empty, a), fingerprints.containment(empty, a), fingerprints.distinct(empty)) == (1, 0, 1, 0)
+    assert fingerprints.decoded(fingerprints.encoded(a)).tolist() == a.tolist() and fingerprints.encoded(empty) == ""
+
+
+def test_spelling(spark, docs, none):
+    odd = ["letter letter letter letter letter letter lettre lettre lettre letterr letterr letterr", "Äpfel ÄPFEL äpfel aäpfel aäpfel aäpfel àéîöû àéîöû àéîöû", "x" * 5000 + " " + "x" * 5000 + " " + "x" * 4999 + " " + ("y" + "x" * 4999 + " ") * 3, "aabbcc aabbcc aabbcc aabcc aabcc aabcc abbcc abbcc abbcc"]
+    rows = [(i, t) for i, t, _ in TEXTS] + [(100 + i % 3, t) for i, t in enumerate(odd * 4)] + [(None, "letter lettre"), (None, None)]
+    frame = spark.createDataFrame([(i, t, 3, "z") for i, t in rows], "doc_id long, text string, n long, word string")
+    out = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in spelling.variants(frame).collect()}
+    assert out == brute.spelling(rows) and any(x[2] for x in out.values()) and len(out) > 10
+    assert spelling.variants(none).count() == 0
+
+
+def test_spelling_of_made_up_words(spark):
+    """Few letters and lengths, so nearly all words have near ones, in runs and chains."""
+    random = np.random.default_rng(3)
+    words = ["".join(random.choice(list("abé"), random.integers(4, 8))) for _ in range(700)]
+    rows = [(i, " ".join(w for w in random.choice(words, 60) for _ in range(int(random.integers(1, 9)) ** 2))) for i in range(12)]
+    out = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute.spelling(rows)
+    assert max(len(x) for x in [[w for w in out if out[w][4] == r] for r in {x[4] for x in out.values()}]) > 5
+
+
+def test_trie_nodes():
+    letters, starts = np.array([5, 6, 7, 5, 6, 5], np.uint32), np.array([0, 3, 3, 5, 6])
+    found = spelling.nodes(letters, starts, 1)
+    a, b, c, d = found[:4], found[4:5], found[5:8], found[8:]
+    assert len({*found.tolist()}) == 4 and a[0] == b[0] == c[0] == d[0] and a[:3].tolist() == c.tolist() and a[:2].tolist() == d.tolist()
+
+
+def test_whitening(spark):
+    rows = [(1, [0.5, 0.25, 1.0]), (2, [0.0, -0.5, 0.5]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (None, [4.0, 0.0, 0.1]), (5, None), (6, [1.0, None, 0.0]), (7, [float("nan"), 0.0, 0.0]), (8, [float("inf"), 0.0, 0.0]), (9, [])]
+    schema = "vec_id long, embedding array<float>, n long, component string"
+    frame = lambda rows: spark.createDataFrame([(i, v, 1, "c") for i, v in rows], schema)
+    out = whitening.whiten(frame(rows)).collect()
+    assert Counter(r.vec_id for r in out) == {1: 3, 2: 3, 3: 6, None: 3, 9: 3} and all(r.n == 6 and r.identity_error < 1e-12 for r in out)
+    x = np.floor(1024 * np.array([v + [0.0] * (3 - len(v)) for i, v in rows if i not in (5, 6, 7, 8)], np.float32).astype(float)).astype(int)
+    deviation = ((6 * x - x.sum(axis=0)) ** 2).sum(axis=1).tolist()
+    assert as_bag((r.deviation,) for r in out) == Counter({(d,): 3 * deviation.count(d) for d in deviation})
+    for rows_ in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0])] * 3, [(1, []), (2, [])]):
+        assert whitening.whiten(frame(rows_)).count() == 0
+
+
+def test_whitening_with_large_entries_and_few_dimensions(spark):
+    random = np.random.default_rng(2)
+    large = [(i, [float(v) for v in random.normal(size=4) * [1e8, 1.0, 1e-1, 0.0]]) for i in range(50)]
+    out = whitening.whiten(spark.createDataFrame(large, "vec_id long, embedding array<double>")).collect()
+    assert {r.component for r in out} == {1, 2, 3} and max(r.identity_error for r in out) < 1e-6 and max(abs(r.whitened) for r in out) < 10
+
+
+def test_characteristic_polynomial(spark):
+    a = [[2, 1, 0, 0], [1, 2, 0, 0], [0, 0, 3, 0], [0, 0, 0, 0]]  # eigenvalues 3, 3, 1, 0
+    c = whitening.characteristic_polynomial(spark, a)
+    assert c == [0, -9, 15, -7, 1]
+    found = whitening.eigenvalues(c, 7, 8)
+    assert [float(v) for v in found] == pytest.approx([3, 3, 1], rel=1e-20)
+    vectors = np.array(whitening.components(a, found))
+    assert np.abs(vectors @ vectors.T - np.eye(3)).max() < 1e-15 and np.abs(vectors @ np.array(a) - np.diag([3, 3, 1]) @ vectors).max() < 1e-15
+    random = np.random.default_rng(1)
+    b = random.integers(-9, 10, (12, 30))
+    m = (b @ b.T).tolist()
+    close = np.linalg.eigvalsh(np.array(m, float))[::-1]
+    assert [float(v) for v in whitening.eigenvalues(whitening.characteristic_polynomial(spark, m), sum(m[i][i] for i in range(12)), 12)] == pytest.approx(close.tolist(), rel=1e-9)
+
+
+def test_close_eigenvalues_have_exact_components():
+    """Two eigenvalues that differ in the 20th digit."""
+    big = 10**20
+    m = [[big, 1, 0], [1, big, 0], [0, 0, 7]]
+    c = [-7 * (big**2 - 1), 14 * big + big**2 - 1, -(2 * big + 7), 1]
+    vectors = np.array(whitening.components(m, whitening.eigenvalues(c, 2 * big + 7, 2)))
+    assert np.abs(np.abs(vectors) - np.array([[0.5, 0.5, 0], [0.5, 0.5, 0]]) ** 0.5).max() < 1e-15
+    assert vectors[0][0] * vectors[0][1] > 0 > vectors[1][0] * vectors[1][1]
+
+
+def test_primes():
+    assert whitening.primes(3) == [2147483647, 2147483629, 2147483587]

@@ -162,3 +162,46 @@ def test_near_dedup(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute.near_components([d[:2] for d in docs])
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     assert sum(not r["kept"] for r in out) > 10
+
+
+def test_fingerprints(spark, docs):
+    out = {r["doc_id"]: r for r in rows(spark, "op11_fingerprints")}
+    expect = brute.following([d[:2] for d in docs])
+    assert out.keys() == expect.keys()
+    errors = []
+    for i, text, _ in docs:
+        n, edited, after = expect[i]
+        r = out[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        sizes = [len(brute.shingles(x)) for x in (text, edited, after)]
+        for value, other, size in ((r["near_edited"], edited, sizes[1]), (r["near_next"], after, sizes[2])):
+            errors.append(abs(value - brute.likeness(text, other)))
+            assert errors[-1] < (1e-12 if max(sizes[0], size) < 256 else 0.16)
+        assert r["n_shingles"] == pytest.approx(sizes[0], rel=1e-9 if sizes[0] < 256 else 0.3)
+    assert np.mean(errors) < 0.02 and np.mean([r["near_edited"] > 0.2 for r in out.values()]) > 0.9
+    by_text = defaultdict(set)
+    for i, text, _ in docs:
+        by_text[text].add(out[i]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_spelling_variants(spark, docs):
+    out = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in rows(spark, "op12_spelling_variants")}
+    assert out == brute.spelling([d[:2] for d in docs]) and len(out) > 10_000
+
+
+def test_whitening(spark):
+    table = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
+    ids, x = np.array(table["vec_id"]), np.floor(1024 * np.array(table["embedding"], float)).astype(np.int64) + 100_000
+    out = rows(spark, "op13_whitening")
+    n = len(ids)
+    deviation = dict(zip(ids.tolist(), ((n * x - x.sum(axis=0)) ** 2).sum(axis=1).tolist(), strict=True))
+    assert len(out) == 8 * n and all(r["n"] == n and r["deviation"] == deviation[r["vec_id"]] and r["identity_error"] < 1e-9 for r in out)
+    centred = (n * x - x.sum(axis=0)) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    white = centred @ (vectors / np.sqrt(values))
+    for k in range(1, 9):
+        mine = {r["vec_id"]: r for r in out if r["component"] == k}
+        other = white[:, -k] * np.sign(white[0, -k] * mine[ids[0]]["whitened"])
+        assert np.abs(other - [mine[i]["whitened"] for i in ids.tolist()]).max() < 1e-7
+        assert mine[ids[0]]["explained"] == pytest.approx(values[-k] / values.sum(), rel=1e-9)
