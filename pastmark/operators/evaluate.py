@@ -26,25 +26,29 @@ def macro_losses(preds: DataFrame, group: str, by: Sequence[str] = (), y: str =
     return losses.groupBy(*by).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), mean("log_loss"), mean("brier"), micro("log_loss"), micro("brier"))
 
 
-def calibration(preds: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", steps: int = 12) -> DataFrame:
+def calibration(preds: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", steps: int = 40, is_logit: bool = False) -> DataFrame:
     """(by, intercept, slope) of y on logit(p), for all segments at once: each Newton step is one aggregate of five
-    sums per segment. Constant p gives logit of the rate and a NULL slope; segments of one class give NULLs."""
-    from pastmark.operators.state import saved
-
+    sums per segment, until no segment moves. With `is_logit`, `p` is the logit or any other score. Constant p gives logit
+    of the rate and a NULL slope. Without `by`, rows of one class or none are an error; a segment of one class gives NULLs."""
     seg = list(by) or ["__all"]
-    rows = (preds if by else preds.withColumn("__all", F.lit(1))).select(*seg, F.col(y).cast("double").alias("y"), C.logit(F.col(p)).alias("z"))
+    rows = (preds if by else preds.withColumn("__all", F.lit(1))).select(*seg, F.col(y).cast("double").alias("y"), (F.col(p).cast("double") if is_logit else C.logit(F.col(p))).alias("z"))
     rows = saved(rows)
     fit = rows.groupBy(*seg).agg(F.avg("y").alias("rate"), (F.max("z") > F.min("z")).alias("varies")).where("rate is not null")
-    fit = fit.select(*seg, "rate", "varies", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    fit = saved(fit.select(*seg, "rate", "varies", F.lit(0.0).alias("a"), F.lit(0.0 if is_logit else 1.0).alias("b")))
+    if not by and fit.where("rate > 0 and rate < 1").isEmpty():
+        raise ValueError("calibration needs rows of both classes")
     for _ in range(steps):
         both = rows.join(fit.where("varies and rate > 0 and rate < 1"), seg)
         q = C.sigmoid(F.col("a") + F.col("b") * F.col("z"))
         both = both.withColumn("r", F.col("y") - q).withColumn("w", q * (1 - q))
         s = both.groupBy(*seg).agg(F.sum("r").alias("g0"), F.sum(F.col("r") * F.col("z")).alias("g1"), F.sum("w").alias("h0"), F.sum(F.col("w") * F.col("z")).alias("h1"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("h2"))
         det = F.nullif(F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1"), F.lit(0.0))
-        da = (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det
-        db = (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det
-        fit = saved(fit.join(s, seg, "left").select(*seg, "rate", "varies", (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("b")))
+        da = F.coalesce((F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det, F.lit(0.0))
+        db = F.coalesce((F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det, F.lit(0.0))
+        moved = (F.abs(da) + F.abs(db) > 1e-10).alias("moved")
+        fit = saved(fit.join(s, seg, "left").select(*seg, "rate", "varies", (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), moved))
+        if fit.where("moved").isEmpty():
+            break
     mixed = (F.col("rate") > 0) & (F.col("rate") < 1)
     intercept = F.when(mixed & F.col("varies"), F.col("a")).when(mixed, F.ln(F.col("rate") / (1 - F.col("rate"))))
     return fit.select(*by, intercept.alias("intercept"), F.when(mixed & F.col("varies"), F.col("b")).alias("slope"))

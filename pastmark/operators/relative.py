@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastmark.operators.state import saved
+from pastmark.operators.state import saved, small
 
 
 def average_rank(x: str, group: Sequence[str], ascending: bool = True) -> Column:
@@ -86,17 +87,51 @@ def numbered_values(df: DataFrame, x: str, group: Sequence[str], weights: Sequen
     return out.select(*group, x, *names, *below.values(), "__all")
 
 
+#: Rank error of a quantile sketch, and how many times it a bracket reaches to both sides.
+SKETCH, REACH = 1000, 3
+
+
 def exact_quantiles(df: DataFrame, x: str, group: Sequence[str], at: Sequence[float]) -> DataFrame:
-    """(group, q0, q1, ..): interpolated quantiles of the values that are not NULL, exact at every size: the values at
-    the two places around each quantile, from `numbered_values`. Groups without a value have no row."""
-    rows = numbered_values(df.select(*group, F.col(x).cast("double").alias("__x")).where("__x is not null"), "__x", group)
+    """(group, q0, q1, ..): interpolated quantiles of the values that are neither NULL nor NaN, exact at every size.
+    Groups without a value have no row.
+
+    A sketch of each group, merged from partial ones, brackets each quantile between two values close to its place. One
+    aggregate then counts what is below each bracket and how often the values inside occur; all other rows become one
+    count, so a group sends as many rows as there are distinct values within `2 * REACH / SKETCH` of it. The place is
+    found among these by running sums."""
+    rows = df.select(*group, F.col(x).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
+    low, high = ([q + side * REACH / SKETCH for q in at] for side in (-1, 1))
+    inside_of = [min(max(p, 0.0), 1.0) for p in (*low, *high)]
+    sketch = saved(rows.groupBy(*group).agg(F.count("*").alias("__all"), F.percentile_approx("__x", inside_of, SKETCH).alias("__s")))
+    bounds = sketch.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), "__all", "__s")
+    bounds = small(bounds)
+    infinite = lambda sign: F.lit(sign * float("inf"))
+    # A bracket that reaches beyond the ends is open there, and so are those of groups too small for a sketch.
+    known = lambda i, end: F.when(F.col("__all") > SKETCH, F.col("__s")[i]).otherwise(end)
+    lo = [infinite(-1) if p <= 0 else known(i, infinite(-1)) for i, p in enumerate(low)]
+    hi = [infinite(1) if p >= 1 else known(len(at) + i, infinite(1)) for i, p in enumerate(high)]
+    on = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)), F.lit(True))
+    near = reduce(lambda a, b: a | b, (F.col("__x").between(a, b) for a, b in zip(lo, hi, strict=True)))
+    both = rows.join(bounds, on).withColumn("__v", F.when(near, F.col("__x")))
+    below = [F.count_if(F.isnull("__v") & (F.col("__x") < a)).alias(f"__b{i}") for i, a in enumerate(lo)]
+    counted = both.groupBy(*group, "__v").agg(F.count("*").alias("__n"), F.first("__all").alias("__all"), F.first("__s").alias("__s"), *below)
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    places = counted.select("*", F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).over(upto), F.lit(0)).alias("__inside"))
+    # Below a value of a bracket are those outside all brackets that are below this one, and smaller ones inside any.
+    places = places.select("*", *((F.max(f"__b{i}").over(whole) + F.col("__inside")).alias(f"__r{i}") for i in range(len(at))))
     place = lambda q: (F.col("__all") - 1) * F.lit(float(q))
-    holds = lambda k: (F.col("__below") <= k) & (k < F.col("__below") + F.col("__n"))
-    of = lambda k: F.max(F.when(holds(k), F.col("__x")))
-    parts = [f(place(q)) for q in at for f in (F.floor, F.ceil)]
-    found = rows.groupBy(*group).agg(F.first("__all").alias("__all"), *(of(k).alias(f"__v{i}") for i, k in enumerate(parts)))
-    value = lambda i, q: F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * (place(q) - F.floor(place(q)))
-    return found.select(*group, *(value(i, q).alias(f"q{i}") for i, q in enumerate(at)))
+
+    def value(i: int, k: Column) -> Column:
+        at_rank = F.col("__v").between(lo[i], hi[i]) & (F.col(f"__r{i}") <= k) & (k < F.col(f"__r{i}") + F.col("__n"))
+        return F.max(F.when(at_rank, F.col("__v")))
+
+    parts = [(i, f(place(q))) for i, q in enumerate(at) for f in (F.floor, F.ceil)]
+    found = places.groupBy(*group).agg(F.first("__all").alias("__all"), *(value(i, k).alias(f"__v{j}") for j, (i, k) in enumerate(parts)))
+    missed = lambda i: F.raise_error(F.lit(f"no value at the place of quantile {at[i]} inside its bracket"))
+    of = lambda i, j: F.coalesce(F.col(f"__v{2 * i + j}"), missed(i).cast("double"))
+    between = lambda i, q: of(i, 0) + (of(i, 1) - of(i, 0)) * (place(q) - F.floor(place(q)))
+    return found.select(*group, *(between(i, q).alias(f"q{i}") for i, q in enumerate(at)))
 
 
 def joined_quantiles(found: DataFrame, df: DataFrame, x: str, group: Sequence[str], at: Mapping[str, float]) -> DataFrame:

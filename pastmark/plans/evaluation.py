@@ -9,6 +9,7 @@ from pastmark.functions import columns as C
 from pastmark.operators import evaluate as E
 from pastmark.operators import relative as R
 from pastmark.operators.state import saved
+from pastmark.plans.newton import newton
 from pastmark.plans.base import PREDS, Registry, preds, rounded
 
 register = Registry()
@@ -285,7 +286,8 @@ def bootstrap_stability(spark, sf_dir):
     return rounded(out.join(F.broadcast(facts.select("kind", "sample", "n")), ["kind", "sample"]), 9)
 
 
-@register()
+@register(f"""WITH {PREDS}, cal AS MATERIALIZED (SELECT period, pool, y, 1.0::DOUBLE AS x1, ln(p / (1 - p)) AS x2 FROM preds), {newton("cal", ["period", "pool"], 2, free=(1, 2))}
+SELECT period, pool, round(b[1], 6) AS intercept, round(b[2], 6) AS slope FROM w""")
 def calibration_newton(spark, sf_dir):
-    """No SQL: an iteration. Intercept and slope by period and pool, all segments at once."""
+    """Intercept and slope by period and pool, all segments at once."""
     return rounded(E.calibration(preds(spark, sf_dir), ["period", "pool"]))

@@ -135,13 +135,6 @@ def test_logistic_matches_newton(spark):
     assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-5)
 
 
-def test_folds_are_in_time_order(spark):
-    rows = spark.createDataFrame([(date(2024, m, 5), m % 2) for m in range(1, 13)], "d date, y int")
-    folds = models.expanding_folds(rows, "d")
-    assert [f[2] for f in folds] == [date(2024, 4, 1), date(2024, 7, 1), date(2024, 10, 1)]
-    assert all(a.agg(F.max("d")).first()[0] < b.agg(F.min("d")).first()[0] for a, b, _ in folds)
-
-
 def test_quality_rules(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, None)], "k int, v string")
     assert sorted(r.k for r in Q.singletons(rows, ["k"]).collect()) == [3]
@@ -234,6 +227,21 @@ def test_exact_quantiles_of_any_group(spark):
         assert out[k] == pytest.approx(tuple(np.quantile(own, [0.1, 0.5, 0.95])))
 
 
+def test_exact_quantiles_of_large_groups(spark):
+    """Groups much larger than a bracket: skewed, in steps, with ties around every quantile, and with one value only."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    groups = {"skewed": random.lognormal(0, 3, 40_000), "steps": random.integers(0, 7, 30_000) * 1.0, "one": np.full(9_000, 2.5), "wide": random.normal(0, 1e12, 20_001), "few": np.array([3.0, -1.0])}
+    at = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    rows = spark.createDataFrame([(k, float(v)) for k, own in groups.items() for v in own], "k string, v double").repartition(7)
+    plan = R.exact_quantiles(rows, "v", ["k"], at)
+    out = {r.k: [r[f"q{i}"] for i in range(len(at))] for r in plan.collect()}
+    assert out.keys() == groups.keys() and all(out[k] == pytest.approx(np.quantile(own, at), rel=1e-12, abs=1e-12) for k, own in groups.items())
+    assert R.exact_quantiles(rows, "v", [], [0.5]).first().q0 == pytest.approx(np.median(np.concatenate([*groups.values()])))
+    assert R.exact_quantiles(rows.where("false"), "v", ["k"], [0.5]).count() == 0
+
+
 def test_pareto_front_in_blocks(spark):
     import numpy as np
 
