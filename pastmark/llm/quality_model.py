@@ -143,7 +143,8 @@ def fit_rows(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarr
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", max_rated: int = MAX_RATED, max_bytes: int = MAX_BYTES) -> OrdinalModel:
     """Learn grades 0 .. n_grades - 1, a column over `ratings` (doc_id and more), from at most about `max_rated` rated
     documents that are not held out, and in the order of a hash of the id as many of them as have features of at most
-    `max_bytes`: so much the driver holds. Without any, all weights are 0."""
+    `max_bytes`: so much the driver holds. Without any, all weights are 0. Null and empty texts count as texts without
+    words; very long ones are read whole; for repeated ids see `labelled_sample`; further columns are not looked at."""
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = common.saved(_rows(labelled_sample(chosen, ratings, grade, max_rated)))
     order = Window.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")  # about max_rated narrow rows

@@ -27,8 +27,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import common
 
-#: Labelled documents to learn from at most, entries of the lexicon at most, documents that an entry must be in.
-MAX_LABELLED, MAX_TERMS, LEAST_DOCS = 10_000, 100_000, 3
+#: Labelled documents to learn from at most, documents that an entry of the lexicon must be in.
+MAX_LABELLED, LEAST_DOCS = 10_000, 3
+#: Entries that the driver and each worker can hold. No entry is ever left out: more are an error.
+MOST_TERMS = 2_000_000
 #: Deviations above chance for each tier, parts for the left-out lexicons, word beginnings, trees and their depth.
 TIERS, FOLDS, BEGINNINGS, TREES, DEPTH = (4.0, 6.0, 9.0), 3, (4, 6), 24, 3
 #: Second-person forms in the four languages; characters written for letters.
@@ -95,10 +97,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[str, tuple[int, ...]], int]:
-    """term -> its tier by all of (text, label, grp), then its tiers without each fold; and how many terms of a tier
-    were left out as there were more than `max_terms`, the least sure ones. Of a group one document counts, so that
-    words of a text that is copied often seem no surer for it."""
+def learn_lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> dict[str, tuple[int, ...]]:
+    """term -> its tier by all of (text, label, grp), then its tiers without each fold: every term of a tier. Of a group
+    one document counts, so that words of a text that is copied often seem no surer for it. The sample bounds how many
+    there are, as a term is in two of its toxic documents at least; more than `most_terms` are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo = common.Memo(terms)
@@ -123,8 +125,9 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[s
     seen = rows.select("fold", "label", F.explode("terms").alias("term")).groupBy("term").agg(*counts(F.lit(1), "n"), *counts(F.col("label"), "t"))
     scored = seen.select("term", *(score(of).alias(f"z{i}") for i, of in enumerate(parts))).where(F.greatest(*(F.col(f"z{i}") for i in range(len(parts)))) >= TIERS[0])
     scored = common.saved(scored)
-    best = scored.orderBy(F.desc("z0"), "term").limit(max_terms).collect()
-    return {r["term"]: tuple(sum(r[f"z{i}"] >= t for t in TIERS) for i in range(len(parts))) for r in best}, scored.count() - len(best)
+    if (n := scored.count()) > most_terms:
+        raise ValueError(f"{n} terms in the lexicon, more than {most_terms}: learn from fewer labelled documents")
+    return {r["term"]: tuple(sum(r[f"z{i}"] >= t for t in TIERS) for i in range(len(parts))) for r in scored.collect()}  # counted
 
 
 class Coder:
@@ -187,7 +190,7 @@ def feature_rows(texts: pa.Array, part: np.ndarray, memo: common.Memo) -> np.nda
 def features(rows: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
     """From (row, part, text): row, whatever it is, and an array of features; see `feature_rows`. Without a column text it
     is the field of that name in row, so that it need not travel twice."""
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # as many entries as `fit` allows
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_TERMS entries
     apart = "text" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -205,7 +208,6 @@ def features(rows: DataFrame, lexicon: dict[str, tuple[int, ...]]) -> DataFrame:
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, tuple[int, ...]]
-    dropped_terms: int  # terms of a tier beyond `max_terms`
     trees: GBTClassificationModel | None
     curve: IsotonicRegressionModel | None
     rate: float  # the score where there are no trees
@@ -236,20 +238,21 @@ class ToxicityModel:
         return kept.select(*(F.col("row").getField(n).alias(c) for c, n in names.items()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> ToxicityModel:
-    """Learn from at most about `max_labelled` labelled documents that are not held out, and a lexicon of at most
-    `max_terms` entries, the surest; how many more there were is in the model. With fewer than 20 documents, or all of
-    one label, there are no trees and every score is the share of toxic ones (0 without any)."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, most_terms: int = MOST_TERMS) -> ToxicityModel:
+    """Learn from at most about `max_labelled` labelled documents that are not held out, with a lexicon of all their
+    terms that reach a tier. With fewer than 20 documents, or all of one label, there are no trees and every score is the
+    share of toxic ones (0 without any). Null and empty texts count as texts without words; very long ones are read
+    whole; for repeated ids see `labelled_sample`; further columns, whatever their names, are not looked at."""
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sample = common.saved(with_group(labelled_sample(chosen, labels, F.col(label_col).cast("int"), max_labelled)))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n < 20 or toxic in (0, n):
-        return ToxicityModel({}, 0, None, None, toxic / n if n else 0.0)
-    lexicon, dropped = learn_lexicon(sample, max_terms)
+        return ToxicityModel({}, None, None, toxic / n if n else 0.0)
+    lexicon = learn_lexicon(sample, most_terms)
     rows = sample.select(F.struct("doc_id", F.col("label").cast("double").alias("label")).alias("row"), "text", (fold(F.col("grp")) + 1).alias("part"))
     rows = common.saved(features(rows, lexicon).select("row.doc_id", "row.label", array_to_vector("features").alias("features")))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, minInstancesPerNode=2).fit(rows.where(~apart).orderBy("doc_id"))
     judged = trees.transform(rows.where(apart)).select("label", vector_to_array("probability")[1].alias("raw"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(judged)
-    return ToxicityModel(lexicon, dropped, trees, curve, toxic / n)
+    return ToxicityModel(lexicon, trees, curve, toxic / n)

@@ -1,10 +1,13 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -173,3 +176,83 @@ def following(docs):
 def likeness(a, b):
     a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def toxic_word(word, lexicon, second, lookalikes):
+    """(tier as a whole word, tier by its beginnings, second person, obfuscated) of one word."""
+    own = word.lower()
+    while own and not own[0].isalnum():
+        own = own[1:]
+    while own and not own[-1].isalnum():
+        own = own[:-1]
+    plain = own if own.isalpha() else "".join(c for c in (lookalikes.get(c, c) for c in own) if c.isalnum() and not c.isdecimal())
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    odd = any(letter(a) and a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+    for i in range(1, len(word)):
+        j = i
+        while j < len(word) and (word[j].isdecimal() or word[j] in "@$*_#"):
+            j += 1
+        odd = odd or (j > i and j < len(word) and letter(word[i - 1]) and letter(word[j]))
+    tier = lambda term: lexicon.get(term, (0,))[0]
+    if len(plain) < 2:
+        return 0, 0, own in second, odd
+    return tier(f"={plain}"), max((tier(plain[:n]) for n in (4, 6) if len(plain) >= n), default=0), own in second, odd
+
+
+def toxic_features(text, lexicon, second, lookalikes):
+    said = words(text)
+    found = [toxic_word(w, lexicon, second, lookalikes) for w in said]
+    people = [i for i, f in enumerate(found) if f[2]]
+    n, once = max(1, len(said)), dict(zip(said, found, strict=True))
+    out = [math.log1p(len(said)), len(people) / n, sum(f[3] for f in found) / n]
+    for kind in (0, 1):
+        for k in (1, 2, 3):
+            hits = [i for i, f in enumerate(found) if f[kind] >= k]
+            near = [i for i in hits if any(abs(i - j) <= 4 for j in people)]
+            out += [len(hits) / n, math.log1p(sum(f[kind] >= k for f in once.values())), len(near) / n]
+    raw = (text or "").encode()
+    upper, lower_, size = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw), max(1, len(raw))
+    of = lambda kind: sum(b in kind for b in raw) / size
+    return [*out, upper / max(1, upper + lower_), of(b"!?*#%&$@"), of(b"!?"), of(b"\n"), len(once) / n, (len(raw) - len(said)) / n]
+
+
+def forest(model):
+    """The trees of a fitted model as nested tuples (feature, threshold, left, right) or leaves, with their weights."""
+
+    def node(x):
+        if x.subtreeDepth() == 0:
+            return x.prediction()
+        return x.split().featureIndex(), x.split().threshold(), node(x.leftChild()), node(x.rightChild())
+
+    return list(zip((node(t._java_obj.rootNode()) for t in model.trees), model.treeWeights, strict=True))
+
+
+def toxic_score(features, trees, boundaries, predictions):
+    margin = 0.0
+    for tree, weight in trees:
+        while isinstance(tree, tuple):
+            tree = tree[2] if features[tree[0]] <= tree[1] else tree[3]
+        margin += weight * tree
+    raw = 1 / (1 + math.exp(-2 * margin))
+    i = next((i for i, b in enumerate(boundaries) if b >= raw), len(boundaries))
+    if i == len(boundaries) or boundaries[i] == raw or i == 0:
+        curve = predictions[min(i, len(boundaries) - 1)]
+    else:
+        curve = predictions[i - 1] + (predictions[i] - predictions[i - 1]) * (raw - boundaries[i - 1]) / (boundaries[i] - boundaries[i - 1])
+    return min(1.0, max(0.0, 0.99 * curve + 0.01 * raw))
+
+
+def quality_tails(text, weights, thresholds, slots):
+    """P(grade > j) of a text from hashed words and traits; `slots`: how many hashed features there are."""
+    said = [w.encode() for w in words(text)]
+    raw, total = (text or "").encode(), 0.0
+    for w in set(said):
+        low = w.lower()
+        marks = bytes(sorted(b for b in set(low) if b in b"#*$%&|<>@=!?0"))
+        total += sum(float(weights[xxhash.xxh32(x).intdigest() % slots]) for x in (b"w" + low, b"b" + low[:5], b"e" + low[-3:], b"s" + marks))
+    total /= max(1, len(set(said))) ** 0.5
+    n, size, lines = max(1, len(said)), max(1, len(raw)), raw.split(b"\n")
+    upper, lower_, symbols = (sum(b in kind for b in raw) for kind in (range(65, 91), range(97, 123), b"#*$%&|<>"))
+    degrees = [math.log2(n), 12 * len(set(said)) / n, 12 * upper / max(1, upper + lower_), 60 * symbols / size, 12 * (1 - len(set(lines)) / len(lines)), size / n]
+    total += sum(float(weights[slots + 12 * i + min(11, int(x))]) for i, x in enumerate(degrees))
+    return [1 / (1 + math.exp(-(total - t))) for t in thresholds]

@@ -398,10 +398,20 @@ def test_toxicity_features_by_hand():
 def test_toxicity_learns_its_lexicon(spark):
     rows = [(i, f"vile w{i} thing" if i % 4 == 0 else f"kind w{i} thing", int(i % 4 == 0)) for i in range(400)]
     sample = toxicity.with_group(spark.createDataFrame(rows, "doc_id long, text string, label long"))
-    lexicon, dropped = toxicity.learn_lexicon(sample)
+    lexicon = toxicity.learn_lexicon(sample)
     # vile is in all 100 toxic and no other document: (100 - 100 / 4) / sqrt(100 / 4 * 3 / 4) deviations
-    assert lexicon == {"=vile": (3, 3, 3, 3), "vile": (3, 3, 3, 3)} and dropped == 0
-    assert toxicity.learn_lexicon(sample, 1) == ({"=vile": (3, 3, 3, 3)}, 1)
+    assert lexicon == {"=vile": (3, 3, 3, 3), "vile": (3, 3, 3, 3)}
+    with pytest.raises(ValueError, match="2 terms"):  # never fewer terms instead
+        toxicity.learn_lexicon(sample, 1)
+
+
+def test_toxicity_keeps_every_term_of_a_tier(spark):
+    """Each three toxic documents share sixty words of their own; all of these are entries."""
+    word = lambda g, k: "".join(chr(ord("a") + x) for x in (g // 10, g % 10, k // 10, k % 10)) + "zu"
+    rows = [(3 * g + i, " ".join([*(word(g, k) for k in range(60)), f"own{g}x{i}"]), 1) for g in range(100) for i in range(3)]
+    rows += [(1000 + i, f"plain text number{i}", 0) for i in range(4000)]
+    frame = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, label long, grp long")
+    assert {f"={word(g, k)}" for g in range(100) for k in range(60)} <= toxicity.learn_lexicon(frame).keys()
 
 
 def test_samples_take_each_id_once(spark):

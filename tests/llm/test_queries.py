@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from pastmark.llm import queries, token_counts
+from pastmark.llm import quality_model, queries, token_counts, toxicity
 
 from . import brute
 
@@ -46,6 +46,28 @@ def test_toxicity(spark, docs):
     assert auc(held) > 0.9
 
 
+def test_toxicity_scores_are_those_of_the_fitted_parts(spark, docs):
+    """Every score again from lexicon, trees and curve, without Spark."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"))
+    out = {r.doc_id: r.score for r in model.score(frame).collect()}
+    trees, curve = brute.forest(model.trees), (list(model.curve.boundaries), list(model.curve.predictions))
+    lookalikes = dict(zip("013457@$", "oieastas", strict=True))
+    for i, text, _ in docs:
+        features = brute.toxic_features(text, model.lexicon, set(toxicity.SECOND_PERSON), lookalikes)
+        assert out[i] == pytest.approx(brute.toxic_score(features, trees, *curve), abs=1e-9)
+    assert len({round(x, 6) for x in out.values()}) > 20
+
+
+def test_quality_grades_are_those_of_the_fitted_weights(spark, docs):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_model.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"), queries.graded(), 3)
+    out = {r.doc_id: r for r in model.score(frame).collect()}
+    for i, text, _ in docs:
+        tails = brute.quality_tails(text, model.weights, model.thresholds, quality_model.FEATURES)
+        assert out[i].tails == pytest.approx(tails, abs=1e-6) and out[i].expected_grade == pytest.approx(sum(tails), abs=1e-6)
+
+
 def test_secret_scan(spark, docs):
     out = {r["doc_id"]: r for r in rows(spark, "op2_secret_scan")}
     assert len(out) == len(docs)
