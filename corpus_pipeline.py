@@ -34,7 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated. Documents without words and rows with a null id are nobody's duplicates."""
     common.text_batches(spark)
     gone = common.saved(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    kept = docs.join(common.small(gone, gone.count(), 8), "doc_id", "left_anti").select(*docs.columns)
+    # Rows with a null id match nothing, so they are dealt by their text and not all to one task.
+    dealt = common.fresh(docs, "dealt")
+    away = F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64("text"), F.lit(1))).otherwise(0)
+    ids = common.small(gone.withColumn(dealt, F.lit(0).cast("long")), gone.count(), 16)
+    kept = docs.withColumn(dealt, away).join(ids, ["doc_id", dealt], "left_anti").select(*docs.columns)
     # Of rows that repeat an id and a text, one stays; only rows of such ids are moved for it.
     times = kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("mark")).agg(F.count("*").alias("n"))
     again = common.saved(times.where("n > 1").select("doc_id").distinct())
