@@ -26,6 +26,39 @@ def prefix_by_day(events: DataFrame, keys: Sequence[str], day: str, measures: Me
     return of_day.select(*keys, day, *columns).fillna(0, [n for n, h in how.items() if h == "sum"])
 
 
+def prior_days(events: DataFrame, keys: Sequence[str], day: str, measures: Measures, last: tuple[int, Sequence[str], Sequence[str]] | None = None, latest: Mapping[str, int] | None = None) -> DataFrame:
+    """(keys, day, n_prior, measures, last, latest_..): what `prefix_by_day` gives, and of the events of earlier days the
+    last so many, as an array of structs with the latest first. `last`: (number, order within a day, values). `latest`:
+    for each column how many of its last values that are not NULL, as `latest_<column>`, in the order of `last`.
+
+    Rows are summed by entity and day before an entity's days meet, so of a day at most the events that count are kept,
+    and one exchange by entity serves all windows."""
+    latest = latest or {}
+    known, kept = events.dropna(subset=[*keys, day]), []
+    if last:
+        n, tie, values = last
+        of_day = Window.partitionBy(*keys, day).orderBy(*(F.desc(t) for t in tie))
+        upto = of_day.rowsBetween(Window.unboundedPreceding, 0)
+        known = known.select("*", F.row_number().over(of_day).alias("__r"), *(F.count(c).over(upto).alias(f"__c_{c}") for c in latest))
+        in_order = lambda cond, value: F.array_sort(F.collect_list(F.when(cond, F.struct("__r", value.alias("v")))))["v"]
+        kept = [in_order(F.col("__r") <= n, F.struct(*values)).alias("__own"), *(in_order(F.col(c).isNotNull() & (F.col(f"__c_{c}") <= m), F.col(c)).alias(f"__own_{c}") for c, m in latest.items())]
+    days = known.groupBy(*keys, day).agg(F.count("*").alias("n_prior"), *(COMBINE[how](column).alias(name) for name, (how, column) in measures.items()), *kept)
+    by = Window.partitionBy(*keys)
+    earlier = by.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    how = {"n_prior": "sum"} | {name: how for name, (how, _) in measures.items()}
+    columns = [COMBINE[h](name).over(earlier).alias(name) for name, h in how.items()]
+    first = lambda lists, m: F.slice(F.flatten(F.reverse(lists)), 1, m)
+    if last:
+        columns.append(first(F.collect_list("__own").over(by.orderBy(day).rowsBetween(-n, -1)), n).alias("last"))
+    # Days with a value of c are at even places, days after k of them at 2 k + 1: m days back are 2 m places back.
+    place = lambda c: 2 * F.count_if(F.size(f"__own_{c}") > 0).over(by.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)) + (F.size(f"__own_{c}") == 0).cast("int")
+    columns += [x for c in latest for x in (place(c).alias(f"__at_{c}"), F.when(F.size(f"__own_{c}") > 0, F.col(f"__own_{c}")).alias(f"__own_{c}"))]
+    out = days.select(*keys, day, *columns).fillna(0, [name for name, h in how.items() if h == "sum"])
+    for c, m in latest.items():
+        out = out.withColumn(f"latest_{c}", first(F.collect_list(f"__own_{c}").over(by.orderBy(f"__at_{c}").rangeBetween(-2 * m, -1)), m))
+    return out.drop(*(f"{x}_{c}" for c in latest for x in ("__at", "__own")))
+
+
 def with_prior(events: DataFrame, keys: Sequence[str], day: str, measures: Measures) -> DataFrame:
     """Events with the measures over their entity's earlier days. Events with a NULL key have NULL measures."""
     return events.join(prefix_by_day(events.dropna(subset=[*keys, day]), keys, day, measures), [*keys, day], "left")

@@ -19,6 +19,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Saved with its rows dealt by `keys`, which Spark then knows of: groups, windows and joins by these keys and any
+    further ones need no exchange of it. For joins by further keys the session is told to accept such a dealing."""
+    spark, adaptive = df.sparkSession, "spark.sql.adaptive.enabled"
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    rows, before = saved(df), spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")  # an adaptive plan does not say how its rows are dealt
+    try:
+        return saved(rows.repartition(*keys))
+    finally:
+        spark.conf.set(adaptive, before)
+
+
 #: Rows of a table that is still sent whole to every executor.
 SMALL_ROWS = 100_000
 
