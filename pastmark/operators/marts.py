@@ -41,9 +41,17 @@ def run_log(output: DataFrame, version: str, inputs: Sequence[str], started_at,
     return out.select(F.lit(version).alias("version"), F.lit(",".join(inputs)).alias("inputs"), F.lit("COMPLETED").alias("status"), F.lit(started_at).alias("started_at"), F.current_timestamp().alias("completed_at"), *counts)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of `new`, and those of `old` whose key it does not have."""
-    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], latest: str | None = None) -> DataFrame:
+    """Rows of `new`, and those of `old` whose key it does not have. A key that `new` repeats keeps the row of the greatest
+    `latest`, and of rows that tie there the greatest in all columns; without `latest` repeats are an error."""
+    if latest is None:
+        again = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys)))))
+        one = new.groupBy(*keys).agg(F.coalesce(again.cast("boolean"), F.lit(True)).alias("__once")).where("__once").drop("__once")
+        fresh = new.join(one, list(keys), "left_semi")
+    else:
+        rest = [c for c in new.columns if c not in keys]
+        fresh = new.groupBy(*keys).agg(F.max(F.struct(latest, *(c for c in rest if c != latest))).alias("__row")).select(*(c if c in keys else F.col(f"__row.{c}").alias(c) for c in new.columns))
+    return fresh.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
 
 
 def eligible_groups(sales: DataFrame, group: Sequence[str], pool: str, n_pools: int) -> DataFrame:

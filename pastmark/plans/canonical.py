@@ -270,10 +270,10 @@ def canonical_audit(spark, sf_dir):
     return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
 
-@register("""WITH old AS (SELECT n_nationkey AS code, n_name AS label FROM nation), fresh AS (SELECT n_nationkey + 20 AS code, 'NEW ' || n_name AS label FROM nation WHERE n_nationkey < 10) SELECT coalesce(f.code, o.code) AS code, coalesce(f.label, o.label) AS label FROM old o FULL JOIN fresh f ON f.code = o.code""")
+@register("""WITH old AS (SELECT n_nationkey AS code, n_name AS label, 0 AS load_no FROM nation), fresh AS (SELECT CAST(c_custkey % 40 AS INTEGER) AS code, c_name AS label, c_custkey AS load_no FROM customer WHERE c_custkey % 40 >= 20),
+last AS (SELECT code, arg_max(label, load_no) AS label, max(load_no) AS load_no FROM fresh GROUP BY 1) SELECT coalesce(f.code, o.code) AS code, coalesce(f.label, o.label) AS label, CAST(coalesce(f.load_no, o.load_no) AS BIGINT) AS load_no FROM old o FULL JOIN last f ON f.code = o.code""")
 def seed_upsert(spark, sf_dir):
-    """A keyed seed table with newer rows over it."""
-    key = F.col("n_nationkey")
-    old = table(spark, sf_dir, "nation").select(key.alias("code"), F.col("n_name").alias("label"))
-    fresh = table(spark, sf_dir, "nation").where("n_nationkey < 10").select((key + 20).alias("code"), F.concat(F.lit("NEW "), "n_name").alias("label"))
-    return marts.upserted(old, fresh, ["code"])
+    """A keyed seed table with newer rows over it, which repeat their keys: the last load counts."""
+    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"), F.lit(0).cast("long").alias("load_no"))
+    fresh = table(spark, sf_dir, "customer").where("c_custkey % 40 >= 20").select((F.col("c_custkey") % 40).cast("int").alias("code"), F.col("c_name").alias("label"), F.col("c_custkey").alias("load_no"))
+    return marts.upserted(old, fresh, ["code"], "load_no")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pastmark.functions import columns as C
 from pastmark.operators import profile as P
-from pastmark.operators.state import saved
+from pastmark.operators import quality as Q
+from pastmark.operators.state import new_folder, saved
 from pastmark.sources import documents as D
 from pastmark.plans.base import Registry, table
 
@@ -84,14 +85,86 @@ def manifest_scan(spark, sf_dir):
     return D.manifest_scan(requests.select("batch_id").distinct(), requests, files, 3).select("request_no", "request_id", "file_id")
 
 
-@register(f"""WITH {ROWS}, d AS (SELECT DISTINCT file_id, user_id AS u FROM e) SELECT file_id, CASE WHEN u % 11 = 0 THEN 'MISSING' WHEN u % 13 = 0 THEN 'SIZE' ELSE 'HASH' END AS issue FROM d WHERE u % 11 = 0 OR u % 13 = 0 OR u % 17 = 0""")
+#: Users of a day that share a stored file.
+SHARES = 4
+FILES = f"""f0 AS (SELECT *, strftime(ts, '%Y%m%d') || '-' || user_id % {SHARES} || '-' || event_id // {PAGE} AS file_id, day(ts) * {SHARES} + user_id % {SHARES} AS f FROM events),
+f AS (SELECT file_id, any_value(f) AS f, count(*) AS n_items FROM f0 GROUP BY 1)"""
+
+
+def stored_batch(spark, sf_dir):
+    """Documents of many users' events of a day, written as files with a manifest, some of them faulty: (folder of the
+    files, path of the manifest). Of every 13 files one is missing, one longer, one changed, one not listed."""
+    e, day, page = table(spark, sf_dir, "events"), F.date_format("ts", "yyyyMMdd"), F.floor(F.col("event_id") / PAGE)
+    item = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.format_string("%.2f", "value").alias("amount"), day.alias("day"), F.struct(F.array(F.col("user_id"), F.col("event_id")).alias("of")).alias("more")))
+    rows = e.select(F.concat_ws("-", day, F.col("user_id") % SHARES, page).alias("file_id"), (F.dayofmonth("ts") * SHARES + F.col("user_id") % SHARES).alias("f"), "event_id", item.alias("item"))
+    docs = rows.groupBy("file_id").agg(F.first("f").alias("f"), F.array_join(F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"], ",").alias("items"), F.count("*").alias("n"))
+    body = F.concat(F.lit('{"response":{"header":{"resultCode":"00"},"body":{"totalCount":'), "n", F.lit(',"items":{"item":['), "items", F.lit("]}}}}"))
+    docs, f = saved(docs.select("file_id", "f", body.alias("body"))), F.col("f")
+    folder = new_folder(spark, "stored")
+    kept = F.when(f % 13 == 4, F.concat("body", F.lit(" "))).when(f % 13 == 5, F.concat(F.lit("["), F.substr("body", F.lit(2)))).otherwise(F.col("body"))
+    D.store_documents(docs.where(f % 13 != 3).select("file_id", kept.alias("body")), f"{folder}/files")
+    whole = F.concat("body", F.lit("\n")).cast("binary")  # as a line of text ends
+    status = F.when(f % 7 == 0, "API_ERROR").otherwise("SUCCESS")
+    manifest = docs.where(f % 13 != 6).select("file_id", F.col("file_id").alias("request_id"), f.alias("request_no"), F.lit("batch").alias("batch_id"), status.alias("status"), F.length(whole).cast("long").alias("size"), F.sha2(whole, 256).alias("sha256"))
+    manifest.write.json(f"{folder}/manifest")
+    return f"{folder}/files", f"{folder}/manifest"
+
+
+MANIFEST = "file_id string, request_id string, request_no int, batch_id string, status string, size long, sha256 string"
+
+
+@register(f"""WITH {FILES} SELECT file_id, CASE f % 13 WHEN 3 THEN 'MISSING' WHEN 4 THEN 'SIZE' WHEN 5 THEN 'HASH' ELSE 'UNLISTED' END AS issue FROM f WHERE f % 13 BETWEEN 3 AND 6""")
 def file_audit(spark, sf_dir):
-    """A manifest against stored files, of which some are missing, longer or changed."""
-    docs = saved(raw(spark, sf_dir).withColumn("user", F.split("file_id", "-")[0].cast("long")))
-    manifest = docs.select("file_id", F.octet_length("body").cast("long").alias("size"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
-    u, body = F.col("user"), F.col("body")
-    kept = docs.where(u % 11 != 0).select("file_id", F.when(u % 13 == 0, F.concat(body, F.lit(" "))).when(u % 17 == 0, F.concat(F.lit("["), F.substr(body, F.lit(2)))).otherwise(body).cast("binary").alias("content"))
-    return D.file_audit(manifest, kept)
+    """Files as they are stored against their manifest, both read from the file system."""
+    files, manifest = stored_batch(spark, sf_dir)
+    return D.file_audit(spark.read.schema(MANIFEST).json(manifest), D.stored_documents(spark, files))
+
+
+@register(f"""WITH {FILES} SELECT CAST(f AS INTEGER) AS request_no, f0.file_id, row_number() OVER (PARTITION BY f0.file_id ORDER BY event_id) AS position, CAST(event_id AS VARCHAR) AS id, '{{"of":[' || user_id || ',' || event_id || ']}}' AS more
+FROM f0 WHERE f % 13 NOT BETWEEN 3 AND 6 AND f % 7 <> 0""")
+def stored_items(spark, sf_dir):
+    """Items of the sound files of a batch's successful requests: manifest, audit and files from the file system. Nested
+    values stay as text."""
+    files, manifest = stored_batch(spark, sf_dir)
+    listed, stored = spark.read.schema(MANIFEST).json(manifest), D.stored_documents(spark, files)
+    wanted = D.manifest_scan(listed.select("batch_id").distinct(), listed.select("batch_id", "request_id", "request_no", "status"), listed.select("request_id", "file_id"), "batch")
+    sound = stored.join(D.file_audit(listed, stored).select("file_id"), "file_id", "left_anti").select("file_id", F.col("content").cast("string").alias("body"))
+    rows = D.exploded(sound, ["id", "more"]).join(wanted.select("file_id", "request_no"), "file_id")
+    return rows.select("request_no", "file_id", F.col("position").cast("long").alias("position"), "id", "more")
+
+
+@register("""SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, 'second' AS version FROM orders GROUP BY ALL""")
+def layer_rebuild(spark, sf_dir):
+    """A layer that is written three times: the second, audited version takes the first one's place, the third breaks a rule of the
+    audit and is refused, so the second is what readers get."""
+    orders = table(spark, sf_dir, "orders")
+    layer = lambda rows, version: rows.groupBy(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")).withColumn("version", F.lit(version))
+    folder, n = new_folder(spark, "layer"), orders.count()
+
+    def audit(rows):
+        repeated = Q.repeated_keys(rows, ["status", "year"]).agg(F.count("*").alias("n_broken")).select(F.lit("repeated_keys").alias("rule"), "n_broken")
+        lost = rows.agg((F.lit(n) - F.coalesce(F.sum("n_orders"), F.lit(0))).alias("n_broken")).select(F.lit("lost_orders").alias("rule"), F.abs("n_broken").alias("n_broken"))
+        return repeated.unionByName(lost)
+
+    D.write_versioned(layer(orders.where("o_orderkey > 0"), "first"), folder, "1")
+    D.write_versioned(layer(orders, "second"), folder, "2", ["year"], audit)
+    third = layer(orders, "third")
+    try:
+        D.write_versioned(third.unionByName(third.where("status = 'F'")), folder, "3", audit=audit)
+    except D.Refused:
+        pass  # as it must be
+    else:
+        raise AssertionError("a faulty version was not refused")
+    return D.read_current(spark, folder).select("status", "year", "n_orders", "total", "version")
+
+
+@register("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 'a "quoted", part' END AS note FROM customer""")
+def csv_export(spark, sf_dir):
+    """A query exported as CSV with a header and read again: texts with quotes and commas stay, NULL and blank are one."""
+    note = F.when(F.col("c_custkey") % 5 == 0, 'a "quoted", part')
+    folder = new_folder(spark, "export")
+    D.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", note.alias("note")), folder)
+    return spark.read.option("header", True).option("escape", '"').csv(folder)
 
 
 @register(f"""WITH {ROWS}, x AS (SELECT e.*, CAST(id AS BIGINT) AS k FROM e) SELECT count(*) AS n_rows, count(*) FILTER (k % 97 = 0) AS orphans, count(*) FILTER (k % 89 = 0 AND k % 97 <> 0) AS wrong_row_id, (SELECT count(*) FROM (SELECT file_id FROM x WHERE k % 97 <> 0 GROUP BY 1 HAVING count(*) <> max(position) OR min(position) <> 1)) AS files_with_gaps, count(*) FILTER (k % 83 = 0) AS wrong_flag FROM x""")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,18 @@ def read_documents(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), F.col("value").alias("body"))
 
 
+def store_documents(documents: DataFrame, folder: str) -> None:
+    """Write each body (file_id, body) as a file of its own in a folder named by its id."""
+    documents.select("file_id", "body").write.mode("errorifexists").partitionBy("file_id").text(folder)
+
+
+def stored_documents(spark, folder: str) -> DataFrame:
+    """(file_id, path, size, content) of the files under a folder, as they are."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract("path", r"file_id=([^/]+)/[^/]*$", 1)
+    return found.where(~F.col("path").rlike(r"/[._][^/]*$")).select(name.alias("file_id"), "path", F.col("length").alias("size"), "content")
+
+
 def items(body: Column) -> Column:
     """The items of a document as an array of JSON texts; one object counts as an array of one, none gives NULL."""
     raw = F.trim(F.get_json_object(body, ITEMS))
@@ -82,10 +95,10 @@ def manifest_scan(batches: DataFrame, requests: DataFrame, files: DataFrame, bat
 
 def file_audit(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     """(file_id, issue): files of the manifest (file_id, size, sha256) that are missing or differ in what is stored
-    (file_id, content)."""
-    seen = stored.select("file_id", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("h"))
-    both = manifest.join(seen, "file_id", "left")
-    issue = F.when(F.col("n").isNull(), "MISSING").when(F.col("n") != F.col("size"), "SIZE").when(F.col("h") != F.col("sha256"), "HASH")
+    (file_id, content), and stored ones that it does not list."""
+    seen = stored.select("file_id", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("h"), F.lit(True).alias("there"))
+    both = manifest.withColumn("listed", F.lit(True)).join(seen, "file_id", "full")
+    issue = F.when(F.col("listed").isNull(), "UNLISTED").when(F.col("there").isNull(), "MISSING").when(F.col("n") != F.col("size"), "SIZE").when(F.col("h") != F.col("sha256"), "HASH")
     return both.select("file_id", issue.alias("issue")).where("issue is not null")
 
 
@@ -115,19 +128,53 @@ def winning_combinations(rows: DataFrame, pool: str = "pool", text: str = "odds"
     return good, out.where(~ok).select(*rows.columns)
 
 
-def write_versioned(df: DataFrame, folder: str, version: str, partition_by: Sequence[str] = ()) -> str:
-    """A full rebuild of a layer under its own version. When it is written, `current` is switched to it; until then, and
-    if the job fails, readers of `read_current` go on with the old one. Returns the new version's path."""
-    path = f"{folder}/version={version}"
+class Refused(ValueError):
+    """An audit has found faults in a layer that was written; readers go on with the old one."""
+
+
+def write_versioned(df: DataFrame, folder: str, version: str, partition_by: Sequence[str] = (), audit: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """A full rebuild of a layer under its own version: written, then read again and audited, then made current.
+
+    `audit` gives (rule, n_broken) for the rows as they are stored; a rule that is broken refuses the version. `current`
+    is a file that names the version. A new one is written beside it and renamed over it, in one step of the file system:
+    a reader finds the old or the new name at any time, also if the job dies. Returns the new version's path."""
+    spark, path = df.sparkSession, f"{folder}/version={version}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    if audit is not None:
+        broken = {r["rule"]: r["n_broken"] for r in audit(spark.read.parquet(path)).where("n_broken > 0").collect()}  # a row per rule
+        if broken:
+            raise Refused(f"version {version} of {folder}: {broken}")
+    switch(spark, folder, version)
     return path
 
 
+def switch(spark, folder: str, version: str) -> None:
+    """Make a version current by one rename."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    new, current = hadoop.Path(f"{folder}/.current-{uuid.uuid4().hex}"), hadoop.Path(f"{folder}/current")
+    store = new.getFileSystem(conf)
+    # On a local disk no checksum is written beside the name, as that would be a second file to rename.
+    out = (store.getRawFileSystem() if store.getScheme() == "file" else store).create(new, False)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(current.getFileSystem(conf).getUri(), conf).rename(new, current, over)
+
+
 def read_current(spark, folder: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{folder}/current").first().version
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    current = jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    stream = current.getFileSystem(conf).open(current)
+    try:
+        version = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     return spark.read.parquet(f"{folder}/version={version}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("escape", '"').csv(path)

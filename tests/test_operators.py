@@ -142,6 +142,12 @@ def test_quality_rules(spark):
     assert sorted((r.k, r.v) for r in Q.promoted(rows, ["k"], ["v"]).collect()) == [(2, "c"), (3, None)]
     old, new = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z")], "k int, v string")
     assert sorted(tuple(r) for r in marts.upserted(old, new, ["k"]).collect()) == [(1, "x"), (2, "z")]
+    twice = new.union(spark.createDataFrame([(2, "a"), (3, None)], "k int, v string"))
+    with pytest.raises(Exception, match="repeated key"):
+        marts.upserted(old, twice, ["k"]).collect()
+    loads = spark.createDataFrame([(2, "z", 4), (2, "a", 9), (2, "b", None), (3, None, 1), (3, "q", 1)], "k int, v string, load int")
+    out = marts.upserted(old.withColumn("load", F.lit(0)), loads, ["k"], "load").collect()
+    assert sorted(tuple(r) for r in out) == [(1, "x", 0), (2, "a", 9), (3, "q", 1)]
 
 
 def test_layers_are_switched_when_written(spark, tmp_path):
@@ -159,6 +165,59 @@ def test_layers_are_switched_when_written(spark, tmp_path):
     assert [r.body for r in D.read_documents(spark, str(tmp_path / "docs")).collect()] == ['{"a":\n1}']
 
 
+def test_a_layer_stays_when_the_next_one_fails(spark, tmp_path):
+    """A write that breaks half-way, an audit that finds faults, a repeated version: readers go on with the old one."""
+    folder, rows = str(tmp_path / "layer"), spark.range(100).withColumn("k", F.col("id") % 3)
+    now = lambda: D.read_current(spark, folder).agg(F.count("*"), F.max("id")).first()
+    audit = lambda df: df.agg(F.count_if(F.col("id") < 0).alias("n_broken")).select(F.lit("negative").alias("rule"), "n_broken")
+    D.write_versioned(rows, folder, "1", audit=audit)
+    broken = rows.withColumn("k", F.when(F.col("id") == 77, F.raise_error(F.lit("half-way")).cast("long")).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="half-way"):
+        D.write_versioned(broken, folder, "2", audit=audit)
+    assert now() == (100, 99)
+    with pytest.raises(D.Refused, match="negative"):
+        D.write_versioned(rows.withColumn("id", F.col("id") - 1), folder, "3", audit=audit)
+    assert now() == (100, 99)
+    D.write_versioned(rows.where("id < 50"), folder, "4", ["k"], audit)
+    assert now() == (50, 49)
+    assert [p.name for p in (tmp_path / "layer").iterdir() if "current" in p.name and not p.name.endswith(".crc")] == ["current"]
+
+
+def test_readers_find_a_version_during_the_switch(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "layer")
+    for version in "ab":
+        D.write_versioned(spark.range(3).withColumn("v", F.lit(version)), folder, version)
+    done = []
+
+    def read():
+        seen = set()
+        while not done:
+            seen |= set(D.read_current(spark, folder).columns)
+        return seen
+
+    with ThreadPoolExecutor(2) as pool:
+        readers = [pool.submit(read) for _ in range(2)]
+        try:
+            for i in range(60):
+                D.switch(spark, folder, "ab"[i % 2])
+        finally:
+            done.append(True)
+        assert all(r.result() == {"id", "v"} for r in readers)
+
+
+def test_stored_files_are_read_as_they_are(spark, tmp_path):
+    docs = spark.createDataFrame([("a-1", "x"), ("b-2", "yy")], "file_id string, body string")
+    D.store_documents(docs, str(tmp_path / "files"))
+    stored = D.stored_documents(spark, str(tmp_path / "files"))
+    assert {(r.file_id, r.size, bytes(r.content)) for r in stored.collect()} == {("a-1", 2, b"x\n"), ("b-2", 3, b"yy\n")}
+    manifest = stored.select("file_id", "size", F.sha2("content", 256).alias("sha256"))
+    assert D.file_audit(manifest, stored).count() == 0
+    bad = manifest.where("file_id = 'a-1'").withColumn("size", F.lit(9).cast("long")).unionByName(spark.createDataFrame([("c-3", 1, "h")], "file_id string, size long, sha256 string"))
+    assert {tuple(r) for r in D.file_audit(bad, stored).collect()} == {("a-1", "SIZE"), ("b-2", "UNLISTED"), ("c-3", "MISSING")}
+
+
 def test_whole_numbers_of_any_size(spark):
     rows = spark.createDataFrame([(t,) for t in ("7", " -12 ", "99999999999", "1.5", "", "x", None)], "t string")
     value, valid = C.parse_int(F.col("t"))
