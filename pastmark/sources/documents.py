@@ -154,15 +154,20 @@ def switch(spark, folder: str, version: str) -> None:
     hadoop = jvm.org.apache.hadoop.fs
     new, current = hadoop.Path(f"{folder}/.current-{uuid.uuid4().hex}"), hadoop.Path(f"{folder}/current")
     store = new.getFileSystem(conf)
-    # On a local disk no checksum is written beside the name, as that would be a second file to rename.
-    out = (store.getRawFileSystem() if store.getScheme() == "file" else store).create(new, False)
+    # A local disk renames over a file by its raw file system only; a checksum beside the name would be a second file.
+    raw = store.getRawFileSystem() if store.getScheme() == "file" else None
+    out = (raw or store).create(new, False)
     try:
         out.write(bytearray(version.encode()))
     finally:
         out.close()
+    if raw is not None:
+        if not raw.rename(new, current):
+            raise OSError(f"{current} was not switched")
+        return
     over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
     over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    hadoop.FileContext.getFileContext(current.getFileSystem(conf).getUri(), conf).rename(new, current, over)
+    hadoop.FileContext.getFileContext(store.getUri(), conf).rename(new, current, over)
 
 
 def read_current(spark, folder: str) -> DataFrame:
