@@ -156,6 +156,43 @@ def mix_decomposition(losses: DataFrame, segment: str, period: str, first: str,
     return out.withColumn("residual", col("total_change") - col("composition") - col("within") - col("first_only") - col("second_only")).drop("__c0", "__c1")
 
 
+def middle(values: Column) -> Column:
+    """The median of an array, without NULL and NaN; NULL of none."""
+    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
+    at = lambda k: F.get(known, F.floor(k).cast("int"))
+    return (at((F.size(known) - 1) / 2) + at(F.size(known) / 2)) / 2
+
+
+def stability(cells: DataFrame, pattern: Sequence[str], place: Sequence[str], fold: str, value: str, folds: Sequence, least: int) -> DataFrame:
+    """(pattern, n_folds, median_spread, median_correlation, common_cells, same_sign_cells): does a pattern, a value per
+    place, come again in each fold?
+
+    The spread is from the least to the greatest value of a fold. Each two folds are correlated over the places both
+    have, if these are `least` or more, all pairs of folds in one aggregate of the places. Common are the places that all
+    folds with any place have. `folds`: the folds there are; few, as are places of a pattern."""
+    names = [f"__f{i}" for i in range(len(folds))]
+    wide = cells.groupBy(*pattern, *place).agg(*(F.max(F.when(F.col(fold) == f, F.col(value))).alias(n) for f, n in zip(folds, names, strict=True)))
+    of_pattern = Window.partitionBy(*pattern)
+    used = sum((F.max(F.col(n).isNotNull().cast("int")).over(of_pattern) for n in names), F.lit(0))
+    known = F.filter(F.array(*names), F.isnotnull)
+    wide = wide.select("*", used.alias("__used"), known.alias("__known"))
+    common = F.size("__known") == F.col("__used")
+    same = common & (F.forall("__known", lambda x: x > 0) | F.forall("__known", lambda x: x < 0))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    both = lambda a, b: F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()) >= least
+    found = wide.groupBy(*pattern).agg(
+        F.first("__used").alias("n_folds"), F.array(*(F.max(n) - F.min(n) for n in names)).alias("__spreads"), F.array(*(F.when(both(a, b), F.corr(a, b)) for a, b in pairs)).cast("array<double>").alias("__pairs"),
+        F.count_if(common).alias("common_cells"), F.count_if(same).alias("same_sign_cells"),
+    )
+    return found.select(*pattern, "n_folds", middle(F.col("__spreads")).alias("median_spread"), middle(F.col("__pairs")).alias("median_correlation"), "common_cells", "same_sign_cells")
+
+
+def directions(cells: DataFrame, pattern: Sequence[str], place: str, fold: str, value: str) -> DataFrame:
+    """(pattern, same_direction): in how many folds the last place is above the first one, or below it, whichever is more."""
+    ends = cells.groupBy(*pattern, fold).agg((F.max_by(value, place) - F.min_by(value, place)).alias("__d"))
+    return ends.groupBy(*pattern).agg(F.greatest(F.count_if(F.col("__d") > 0), F.count_if(F.col("__d") < 0)).alias("same_direction"))
+
+
 def bootstrap(losses: DataFrame, index: str, loss: str, n: int, draws: int, drawn: Column) -> DataFrame:
     """(draw, mean): means of n values drawn with replacement, `draws` times. `losses` has `index` from 0 to n - 1;
     `drawn` gives an index from the columns draw and slot. No value set is collected: draws find values by equi-join."""

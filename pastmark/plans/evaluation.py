@@ -199,16 +199,15 @@ def model_comparison(spark, sf_dir):
     return rounded(wide.select("fold", "bin", *names, change("brier"), change("predicted")), 7)
 
 
-@register(f"""WITH {LOSS} SELECT period, metric, stored, again, round(abs(stored - again), 8) AS difference, abs(stored - again) <= 1e-7 AS same FROM (SELECT period, unnest(['brier', 'log_loss']) AS metric, unnest([round(avg(brier) + CASE WHEN period = 'SHIFTED' THEN 0.001 ELSE 0 END, 8), round(avg(log_loss), 8)]) AS stored, unnest([round(avg(brier), 8), round(avg(log_loss), 8)]) AS again FROM g GROUP BY 1)""")
+@register(f"""WITH {LOSS} SELECT period, metric, stored, again, round(abs(stored - again), 8) AS difference, abs(stored - again) <= 1e-9 AS same FROM (SELECT period, unnest(['brier', 'log_loss']) AS metric, unnest([round(avg(brier) + CASE WHEN period = 'SHIFTED' THEN 0.001 ELSE 0 END, 8), round(avg(log_loss), 8)]) AS stored, unnest([round(avg(brier), 8), round(avg(log_loss), 8)]) AS again FROM g GROUP BY 1)""")
 def reproduction_check(spark, sf_dir):
     """Stored metrics, one of them changed, against those found again from the predictions."""
-    again = rounded(E.macro_losses(preds(spark, sf_dir), "grp", ["period"]).select("period", F.col("macro_brier").alias("brier"), F.col("macro_log_loss").alias("log_loss")), 8)
+    again = E.macro_losses(preds(spark, sf_dir), "grp", ["period"]).select("period", F.col("macro_brier").alias("brier"), F.col("macro_log_loss").alias("log_loss"))
     w = F.sum("w").over(Window.partitionBy("period"))  # the same means another way: rows weigh one over the size of their group
     x = preds(spark, sf_dir).withColumn("w", 1 / F.count("*").over(Window.partitionBy("period", "grp"))).withColumn("total", w)
     stored = x.groupBy("period").agg(F.sum(C.brier(F.col("y"), F.col("p")) * F.col("w") / F.col("total")).alias("brier"), F.sum(C.log_loss(F.col("y").cast("double"), F.col("p")) * F.col("w") / F.col("total")).alias("log_loss"))
-    stored = rounded(stored.withColumn("brier", F.col("brier") + F.when(F.col("period") == "SHIFTED", 0.001).otherwise(0.0)), 8)
-    out = E.reproduced(stored, again, ["period"], ["brier", "log_loss"], 1e-7)
-    return out.withColumn("difference", F.round("difference", 8))
+    stored = stored.withColumn("brier", F.col("brier") + F.when(F.col("period") == "SHIFTED", 0.001).otherwise(0.0))
+    return rounded(E.reproduced(stored, again, ["period"], ["brier", "log_loss"]), 8)
 
 
 @register(f"""WITH {RANKED}, k AS (SELECT unnest([1, 2, 3]) AS k), g AS (SELECT grp, k, count(*) FILTER (rank <= k AND y = 1) AS hits FROM r, k GROUP BY 1, 2), n AS (SELECT k, hits, count(*) AS n_groups FROM g GROUP BY 1, 2) SELECT CAST(k AS INTEGER) AS k, hits, n_groups, round(n_groups / sum(n_groups) OVER (PARTITION BY k), 8) AS share FROM n""")
@@ -233,14 +232,38 @@ def segment_shares(spark, sf_dir):
     return rounded(out.withColumn("share", F.col("n_groups") / F.sum("n_groups").over(Window.partitionBy("period"))), 8)  # a row per band and period
 
 
-@register(f"""WITH {FOLDS}, c AS (SELECT fold, pool, avg(res) AS r FROM f GROUP BY 1, 2), k AS (SELECT a.fold AS fa, b.fold AS fb, corr(a.r, b.r) AS c FROM c a JOIN c b ON a.pool = b.pool AND a.fold < b.fold GROUP BY 1, 2)
-SELECT pool, round(max(r) - min(r), 7) AS spread, greatest(count(*) FILTER (r > 0), count(*) FILTER (r < 0)) AS same_direction, (SELECT round(median(c), 5) FROM k) AS median_correlation FROM c GROUP BY 1""")
+def _stability_sql(source, pattern, place, least):
+    both = " AND ".join(f"a.{c} = b.{c}" for c in (*pattern, *place))
+    by = ", ".join(pattern)
+    return f"""SELECT s.*, c.r AS median_correlation, n.common_cells, n.same_sign_cells FROM (SELECT {by}, count(*) AS n_folds, median(spread) AS median_spread FROM (SELECT {by}, fold, max(x) - min(x) AS spread FROM {source} GROUP BY {by}, fold) GROUP BY {by}) s
+LEFT JOIN (SELECT {by}, median(r) AS r FROM (SELECT {", ".join(f"a.{c}" for c in pattern)}, corr(a.x, b.x) AS r FROM {source} a JOIN {source} b ON {both} AND a.fold < b.fold GROUP BY {", ".join(f"a.{c}" for c in pattern)}, a.fold, b.fold HAVING count(*) >= {least}) WHERE NOT isnan(r) GROUP BY {by}) c USING ({by})
+JOIN (SELECT {by}, count(*) FILTER (k = all_folds) AS common_cells, count(*) FILTER (k = all_folds AND (lo > 0 OR hi < 0)) AS same_sign_cells FROM (SELECT {by}, {", ".join(place)}, count(*) AS k, min(x) AS lo, max(x) AS hi FROM {source} GROUP BY ALL) JOIN (SELECT {by}, count(DISTINCT fold) AS all_folds FROM {source} GROUP BY ALL) USING ({by}) GROUP BY {by}) n USING ({by})"""
+
+
+LEAST_ROWS = 100
+
+
+def _patterns_sql():
+    bins = f"b5 AS (SELECT *, {_avg_rank_sql('v', 'fold, feature', 'u', 'bin', 5)} FROM u), m1 AS (SELECT fold, feature, bin, avg(res) AS x FROM b5 WHERE bin IS NOT NULL GROUP BY 1, 2, 3)"
+    ends = "d1 AS (SELECT feature, greatest(count(*) FILTER (d > 0), count(*) FILTER (d < 0)) AS same_direction FROM (SELECT feature, fold, arg_max(x, bin) - arg_min(x, bin) AS d FROM m1 GROUP BY 1, 2) GROUP BY 1)"
+    cells = f"m2 AS (SELECT fold, left_feature, right_feature, left_bin, right_bin, m - additive AS x FROM cells WHERE n_rows >= {LEAST_ROWS})"
+    columns = "n_folds, round(median_spread, 7) AS median_spread, round(median_correlation, 5) AS median_correlation, common_cells, same_sign_cells"
+    return f"""WITH {LONG}, {CELLS}, {bins}, {ends}, {cells}, alone AS ({_stability_sql("m1", ["feature"], ["bin"], 2)}), paired AS ({_stability_sql("m2", ["left_feature", "right_feature"], ["left_bin", "right_bin"], 3)})
+SELECT feature AS left_feature, NULL AS right_feature, CAST(n_folds AS INTEGER) AS n_folds, {columns.split(", ", 1)[1]}, same_direction FROM alone JOIN d1 USING (feature) UNION ALL SELECT left_feature, right_feature, CAST(n_folds AS INTEGER), {columns.split(", ", 1)[1]}, NULL FROM paired"""
+
+
+@register(_patterns_sql())
 def pattern_stability(spark, sf_dir):
-    c = folds(spark, sf_dir).groupBy("fold", "pool").agg(F.avg("res").alias("r"))  # folds times pools
-    a, b = c.select("pool", F.col("fold").alias("fa"), F.col("r").alias("ra")), c.select("pool", F.col("fold").alias("fb"), F.col("r").alias("rb"))
-    k = a.join(b, "pool").where("fa < fb").groupBy("fa", "fb").agg(F.corr("ra", "rb").alias("c")).agg(F.round(F.median("c"), 5).alias("median_correlation"))
-    out = c.groupBy("pool").agg(F.round(F.max("r") - F.min("r"), 7).alias("spread"), F.greatest(F.count_if(F.col("r") > 0), F.count_if(F.col("r") < 0)).alias("same_direction"))
-    return out.crossJoin(k)  # one row
+    """Residual patterns over fifths of each feature, and interactions over cells of two features with at least 100 rows:
+    spread within a fold, correlation between folds, direction and sign."""
+    c = F.col
+    bins = saved(_long_bins(spark, sf_dir, 5).where("bin is not null").groupBy("fold", "feature", "bin").agg(F.avg("res").alias("x")))
+    cells = saved(_cells(spark, sf_dir).where(c("n_rows") >= LEAST_ROWS).withColumn("x", c("mean_residual") - c("additive")))
+    years = sorted(r[0] for r in bins.select("fold").distinct().collect())  # one row a fold
+    one = E.stability(bins, ["feature"], ["bin"], "fold", "x", years, 2).join(E.directions(bins, ["feature"], "bin", "fold", "x"), "feature")
+    two = E.stability(cells, ["left_feature", "right_feature"], ["left_bin", "right_bin"], "fold", "x", years, 3)
+    both = one.withColumnRenamed("feature", "left_feature").unionByName(two, allowMissingColumns=True)
+    return both.select("left_feature", "right_feature", "n_folds", F.round("median_spread", 7).alias("median_spread"), F.round("median_correlation", 5).alias("median_correlation"), "common_cells", "same_sign_cells", "same_direction")
 
 
 @register(f"""WITH {LOSS}, i AS (SELECT grp, brier, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM g WHERE period = 'SHIFTED'),

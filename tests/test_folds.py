@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pastmark.operators import evaluate as E
 from pastmark.operators import folds as L
+from pastmark.operators import intervals as I
+from pastmark.operators import models as M
 
 BLOCKS = [(date(2020, 2, 1), date(2020, 2, 29)), (date(2020, 3, 1), date(2020, 3, 20)), (date(2020, 4, 1), date(2020, 4, 30))]
 
@@ -123,3 +125,52 @@ def test_calibration_refuses_one_class(spark):
     with pytest.raises(ValueError, match="both classes"):
         E.calibration(rows.where("y > 1"))
     assert {r.seg: (r.intercept, r.slope) for r in E.calibration(rows, ["seg"]).collect()} == {"a": (None, None), "b": (0.0, None)}
+
+
+def test_trees_split_categories_by_sets(spark):
+    """Every other category is a hit, so no split by the categories' order separates the classes and one by a set does."""
+    names = [f"c{k}" for k in range(10)]
+    rows = spark.createDataFrame([(names[i % 10], float(i % 7), i % 10 % 2) for i in range(400)], "c string, x double, y int")
+    x = M.indexed(rows, ["x"], ["c"])
+    model = M.boosted(rows.select("y", x), rounds=1, depth=1)
+    later = rows.union(spark.createDataFrame([("never seen", 1.0, 0), (None, 1.0, 0)], rows.schema))
+    out = M.probabilities(model, later.select("c", "y", x)).collect()
+    known = [r for r in out if r.c in names]
+    assert all((r.p > 0.5) == (r.y == 1) for r in known) and len(out) == 402
+    tree = model.trees[0]._java_obj.rootNode().split()
+    assert tree.getClass().getSimpleName() == "CategoricalSplit" and sorted(tree.leftCategories()) in ([1, 3, 5, 7, 9], [0, 2, 4, 6, 8], [0, 2, 4, 6, 8, 10], [1, 3, 5, 7, 9, 10])
+
+
+def test_points_meet_the_intervals_that_hold_them(spark):
+    random = np.random.default_rng(4)
+    points = [(i, int(v)) for i, v in enumerate(random.integers(-50, 600, 300))] + [(300, None)]
+    intervals = [(k, int(a), int(a + n)) for k, (a, n) in enumerate(zip(random.integers(-60, 600, 200), random.integers(-3, 300, 200), strict=True))] + [(200, None, 5), (201, 5, None), (202, -(2**35), 2**35), (203, 7, 7)]
+    p, i = spark.createDataFrame(points, "i int, v int"), spark.createDataFrame(intervals, "k int, lo long, hi long")
+    joined = I.interval_join(p, F.col("v"), i, F.col("lo"), F.col("hi"))
+    expected = sorted((a, k) for a, v in points for k, lo, hi in intervals if None not in (v, lo, hi) and lo <= v <= hi)
+    assert sorted((r.i, r.k) for r in joined.collect()) == expected and len(expected) > 5000
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert I.interval_join(p, F.col("v"), i.where("k > 999"), F.col("lo"), F.col("hi")).count() == 0
+
+
+def test_many_long_periods_take_few_cells(spark):
+    """A hundred thousand overlapping periods: each is cut in at most two cells a level."""
+    periods = spark.range(100_000).select((F.col("id") % 5000).alias("lo"), (F.col("id") % 5000 + F.col("id") % 997).alias("hi"))
+    cut = periods.select(F.size(I.cells_of(F.col("lo"), F.col("hi"))).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert cut[0] <= 20
+    days = spark.range(6000).withColumnRenamed("id", "day")
+    out = I.interval_join(days, F.col("day"), periods, F.col("lo"), F.col("hi")).agg(F.count("*").alias("n"), F.sum("day").alias("s")).first()
+    lo = np.arange(100_000) % 5000
+    length = np.arange(100_000) % 997 + 1
+    assert (out.n, out.s) == (int(length.sum()), int((length * lo + length * (length - 1) // 2).sum()))
+
+
+def test_stability_of_patterns_with_missing_places(spark):
+    rows = [("a", f, b, v) for f, vs in {1: [1.0, 2.0, 3.0], 2: [2.0, 4.0, None], 3: [3.0, 2.0, 1.0]}.items() for b, v in enumerate(vs) if v is not None] + [("b", 1, 0, -1.0), ("b", 1, 1, -2.0), ("c", 1, 0, 1.0), ("c", 2, 1, 1.0)]
+    cells = spark.createDataFrame(rows, "k string, f int, b int, v double")
+    out = {r.k: r for r in E.stability(cells, ["k"], ["b"], "f", "v", [1, 2, 3, 4], 2).collect()}
+    assert (out["a"].n_folds, out["a"].median_spread, out["a"].common_cells, out["a"].same_sign_cells) == (3, 2.0, 2, 2)
+    assert out["a"].median_correlation == pytest.approx(-1)  # of 1, -1 and -1
+    assert (out["b"].n_folds, out["b"].median_correlation, out["b"].common_cells, out["b"].same_sign_cells) == (1, None, 2, 2)
+    assert (out["c"].n_folds, out["c"].median_correlation, out["c"].common_cells) == (2, None, 0)
+    assert {r.k: r.same_direction for r in E.directions(cells, ["k"], "b", "f", "v").collect()} == {"a": 2, "b": 1, "c": 0}
