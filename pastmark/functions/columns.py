@@ -82,10 +82,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
 
 
-def day_difference(later: Column, earlier: Column) -> Column:
-    return F.datediff(later, earlier)
-
-
 def date_parts(d: Column) -> dict[str, Column]:
     return {
         "date_key": F.date_format(d, "yyyyMMdd").cast("int"),
@@ -143,3 +139,34 @@ def log_loss(y: Column, p: Column, eps: float = 1e-6) -> Column:
 
 def brier(y: Column, p: Column) -> Column:
     return (p - y) * (p - y)
+
+
+def total(values: Column) -> Column:
+    """The sum of an array of numbers; 0 of none."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def mean(values: Column) -> Column:
+    """The mean of an array of numbers; NULL of none."""
+    return ratio(total(values), F.size(values))
+
+
+def sample_std(values: Column) -> Column:
+    """The sample standard deviation of an array of numbers; NULL of fewer than two."""
+    middle_, n = mean(values), F.size(values)
+    return F.when(n > 1, F.sqrt(total(F.transform(values, lambda x: (x - middle_) * (x - middle_))) / (n - 1)))
+
+
+def middle(values: Column) -> Column:
+    """The median of an array, without NULL and NaN; NULL of none."""
+    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
+    at = lambda k: F.get(known, F.floor(k).cast("int"))
+    return (at((F.size(known) - 1) / 2) + at(F.size(known) / 2)) / 2
+
+
+def slope_to_latest(values: Column) -> Column:
+    """The least-squares slope of an array of numbers, the latest first, per step towards the latest."""
+    n = F.size(values).cast("double")
+    weighed = total(F.transform(values, lambda v, i: -(i + 1) * v))
+    sum_x, sum_xx = -n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
+    return (n * weighed - sum_x * total(values)) / (n * sum_xx - sum_x * sum_x)

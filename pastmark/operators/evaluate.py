@@ -156,13 +156,6 @@ def mix_decomposition(losses: DataFrame, segment: str, period: str, first: str,
     return out.withColumn("residual", col("total_change") - col("composition") - col("within") - col("first_only") - col("second_only")).drop("__c0", "__c1")
 
 
-def middle(values: Column) -> Column:
-    """The median of an array, without NULL and NaN; NULL of none."""
-    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
-    at = lambda k: F.get(known, F.floor(k).cast("int"))
-    return (at((F.size(known) - 1) / 2) + at(F.size(known) / 2)) / 2
-
-
 def stability(cells: DataFrame, pattern: Sequence[str], place: Sequence[str], fold: str, value: str, folds: Sequence, least: int) -> DataFrame:
     """(pattern, n_folds, median_spread, median_correlation, common_cells, same_sign_cells): does a pattern, a value per
     place, come again in each fold?
@@ -184,7 +177,7 @@ def stability(cells: DataFrame, pattern: Sequence[str], place: Sequence[str], fo
         F.first("__used").alias("n_folds"), F.array(*(F.max(n) - F.min(n) for n in names)).alias("__spreads"), F.array(*(F.when(both(a, b), F.corr(a, b)) for a, b in pairs)).cast("array<double>").alias("__pairs"),
         F.count_if(common).alias("common_cells"), F.count_if(same).alias("same_sign_cells"),
     )
-    return found.select(*pattern, "n_folds", middle(F.col("__spreads")).alias("median_spread"), middle(F.col("__pairs")).alias("median_correlation"), "common_cells", "same_sign_cells")
+    return found.select(*pattern, "n_folds", C.middle(F.col("__spreads")).alias("median_spread"), C.middle(F.col("__pairs")).alias("median_correlation"), "common_cells", "same_sign_cells")
 
 
 def directions(cells: DataFrame, pattern: Sequence[str], place: str, fold: str, value: str) -> DataFrame:

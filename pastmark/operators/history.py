@@ -59,6 +59,11 @@ def prior_days(events: DataFrame, keys: Sequence[str], day: str, measures: Measu
     return out.drop(*(f"{x}_{c}" for c in latest for x in ("__at", "__own")))
 
 
+def with_days(rows: DataFrame, days: DataFrame, keys: Sequence[str], day: str, at: Sequence[str]) -> DataFrame:
+    """`rows`, dealt by `at` (some of the keys, and the day), with what is known by keys and day: only `days` move."""
+    return rows.join(days.repartition(*at), [*keys, day], "left")
+
+
 def with_prior(events: DataFrame, keys: Sequence[str], day: str, measures: Measures) -> DataFrame:
     """Events with the measures over their entity's earlier days. Events with a NULL key have NULL measures."""
     return events.join(prefix_by_day(events.dropna(subset=[*keys, day]), keys, day, measures), [*keys, day], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pastmark.functions import columns as C
 from pastmark.operators import marts
 from pastmark.operators import quality as Q
-from pastmark.operators.state import saved
+from pastmark.operators.state import saved, small
 from pastmark.plans.base import Registry, table
 from pastmark.sources.documents import PICKS
 
@@ -178,13 +178,13 @@ def star(spark, sf_dir):
         "venue": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("venue_key"), F.col("n_name").alias("venue_name")),
         "date": marts.date_dimension(o.select(F.to_date("o_orderdate").alias("d")), "d"),
     }
-    of_order = o.join(cu, o.o_custkey == cu.c_custkey).select(F.col("o_orderkey").cast("string").alias("no"), F.col("c_nationkey").alias("venue_key"), "c_mktsegment").join(F.broadcast(dims["grade"]), "c_mktsegment")
+    of_order = o.join(cu, o.o_custkey == cu.c_custkey).select(F.col("o_orderkey").cast("string").alias("no"), F.col("c_nationkey").alias("venue_key"), "c_mktsegment").join(small(dims["grade"]), "c_mktsegment")
     pools = sales.groupBy("no").agg(F.count("*").alias("n_pools"), F.countDistinct("pool").alias("kinds"))
     out = of_group.join(of_order, "no").join(pools, "no", "left").fillna(0, ["n_pools", "kinds"])
     has_all = F.col("kinds") == len(POOLS)
     fact = out.select("no", F.col("day").cast("int").alias("date_key"), "venue_key", "grade_key", "group_status", "n_pools", has_all.alias("has_all"), ((F.col("group_status") == "COMPLETED") & has_all & (F.col("n_pools") == len(POOLS))).alias("eligible"))
     fact = saved(fact)
-    sale = sales.join(F.broadcast(dims["pool"]), "pool").join(fact.select("no", "date_key", "venue_key", "grade_key", "eligible"), "no").select("sales_id", "no", "date_key", "venue_key", "grade_key", "pool_key", "amount", "eligible")
+    sale = sales.join(small(dims["pool"]), "pool").join(fact.select("no", "date_key", "venue_key", "grade_key", "eligible"), "no").select("sales_id", "no", "date_key", "venue_key", "grade_key", "pool_key", "amount", "eligible")
     return fact, sale, of_group, sales, dims
 
 
@@ -221,7 +221,7 @@ def star_audit(spark, sf_dir):
     complete = (c("group_status") == "COMPLETED") & c("has_all") & (c("n_pools") == len(POOLS))
     parts = [
         one(of_group.join(fact, "no", "left_anti"), "missing_groups"), one(sales.join(sale, "sales_id", "left_anti"), "missing_sales"),
-        one(fact.join(F.broadcast(dims["venue"]), "venue_key", "left").join(F.broadcast(dims["grade"]), "grade_key", "left").where("venue_name is null or c_mktsegment is null"), "broken_keys"), fact.agg(F.count_if(c("eligible") != complete).alias("wrong_eligibility")),
+        one(fact.join(small(dims["venue"]), "venue_key", "left").join(small(dims["grade"]), "grade_key", "left").where("venue_name is null or c_mktsegment is null"), "broken_keys"), fact.agg(F.count_if(c("eligible") != complete).alias("wrong_eligibility")),
         one(sale.where("eligible").groupBy("no").agg(F.countDistinct("pool_key").alias("kinds")).where(c("kinds") != len(POOLS)), "incomplete_groups"), Q.repeated_keys(sale, ["sales_id"]).agg(F.coalesce(F.sum(c("n_rows") - 1), F.lit(0)).alias("repeated_sales")),
         sales.agg(F.sum("amount").alias("a")).crossJoin(sale.agg(F.sum("amount").alias("b"))).select((c("a") - c("b")).alias("amount_gap")),
     ]

@@ -167,13 +167,19 @@ def csv_export(spark, sf_dir):
     return spark.read.option("header", True).option("escape", '"').csv(folder)
 
 
-@register(f"""WITH {ROWS}, x AS (SELECT e.*, CAST(id AS BIGINT) AS k FROM e) SELECT count(*) AS n_rows, count(*) FILTER (k % 97 = 0) AS orphans, count(*) FILTER (k % 89 = 0 AND k % 97 <> 0) AS wrong_row_id, (SELECT count(*) FROM (SELECT file_id FROM x WHERE k % 97 <> 0 GROUP BY 1 HAVING count(*) <> max(position) OR min(position) <> 1)) AS files_with_gaps, count(*) FILTER (k % 83 = 0) AS wrong_flag FROM x""")
+@register(f"""WITH {ROWS}, x AS (SELECT e.*, CAST(id AS BIGINT) AS k, user_id % 6 AS run FROM e), loaded AS (SELECT run, count(*) AS n FROM x GROUP BY 1) SELECT count(*) AS n_rows, count(*) FILTER (k % 97 = 0) AS orphans, count(*) FILTER (k % 89 = 0 AND k % 97 <> 0) AS wrong_row_id, (SELECT count(*) FROM (SELECT file_id FROM x WHERE k % 97 <> 0 GROUP BY 1 HAVING count(*) <> max(position) OR min(position) <> 1)) AS files_with_gaps, count(*) FILTER (k % 83 = 0) AS wrong_flag,
+count(*) FILTER (user_id % 79 = 0 AND k % 97 <> 0) AS wrong_hash, count(*) FILTER (run = 4) AS unfinished, (SELECT count(*) FROM loaded WHERE run = 2) + 1 AS runs_of_other_size FROM x""")
 def staging_audit(spark, sf_dir):
-    """Staged rows with planted faults against their documents: rows of no document, row ids, sequence, parse flags."""
-    docs = saved(raw(spark, sf_dir))
+    """Staged rows with planted faults against their documents and the log of their runs: rows of no document, row ids,
+    sequence, parse flags, contents that have changed since, runs that have not ended or say another number of rows."""
+    docs = saved(raw(spark, sf_dir).withColumn("user", F.split("file_id", "-")[0].cast("long")))
     rows, k = D.exploded(docs, FIELDS), F.col("id").cast("long")
-    rows = rows.withColumn("valid", C.parse_int(F.col("id"))[1] != (k % 83 == 0)).withColumn("row_id", F.when(k % 89 == 0, "wrong").otherwise(F.col("row_id"))).withColumn("file_id", F.when(k % 97 == 0, F.concat(F.lit("none-"), "id")).otherwise(F.col("file_id")))
-    return D.staging_audit(rows, docs, "id", "valid")
+    seen = docs.select("file_id", (F.col("user") % 6).alias("run_id"), F.sha2(F.when(F.col("user") % 79 == 0, F.concat("body", F.lit(" "))).otherwise(F.col("body")).cast("binary"), 256).alias("content_hash"))
+    rows = rows.join(seen, "file_id").withColumn("valid", C.parse_int(F.col("id"))[1] != (k % 83 == 0)).withColumn("row_id", F.when(k % 89 == 0, "wrong").otherwise(F.col("row_id"))).withColumn("file_id", F.when(k % 97 == 0, F.concat(F.lit("none-"), "id")).otherwise(F.col("file_id")))
+    rows = saved(rows)
+    log = rows.groupBy("run_id").agg((F.count("*") + F.when(F.first("run_id") == 2, 1).otherwise(0)).alias("n_rows")).withColumn("status", F.when(F.col("run_id") == 4, "RUNNING").otherwise("COMPLETED"))
+    log = log.unionByName(spark.range(1).select(F.lit(99).cast("long").alias("run_id"), F.lit(7).cast("long").alias("n_rows"), F.lit("COMPLETED").alias("status")))
+    return D.staging_audit(rows, docs, "id", "valid", log)
 
 
 @register(f"""WITH {ROWS}, x AS (SELECT unnest([{{'f': 'id', 'v': id}}, {{'f': 'kind', 'v': CASE WHEN user_id % 3 = 0 THEN ' ' ELSE kind END}}, {{'f': 'amount', 'v': printf('%.2f', round(CAST(value AS DECIMAL(18, 2)), 2))}}, {{'f': 'day', 'v': day}}]) AS z FROM e)
@@ -234,26 +240,50 @@ def parse_pools(spark, sf_dir):
     return good.unionByName(rejected.select("l_orderkey", "pool", F.lit(True).alias("rejected"), F.col("odds").alias("text")), allowMissingColumns=True)
 
 
-@register("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem)
+@register("""WITH s AS (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, CAST(round(l_extendedprice / 1000, 1) AS DECIMAL(8, 1)) AS total, CAST(l_partkey % 30 AS DECIMAL(8, 1)) AS passed FROM lineitem)
 SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(q AS INTEGER) END AS kg, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber WHEN 1 THEN 0 ELSE NULL END::INTEGER AS change,
-CASE l_linenumber % 2 WHEN 0 THEN 'wet' ELSE 'dry' END AS track, CASE l_linenumber % 2 WHEN 0 THEN l_linenumber END::INTEGER AS percent, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(q AS DOUBLE) END AS seconds FROM s""")
+CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'wet' ELSE 'dry' END AS track, CASE WHEN l_linenumber = 7 OR l_linenumber % 2 = 0 THEN l_linenumber END::INTEGER AS percent, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(q AS DOUBLE) END AS seconds,
+CAST(CASE WHEN l_suppkey % 3 = 0 THEN total - passed ELSE total - passed + 1 END AS DOUBLE) AS split, CASE WHEN l_suppkey % 3 = 0 THEN 'TOTAL_LESS_PASSED' ELSE 'DIRECT' END AS mapping FROM s""")
 def semantic_view(spark, sf_dir):
-    """Texts of weights, tracks and times, and what they say."""
-    l, n, q = table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
-    weight = F.when(n % 4 == 0, F.concat(q, F.lit("(+"), n, F.lit(")"))).when(n % 4 == 1, F.concat(q, F.lit("()"))).when(n % 4 == 2, q).otherwise("broken")
-    track = F.when(n % 2 == 0, F.concat(F.lit("wet ("), n, F.lit("%)"))).otherwise("dry")
-    time = F.when(n % 3 == 0, F.lit("0")).otherwise(q)
-    rows = l.select("l_orderkey", "l_partkey", "l_linenumber", weight.alias("w"), track.alias("t"), time.alias("s"))
+    """Texts of weights, tracks and times, and what they say; the last split by the way its venue gives it, and which way
+    that is."""
+    rows, tenth = _semantic_texts(spark, sf_dir), "decimal(8,1)"
+    total, passed = F.round(F.col("l_extendedprice") / 1000, 1).cast(tenth), (F.col("l_partkey") % 30).cast(tenth)
+    by_difference, direct = F.col("l_suppkey") % 3 == 0, total - passed + F.lit(1).cast(tenth)
     (kg, change), (label, percent) = C.parse_weight(F.col("w")), C.parse_track(F.col("t"))
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", kg.alias("kg"), change.alias("change"), label.alias("track"), percent.alias("percent"), C.parse_seconds(F.col("s")).cast("double").alias("seconds"))
+    split = C.split_seconds(by_difference, total, passed, direct).cast("double")
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", kg.alias("kg"), change.alias("change"), label.alias("track"), percent.alias("percent"), C.parse_seconds(F.col("s")).cast("double").alias("seconds"), split.alias("split"), C.mapping_label(by_difference).alias("mapping"))
+
+
+def _semantic_texts(spark, sf_dir):
+    """Line items with texts of weight, track and time; some are broken."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    weight = F.when(n % 4 == 0, F.concat(q, F.lit("(+"), n, F.lit(")"))).when(n % 4 == 1, F.concat(q, F.lit("()"))).when(n % 4 == 2, q).otherwise("broken")
+    track = F.when(n == 7, F.concat(F.lit("("), n, F.lit("%)"))).when(n % 2 == 0, F.concat(F.lit("wet ("), n, F.lit("%)"))).otherwise("dry")
+    return table(spark, sf_dir, "lineitem").select("*", weight.alias("w"), track.alias("t"), F.when(n % 3 == 0, F.lit("0")).otherwise(q).alias("s"))
 
 
-@register("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem) SELECT count(*) AS n_rows, count(DISTINCT l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS n_ids, count(*) FILTER (l_linenumber % 4 = 3) AS broken_weights, 0::BIGINT AS broken_tracks, count(*) FILTER (l_linenumber % 5 = 0) AS broken_times, count(*) FILTER (l_linenumber % 4 <> 3) AS n_weights, CAST(max(CASE WHEN l_linenumber % 4 <> 3 THEN CAST(q AS INTEGER) END) AS INTEGER) AS heaviest FROM s""")
+@register("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem) SELECT count(*) AS n_rows, count(DISTINCT l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS n_ids, count(*) FILTER (l_linenumber % 4 = 3) AS broken_weights, count(*) FILTER (l_linenumber = 7) AS broken_tracks, count(*) FILTER (l_linenumber % 5 = 0) AS broken_times, count(*) FILTER (l_linenumber % 4 <> 3) AS n_weights, CAST(max(CASE WHEN l_linenumber % 4 <> 3 THEN CAST(q AS INTEGER) END) AS INTEGER) AS heaviest FROM s""")
 def semantic_audit(spark, sf_dir):
     """What the texts of weights, tracks and times give: rows, ids, and texts that are there but say nothing."""
-    l, n, q = table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
-    weight = F.when(n % 4 == 0, F.concat(q, F.lit("(+"), n, F.lit(")"))).when(n % 4 == 1, F.concat(q, F.lit("()"))).when(n % 4 == 2, q).otherwise("broken")
-    rows = l.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("id"), weight.alias("w"), F.when(n % 2 == 0, F.concat(F.lit("wet ("), n, F.lit("%)"))).otherwise("dry").alias("t"), F.when(n % 5 == 0, "n/a").otherwise(q).alias("s"))
+    n = F.col("l_linenumber")
+    rows = _semantic_texts(spark, sf_dir).withColumn("s", F.when(n % 5 == 0, "n/a").otherwise(F.col("l_quantity").cast("int").cast("string"))).withColumn("id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber"))
     (kg, _), (label, _), seconds = C.parse_weight(F.col("w")), C.parse_track(F.col("t")), C.parse_seconds(F.col("s"))
     silent = lambda value, text: F.count_if(value.isNull() & C.blank_to_null(F.col(text)).isNotNull())
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), silent(kg, "w").alias("broken_weights"), silent(label, "t").alias("broken_tracks"), silent(seconds, "s").alias("broken_times"), F.count(kg).alias("n_weights"), F.max(kg).alias("heaviest"))
+
+
+@register(f"""WITH {ROWS}, r AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE CAST(id AS BIGINT) % 101 = 0), other AS (SELECT DISTINCT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 103 <> 0 UNION ALL SELECT 'none' AS id),
+f AS (SELECT unnest([{{'f': 'id', 'v': id}}, {{'f': 'kind', 'v': kind}}, {{'f': 'day', 'v': day}}]) AS z FROM r), k AS (SELECT id, count(*) AS n FROM r GROUP BY 1), u AS (SELECT count(*) FILTER (k.id IS NOT NULL AND o.id IS NOT NULL) AS shared, count(*) FILTER (o.id IS NULL) AS only_left, count(*) FILTER (k.id IS NULL) AS only_right FROM k FULL JOIN other o ON o.id = k.id)
+SELECT 'field:' || z.f AS section, unnest(['n_rows', 'n_blank', 'n_integer', 'n_distinct']) AS measure, unnest([count(*), count(*) FILTER (trim(z.v) = ''), count(*) FILTER (regexp_full_match(z.v, '[+-]?[0-9]+')), count(DISTINCT z.v)]) AS value FROM f GROUP BY z.f
+UNION ALL SELECT 'key', unnest(['n_rows', 'n_keys', 'n_repeated_keys', 'n_distinct_rows']), unnest([(SELECT count(*) FROM r), (SELECT count(*) FROM k), (SELECT count(*) FROM k WHERE n > 1), (SELECT count(*) FROM (SELECT DISTINCT file_id, position, id, kind, day FROM r))])
+UNION ALL SELECT 'reconciliation', unnest(['shared', 'only_left', 'only_right']), unnest([shared, only_left, only_right]) FROM u""")
+def raw_report(spark, sf_dir):
+    """One report on a batch of staged rows: its fields, its keys and repeats, and its ids against another source's."""
+    rows = D.exploded(saved(raw(spark, sf_dir)), ["id", "kind", "day"]).select("file_id", "position", "id", "kind", "day")
+    rows = saved(rows.unionByName(rows.where(F.col("id").cast("long") % 101 == 0)))
+    other = table(spark, sf_dir, "events").where("event_id % 103 <> 0").select(F.col("event_id").cast("string").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("none").alias("id")))
+    long = lambda df, section, names: df.select(section.alias("section"), *(F.col(n).cast("long").alias(n) for n in names)).unpivot(["section"], names, "measure", "value")
+    fields = P.field_types(rows, ["id", "kind", "day"])
+    keys = P.key_audit(rows, ["id"])
+    return long(fields, F.concat(F.lit("field:"), "field"), ["n_rows", "n_blank", "n_integer", "n_distinct"]).unionByName(long(keys, F.lit("key"), ["n_rows", "n_keys", "n_repeated_keys", "n_distinct_rows"])).unionByName(long(Q.reconcile(rows, other, ["id"]), F.lit("reconciliation"), ["shared", "only_left", "only_right"]))

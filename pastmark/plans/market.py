@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pastmark.functions import columns as C
 from pastmark.operators import marts
 from pastmark.operators.relative import joined_quantiles
+from pastmark.operators.state import small
 from pastmark.plans.base import PREDS, RUNS, Registry, preds, rounded, runs, table
 
 register = Registry()
@@ -113,7 +114,7 @@ def fact_sales(spark, sf_dir):
     s = sales(spark, sf_dir)
     pools = s.select("pool").distinct().withColumn("pool_key", F.row_number().over(Window.orderBy("pool")))  # a dimension
     whole = s.groupBy("o_custkey").agg(F.countDistinct("pool").alias("p")).where("p = 5")
-    return s.join(F.broadcast(pools), "pool").join(whole, "o_custkey", "left_semi").select("o_orderkey", F.date_format("d", "yyyyMMdd").cast("int").alias("date_key"), F.col("venue").alias("venue_key"), "pool_key", "grade", "amount")
+    return s.join(small(pools), "pool").join(whole, "o_custkey", "left_semi").select("o_orderkey", F.date_format("d", "yyyyMMdd").cast("int").alias("date_key"), F.col("venue").alias("venue_key"), "pool_key", "grade", "amount")
 
 
 COUNTS = """m AS (SELECT pool, median(amount) AS middle, quantile_cont(amount, 0.95) AS high, quantile_cont(amount, 0.95) / median(amount) AS tail, count(*) AS n FROM sales GROUP BY 1)"""

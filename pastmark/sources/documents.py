@@ -47,16 +47,20 @@ def exploded(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.select("file_id", "position", row_id.alias("row_id"), "source_item", *(F.get_json_object("source_item", f"$['{f}']").alias(f) for f in fields))
 
 
-def staging_audit(rows: DataFrame, documents: DataFrame, whole: str, flag: str) -> DataFrame:
+def staging_audit(rows: DataFrame, documents: DataFrame, whole: str, flag: str, runs: DataFrame) -> DataFrame:
     """One row: staged rows, those of no document, with another row id than their place gives, files whose positions are
-    not 1 .. n, and rows whose `flag` does not say whether the text in `whole` is a whole number."""
-    known = rows.join(documents.select("file_id"), "file_id", "left_semi")
+    not 1 .. n, rows whose `flag` does not say whether the text in `whole` is a whole number, rows whose document has
+    another content than its `content_hash` says, rows of a run that has not ended, and runs (run_id, status, n_rows)
+    with another number of rows than they say."""
+    known = rows.join(documents.select("file_id", F.sha2(F.col("body").cast("binary"), 256).alias("__hash")), "file_id")
     row_id = F.sha2(F.concat_ws(":", "file_id", "position").cast("binary"), 256)
     of_row = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.trim(whole).rlike("^[+-]?[0-9]+$") != F.col(flag)).alias("wrong_flag"))
-    of_known = known.agg(F.count("*").alias("n_known"), F.count_if(F.col("row_id") != row_id).alias("wrong_row_id"))
+    of_known = known.agg(F.count("*").alias("n_known"), F.count_if(F.col("row_id") != row_id).alias("wrong_row_id"), F.count_if(F.col("content_hash") != F.col("__hash")).alias("wrong_hash"))
     files = sequence_gaps(known, ["file_id"], "position").agg(F.count("*").alias("files_with_gaps"))
-    out = of_row.crossJoin(of_known).crossJoin(files)  # one row each
-    return out.select("n_rows", (F.col("n_rows") - F.col("n_known")).alias("orphans"), "wrong_row_id", "files_with_gaps", "wrong_flag")
+    said = runs.join(rows.groupBy("run_id").agg(F.count("*").alias("__n")), "run_id", "left").fillna(0, ["__n"])
+    of_run = said.agg(F.coalesce(F.sum(F.when(F.col("status") != "COMPLETED", F.col("__n"))), F.lit(0)).alias("unfinished"), F.count_if(F.col("__n") != F.col("n_rows")).alias("runs_of_other_size"))
+    out = of_row.crossJoin(of_known).crossJoin(files).crossJoin(of_run)  # one row each
+    return out.select("n_rows", (F.col("n_rows") - F.col("n_known")).alias("orphans"), "wrong_row_id", "files_with_gaps", "wrong_flag", "wrong_hash", "unfinished", "runs_of_other_size")
 
 
 def new_rows(batch: DataFrame, loaded: DataFrame, row_id: str = "row_id") -> DataFrame:
