@@ -165,8 +165,9 @@ def middle(values: Column) -> Column:
 
 
 def slope_to_latest(values: Column) -> Column:
-    """The least-squares slope of an array of numbers, the latest first, per step towards the latest."""
+    """The least-squares slope of an array of numbers, the latest first, per step towards the latest; NULL of fewer than
+    two."""
     n = F.size(values).cast("double")
     weighed = total(F.transform(values, lambda v, i: -(i + 1) * v))
     sum_x, sum_xx = -n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
-    return (n * weighed - sum_x * total(values)) / (n * sum_xx - sum_x * sum_x)
+    return (n * weighed - sum_x * total(values)) / F.nullif(n * sum_xx - sum_x * sum_x, F.lit(0.0))

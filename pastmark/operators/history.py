@@ -69,38 +69,6 @@ def with_prior(events: DataFrame, keys: Sequence[str], day: str, measures: Measu
     return events.join(prefix_by_day(events.dropna(subset=[*keys, day]), keys, day, measures), [*keys, day], "left")
 
 
-def last_n_of_days(events: DataFrame, keys: Sequence[str], day: str, tie: Sequence[str], n: int, values: Sequence[str], asked: DataFrame | None = None) -> DataFrame:
-    """(keys, day, recency, values): for every entity and day, the values of its last n events of earlier days, at most n
-    rows; recency is 1 for the latest. Days without history give no row.
-
-    Of a day only its last n events matter, and of days the last n: arrays of n by entity and day, windows over days.
-    `asked`: (keys, day), the days that ask, where they are others than those of the events, say after dropping events
-    without a value; they take the array of the latest day before them."""
-    known = events.dropna(subset=[*keys, day])
-    place = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*(F.desc(t) for t in tie)))
-    last = known.select(*keys, day, place.alias("__r"), F.struct(*values).alias("__v")).where(F.col("__r") <= n)
-    of_day = last.groupBy(*keys, day).agg(F.sort_array(F.collect_list(F.struct("__r", "__v")))["__v"].alias("__all"))
-    later_first = Window.partitionBy(*keys).orderBy(F.desc(day))
-    frame = (1, n) if asked is None else (0, n - 1)  # the day's own events count only for days after it
-    held = of_day.select(*keys, day, F.slice(F.flatten(F.collect_list("__all").over(later_first.rowsBetween(*frame))), 1, n).alias("__last"))
-    if asked is not None:
-        days = asked.dropna(subset=[*keys, day]).select(*keys, day, F.lit(True).alias("__asks"), F.lit(None).cast(held.schema["__last"].dataType).alias("__last"))
-        line = held.withColumn("__asks", F.lit(None).cast("boolean")).unionByName(days).groupBy(*keys, day).agg(F.max("__asks").alias("__asks"), F.first("__last", True).alias("__last"))
-        before = F.last("__last", True).over(Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1))
-        held = line.withColumn("__last", before).where("__asks")
-    rows = held.select(*keys, day, F.posexplode("__last").alias("__p", "__v"))
-    return rows.select(*keys, day, (F.col("__p") + 1).alias("recency"), *(F.col(f"__v.{v}").alias(v) for v in values))
-
-
-def last_n_features(events: DataFrame, keys: Sequence[str], day: str, tie: Sequence[str], ids: Sequence[str], n: int, values: Sequence[str], aggregates: Sequence[Column], asked: DataFrame | None = None) -> DataFrame:
-    """(ids, keys not among them, aggregates) for every event with history, or every row of `asked` (ids, keys, day):
-    aggregates over the rows of `last_n_of_days`, found once for an entity and day."""
-    days = last_n_of_days(events, keys, day, tie, n, values, asked).groupBy(*keys, day).agg(*aggregates)
-    rest = [k for k in keys if k not in ids]
-    names = [c for c in days.columns if c not in (*keys, day)]
-    return (events if asked is None else asked).select(*ids, *rest, day).join(days, [*keys, day]).select(*ids, *rest, *names)
-
-
 def last_n_sums(events: DataFrame, keys: Sequence[str], day: str, tie: Sequence[str], ids: Sequence[str], n: int, sums: Mapping[str, Column]) -> DataFrame:
     """(ids, last_n_count, sums) over the last n events of earlier days, from two running sums: no row is repeated."""
     measures = {name: ("sum", column) for name, column in sums.items()}

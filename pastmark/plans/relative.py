@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pastmark.functions import columns as C
 from pastmark.operators import history as H
 from pastmark.operators import profile as P
 from pastmark.operators import relative as R
+from pastmark.operators.state import saved
 from pastmark.plans.base import RUNS, Registry, rounded, runs, table
-from pastmark.plans.history import IDS
+
 
 register = Registry()
 
@@ -59,13 +61,15 @@ def percentile_recount(spark, sf_dir):
 h AS (SELECT c.grp, c.member, h.gap, h.pct, row_number() OVER (PARTITION BY c.grp, c.member ORDER BY h.d DESC, h.grp DESC) AS r FROM runs c JOIN ev h ON h.member = c.member AND h.d < c.d)
 SELECT grp, member, count(*) FILTER (r <= 3) AS n3, round(avg(gap) FILTER (r <= 3), 7) AS gap3, round(median(pct) FILTER (r <= 3), 6) AS pct3, count(*) AS n5, round(avg(gap), 7) AS gap5, round(median(pct), 6) AS pct5 FROM h WHERE r <= 5 GROUP BY 1, 2""")
 def relative_history(spark, sf_dir):
+    """Of an event's field: how far above the median and at which place its last 3 and 5 events with a field were."""
     x = values(spark, sf_dir)
     n = F.count("v").over(R.Window.partitionBy("grp"))
-    events = x.withColumn("n", n).withColumn("gap", -R.gap_to_median("v", ["grp"])).withColumn("pct", F.round(R.percentile_in_group("v", ["grp"], False), 8)).where("v is not null and n >= 3")
-    w = F.col("recency") <= 3
-    aggregates = [F.count_if(w).alias("n3"), F.round(F.avg(F.when(w, F.col("gap"))), 7).alias("gap3"), F.median(F.when(w, F.col("pct"))).alias("pct3"), F.count("*").alias("n5"), F.round(F.avg("gap"), 7).alias("gap5"), F.median("pct").alias("pct5")]
-    out = H.last_n_features(events, ["member"], "d", ["grp"], IDS, 5, ["gap", "pct"], aggregates, x.select("grp", "member", "d"))
-    return out.withColumns({c: F.round(c, 6) for c in ("pct3", "pct5")})
+    x = x.withColumn("n", n).withColumn("gap", -R.gap_to_median("v", ["grp"])).withColumn("pct", F.round(R.percentile_in_group("v", ["grp"], False), 8))
+    x = saved(x.select("grp", "member", "d", F.when(F.col("v").isNotNull() & (F.col("n") >= 3), F.struct("gap", "pct")).alias("rel")))
+    days, rel = H.prior_days(x, ["member"], "d", {}, (1, ["grp"], ["grp"]), {"rel": 5}).where(F.size("latest_rel") > 0), F.col("latest_rel")
+    last = lambda c, k: F.slice(rel[c], 1, k)
+    features = [f.alias(f"{name}{k}") for k in (3, 5) for name, f in (("n", F.size(last("gap", k)).cast("long")), ("gap", F.round(C.mean(last("gap", k)), 7)), ("pct", F.round(C.middle(last("pct", k)), 6)))]
+    return x.select("grp", "member", "d").join(days.select("member", "d", *features), ["member", "d"]).select("grp", "member", "n3", "gap3", "pct3", "n5", "gap5", "pct5")
 
 
 @register(f"""WITH {RUNS}, e AS (SELECT grp, member, d, 'late' AS metric, (t - 3 * rating) / 2 AS value FROM runs UNION ALL SELECT grp, member, d, 'start', weight - tax FROM runs),
@@ -73,9 +77,12 @@ h AS (SELECT c.grp, c.member, h.metric, h.value, row_number() OVER (PARTITION BY
 SELECT grp, member, metric, round(median(value) FILTER (r <= 3), 5) AS median3, round(median(value), 5) AS median5 FROM h WHERE r <= 5 GROUP BY 1, 2, 3""")
 def pace_history(spark, sf_dir):
     e = runs(spark, sf_dir)
-    wide = e.select("grp", "member", "d", ((F.col("t") - 3 * F.col("rating")) / 2).alias("late"), (F.col("weight") - F.col("tax")).alias("start"))
-    aggregates = [F.median(F.when(F.col("recency") <= 3, F.col("value"))).alias("median3"), F.median("value").alias("median5")]
-    return rounded(H.last_n_features(P.long_form(wide, ["grp", "member", "d"], ["late", "start"]), ["member", "metric"], "d", ["grp"], IDS, 5, ["value"], aggregates), 5)
+    wide = saved(e.select("grp", "member", "d", ((F.col("t") - 3 * F.col("rating")) / 2).alias("late"), (F.col("weight") - F.col("tax")).alias("start")))
+    days = H.prior_days(wide, ["member"], "d", {}, (1, ["grp"], ["grp"]), {"late": 5, "start": 5})
+    metrics = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"latest_{m}").alias("values")) for m in ("late", "start")))).alias("x")
+    long = days.select("member", "d", metrics).select("member", "d", "x.*").where(F.size("values") > 0)
+    out = wide.select("grp", "member", "d").join(long, ["member", "d"])
+    return rounded(out.select("grp", "member", "metric", C.middle(F.slice("values", 1, 3)).alias("median3"), C.middle(F.col("values")).alias("median5")), 5)
 
 
 COLUMNS = ("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")

@@ -1,6 +1,6 @@
 """Hand-worked cases of the operators outside the training-data package."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,22 +60,12 @@ def test_point_in_time(spark):
     r = prior.where("grp = 'R3' and member = 'H1'").first()
     assert (r.n_prior, r.fins, r.hits, r["last"]) == (2, 1, 1, date(2024, 1, 12))
     assert prior.where("n_prior = 0").count() == 2
-    days = H.last_n_of_days(events, ["member"], "d", ["grp"], 5, ["fin"])
-    assert sorted((r.recency, r.fin) for r in days.where("d = '2024-01-19' and member = 'H1'").collect()) == [(1, False), (2, True)]
+    days = H.prior_days(events, ["member"], "d", {}, (5, ["grp"], ["fin"]))
+    assert [x.fin for x in days.where("d = '2024-01-19' and member = 'H1'").first()["last"]] == [False, True]
     last = H.last_n_sums(events, ["member"], "d", ["grp"], ["grp", "member"], 1, {"hits": one_if("hit").cast("long")})
     assert {(r.grp, r.member): (r.last_n_count, r.hits) for r in last.collect()} == {("R1", "H1"): (0, 0), ("R1", "H2"): (0, 0), ("R2", "H1"): (1, 1), ("R2", "H2"): (1, 1), ("R3", "H1"): (1, 0), ("R3", "H2"): (1, 1)}
 
 
-def test_last_n_of_days(spark):
-    rows = [(1, "x", 1, 1.0), (2, "x", 1, 2.0), (3, "x", 2, 3.0), (4, "x", 2, None), (5, "x", 5, 5.0), (6, "y", 3, 6.0), (7, None, 3, 7.0)]
-    events = spark.createDataFrame([(i, m, date(2024, 1, d), v) for i, m, d, v in rows], "id long, member string, d date, v double")
-    held = lambda df: {(r.member, r.d.day): sorted(zip(r.n, r.v, strict=True)) for r in df.groupBy("member", "d").agg(F.collect_list("recency").alias("n"), F.collect_list(F.coalesce("v", F.lit(-1.0))).alias("v")).collect()}
-    assert held(H.last_n_of_days(events, ["member"], "d", ["id"], 3, ["v"])) == {("x", 2): [(1, 2.0), (2, 1.0)], ("x", 5): [(1, -1.0), (2, 3.0), (3, 2.0)]}
-    # Only events with a value count, but all days ask, also one without events before it or of its own.
-    asked = events.select("member", "d").union(spark.createDataFrame([("x", date(2024, 1, 3)), ("z", date(2024, 1, 3))], "member string, d date"))
-    assert held(H.last_n_of_days(events.where("v is not null"), ["member"], "d", ["id"], 2, ["v"], asked)) == {("x", 2): [(1, 2.0), (2, 1.0)], ("x", 3): [(1, 3.0), (2, 2.0)], ("x", 5): [(1, 3.0), (2, 2.0)]}
-
-
 def test_same_day_events_do_not_see_each_other(spark):
     rows = [("a", "x", date(2024, 1, 1)), ("b", "x", date(2024, 1, 1)), ("c", "x", date(2024, 1, 2)), ("d", None, date(2024, 1, 2))]
     events = spark.createDataFrame(rows, "grp string, member string, d date")
@@ -271,6 +261,37 @@ def test_tied_places_two_ways(spark):
     assert [a[g, "QNL"] for g in range(6)] == [1, 1, 2, 3, 1, 1] and [a[g, "TRI"] for g in range(5)] == [1, 2, 2, 0, 2] and a[4, "QPL"] == 6
 
 
+def test_last_events_and_values_by_day(spark):
+    """Arrays of the last events and of the last values that are there, against a search through all earlier events."""
+    import numpy as np
+
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        member = None if random.random() < 0.03 else ("hot" if random.random() < 0.5 else f"m{random.integers(8)}")
+        rows.append((i, member, date(2024, 1, 1) + timedelta(days=int(random.integers(0, 60))), None if random.random() < 0.6 else float(random.integers(0, 99)), bool(random.random() < 0.4)))
+    frame = spark.createDataFrame(rows, "id int, member string, d date, v double, hit boolean").repartition(5)
+    out = {(r.member, r.d): r for r in H.prior_days(frame, ["member"], "d", {"hits": ("sum", F.col("hit").cast("int"))}, (4, ["id"], ["id", "hit"]), {"v": 3}).collect()}
+    assert out.keys() == {(m, d) for _, m, d, _, _ in rows if m is not None}
+    for (m, d), r in out.items():
+        earlier = sorted(((x[2], x[0], x) for x in rows if x[1] == m and x[2] < d), reverse=True)
+        assert [(x.id, x.hit) for x in r["last"]] == [(x[0], x[4]) for _, _, x in earlier[:4]]
+        assert r.latest_v == [x[3] for _, _, x in earlier if x[3] is not None][:3]
+        assert (r.n_prior, r.hits) == (len(earlier), sum(x[4] for _, _, x in earlier))
+
+
+def test_statistics_of_arrays(spark):
+    import numpy as np
+
+    values = [[3.0, 1.0, 2.0, 5.0], [2.0], [], [4.0, 4.0], None]
+    rows = spark.createDataFrame([(v,) for v in values], "a array<double>")
+    out = rows.select(C.total(F.col("a")).alias("t"), C.mean(F.col("a")).alias("m"), C.middle(F.col("a")).alias("q"), C.sample_std(F.col("a")).alias("s"), C.slope_to_latest(F.col("a")).alias("k")).collect()
+    for v, r in zip(values[:4], out, strict=False):
+        assert r.t == sum(v) and r.m == (np.mean(v) if v else None) and r.q == (np.median(v) if v else None)
+        assert r.s == (pytest.approx(np.std(v, ddof=1)) if len(v) > 1 else None)
+    assert out[0].k == pytest.approx(np.polyfit([-1, -2, -3, -4], values[0], 1)[0]) and out[4].m is None and out[4].q is None
+
+
 def test_exact_quantiles_of_any_group(spark):
     import numpy as np
 
