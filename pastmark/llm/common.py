@@ -101,12 +101,14 @@ class Memo(dict):
 
 def shared_checkpoints(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir. Without one, a session on one machine gets a local
-    folder and any other an error, as its executors share no local folder."""
+    folder and any other an error, as its executors share no local folder. Shuffle files of a job that has ended go at
+    once, as what is read again is saved."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
