@@ -87,34 +87,42 @@ def numbered_values(df: DataFrame, x: str, group: Sequence[str], weights: Sequen
     return out.select(*group, x, *names, *below.values(), "__all")
 
 
-#: Rank error of a quantile sketch, and how many times it a bracket reaches to both sides.
-SKETCH, REACH = 1000, 3
+#: Rank error of a quantile sketch, and how many times it a bracket reaches to both sides; values of a group up to which
+#: its brackets are open.
+SKETCH, REACH, LARGE = 1000, 3, 100_000
 
 
 def exact_quantiles(df: DataFrame, x: str, group: Sequence[str], at: Sequence[float]) -> DataFrame:
     """(group, q0, q1, ..): interpolated quantiles of the values that are neither NULL nor NaN, exact at every size.
     Groups without a value have no row.
 
-    A sketch of each group, merged from partial ones, brackets each quantile between two values close to its place. One
-    aggregate then counts what is below each bracket and how often the values inside occur; all other rows become one
-    count, so a group sends as many rows as there are distinct values within `2 * REACH / SKETCH` of it. The place is
-    found among these by running sums."""
+    A sketch of each large group, merged from partial ones, brackets each quantile between two values close to its place;
+    the brackets of other groups are open. One aggregate then counts what is below each bracket and how often the values
+    inside occur; all other rows become one count, so a large group sends as many rows as there are distinct values
+    within `2 * REACH / SKETCH` of it. The place is found among these by running sums."""
     rows = df.select(*group, F.col(x).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
     low, high = ([q + side * REACH / SKETCH for q in at] for side in (-1, 1))
     inside_of = [min(max(p, 0.0), 1.0) for p in (*low, *high)]
-    sketch = saved(rows.groupBy(*group).agg(F.count("*").alias("__all"), F.percentile_approx("__x", inside_of, SKETCH).alias("__s")))
-    bounds = sketch.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), "__all", "__s")
-    bounds = small(bounds)
+    counts = saved(rows.groupBy(*group).agg(F.count("*").alias("__all")))
+    renamed = lambda df: df.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), *(c for c in df.columns if c not in group))
+    on = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)), F.lit(True))
+    large = counts.where(F.col("__all") > LARGE)
+    if large.isEmpty():
+        bounds = counts.withColumn("__s", F.lit(None).cast("array<double>"))
+    else:
+        sketched = rows.join(small(renamed(large)), on).groupBy(*group).agg(F.first("__all").alias("__all"), F.percentile_approx("__x", inside_of, SKETCH).alias("__s"))
+        bounds = saved(sketched.unionByName(counts.where(F.col("__all") <= LARGE), allowMissingColumns=True))
+    bounds = small(renamed(bounds))
     infinite = lambda sign: F.lit(sign * float("inf"))
-    # A bracket that reaches beyond the ends is open there, and so are those of groups too small for a sketch.
-    known = lambda i, end: F.when(F.col("__all") > SKETCH, F.col("__s")[i]).otherwise(end)
+    # A bracket that reaches beyond the ends is open there, and so are those of groups that are not large.
+    known = lambda i, end: F.when(F.col("__all") > LARGE, F.col("__s")[i]).otherwise(end)
     lo = [infinite(-1) if p <= 0 else known(i, infinite(-1)) for i, p in enumerate(low)]
     hi = [infinite(1) if p >= 1 else known(len(at) + i, infinite(1)) for i, p in enumerate(high)]
-    on = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)), F.lit(True))
     near = reduce(lambda a, b: a | b, (F.col("__x").between(a, b) for a, b in zip(lo, hi, strict=True)))
     both = rows.join(bounds, on).withColumn("__v", F.when(near, F.col("__x")))
     below = [F.count_if(F.isnull("__v") & (F.col("__x") < a)).alias(f"__b{i}") for i, a in enumerate(lo)]
-    counted = both.groupBy(*group, "__v").agg(F.count("*").alias("__n"), F.first("__all").alias("__all"), F.first("__s").alias("__s"), *below)
+    # Counts only, so that Spark aggregates by hash; the brackets are joined again to what is left.
+    counted = both.groupBy(*group, "__v").agg(F.count("*").alias("__n"), *below).join(bounds, on)
     whole = Window.partitionBy(*group)
     upto = whole.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     places = counted.select("*", F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).over(upto), F.lit(0)).alias("__inside"))

@@ -307,10 +307,12 @@ def test_exact_quantiles_of_any_group(spark):
         assert out[k] == pytest.approx(tuple(np.quantile(own, [0.1, 0.5, 0.95])))
 
 
-def test_exact_quantiles_of_large_groups(spark):
+@pytest.mark.parametrize("large", [1000, 25_000, 100_000])
+def test_exact_quantiles_of_large_groups(spark, monkeypatch, large):
     """Groups much larger than a bracket: skewed, in steps, with ties around every quantile, and with one value only."""
     import numpy as np
 
+    monkeypatch.setattr(R, "LARGE", large)  # all groups, some, none with brackets
     random = np.random.default_rng(5)
     groups = {"skewed": random.lognormal(0, 3, 40_000), "steps": random.integers(0, 7, 30_000) * 1.0, "one": np.full(9_000, 2.5), "wide": random.normal(0, 1e12, 20_001), "few": np.array([3.0, -1.0])}
     at = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
