@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MEMO_ENTRIES = 200_000
 #: Rows taken at a time from an Arrow batch, and about how many bytes of them.
 SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
+#: Edges of a graph that one task may hold; more are dealt to more tasks.
+TASK_EDGES = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +153,12 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> Da
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def gathered(df: DataFrame, rows: int, task_rows: int) -> DataFrame:
+    """All of the counted rows, in no more tasks than their number asks for: a step over few rows costs a task and not one
+    for each partition of the shuffle before. One task needs no shuffle to group or join what it holds."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows and bytes, so that what a worker makes of texts stays small."""
     for batch in batches:
@@ -178,29 +186,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of (a, b) edges; the component is its smallest node.
 
     Every round hooks each node to its smallest neighbour, follows the hooks to their end and contracts the edges, so
-    at least half of the nodes that have edges go. Rounds end in a checkpoint; nothing is collected but a count. Hubs are
-    harmless: the hook is a minimum with partial aggregation and the joins can be split by AQE. An empty edge table
-    gives an empty result; loops and repeated edges change nothing.
+    at least half of the nodes that have edges go. Rounds end in a checkpoint; nothing is collected but a count, and for
+    broadcasts the hooks of at most TASK_EDGES edges. Hubs are harmless: the hook is a minimum with partial aggregation and the joins can be split by AQE. A round has as many tasks
+    as its edges ask for, so the last rounds, with few edges, have few. An empty edge table gives an empty result; loops
+    and repeated edges change nothing.
     """
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found: DataFrame | None = None
+    n_edges, found = edges.count(), None
     while True:
-        both = edges.union(edges.select("b", "a"))
+        edges = gathered(edges, n_edges, TASK_EDGES)
+        near = lambda df: small(df, n_edges, 1, TASK_EDGES)  # noqa: B023, E731  goes whole to a task where the edges do
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         moved = True
         while moved:  # each time through, a node goes four times as far; most trees need it once
             for _ in range(2):
                 above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-                hook = hook.select("node", "up").join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
-            hook = saved(hook)
+                hook = hook.select("node", "up").join(near(above), "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            hook = gathered(saved(hook), n_edges, TASK_EDGES)
             moved = not hook.where("moved").isEmpty()
         if found is None:
             found = hook.select("node", F.col("up").alias("component"))
         else:
             step = hook.select(F.col("node").alias("component"), "up")
-            found = found.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            found = found.join(near(step), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         at = lambda side: hook.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up"))
-        left = edges.join(at("a"), "a").join(at("b"), "b").where("a_up <> b_up")
+        left = edges.join(near(at("a")), "a").join(near(at("b")), "b").where("a_up <> b_up")
         edges = saved(left.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
-        if edges.isEmpty():
+        n_edges = edges.count()
+        if not n_edges:
             return found

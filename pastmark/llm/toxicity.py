@@ -29,6 +29,8 @@ from . import common
 
 #: Labelled documents to learn from at most, documents that an entry of the lexicon must be in.
 MAX_LABELLED, LEAST_DOCS = 10_000, 3
+#: Of the learned documents' features, about so many are in one task.
+TASK_LABELLED = 1000
 #: Entries that the driver and each worker can hold. No entry is ever left out: more are an error.
 MOST_TERMS = 2_000_000
 #: Deviations above chance for each tier, parts for the left-out lexicons, word beginnings, trees and their depth.
@@ -252,7 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     rows = sample.select(F.struct("doc_id", F.col("label").cast("double").alias("label")).alias("row"), "text", (fold(F.col("grp")) + 1).alias("part"))
     rows = common.saved(features(rows, lexicon).select("row.doc_id", "row.label", array_to_vector("features").alias("features")))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, minInstancesPerNode=2).fit(rows.where(~apart).orderBy("doc_id"))
-    judged = trees.transform(rows.where(apart)).select("label", vector_to_array("probability")[1].alias("raw"))
+    # Each level of each tree is a job over all partitions; the sample is counted and small.
+    train, judge = common.gathered(rows.where(~apart).orderBy("doc_id"), n, TASK_LABELLED), common.gathered(rows.where(apart), n, TASK_LABELLED)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, minInstancesPerNode=2).fit(train)
+    judged = trees.transform(judge).select("label", vector_to_array("probability")[1].alias("raw"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(judged)
     return ToxicityModel(lexicon, trees, curve, toxic / n)

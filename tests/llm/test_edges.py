@@ -202,6 +202,48 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def tasks_of(spark, name, job):
+    """What the job returns, and how many tasks it ran."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    out, status = job(), context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds}
+    context.setJobGroup("", "")
+    return out, sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s)))
+
+
+@pytest.fixture
+def many_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_components_take_tasks_by_their_edges(spark, many_partitions, monkeypatch):
+    """Few edges take few tasks, however many partitions a shuffle has; more than a task may hold are dealt, with equal results."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(90) if k % 10] + [(100 + k, 100 + k * 7 % 40) for k in range(40)], "a long, b long")
+    run = lambda: {(r.node, r.component) for r in common.connected_components(edges).collect()}
+    few, n_few = tasks_of(spark, "few", run)
+    monkeypatch.setattr(common, "TASK_EDGES", 5)
+    many, n_many = tasks_of(spark, "many", run)
+    assert few == many and len({c for _, c in few}) > 5
+    assert 0 < n_few < 160 and n_many > n_few
+
+
+def test_trees_take_tasks_by_their_rows(spark, many_partitions):
+    """Each level of the trees is a job; the few labelled rows are not spread over all partitions of a shuffle for it."""
+    texts = [(k, f"you are so {'horrid' if k % 3 == 0 else 'kind'} to us number{k} and {'vile' if k % 6 == 0 else 'fine'}") for k in range(120)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    model, n = tasks_of(spark, "trees", lambda: toxicity.fit(docs, labels))
+    assert 0 < n < 2000
+    toxic = {r.doc_id for r in model.score(docs).where("predicted = 1").collect()}
+    assert toxic <= {k for k in range(120) if k % 3 == 0} and len(toxic) >= 32
+
+
 def test_mixing(docs, none, spark):
     laid, mixed = mixing.mix(docs)
     out = mixing.taken(laid, mixed).collect()
