@@ -33,7 +33,16 @@ class Registry:
         return add
 
 
+#: Bytes of rows in memory for a byte of Parquet files, at least.
+FILE_FACTOR = 10
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Spark takes the bytes of its files for those of its rows and would broadcast a table of sorted keys
+    that is many times as large in the driver's memory, so the session is told what a byte of a file stands for."""
+    factor = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(factor)) < FILE_FACTOR:
+        spark.conf.set(factor, FILE_FACTOR)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pastmark.operators import evaluate as E
 from pastmark.operators import models as M
-from pastmark.plans import QUERIES
+from pastmark.plans import QUERIES, canonical
 from pastmark.plans.base import preds
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,16 @@ def test_the_snapshot_moves_few_rows(spark):
     whole = place.full_snapshot(events)._jdf.queryExecution().executedPlan().toString()
     assert whole.count("Exchange hashpartitioning") <= 54 and "Cartesian" not in whole
     assert plan is not None and "Scan ExistingRDD" in whole
+
+
+def test_a_table_is_no_broadcast_for_its_small_files(spark):
+    """The keys and days of 150,000 orders are 0.9 MB of the files by Spark's count and over 3.6 MB as rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2m")
+    try:
+        rows = canonical.members(spark, "/root/testdata/sf0.1")
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        dims = canonical.table(spark, "/root/testdata/sf0.1", "customer").join(canonical.table(spark, "/root/testdata/sf0.1", "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        assert "BroadcastHashJoin" in dims._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
