@@ -167,17 +167,22 @@ fsales AS (SELECT sales_id, s.no, date_key, venue_key, grade_key, CAST(pool_key
 """
 
 
-def star(spark, sf_dir):
-    """(groups' facts, sales' facts, canonical groups, canonical sales, dimensions by name)."""
-    _, sold, of_group = layers(spark, sf_dir)
-    sales = saved(canonical_sales(sold, of_group))
+def dimensions(spark, sf_dir):
+    """The dimensions of the star by name; they take no canonical rows."""
     o, cu = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    dims = {
+    return {
         "grade": cu.select("c_mktsegment").distinct().withColumn("grade_key", F.row_number().over(Window.orderBy("c_mktsegment"))),  # a dimension
         "pool": spark.createDataFrame([(p, i + 1, code) for i, (p, code) in enumerate(POOLS.items())], "pool string, pool_key int, pool_code string"),
         "venue": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("venue_key"), F.col("n_name").alias("venue_name")),
         "date": marts.date_dimension(o.select(F.to_date("o_orderdate").alias("d")), "d"),
     }
+
+
+def star(spark, sf_dir):
+    """(groups' facts, sales' facts, canonical groups, canonical sales, dimensions by name)."""
+    _, sold, of_group = layers(spark, sf_dir)
+    sales = saved(canonical_sales(sold, of_group))
+    dims, o, cu = dimensions(spark, sf_dir), table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     of_order = o.join(cu, o.o_custkey == cu.c_custkey).select(F.col("o_orderkey").cast("string").alias("no"), F.col("c_nationkey").alias("venue_key"), "c_mktsegment").join(small(dims["grade"]), "c_mktsegment")
     pools = sales.groupBy("no").agg(F.count("*").alias("n_pools"), F.countDistinct("pool").alias("kinds"))
     out = of_group.join(of_order, "no").join(pools, "no", "left").fillna(0, ["n_pools", "kinds"])
@@ -201,7 +206,7 @@ def market_sales(spark, sf_dir):
 
 @register(f"WITH {RAW} SELECT 'pool' AS dimension, CAST(pool_key AS BIGINT) AS key, pool AS label, pool_code AS code FROM pools UNION ALL SELECT 'grade', row_number() OVER (ORDER BY c_mktsegment), c_mktsegment, NULL FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT 'venue', n_nationkey, n_name, NULL FROM nation")
 def star_dimensions(spark, sf_dir):
-    dims, none = star(spark, sf_dir)[4], F.lit(None).cast("string")
+    dims, none = dimensions(spark, sf_dir), F.lit(None).cast("string")
     long = lambda name, key, label, code: dims[name].select(F.lit(name).alias("dimension"), F.col(key).cast("long").alias("key"), F.col(label).alias("label"), code.alias("code"))
     return long("pool", "pool_key", "pool", F.col("pool_code")).unionByName(long("grade", "grade_key", "c_mktsegment", none)).unionByName(long("venue", "venue_key", "venue_name", none))
 

@@ -143,3 +143,10 @@ def test_a_table_is_no_broadcast_for_its_small_files(spark):
         assert "BroadcastHashJoin" in dims._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dimensions_take_no_canonical_rows(spark, monkeypatch):
+    """They are small tables of their own; the star they belong to is not made for them."""
+    monkeypatch.setattr(canonical, "layers", lambda *_: pytest.fail("canonical rows were made"))
+    out = QUERIES["star_dimensions"](spark, SF).groupBy("dimension").count().collect()
+    assert {r.dimension: r["count"] for r in out} == {"pool": 7, "grade": 5, "venue": 25}
