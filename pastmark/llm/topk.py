@@ -12,11 +12,8 @@ Each block of queries meets each shard once. A shard gives at most k rows for a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +21,12 @@ from . import common
 
 #: Vectors in a shard and queries in a block, in the mean; bits of a component's size that a segment keeps.
 SHARD, BLOCK, LEVEL_BITS = 4096, 64, 10
+#: Blocks that meet a shard in one group.
+PART = SHARD // BLOCK
 #: Shares of the postings after which a stage ends; share of the shard that is scored without going on.
 STAGES, RESCORE = (0.4, 0.55, 0.65, 0.72, 0.78, 0.86, 0.94), 1 / 32
 #: Sums below this are exact in doubles.
 EXACT = 2.0**52
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])
 
 
 class ImpactIndex:
@@ -143,24 +141,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vectors = common.saved(vectors.groupBy("id", "v").agg(F.count("*").alias("n")))
     n_shards, n_blocks = (F.lit(max(1, -(-df.count() // per))) for df, per in ((vectors, SHARD), (queries, BLOCK)))
     shards, blocks = _packed(vectors, n_shards, "shard"), _packed(queries, n_blocks, "block")
-    to_all = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards.cast("long") - 1)))
-    pairs = to_all.join(shards, ["length", "shard"]).select("length", "shard", "shard_ids", "shard_n", "shard_vectors", "block_ids", "block_vectors")
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        last, index, times = None, None, None
-        for batch in batches:
-            for length, shard, ids, n, data, query_ids, query_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (length, shard) != last:
-                    ids, times = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
-                    last, index = (length, shard), ImpactIndex(ids, np.frombuffer(data, float).reshape(len(ids), length))
+    # Both sides move by shard: Spark guesses 100 bytes for a packed row of megabytes and would let joins send one side
+    # through the driver. A shard is once in a group, beside as many blocks as are as large as it is.
+    part = lambda block: F.floor(block / PART)
+    to_all = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards.cast("long") - 1))).withColumn("part", part(F.col("block")))
+    to_parts = shards.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part(n_blocks - 1))))
+
+    def run(blocks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for ids, n, data in zip(shard["shard_ids"], shard["shard_n"], shard["shard_vectors"], strict=True):
+            ids, times = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
+            index = ImpactIndex(ids, np.frombuffer(data, float).reshape(len(ids), -1))
+            for query_ids, queries in zip(blocks["block_ids"], blocks["block_vectors"], strict=True):
                 query_ids = np.frombuffer(query_ids, np.int64).tolist()
-                out: list[tuple] = []
-                for query_id, query in zip(query_ids, np.frombuffer(query_data, float).reshape(-1, length), strict=True):
+                for query_id, query in zip(query_ids, np.frombuffer(queries, float).reshape(len(query_ids), -1), strict=True):
                     rows, found, score, _ = index.search(query, k, query_id)
                     out += zip([query_id] * len(found), found.tolist(), score.tolist(), np.minimum(times[rows], k).tolist(), strict=True)
-                yield common.record_batch(FOUND, *(map(list, zip(*out, strict=True)) if out else ([], [], [], [])))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["query_id", "vec_id", "score", "n"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long, n long")
+    keys = ["length", "shard", "part"]
+    found = to_all.groupBy(*keys).cogroup(to_parts.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long, n long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -397,6 +397,20 @@ def test_impact_index_stops_early_and_is_exact():
         assert max(shares) < 1 and np.mean(shares) < read  # every query stopped on proof
 
 
+def test_packed_shards_do_not_pass_the_driver(spark, monkeypatch):
+    """Several shards, blocks and parts; no side of their meeting is a broadcast."""
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "PART", 2)
+    x = np.random.default_rng(3).integers(-9, 10, (90, 6)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    found = topk.top_k(v, v.where("id % 2 = 0"), 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    score = x @ x.T
+    best = {i: sorted((j for j in range(90) if j != i), key=lambda j, i=i: (-score[i, j], j))[:3] for i in range(0, 90, 2)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()} == {(i, k + 1, j, score[i, j]) for i, js in best.items() for k, j in enumerate(js)}
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e300, 1.0]), (1, [1.0, 2.0]), (2, [-1e300, 5.0]), (3, [3e12, 7e12]), (100, [2e12, 5e12]), (4, [1e306, 0.0])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
