@@ -150,3 +150,13 @@ def test_dimensions_take_no_canonical_rows(spark, monkeypatch):
     monkeypatch.setattr(canonical, "layers", lambda *_: pytest.fail("canonical rows were made"))
     out = QUERIES["star_dimensions"](spark, SF).groupBy("dimension").count().collect()
     assert {r.dimension: r["count"] for r in out} == {"pool": 7, "grade": 5, "venue": 25}
+
+
+def test_the_baseline_is_never_better_than_itself(spark):
+    """Losses that come out a little different each time they are made, as sums of many rows do."""
+    noise = F.udf(lambda x: x + __import__("random").random() * 1e-12, "double").asNondeterministic()
+    rows = [(f, m, 0.2 + f / 100 + (m == "b") / 50) for f in range(20) for m in "ab"] + [(99, "b", 0.5), (None, "a", 0.5)]
+    losses = spark.createDataFrame(rows, "fold int, model string, x double").select("fold", "model", noise("x").alias("loss"))
+    out = {r.model: r for r in M.fold_summary(losses, "a").collect()}
+    assert out["a"].improved == 0 and out["a"].mean_delta == 0.0
+    assert out["b"].improved == 0 and out["b"].mean_delta == pytest.approx(0.02) and out["b"]["mean"] == pytest.approx(0.315)
