@@ -160,3 +160,23 @@ def test_the_baseline_is_never_better_than_itself(spark):
     out = {r.model: r for r in M.fold_summary(losses, "a").collect()}
     assert out["a"].improved == 0 and out["a"].mean_delta == 0.0
     assert out["b"].improved == 0 and out["b"].mean_delta == pytest.approx(0.02) and out["b"]["mean"] == pytest.approx(0.315)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_the_smaller_snapshot_does_not_move_its_starts(spark):
+    """Histories by day come to the starts; one join for each by the ids moved the starts each time."""
+    assert exchanges(QUERIES["place_snapshot_small"](spark, SF)) <= 14
+
+
+def test_starts_are_dealt_with_what_is_taken_of_them(spark, monkeypatch):
+    """A start has 42 columns; the smaller snapshot and the bundles take less than half of them."""
+    from pastmark.plans import place
+
+    dealt, widths = place.dealt, []
+    monkeypatch.setattr(place, "dealt", lambda df, keys: widths.append(len(df.columns)) or dealt(df, keys))
+    for name in ("place_snapshot_small", "feature_bundles"):
+        QUERIES[name](spark, SF)
+    assert widths == [19, 19]
